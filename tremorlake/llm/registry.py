@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tremorlake.llm import exact_dedup, line_dedup, url_filter
+from tremorlake.llm import decontaminate, exact_dedup, line_dedup, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_exact_dedup": exact_dedup.query,
         "op3_url_filter": url_filter.query,
+        "op6_decontaminate": decontaminate.query,
         "op10_line_dedup": line_dedup.query,
     }
 
@@ -21,5 +22,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_dedup": exact_dedup.ORACLE,
         "op3_url_filter": url_filter.ORACLE,
+        "op6_decontaminate": decontaminate.ORACLE,
         "op10_line_dedup": line_dedup.ORACLE,
     }
