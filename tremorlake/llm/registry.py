@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tremorlake.llm import decontaminate, exact_dedup, line_dedup, url_filter
+from tremorlake.llm import decontaminate, exact_dedup, line_dedup, packing, pii, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_exact_dedup": exact_dedup.query,
         "op3_url_filter": url_filter.query,
+        "op4_packing": packing.query,
         "op6_decontaminate": decontaminate.query,
+        "op7_pii": pii.query,
         "op10_line_dedup": line_dedup.query,
     }
 
