@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tremorlake.llm import decontaminate, exact_dedup, line_dedup, packing, pii, url_filter
+from tremorlake.llm import decontaminate, exact_dedup, line_dedup, packing, pii, quality, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": quality.query,
         "op2_exact_dedup": exact_dedup.query,
         "op3_url_filter": url_filter.query,
         "op4_packing": packing.query,
         "op6_decontaminate": decontaminate.query,
         "op7_pii": pii.query,
+        "op8_toxicity": toxicity.query,
         "op10_line_dedup": line_dedup.query,
     }
 
