@@ -54,3 +54,11 @@ def text_of(column: str) -> Column:
 def held_out(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 5, is 0."""
     return F.coalesce(F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
+
+
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """The frame as a Parquet table in the shared folder, read again; smaller on disk than a checkpoint."""
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark)}/{fresh_name(name)}"
+    frame.write.parquet(path)
+    return spark.read.parquet(path)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tremorlake.llm import decontaminate, exact_dedup, line_dedup, packing, pii, quality, toxicity, url_filter
+from tremorlake.llm import decontaminate, exact_dedup, jaccard_join, line_dedup, packing, pii, quality, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_exact_dedup": exact_dedup.query,
         "op3_url_filter": url_filter.query,
         "op4_packing": packing.query,
+        "op5_jaccard_join": jaccard_join.query,
         "op6_decontaminate": decontaminate.query,
         "op7_pii": pii.query,
         "op8_toxicity": toxicity.query,
