@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tremorlake.llm import decontaminate, exact_dedup, jaccard_join, line_dedup, packing, pii, quality, toxicity, url_filter
+from tremorlake.llm import decontaminate, exact_dedup, jaccard_join, line_dedup, packing, pii, quality, suffix_dedup, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_decontaminate": decontaminate.query,
         "op7_pii": pii.query,
         "op8_toxicity": toxicity.query,
+        "op9_suffix_dedup": suffix_dedup.query,
         "op10_line_dedup": line_dedup.query,
     }
 
