@@ -17,12 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tremorlake.llm.bitmaps import bitmap_longs, possible
 from tremorlake.llm.common import ascii_lower, cut, table, text_of
 
 WINDOW = 13
 SHINGLE = 3
-#: Largest bitmap: 2**23 bits, 1 MiB.
-BITMAP_BITS = 23
+#: Largest bitmap: 2**20 bits.  It stands in the plan as a literal, for a lambda may hold no subquery.
+BITMAP_BITS = 20
 
 
 def words_of(text: Column) -> Column:
@@ -51,27 +52,11 @@ def windows_of(items: DataFrame, window: int, id_col: str, text_col: str) -> Dat
 
 def bitmap(shingles: DataFrame, bits: int) -> Column:
     """A literal array of longs in which two bits of each shingle hash h are set.  At most 2**(bits - 6) rows come to the driver."""
-    spots = shingles.select(F.explode(F.array(*probes(F.col("h"), bits))).alias("spot"))
-    longs = spots.groupBy((F.shiftright("spot", 6)).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("v"))
-    filled = {int(k): int(v) for k, v in longs.collect()}
+    filled = {int(k): int(v) for k, v in bitmap_longs(shingles, bits).collect()}
     text = ",".join(str(filled.get(k, 0)) for k in range(1 << (bits - 6)))
     return F.split(F.lit(text), ",").cast("array<bigint>")
 
 
-def probes(h: Column, bits: int) -> list[Column]:
-    mask = F.lit((1 << bits) - 1).cast("bigint")
-    return [h.bitwiseAND(mask), F.shiftrightunsigned(h, 32).bitwiseAND(mask)]
-
-
-def possible(h: Column, marks: Column, bits: int) -> Column:
-    tests = [marks[F.shiftright(p, 6).cast("int")].bitwiseAND(_one_at(p)) != 0 for p in probes(h, bits)]
-    return tests[0] & tests[1]
-
-
-def _one_at(p: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), p.bitwiseAND(F.lit(63).cast("bigint")).cast("int"))
-
-
 def shingles_of(words: str, g: int) -> Column:
     return F.transform(positions(words, g), lambda i: shingle_hash(words, i, g))
 

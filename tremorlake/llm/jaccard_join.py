@@ -30,9 +30,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tremorlake.llm.bitmaps import bitmap_subquery, possible
 from tremorlake.llm.common import cut, table, text_of, written
 from tremorlake.llm.components import connected_components
-from tremorlake.llm.decontaminate import BITMAP_BITS, bitmap, possible
 from tremorlake.llm.shingles import in_slices, mix, shingle_sets
 
 #: Shingles whose frequency is known when prefixes are ordered.  It bounds a table, not the result.
@@ -143,16 +143,10 @@ def tiles_of(docs: DataFrame, k: int, num: int, den: int, known: np.ndarray, cou
     return written(docs.select("text").mapInPandas(scan, TILES), "tiles")
 
 
-def literal_filter(hashes: DataFrame) -> tuple[Column, int]:
-    """A bitmap of fixed largest size of the column h."""
-    bits = min(BITMAP_BITS, max(10, (64 * hashes.count()).bit_length()))
-    return bitmap(hashes, bits), bits
-
-
 def shared_tiles(tiles: DataFrame, sets: DataFrame) -> DataFrame:
     """tile, id, n, leads, signature: rows of tiles in which different sets meet."""
     met = cut(tiles.groupBy("tile").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low <> high").select("tile"))
-    marks, bits = literal_filter(met.select(F.xxhash64("tile").alias("h")))
+    marks, bits = bitmap_subquery(met.select(F.xxhash64("tile").alias("h")))
     some = tiles.where(possible(F.xxhash64("tile"), marks, bits)).join(met, "tile", "left_semi").distinct()
     return cut(some.join(sets, ["k1", "k2", "n"]).select("tile", "id", "n", "leads", "signature"))
 
@@ -173,7 +167,7 @@ def may_link(num: int, den: int, a: str = "a", b: str = "b") -> Column:
 def linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """a, b of the pairs whose sets link, by intersection of their sorted arrays."""
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    marks, bits = literal_filter(ids.select(F.xxhash64("id").alias("h")))
+    marks, bits = bitmap_subquery(ids.select(F.xxhash64("id").alias("h")))
     texts = docs.where(possible(F.xxhash64("doc_id"), marks, bits)).join(ids, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text")
 
     def arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -29,9 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tremorlake.llm.bitmaps import bitmap_subquery, possible
 from tremorlake.llm.common import cut, table, text_of, written
-from tremorlake.llm.decontaminate import possible
-from tremorlake.llm.jaccard_join import literal_filter
 from tremorlake.llm.shingles import BASE, BYTE_VALUES, GAP, mix, power_table, prefix_sums, span_hashes
 
 LENGTH = 200
@@ -220,7 +219,7 @@ def refined(contexts: DataFrame, length: int, q: int, hot: int) -> DataFrame:
 def contexts_with_bytes(wanted: DataFrame, texts: DataFrame) -> DataFrame:
     """wanted: gram, context, size, key, n, pos, l, r.  Adds the bytes, taken from the texts."""
     listed = wanted.groupBy("key", "n").agg(F.collect_list(F.struct("gram", "context", "size", "pos", "l", "r")).alias("places"))
-    marks, bits = literal_filter(listed.select(F.xxhash64("key").alias("h")))
+    marks, bits = bitmap_subquery(listed.select(F.xxhash64("key").alias("h")))
     some = texts.where(possible(F.xxhash64("key"), marks, bits)).join(listed, ["key", "n"]).select("text", "places")
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -241,7 +240,7 @@ def repeated_spans(texts: DataFrame, length: int, q: int, hot: int) -> DataFrame
     spot = F.xxhash64("key", "n", "pos")
     buckets = all_anchors.groupBy("gram").agg(F.min(spot).alias("low"), F.max(spot).alias("high")).where("low <> high").select("gram")
     buckets = cut(buckets)
-    marks, bits = literal_filter(buckets.select(F.xxhash64("gram").alias("h")))
+    marks, bits = bitmap_subquery(buckets.select(F.xxhash64("gram").alias("h")))
     placed = all_anchors.where(possible(F.xxhash64("gram"), marks, bits)).join(buckets, "gram", "left_semi").distinct()
     placed = written(placed, "placed")
     # one of equal contexts goes on; its count says whether it is done
@@ -275,7 +274,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, hot: int =
     spans = repeated_spans(rows.select("key", "n", "text"), length, q, hot)
     copies = rows.where(F.col("n") >= length).groupBy("key", "n").agg(F.count("*").alias("copies")).where("copies > 1").select("key", "n", F.lit(True).alias("whole"))
     told = cut(spans.join(copies, ["key", "n"], "full_outer"))
-    marks, bits = literal_filter(told.select(F.xxhash64("key").alias("h")))
+    marks, bits = bitmap_subquery(told.select(F.xxhash64("key").alias("h")))
     touched = possible(F.xxhash64("key"), marks, bits)
     whole = F.coalesce("whole", F.lit(False))
     told = told.select(F.col("key").alias("_key"), F.col("n").alias("_n"), F.when(~whole, F.col("spans")).alias("spans"), whole.alias("whole"), F.xxhash64("key").alias("j"))
