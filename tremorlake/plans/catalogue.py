@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tremorlake.plans import time_space
+from tremorlake.plans import statistics, time_space
 
 Query = Callable[[SparkSession, str], DataFrame]
-PARTS = (time_space,)
+PARTS = (time_space, statistics)
 
 
 def queries() -> dict[str, Query]:
