@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tremorlake.plans import signals, statistics, time_space
+from tremorlake.plans import learned, signals, statistics, time_space
 
 Query = Callable[[SparkSession, str], DataFrame]
-PARTS = (time_space, statistics, signals)
+PARTS = (time_space, statistics, signals, learned)
 
 
 def queries() -> dict[str, Query]:
