@@ -49,7 +49,7 @@ def gauge_metrics(stitches: DataFrame, fs: float) -> DataFrame:
 
 def rollup(events: DataFrame, minute: str, position: str, value: str) -> DataFrame:
     """Counts and sums by (minute, position), by minute, by position and over all, in one pass."""
-    sums = events.groupingSets([[minute, position], [minute], [position], []], minute, position).agg(F.grouping_id().alias("level"), F.count("*").alias("event_count"), F.sum(value).alias("total"))
+    sums = events.cube(minute, position).agg(F.grouping_id().alias("level"), F.count("*").alias("event_count"), F.sum(value).alias("total"))
     return sums.withColumn("level", F.element_at(F.array(F.lit("cell"), F.lit("minute"), F.lit("position"), F.lit("all")), (F.col("level") + 1).cast("int")))
 
 

@@ -88,7 +88,7 @@ def flag_channels(moments: DataFrame, file: str, limits: Limits = Limits()) -> D
         (~dead & (F.col("std_z") < -limits.std_z), "LOW_NOISE_OUTLIER"),
         (~dead & (F.col("std_z") > limits.std_z), "HIGH_NOISE_OUTLIER"),
         (F.col("kurtosis") > limits.kurtosis, "IMPULSIVE_KURTOSIS"),
-        (F.col("max_jump") / F.col("std") > limits.jump, "ABRUPT_JUMP"),
+        (F.try_divide("max_jump", "std") > limits.jump, "ABRUPT_JUMP"),
     )
     return z.withColumn("bad_reasons", F.concat_ws(";", reasons)).withColumn("bad", F.col("bad_reasons") != "")
 
@@ -108,7 +108,7 @@ def classify(flagged: DataFrame, layout: DataFrame, file: str, channel: str, gro
         (F.col("group_z") < -limits.std_z, "LOW_STD_WITHIN_LAYOUT_GROUP"),
         (F.col("group_z") > limits.std_z, "HIGH_STD_WITHIN_LAYOUT_GROUP"),
         (F.col("kurtosis") > limits.kurtosis, "HIGH_KURTOSIS_REVIEW"),
-        (F.col("max_jump") / F.col("std") > limits.jump, "ABRUPT_JUMP_REVIEW"),
+        (F.try_divide("max_jump", "std") > limits.jump, "ABRUPT_JUMP_REVIEW"),
     )
     out = z.withColumns({"hard_reasons": hard, "review_reasons": soft})
     return out.withColumn("qc_class", F.when(F.size("hard_reasons") > 0, "HARD_BAD").when(F.size("review_reasons") > 0, "REVIEW").otherwise("PASS"))

@@ -213,7 +213,7 @@ def permutation_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def null_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = inference.null_summary(scan_scores(spark, sf_dir)[1])
-    return out.select("window_id", *[F.round(c, 6).alias(c) for c in ("null_mean", "null_sd", "null_q025", "null_q975")])
+    return out.select("window_id", *[F.round(c, 9).alias(c) for c in ("null_mean", "null_sd", "null_q025", "null_q975")])
 
 
 def scan_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -337,8 +337,8 @@ ORACLES = {
     "permutation_scan": f"""WITH {DAS}, {NODES}, {EDGES}, {WINDOWS}, {COUNTS}, {OWN}, {ELIGIBLE}, {SCORES}, {MAXSCAN}
     SELECT window_id, round(observed, 6) AS observed, round(scan_z, 5) AS scan_z, round(p_window, 6) AS p_window, round(p_global, 6) AS p_global, round(critical, 5) AS critical FROM result""",
     "null_summary": f"""WITH {DAS}, {NODES}, {EDGES}, {WINDOWS}, {COUNTS}, {OWN}, {ELIGIBLE}, {SCORES}
-    SELECT window_id, round(avg(score), 6) AS null_mean, round(stddev_samp(score), 6) AS null_sd, round(quantile_cont(score, 0.025), 6) AS null_q025,
-        round(quantile_cont(score, 0.975), 6) AS null_q975 FROM scores WHERE perm_id > 0 GROUP BY 1""",
+    SELECT window_id, round(avg(score), 9) AS null_mean, round(stddev_samp(score), 9) AS null_sd, round(quantile_cont(score, 0.025), 9) AS null_q025,
+        round(quantile_cont(score, 0.975), 9) AS null_q975 FROM scores WHERE perm_id > 0 GROUP BY 1""",
     "scan_episodes": f"""WITH {DAS}, {NODES}, {EDGES}, {WINDOWS}, {COUNTS}, {OWN}, {ELIGIBLE}, {SCORES}, {MAXSCAN},
     sig AS (SELECT *, max(end_us) OVER (ORDER BY start_us, end_us, window_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM result JOIN windows USING (window_id) WHERE p_window <= 0.5),
     ep AS (SELECT *, CAST(sum(CASE WHEN b IS NULL OR start_us > b THEN 1 ELSE 0 END) OVER (ORDER BY start_us, end_us, window_id) AS BIGINT) AS episode_id FROM sig)
