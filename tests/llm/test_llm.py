@@ -1,0 +1,435 @@
+"""The training-data operators against brute force, round trips and held-out labels, and on odd input."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+from pathlib import Path
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tremorlake.llm import components, decontaminate, exact_dedup, jaccard_join, line_dedup, packing, pii, quality, suffix_dedup, toxicity, url_filter
+
+DATA = Path("/root/testdata/sf0.001")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def frame(spark, rows):
+    """rows: (id, text), with the other columns of documents and columns that operators use names like."""
+    full = [(i, t, "en", "s", len(t or "")) for i, t in rows]
+    return spark.createDataFrame(full, SCHEMA).withColumns({c: F.lit(1) for c in ("mark", "id", "key", "n", "digest", "words", "row_id", "h")}) if full else spark.createDataFrame([], SCHEMA)
+
+
+def odd(extra=()):
+    long = " ".join(f"w{i % 7919}" for i in range(30_000))
+    rows = [(1, None), (2, ""), (3, " \t\n "), (4, "Same text here"), (5, "Same  text\there"), (5, "Same  text\there"), (6, long), (7, long), (None, "Same text here"), (8, "a"), (9, "ünïcode straße 日本 text")]
+    return rows + list(extra)
+
+
+def got(df, *columns):
+    return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str)
+
+
+def sha(text):
+    return hashlib.sha256(text.encode() if isinstance(text, str) else text).hexdigest()
+
+
+# 1 and 8: learned
+
+
+def test_quality_learns_junk_lines_and_scores_everything(spark):
+    rng = random.Random(4)
+    words = [f"{a}{b}" for a in ("ra", "to", "mi", "lun", "ser") for b in ("ne", "da", "rik", "os", "el")]
+    line = lambda: " ".join(rng.choice(words) for _ in range(12)).capitalize() + "."
+    junk = lambda: " ".join(w + rng.choice(["###", "$$$", "%%%"]) for w in line().split())
+    docs = [(i, "\n".join([line()] + [junk() if i % 4 == 0 else line() for _ in range(3)])) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    d = frame(spark, docs + [(1000, None), (1001, "")])
+    out = quality.score(d, quality.fit(d, labels)).collect()
+    assert len(out) == 402 and all(0 <= r["score"] <= 1 for r in out)
+    held = [r for r in out if r["held_out"] and r["doc_id"] < 400]
+    assert held and all(r["predicted"] == int(r["doc_id"] % 4 != 0) for r in held)
+    assert {r["doc_id"] for r in out if r["held_out"]} == {i for i in [*range(400), 1000, 1001] if zlib.crc32(str(i).encode()) % 5 == 0}
+
+
+def test_marginals_equal_enumeration():
+    rng = np.random.default_rng(0)
+    field = quality.Field(rng.normal(size=3), rng.normal(size=(2, 2)))
+    x = rng.normal(size=(5, 3))
+    odds = x @ field.emission
+    weight = {}
+    for bits in np.ndindex(*[2] * 5):
+        weight[bits] = np.exp(sum(odds[i] for i in range(5) if bits[i]) + sum(field.pull[bits[i], bits[i + 1]] for i in range(4)))
+    total = sum(weight.values())
+    want = [sum(w for b, w in weight.items() if b[i]) / total for i in range(5)]
+    assert np.allclose(field.marginals(x), want)
+    _, pairs = field.expectations(x)
+    assert np.allclose(pairs[1, 1], sum(w * sum(b[i] and b[i + 1] for i in range(4)) for b, w in weight.items()) / total)
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_learned_operators_without_labels_or_documents(spark, module):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    d = frame(spark, odd())
+    assert module.score(d, module.fit(d, none)).count() == len(odd())
+    empty = frame(spark, [])
+    assert module.score(empty, module.fit(empty, none)).count() == 0
+
+
+def toxic_corpus():
+    rng = random.Random(9)
+    words = [f"{a}{b}" for a in ("ra", "to", "mi", "lun", "ser", "ko") for b in ("ne", "da", "rik", "os", "el")]
+    rows, labels = [], []
+    for i in range(500):
+        text = [rng.choice(words) for _ in range(40)]
+        if i % 5 == 1:
+            text[rng.randrange(40)] = rng.choice(["grobian", "snotface", "wretch"])
+        rows.append((i, " ".join(text) + "."))
+        labels.append((i, 1, int(i % 5 == 1)))
+    return rows, labels
+
+
+def test_toxicity_finds_held_out_documents_and_leaves_clean_ones(spark):
+    rows, labels = toxic_corpus()
+    d, known = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = toxicity.score(d, toxicity.fit(d, known)).collect()
+    held = [r for r in out if r["held_out"]]
+    assert held and all(r["predicted"] == int(r["doc_id"] % 5 == 1) for r in held)
+    kept = toxicity.keep_clean(d, known)
+    assert kept.columns == d.columns and kept.where("doc_id % 5 = 1").count() == 0 and kept.count() == 400
+
+
+def test_grammar_scores_clauses(spark):
+    g = toxicity.Grammar({"wretch": 2.0, "snot*": 1.0})
+    f = lambda t: {k for k, v in zip(toxicity.FEATURES[:5], g.features(t), strict=False) if v}
+    assert f("what a wretch here") == {"plain"}
+    assert f("you wretch") == {"targeted"}
+    assert f("this is not a wretch") == {"negated"}
+    assert f('the word "wretch" here') == {"reported"}
+    assert f("he said a wretch. a wretch") == {"reported", "plain"} or f("it said wretch. a wretch") == {"reported", "plain"}
+    assert f("kill them") == {"threat"}
+    assert f("snotnose") == {"plain"} and f("kill the time") == set()
+
+
+# 2, 3, 10: native
+
+
+def test_exact_dedup(spark):
+    d = frame(spark, odd())
+    groups = collections.defaultdict(list)
+    for i, t in odd():
+        groups[re.sub(r"[\x20\x09-\x0D]+", " ", t or "")].append(i)
+    out = exact_dedup.exact_dedup(d).collect()
+    assert len(out) == len(odd())
+    by_hash = {sha(k): v for k, v in groups.items()}
+    for r in out:
+        ids = by_hash[r["text_sha256"]]
+        assert r["group_size"] == len(ids) and r["keep_id"] == min(i for i in ids if i is not None)
+    assert sum(r["kept"] for r in out) == len(groups)
+    kept = exact_dedup.keep_first(d)
+    assert kept.columns == d.columns and kept.count() == len(groups)
+    assert exact_dedup.exact_dedup(frame(spark, [])).count() == 0
+    assert exact_dedup.keep_first(frame(spark, [(5, "b"), (5, "b"), (6, "b")])).count() == 1
+
+
+def test_the_index_stays_between_batches(spark):
+    index = exact_dedup.DigestIndex(spark, "lasting_index", 4)
+    for ids in ([5, 9], [1, 2]):
+        rows = exact_dedup.digested(frame(spark, [(i, f"text {i % 4}") for i in ids]))
+        index.append(rows)
+    assert got(index.read(), "keep_id") == [(2,), (5,)]
+    index.drop()
+
+
+def test_url_filter(spark):
+    urls = [None, "", "nowhere", "http://", "https://Sub.Example.COM/en/x?q#f", "http://www.example.com/en/a", "http://example.com", "http://a.net/es/1", "http://net/fr/", "http://b.org/x", "x://example.com/EN/", "http://com/?://net/es/", "http://.com/", "http://a.com#://b"]
+    pages = spark.createDataFrame(list(enumerate(urls)) + [(4, urls[4])], "page_id long, url string").withColumn("host", F.lit("clash"))
+    rules = spark.createDataFrame(url_filter.RULES, url_filter.RULE_SCHEMA)
+
+    def judge(url):
+        host = path = ""
+        if url and "://" in url:
+            rest = url.split("://", 1)[1]
+            host = re.match(r"[^/?#]*", rest).group().lower()
+            path = re.match(r"[^?#]*", rest[len(host) :]).group()
+        fits = [(len(h + p), h + p, a) for h, p, a in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits, default=(0, None, "allow"))
+        return host, path, best[1], best[2]
+
+    want = sorted([(i, *judge(u)) for i, u in [*enumerate(urls), (4, urls[4])]], key=str)
+    assert got(url_filter.filter_urls(pages, rules), "page_id", "host", "path", "rule", "verdict") == want
+    assert url_filter.filter_urls(pages, rules.limit(0)).where("verdict <> 'allow'").count() == 0
+    assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
+
+
+def test_line_dedup(spark):
+    rows = odd([(100 + i, f"First {i}\n  Common LINE \nend\n") for i in range(6)] + [(200 + i, "common line") for i in range(3)] + [(300, "twice\ntwice")])
+    rows = [r for r in rows if r[0] is not None]
+    count = collections.Counter(k for _, t in rows for k in {x.strip(" \t\n\x0b\f\r").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for x in (t or "").split("\n")})
+    want = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        stay = [x for x in lines if not x.strip(" \t\n\x0b\f\r") or count[x.strip(" \t\n\x0b\f\r").lower()] < 5]
+        want.append((i, len(lines), len(lines) - len(stay), "\n".join(stay)))
+    assert got(line_dedup.drop_common_lines(frame(spark, rows), 5), "doc_id", "n_lines", "n_dropped", "text") == sorted(want, key=str)
+    assert line_dedup.drop_common_lines(frame(spark, [])).count() == 0
+
+
+# 4
+
+
+def test_packing_is_an_exact_round_trip(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rows = odd([(400 + i, "Word ünd <|endoftext|> 12,5\t\x85 \u3000 x" * i) for i in range(9)])
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = [[*whole.encode(t or "", add_special_tokens=False).ids, 0] for _, t in rows]
+    out = packing.pack(frame(spark, rows), size=64, docs_per_group=4).collect()
+    want = collections.Counter()
+    for (i, _), own in zip(rows, ids, strict=True):
+        for s in range(0, len(own), 64):
+            want[i, s, len(own[s : s + 64]), zlib.crc32(np.array(own[s : s + 64], "<u4").tobytes()), len(own)] += 1
+    assert collections.Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in out) == want
+    places = collections.defaultdict(list)
+    for r in out:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    for spans in places.values():
+        end = 0
+        for offset, length in sorted(spans):
+            assert offset == end
+            end += length
+        assert end <= 64
+    assert packing.pack(frame(spark, [])).count() == 0
+
+
+def test_first_fit_decreasing_equals_a_plain_scan():
+    rng = random.Random(2)
+    lengths = [rng.randint(1, 100) for _ in range(300)]
+    bins, _ = packing.first_fit_decreasing(lengths, 100)
+    room, want = [], [0] * len(lengths)
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        at = next((b for b, r in enumerate(room) if r >= lengths[i]), len(room))
+        if at == len(room):
+            room.append(100)
+        room[at] -= lengths[i]
+        want[i] = at
+    assert bins == want
+
+
+# 5
+
+
+def brute_classes(rows, k, num, den):
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split() if (t or "").isascii() else (t or "").encode().translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")).split()
+        sets[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return sorted((i, len(sets[i]), root(i)) for i in ids)
+
+
+@pytest.mark.parametrize(("k", "num", "den"), [(3, 9, 10), (5, 4, 5), (2, 1, 2)])
+def test_jaccard_classes_equal_brute_force(spark, k, num, den):
+    rng = random.Random(k)
+    words = [f"w{i}" for i in range(300)]
+    bases = [[rng.choice(words) for _ in range(rng.choice([3, 9, 12, 25, 60, 130]))] for _ in range(12)]
+    rows = []
+    for i in range(150):
+        text = list(rng.choice(bases))
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 5, 9])):
+            at = rng.randrange(len(text))
+            if rng.random() < 0.5:
+                text[at] = rng.choice(words)
+            else:
+                text.insert(at, rng.choice(words))
+        rows.append((i, " ".join(text)))
+    rows += [(i + 1000, t) for i, t in odd() if i not in (None, 5)]
+    out = jaccard_join.jaccard_classes(frame(spark, rows), k, num, den)
+    assert got(out, "doc_id", "n_shingles", "component_id") == sorted(brute_classes(rows, k, num, den), key=str)
+
+
+def test_jaccard_on_odd_rows(spark):
+    out = jaccard_join.jaccard_classes(frame(spark, odd())).collect()
+    assert len(out) == len(odd())
+    assert {r["component_id"] for r in out if r["doc_id"] in (4, 5, None)} == {4}
+    assert {r["component_id"] for r in out if r["doc_id"] in (6, 7)} == {6}
+    kept = jaccard_join.keep_one(frame(spark, odd()))
+    assert kept.where("doc_id in (5, 7)").count() == 0 and kept.where("doc_id in (1, 2, 3, 4, 6, 8, 9)").count() == 7
+    assert jaccard_join.jaccard_classes(frame(spark, [])).count() == 0
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7)], "a long, b long")
+    out = {r["node"]: r["component"] for r in components.connected_components(edges).collect()}
+    assert out == {i: 0 for i in range(41)} | {100: 100, 101: 100, 103: 100}
+
+
+# 6
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(6)
+    words = [f"v{i}" for i in range(60)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, text(n)) for i, n in enumerate([1, 2, 5, 13, 14, 30, 0, 40])] + [(3, None), (None, "v1 v2"), (50, "only punctuation: !!"), (51, "Zoë ß 日本")]
+    rows = [(i, text(rng.choice([0, 4, 20, 80]))) for i in range(40)]
+    for i in range(40, 80):
+        own = items[rng.randrange(8)][1].split()
+        a = rng.randrange(max(1, len(own)))
+        rows.append((i, f"{text(rng.choice([1, 9, 300]))}. {', '.join(own[a : a + 20]).upper()} - {text(5)}"))
+    rows += [(100, None), (101, "a zoË ß, 日本 b ZOë ß 日本")]
+
+    def split(t):
+        low = (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+    windows = collections.defaultdict(set)
+    for i, t in items:
+        w = split(t)
+        if i is not None:
+            for s in range(max(1, len(w) - 12)) if w else ():
+                windows[tuple(w[s : s + 13])].add(str(i))
+    want = []
+    for i, t in rows:
+        w = split(t)
+        hit, named = set(), set()
+        for s in range(len(w)):
+            for n in {len(x) for x in windows}:
+                found = windows.get(tuple(w[s : s + n])) if s + n <= len(w) else None
+                if found:
+                    hit |= set(range(s, s + n))
+                    named |= found
+        want.append((i, len(w), len(hit), len(named), sha(",".join(sorted(named))), len(hit) > 0 and 20 * len(hit) >= len(w)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    d = frame(spark, rows)
+    assert got(decontaminate.judge(d, bench), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == sorted(want, key=str)
+    kept = decontaminate.keep_clean(d, bench)
+    assert kept.columns == d.columns and kept.count() == sum(not w[-1] for w in want)
+    assert decontaminate.judge(d, bench.limit(0)).where("contaminated").count() == 0
+    assert decontaminate.judge(frame(spark, []), bench).count() == 0
+    assert decontaminate.judge(frame(spark, odd()), bench).count() == len(odd())
+
+
+# 7
+
+
+def test_pii_equals_the_plain_patterns(spark):
+    rng = random.Random(7)
+    parts = ["a.b@c.de", "x@y", "@", "1.2.3.4", "999.1.1.1", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (048) 555-4142", "+49 30", " ", "é", "a@b.c_d@e.fg", "00000000000000", "+", "1", "-", "\n", "a@b.c@d.ef", "01.002.0003.4"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(8))) for _ in range(3000)]
+
+    def plain(t):
+        out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+        out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m.group().split("."))]
+        for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+            d = re.sub(r"[^0-9]", "", m.group())
+            if 14 <= len(d) <= 19 and pii.luhn(d):
+                out.append((m.start(), 2, m.end()))
+        out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(re.sub(r"[^0-9]", "", m.group())) <= 15]
+        return sorted(out)
+
+    for t in texts:
+        assert sorted(pii.base_spans(t)) == plain(t), t
+    out = pii.find_pii(frame(spark, odd([(500, "mail a.b@c.de, IBAN DE89 3704 0044 0532 0130 00. Tel: 030 1234 5678")]))).collect()
+    assert len(out) == len(odd()) + 1
+    last = next(r for r in out if r["doc_id"] == 500)
+    assert last["n_email"] == 1 and last["base_sha256"] == sha("email:5:13") and last["spans"] == "email:5:13,iban:20:47,tel:54:67"
+    assert pii.find_pii(frame(spark, [])).count() == 0
+
+
+def test_checksums():
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
+    assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB82WEST12345698765433")
+    assert pii.base_spans("7" * 200_000) == []
+
+
+# 9
+
+
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_suffix_dedup_equals_brute_force(spark, hot):
+    rng = random.Random(hot)
+    text = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
+    passages = [text(n) for n in (60, 90, 199, 200, 201, 350)]
+    rows = []
+    for i in range(60):
+        rows.append((i, "".join(text(rng.randrange(120)) + rng.choice(passages) for _ in range(rng.randrange(4)))))
+    rows += [(100, "x" * 700), (101, "ab" * 300), (102, "x" * 199), (103, text(2000)), (104, text(5) + passages[5]), *[(r[0] + 200, r[1]) for r in odd() if r[0] is not None]]
+    count = collections.Counter()
+    raw = [(i, (t or "").encode()) for i, t in rows]
+    for _, b in raw:
+        count.update(b[k : k + 200] for k in range(len(b) - 199))
+    want = []
+    for i, b in raw:
+        gone = np.zeros(len(b) + 1, bool)
+        for k in range(len(b) - 199):
+            if count[b[k : k + 200]] > 1:
+                gone[k : k + 200] = True
+        spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        want.append((i, len(b), int(gone.sum()), spans, sha(bytes(x for x, g in zip(b, gone[:-1], strict=True) if not g))))
+    out = suffix_dedup.remove_repeats(frame(spark, rows), hot=hot).withColumn("kept", F.sha2("kept", 256))
+    assert got(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept") == sorted(want, key=str)
+    assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
+
+
+# the pipeline
+
+
+def test_pipeline_stages_by_brute_force(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    rows, labels = toxic_corpus()
+    item = " ".join(f"item{i}" for i in range(30))
+    long = " ".join(f"near{i}" for i in range(100))
+    more = [(600, rows[0][1]), (601, long), (602, long + " tail"), (603, item), (604, None), (605, "wretch")]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows + more], SCHEMA)
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = [{i for i, _ in rows if i % 5 != 1} | {600, 601, 602, 603, 604}]
+    kept.append(kept[0] - {600})
+    kept.append(kept[1] - {602})
+    kept.append(kept[2] - {603})
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for i, (name, stage) in enumerate(pipeline.STAGES[:-1]):
+        stage(spark, now, str(tmp_path)).write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+        assert now.columns == d.columns
+        assert {r["doc_id"] for r in now.collect()} == kept[i], name
+    packed = pipeline.run(spark, str(tmp_path))
+    assert {r["doc_id"] for r in packed.collect()} == kept[-1]
+
+
+@pytest.mark.skipif(not DATA.is_dir(), reason="no test tables")
+@pytest.mark.parametrize("name", ["op2_exact_dedup", "op3_url_filter", "op6_decontaminate", "op10_line_dedup"])
+def test_query_equals_oracle(spark, name):
+    import duckdb
+
+    from tremorlake.llm import registry
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    want = con.execute(registry.oracle_sql()[name]).fetchdf()
+    out = registry.queries()[name](spark, str(DATA)).toPandas()
+    assert sorted(out.columns) == sorted(want.columns)
+    text = lambda f: sorted(tuple("" if v is None else str(v) for v in r) for r in f[sorted(f.columns)].itertuples(index=False))
+    assert text(out) == text(want)

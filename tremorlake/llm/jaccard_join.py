@@ -4,14 +4,14 @@
    and counts shingles that are frequent within a slice; the most frequent of all (a table of fixed size) only
    decide in which order a set's shingles are listed: rare ones first.
 2. Documents of equal sets are one from here on.  Two sets that link must share a shingle in their prefixes
-   (the smaller set's shorter one, the larger set's longer one).  A tile is a size band and a shingle; sets
+   (the first 1 - num / den of the order and one).  A tile is a size band and a shingle; sets
    meet in the tiles of their prefixes, in bands of sizes within a factor of two and their upper neighbours.
-3. In every tile the smallest set leads.  Leader and members are compared: sizes, then the bitmaps (a bit set
-   on one side only is an element of that side only, which bounds the overlap from above), then the arrays.
-   What links becomes components.
+3. In every tile the set with the fewest shingles before the tile's leads.  Leader and members are compared:
+   sizes and positions, then the bitmaps (a bit set on one side only is an element of that side only, which
+   bounds the overlap from above), then the arrays.  What links becomes components.
 4. In tiles that still hold several components, each set outside the tile's largest component is compared
-   with every set of other components.  After that no link between different components is left, and links
-   within one change nothing.
+   with the sets of other components in the same way.  After that no link between different components is
+   left, and links within one change nothing.
 
 So a group of thousands of near copies costs a few comparisons a member, not all pairs, and no group is ever
 gathered in a task: tiles are joined, and AQE splits large ones.
@@ -39,9 +39,10 @@ from tremorlake.llm.shingles import in_slices, mix, shingle_sets
 FREQUENT = 1 << 17
 #: Shingles of documents that are counted together, and the least count that is passed on.
 SLICE, LEAST = 4_000_000, 3
-SIGNATURE_WORDS = 16
+#: Longs of the bitmap of a set of n shingles: a power of two, two bits a shingle, within these bounds.
+SIGNATURE_WORDS = (4, 256)
 FACTS = "frequent boolean, doc_id string, k1 long, k2 long, n long, signature array<long>"
-TILES = "tile long, k1 long, k2 long, n long, leads boolean"
+TILES = "tile long, k1 long, k2 long, n long, pos int"
 
 
 def set_key(hashes: np.ndarray) -> tuple[int, int]:
@@ -54,8 +55,10 @@ def set_key(hashes: np.ndarray) -> tuple[int, int]:
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    bits = np.zeros(SIGNATURE_WORDS * 64, np.uint8)
-    bits[(hashes & np.uint64(SIGNATURE_WORDS * 64 - 1)).astype(np.int64)] = 1
+    low, high = SIGNATURE_WORDS
+    words = min(high, max(low, 1 << (max(1, len(hashes)) * 2 // 64).bit_length()))
+    bits = np.zeros(words * 64, np.uint8)
+    bits[(hashes & np.uint64(words * 64 - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").view(np.int64)
 
 
@@ -111,7 +114,7 @@ def prefix(hashes: np.ndarray, length: int, known: np.ndarray, counts: np.ndarra
 
 
 def tiles_of(docs: DataFrame, k: int, num: int, den: int, known: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """The tiles of each document.  leads: as the smaller set of a pair."""
+    """The tiles of each document; pos: how many of its shingles come before this one in the order."""
     smallest = -(-num // (den - num)) if den > num else 1 << 62
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,12 +127,11 @@ def tiles_of(docs: DataFrame, k: int, num: int, den: int, known: np.ndarray, cou
                         continue
                     least = -(-num * n // den)
                     tokens = prefix(hashes, n - least + 1, known, counts)
-                    leading = n - -(-2 * num * n // (num + den)) + 1
                     band = n.bit_length()
                     key = set_key(hashes)
-                    parts.append((mix(tokens + np.uint64(band)), key, n, np.arange(len(tokens)) < leading))
+                    parts.append((mix(tokens + np.uint64(band)), key, n, np.arange(len(tokens), dtype=np.int32)))
                     if least < 1 << (band - 1):  # a smaller partner may stand in the band below
-                        parts.append((mix(tokens + np.uint64(band - 1)), key, n, np.zeros(len(tokens), bool)))
+                        parts.append((mix(tokens + np.uint64(band - 1)), key, n, np.arange(len(tokens), dtype=np.int32)))
                 if parts:
                     sizes = [len(p[0]) for p in parts]
                     yield pd.DataFrame({
@@ -137,18 +139,24 @@ def tiles_of(docs: DataFrame, k: int, num: int, den: int, known: np.ndarray, cou
                         "k1": np.repeat(np.array([p[1][0] for p in parts], np.int64), sizes),
                         "k2": np.repeat(np.array([p[1][1] for p in parts], np.int64), sizes),
                         "n": np.repeat(np.array([p[2] for p in parts], np.int64), sizes),
-                        "leads": np.concatenate([p[3] for p in parts]),
+                        "pos": np.concatenate([p[3] for p in parts]),
                     })
 
     return written(docs.select("text").mapInPandas(scan, TILES), "tiles")
 
 
 def shared_tiles(tiles: DataFrame, sets: DataFrame) -> DataFrame:
-    """tile, id, n, leads, signature: rows of tiles in which different sets meet."""
+    """tile, id, n, pos: rows of tiles in which different sets meet."""
     met = cut(tiles.groupBy("tile").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low <> high").select("tile"))
     marks, bits = bitmap_subquery(met.select(F.xxhash64("tile").alias("h")))
     some = tiles.where(possible(F.xxhash64("tile"), marks, bits)).join(met, "tile", "left_semi").distinct()
-    return cut(some.join(sets, ["k1", "k2", "n"]).select("tile", "id", "n", "leads", "signature"))
+    return written(some.join(sets.select("k1", "k2", "n", "id"), ["k1", "k2", "n"]).select("tile", "id", "n", "pos"), "met")
+
+
+def folded(a: Column, size: Column) -> Column:
+    """The signature as one of half as many longs, where it is longer than size."""
+    half = F.floor(F.size(a) / 2).cast("int")
+    return F.when(F.size(a) > size, F.zip_with(F.slice(a, 1, half), F.slice(a, half + 1, half), lambda x, y: x.bitwiseOR(y))).otherwise(a)
 
 
 def only_in(a: Column, b: Column) -> Column:
@@ -156,31 +164,41 @@ def only_in(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda s, x: s + x)
 
 
-def may_link(num: int, den: int, a: str = "a", b: str = "b") -> Column:
-    """By sizes and signatures; no pair that links is refused."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    sizes = (den * F.least(na, nb) >= num * F.greatest(na, nb))
-    most = F.least(na - only_in(F.col(f"{a}.signature"), F.col(f"{b}.signature")), nb - only_in(F.col(f"{b}.signature"), F.col(f"{a}.signature")))
-    return sizes & (den * most >= num * (na + nb - most))
+def placed_to_link(num: int, den: int) -> Column:
+    """Of two rows a, b (n, pos, id) of one tile.  In the tile of the first shingle that two sets share, what
+    they share stands at or behind it in both; a pair that fails there fails in its later tiles too."""
+    sizes = den * F.least("a.n", "b.n") >= num * F.greatest("a.n", "b.n")
+    behind = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
+    return sizes & ((num + den) * behind >= num * (F.col("a.n") + F.col("b.n")))
+
+
+def may_link(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs a, b that sizes and signatures don't rule out; no pair that links is refused."""
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("signature").alias(f"s{c}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    na, nb, sa, sb = (F.col(c) for c in ("na", "nb", "sa", "sb"))
+    # sizes this near, the signatures differ by one halving at most
+    fa, fb = folded(sa, F.size(sb)), folded(sb, F.size(sa))
+    most = F.least(na - only_in(fa, fb), nb - only_in(fb, fa))
+    return cut(both.where((den * F.least(na, nb) >= num * F.greatest(na, nb)) & (den * most >= num * (na + nb - most))).select("a", "b"))
 
 
 def linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """a, b of the pairs whose sets link, by intersection of their sorted arrays."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = cut(ids.join(sets.select("id", "k1", "k2"), "id"))
     marks, bits = bitmap_subquery(ids.select(F.xxhash64("id").alias("h")))
-    texts = docs.where(possible(F.xxhash64("doc_id"), marks, bits)).join(ids, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text")
+    texts = docs.where(possible(F.xxhash64("doc_id"), marks, bits)).join(ids, F.col("doc_id") == F.col("id")).select("id", "k1", "k2", "text")
 
     def arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at, part in in_slices(batch["text"].tolist()):
-                found = list(shingle_sets(part, k))
-                keys = [set_key(h) for h in found]
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[at : at + len(part)].to_numpy(), "k1": [x for x, _ in keys], "k2": [y for _, y in keys], "hashes": [h.view(np.int64) for h in found]})
-
-    made = texts.mapInPandas(arrays, "doc_id long, k1 long, k2 long, hashes array<long>")
-    # of rows with one id the one whose set bears the id counts
-    known = made.join(sets.select("k1", "k2", F.col("id").alias("doc_id")), ["k1", "k2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"])
-    known = written(known.select(F.col("doc_id").alias("id"), "hashes"), "shingle_arrays")
+                own = batch.iloc[at : at + len(part)]
+                # of rows with one id the one whose set bears the id counts
+                found = [(i, h.view(np.int64)) for i, k1, k2, h in zip(own["id"], own["k1"], own["k2"], shingle_sets(part, k), strict=True) if set_key(h) == (k1, k2)]
+                yield pd.DataFrame(found, columns=["id", "hashes"])
+
+    known = texts.mapInPandas(arrays, "id long, hashes array<long>")
     left = known.select(F.col("id").alias("a"), F.col("hashes").alias("left"))
     right = known.select(F.col("id").alias("b"), F.col("hashes").alias("right"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
@@ -197,30 +215,32 @@ def linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, num: int,
                 keep.append(den * common >= num * (len(x) + len(y) - common))
             yield batch.loc[keep, ["a", "b"]]
 
-    return cut(both.mapInPandas(same, "a long, b long"))
+    return cut(both.mapInPandas(same, "a long, b long").distinct())
 
 
 def links_of(met: DataFrame, docs: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """node, component over links that suffice to connect whatever all links connect."""
-    side = F.struct("id", "n", "signature")
-    first = met.groupBy("tile").agg(F.min(F.struct("n", "id", "signature")).alias("a")).withColumnRenamed("tile", "of").withColumn("i", F.xxhash64("of"))
-    rows = met.select("tile", "leads", side.alias("b")).withColumn("j", F.xxhash64("tile"))
-    pairs = rows.join(first, (F.col("tile") == F.col("of")) & (F.col("i") == F.col("j"))).where((F.col("a.id") != F.col("b.id")) & may_link(num, den))
-    pairs = cut(pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct())
-    links = linked(pairs, docs, sets, k, num, den)
+    ordered = lambda: (F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
+    side = F.struct("pos", "n", "id")
+    # the set with the fewest shingles of its own before the tile's is nearest to all others
+    first = met.groupBy("tile").agg(F.min(side).alias("a")).withColumnRenamed("tile", "of").withColumn("i", F.xxhash64("of"))
+    rows = met.select("tile", side.alias("b")).withColumn("j", F.xxhash64("tile"))
+    pairs = rows.join(first, (F.col("tile") == F.col("of")) & (F.col("i") == F.col("j")) & (F.col("a.id") != F.col("b.id")) & placed_to_link(num, den))
+    pairs = cut(pairs.select(*ordered()).distinct())
+    links = linked(may_link(pairs, sets, num, den), docs, sets, k, num, den)
     now = connected_components(links)
     # tiles in which components are still to be told apart
-    placed = met.join(now, F.col("id") == F.col("node"), "left").select("tile", "id", "n", "leads", "signature", F.coalesce("component", "id").alias("c"))
-    several = placed.groupBy("tile").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size")).where("low <> high and size > 2").select("tile")
-    placed = cut(placed.join(several, "tile", "left_semi"))
+    placed = met.join(now, F.col("id") == F.col("node"), "left").select("tile", "id", "n", "pos", F.coalesce("component", "id").alias("c"))
+    several = placed.groupBy("tile").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size")).where("low <> high and size > 2")
+    several = several.select(F.col("tile").alias("of"), F.xxhash64("tile").alias("j"))
+    # the derived keys make both sides plain exchanges, whose hot keys AQE can split
+    placed = cut(placed.withColumn("i", F.xxhash64("tile")).join(several, (F.col("tile") == F.col("of")) & (F.col("i") == F.col("j")), "left_semi"))
     largest = placed.groupBy("tile", "c").agg(F.count("*").alias("size")).groupBy("tile").agg(F.max(F.struct("size", "c")).alias("most"))
-    outside = placed.join(largest, "tile").where(F.col("c") != F.col("most.c")).select(F.col("tile").alias("of"), "leads", "c", F.struct("id", "n", "signature").alias("a"))
-    others = placed.select("tile", F.col("leads").alias("led"), F.col("c").alias("d"), F.struct("id", "n", "signature").alias("b"))
-    # the smaller set of a pair must have the tile in its shorter prefix
-    role = F.when(F.col("a.n") < F.col("b.n"), F.col("leads")).when(F.col("a.n") > F.col("b.n"), F.col("led")).otherwise(F.col("leads") | F.col("led"))
-    more = outside.join(others, (F.col("of") == F.col("tile")) & (F.col("c") != F.col("d")) & role & may_link(num, den))
-    more = more.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = cut(more)
+    largest = largest.select(F.col("tile").alias("of"), F.xxhash64("tile").alias("j"), F.col("most.c").alias("most"))
+    outside = cut(placed.join(largest, (F.col("tile") == F.col("of")) & (F.col("i") == F.col("j")) & (F.col("c") != F.col("most"))).select("tile", "c", side.alias("a")))
+    others = placed.select(F.col("tile").alias("of"), F.col("c").alias("d"), side.alias("b"))
+    more = outside.join(others, (F.col("of") == F.col("tile")) & (F.col("c") != F.col("d")) & placed_to_link(num, den))
+    more = may_link(more.select(*ordered()).distinct().join(pairs, ["a", "b"], "left_anti"), sets, num, den)
     if more.isEmpty():
         return now
     return connected_components(links.unionByName(linked(more, docs, sets, k, num, den)))

@@ -239,9 +239,11 @@ def repeated_spans(texts: DataFrame, length: int, q: int, hot: int) -> DataFrame
     all_anchors = anchors_of(texts, length, q)
     spot = F.xxhash64("key", "n", "pos")
     buckets = all_anchors.groupBy("gram").agg(F.min(spot).alias("low"), F.max(spot).alias("high")).where("low <> high").select("gram")
-    buckets = cut(buckets)
-    marks, bits = bitmap_subquery(buckets.select(F.xxhash64("gram").alias("h")))
-    placed = all_anchors.where(possible(F.xxhash64("gram"), marks, bits)).join(buckets, "gram", "left_semi").distinct()
+    buckets = cut(buckets.select(F.col("gram").alias("of"), F.xxhash64("gram").alias("j")))
+    marks, bits = bitmap_subquery(buckets.select(F.col("j").alias("h")))
+    some = all_anchors.withColumn("i", F.xxhash64("gram")).where(possible(F.col("i"), marks, bits))
+    # the derived key makes both sides plain exchanges, whose hot keys AQE can split
+    placed = some.join(buckets, (F.col("gram") == F.col("of")) & (F.col("i") == F.col("j")), "left_semi").drop("i").distinct()
     placed = written(placed, "placed")
     # one of equal contexts goes on; its count says whether it is done
     kinds = placed.groupBy("gram", "context").agg(F.count("*").alias("c"), F.min(F.struct("key", "n", "pos", "l", "r")).alias("p"))
