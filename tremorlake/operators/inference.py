@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tremorlake.operators.temporal import islands
+from tremorlake.sources.shared import cut
 
 TIE = 1e-12
 
@@ -51,7 +52,17 @@ def permutation_scores(counts: DataFrame, node_index: Sequence[int], edges: np.n
     study (nodes x permutations) and go along with the function."""
     where = {int(v): i for i, v in enumerate(node_index)}
     n, left, right = len(node_index), edges[:, 0], edges[:, 1]
-    per_window = counts.groupBy("window_id").agg(F.collect_list("node").alias("nodes"), F.collect_list("n").alias("ns"))
+    # a permuted map's edge sum is a quadratic form of the permuted adjacency: for a dense enough graph one
+    # small matrix product a permutation, else a gather over the edges
+    dense = n * n <= 32 * len(left)
+    adjacency = np.zeros((n, n))
+    adjacency[left, right] = 0.5
+    adjacency += adjacency.T
+    inverse = np.argsort(permutations, 1)
+    # a named number of partitions: the rows are few and small but the work on each is not, so AQE must not
+    # put them together by their size
+    tasks = 2 * counts.sparkSession.sparkContext.defaultParallelism
+    per_window = counts.repartition(tasks, "window_id").groupBy("window_id").agg(F.collect_list("node").alias("nodes"), F.collect_list("n").alias("ns"))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -64,7 +75,11 @@ def permutation_scores(counts: DataFrame, node_index: Sequence[int], edges: np.n
                 down = (x * x).sum(1)
                 out = np.empty((len(part), len(permutations)))
                 for k, p in enumerate(permutations):
-                    out[:, k] = (x[:, p[left]] * x[:, p[right]]).sum(1)
+                    if dense:
+                        back = inverse[k]
+                        out[:, k] = np.einsum("wn,wn->w", x @ adjacency[back][:, back], x)
+                    else:
+                        out[:, k] = (x[:, p[left]] * x[:, p[right]]).sum(1)
                 out *= n / len(left)
                 with np.errstate(invalid="ignore", divide="ignore"):
                     out /= down[:, None]
@@ -73,6 +88,44 @@ def permutation_scores(counts: DataFrame, node_index: Sequence[int], edges: np.n
     return per_window.mapInPandas(score, "window_id long, scores array<double>")
 
 
+def scan_statistics(scores: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """max_scan for whole rows of scores: what a window needs is in its row, and a partition gives the other
+    windows only its largest z for each permutation, so no score is ever exploded or shuffled."""
+    kept = cut(scores)
+
+    def standard(batch: pd.DataFrame) -> tuple[np.ndarray, ...]:
+        s = np.array(batch["scores"].tolist()).reshape(len(batch), -1)
+        center, scale = s.mean(1), s.std(1, ddof=1)
+        ok = scale > 1e-12
+        z = np.where(ok[:, None], (s - center[:, None]) / np.where(ok, scale, 1)[:, None], 0.0)
+        return s[:, 0], center, scale, ok, z
+
+    def largest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
+        for batch in batches:
+            if len(batch):
+                _, _, _, ok, z = standard(batch)
+                if ok.any():
+                    top = z[ok].max(0)
+                    best = top if best is None else np.maximum(best, top)
+        if best is not None:
+            yield pd.DataFrame({"perm_id": np.arange(len(best)), "m": best})
+
+    tops = kept.mapInPandas(largest, "perm_id long, m double").groupBy("perm_id").agg(F.max("m").alias("m"))
+    found = tops.orderBy("perm_id").toPandas()["m"].to_numpy()  # a row a permutation
+    null = np.sort(found[1:])
+    p_global = float((1 + (null >= found[0] - TIE).sum()) / len(found)) if len(found) else 1.0
+    critical = float(null[int(np.ceil((len(null) - 1) * (1 - alpha) - 1e-9))]) if len(null) else 0.0
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            observed, center, scale, ok, z = standard(batch)
+            p = (1 + len(null) - np.searchsorted(null, z[:, 0] - TIE)) / (len(null) + 1)
+            yield pd.DataFrame({"window_id": batch["window_id"], "observed": observed, "center": center, "scale": scale, "informative": ok, "scan_z": z[:, 0], "p_window": np.where(ok, p, 1.0), "p_global": p_global, "critical": critical})
+
+    return kept.mapInPandas(judge, "window_id long, observed double, center double, scale double, informative boolean, scan_z double, p_window double, p_global double, critical double")
+
+
 def long_scores(scores: DataFrame) -> DataFrame:
     return scores.select("window_id", F.posexplode("scores").alias("perm_id", "score")).withColumn("perm_id", F.col("perm_id").cast("long"))
 
@@ -142,4 +195,4 @@ def episodes(windows: DataFrame, alpha: float, p: str = "p_window") -> DataFrame
 def scan(spark: SparkSession, counts: DataFrame, node_index: Sequence[int], edges: np.ndarray, pools: Sequence[Sequence[int]], simulations: int, seed: int, alpha: float = 0.05) -> DataFrame:
     """The whole scan over eligible windows' counts."""
     permutations = seeded_permutations(pools, len(node_index), simulations, seed)
-    return max_scan(long_scores(permutation_scores(counts, node_index, edges, permutations)), alpha)
+    return scan_statistics(permutation_scores(counts, node_index, edges, permutations), alpha)
