@@ -19,7 +19,6 @@ def hashed_permutations(nodes: DataFrame, pool: str, count: int, key: str = "nod
     """perm_id, node, source: within each pool the nodes in order take the histories of the nodes in md5 order.
 
     perm_id 0 is the identity.  Any engine with md5 draws the same."""
-    perms = nodes.sparkSession.range(1, count + 1).select(F.col("id").alias("perm_id"))
     spread = nodes.select(key, pool).withColumn("perm_id", F.explode(F.sequence(F.lit(1), F.lit(count)).cast("array<bigint>")))
     w = Window.partitionBy("perm_id", pool)
     placed = spread.withColumns({
@@ -29,7 +28,6 @@ def hashed_permutations(nodes: DataFrame, pool: str, count: int, key: str = "nod
     left = placed.select("perm_id", pool, F.col("i").alias("r"), F.col(key).alias("node"))
     right = placed.select("perm_id", pool, F.col("j").alias("r"), F.col(key).alias("source"))
     drawn = left.join(right, ["perm_id", pool, "r"]).select("perm_id", "node", "source")
-    assert perms is not None
     return drawn.unionByName(nodes.select(F.lit(0).cast("long").alias("perm_id"), F.col(key).alias("node"), F.col(key).alias("source")))
 
 

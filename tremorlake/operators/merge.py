@@ -13,6 +13,7 @@ from tremorlake.functions import correlation, js_distance
 from tremorlake.operators.graph import components
 
 
+# Times in microseconds, channels, centimetres.
 @dataclass(frozen=True)
 class MergeRules:
     gap: int = 600_000

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tremorlake.operators.robust import robust_z
 
 
+# Fixed values.
 @dataclass(frozen=True)
 class Limits:
     nonfinite: float = 0.01

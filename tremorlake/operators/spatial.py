@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,8 +120,3 @@ def permutation_pools(nodes: DataFrame, events: DataFrame, group: str, key: str
     per = events.groupBy(key).agg(F.count("*").alias("records"))
     full = nodes.join(per, key, "left").na.fill({"records": 0})
     return full.groupBy(group).agg(F.count("*").alias("node_count"), (F.count("*") > 1).alias("exchangeable"), F.concat_ws(";", F.sort_array(F.collect_list(key))).alias("nodes"), F.sum("records").alias("records"))
-
-
-def radius_cells(radius: float, span: float) -> int:
-    """Cells along an axis, for sizing a grid."""
-    return max(1, math.ceil(span / radius))

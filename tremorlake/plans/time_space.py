@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremorlake.operators import inference, spatial, temporal
-from tremorlake.plans.das import DAS, DAY, HOUR, MINUTE, NODES, T0, T_END, das, nodes
+from tremorlake.plans.das import DAS, DAY, HOUR, MINUTE, NODES, T0, das, nodes
 from tremorlake.sources.shared import cut
 
 CUTOFF = T0 + 28 * DAY
@@ -195,8 +196,6 @@ def scan_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     ok = temporal.eligibility(counts, windows, n.count(), 5, 3).where("eligible").select("window_id")
     index = [r[0] for r in n.select("node").orderBy("node").collect()]  # the sensor list
     where = {v: i for i, v in enumerate(index)}
-    import numpy as np
-
     edges = np.array([(where[r[0]], where[r[1]]) for r in spatial.radius_graph(n, RADIUS).select("node_i", "node_j").collect()])
     drawn = inference.hashed_permutations(n, "stratum", PERMUTATIONS).toPandas()
     permutations = np.zeros((PERMUTATIONS + 1, len(index)), int)

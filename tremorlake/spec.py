@@ -13,6 +13,7 @@ class SettingsError(ValueError):
     """Settings that make no sense."""
 
 
+# Fixed values.
 @dataclass(frozen=True)
 class ScanSettings:
     simulations: int = 5000
