@@ -39,8 +39,10 @@ def knn(queries: DataFrame, reference: DataFrame, k: int, key: str = "key", vect
 
         def search(batches: Iterator[pd.DataFrame], names=names, keys=keys, points=points, labels=labels) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                for at in range(0, len(batch), 64):
-                    part = batch.iloc[at : at + 64]
+                # differences of some rows with all points at once, in bounded memory
+                few = max(1, 8_000_000 // max(1, points.size))
+                for at in range(0, len(batch), few):
+                    part = batch.iloc[at : at + few]
                     x = np.array(part["vector"].tolist(), dtype=float)
                     d = np.sqrt(np.maximum(((x[:, None, :] - points[None]) ** 2).sum(2), 0))
                     if exclude_self:
