@@ -59,6 +59,17 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def written(frame: DataFrame, name: str) -> DataFrame:
     """The frame as a Parquet table in the shared folder, read again; smaller on disk than a checkpoint."""
     spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/{fresh_name(name)}"
+    path = f"{own_folder(spark)}/{fresh_name(name)}"
     frame.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_folder(spark)}/tremorlake-{spark.sparkContext.applicationId}"
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Delete this application's tables in the shared folder, once no result that reads them is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

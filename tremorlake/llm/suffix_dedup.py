@@ -54,7 +54,7 @@ def sliding(values: np.ndarray, width: int, best: np.ufunc, fill: int) -> np.nda
     return best(back[:m], ahead[width - 1 : width - 1 + m])
 
 
-def slices_of_bytes(raw: list[bytes], size: int = 2_000_000) -> Iterator[tuple[int, list[bytes]]]:
+def slices_of_bytes(raw: list[bytes], size: int = 1_000_000) -> Iterator[tuple[int, list[bytes]]]:
     at, total = 0, 0
     for i, r in enumerate(raw):
         if i > at and total + len(r) > size:
