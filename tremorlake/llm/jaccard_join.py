@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tremorlake.llm.bitmaps import bitmap_subquery, possible
@@ -37,12 +37,12 @@ from tremorlake.llm.shingles import in_slices, mix, shingle_sets
 
 #: Shingles whose frequency is known when prefixes are ordered.  It bounds a table, not the result.
 FREQUENT = 1 << 17
-#: Shingles of documents that are counted together, and the least count that is passed on.
-SLICE, LEAST = 4_000_000, 3
+#: Shingles of different sets that are counted together, and the least count that is passed on.
+SLICE, LEAST = 4_000_000, 2
 #: Longs of the bitmap of a set of n shingles: a power of two, two bits a shingle, within these bounds.
 SIGNATURE_WORDS = (4, 256)
 FACTS = "frequent boolean, doc_id string, k1 long, k2 long, n long, signature array<long>"
-TILES = "tile long, k1 long, k2 long, n long, pos int"
+TILES = "tile long, k1 long, k2 long, n long, pos int, low boolean"
 
 
 def set_key(hashes: np.ndarray) -> tuple[int, int]:
@@ -66,24 +66,31 @@ def facts_of(docs: DataFrame, k: int) -> DataFrame:
     """A row for each document, and rows of frequent shingles with their counts."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pending, size = [], 0
+        pending: dict[tuple[int, int], np.ndarray] = {}
+        size = 0
 
         def counted() -> pd.DataFrame:
-            found, n = np.unique(np.concatenate(pending), return_counts=True)
-            found, n = found[n >= LEAST], n[n >= LEAST]
+            all_of = np.concatenate(list(pending.values()))
+            pending.clear()
+            all_of.sort()
+            first = np.flatnonzero(np.concatenate([[True], all_of[1:] != all_of[:-1]]))
+            n = np.diff(np.append(first, len(all_of)))
+            found, n = all_of[first[n >= LEAST]], n[n >= LEAST]
             return pd.DataFrame({"frequent": True, "doc_id": None, "k1": found.view(np.int64), "k2": 0, "n": n, "signature": None})
 
         for batch in batches:
             for at, texts in in_slices(batch["text"].tolist()):
                 rows = []
                 for i, hashes in enumerate(shingle_sets(texts, k)):
-                    rows.append((False, batch["doc_id"].iloc[at + i], *set_key(hashes), len(hashes), signature(hashes)))
-                    pending.append(hashes)
-                    size += len(hashes)
+                    key = set_key(hashes)
+                    rows.append((False, batch["doc_id"].iloc[at + i], *key, len(hashes), signature(hashes)))
+                    if key not in pending:  # copies count once
+                        pending[key] = hashes
+                        size += len(hashes)
                 yield pd.DataFrame(rows, columns=["frequent", "doc_id", "k1", "k2", "n", "signature"])
                 if size >= SLICE:
                     yield counted()
-                    pending, size = [], 0
+                    size = 0
         if pending:
             yield counted()
 
@@ -114,7 +121,7 @@ def prefix(hashes: np.ndarray, length: int, known: np.ndarray, counts: np.ndarra
 
 
 def tiles_of(docs: DataFrame, k: int, num: int, den: int, known: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """The tiles of each document; pos: how many of its shingles come before this one in the order."""
+    """The tiles of each document; pos: how many of its shingles come before this one in the order; low: in the band below."""
     smallest = -(-num // (den - num)) if den > num else 1 << 62
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,9 +136,9 @@ def tiles_of(docs: DataFrame, k: int, num: int, den: int, known: np.ndarray, cou
                     tokens = prefix(hashes, n - least + 1, known, counts)
                     band = n.bit_length()
                     key = set_key(hashes)
-                    parts.append((mix(tokens + np.uint64(band)), key, n, np.arange(len(tokens), dtype=np.int32)))
+                    parts.append((mix(tokens + np.uint64(band)), key, n, np.arange(len(tokens), dtype=np.int32), False))
                     if least < 1 << (band - 1):  # a smaller partner may stand in the band below
-                        parts.append((mix(tokens + np.uint64(band - 1)), key, n, np.arange(len(tokens), dtype=np.int32)))
+                        parts.append((mix(tokens + np.uint64(band - 1)), key, n, np.arange(len(tokens), dtype=np.int32), True))
                 if parts:
                     sizes = [len(p[0]) for p in parts]
                     yield pd.DataFrame({
@@ -140,17 +147,20 @@ def tiles_of(docs: DataFrame, k: int, num: int, den: int, known: np.ndarray, cou
                         "k2": np.repeat(np.array([p[1][1] for p in parts], np.int64), sizes),
                         "n": np.repeat(np.array([p[2] for p in parts], np.int64), sizes),
                         "pos": np.concatenate([p[3] for p in parts]),
+                        "low": np.repeat(np.array([p[4] for p in parts], bool), sizes),
                     })
 
     return written(docs.select("text").mapInPandas(scan, TILES), "tiles")
 
 
 def shared_tiles(tiles: DataFrame, sets: DataFrame) -> DataFrame:
-    """tile, id, n, pos: rows of tiles in which different sets meet."""
+    """tile, id, n, pos, prev: rows of tiles in which different sets meet; prev is the set's tile before, if it has one."""
     met = cut(tiles.groupBy("tile").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low <> high").select("tile"))
     marks, bits = bitmap_subquery(met.select(F.xxhash64("tile").alias("h")))
     some = tiles.where(possible(F.xxhash64("tile"), marks, bits)).join(met, "tile", "left_semi").distinct()
-    return written(some.join(sets.select("k1", "k2", "n", "id"), ["k1", "k2", "n"]).select("tile", "id", "n", "pos"), "met")
+    known = some.join(sets.select("k1", "k2", "n", "id"), ["k1", "k2", "n"])
+    before = F.lag("tile").over(Window.partitionBy("id", "low").orderBy("pos"))  # no more rows than the prefix is long
+    return written(known.select("tile", "id", "n", "pos", before.alias("prev")), "met")
 
 
 def folded(a: Column, size: Column) -> Column:
@@ -165,11 +175,14 @@ def only_in(a: Column, b: Column) -> Column:
 
 
 def placed_to_link(num: int, den: int) -> Column:
-    """Of two rows a, b (n, pos, id) of one tile.  In the tile of the first shingle that two sets share, what
-    they share stands at or behind it in both; a pair that fails there fails in its later tiles too."""
+    """Of two rows a, b (n, pos, prev, id) of one tile.
+
+    In the tile of the first shingle that two sets share, what they share stands at or behind it in both, and
+    that bounds it.  A later tile need not be looked at: where both came from the same tile, this isn't the first."""
     sizes = den * F.least("a.n", "b.n") >= num * F.greatest("a.n", "b.n")
     behind = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
-    return sizes & ((num + den) * behind >= num * (F.col("a.n") + F.col("b.n")))
+    first = F.coalesce(F.col("a.prev") != F.col("b.prev"), F.lit(True))
+    return sizes & first & ((num + den) * behind >= num * (F.col("a.n") + F.col("b.n")))
 
 
 def may_link(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -221,7 +234,7 @@ def linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, num: int,
 def links_of(met: DataFrame, docs: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """node, component over links that suffice to connect whatever all links connect."""
     ordered = lambda: (F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
-    side = F.struct("pos", "n", "id")
+    side = F.struct("pos", "n", "id", "prev")
     # the set with the fewest shingles of its own before the tile's is nearest to all others
     first = met.groupBy("tile").agg(F.min(side).alias("a")).withColumnRenamed("tile", "of").withColumn("i", F.xxhash64("of"))
     rows = met.select("tile", side.alias("b")).withColumn("j", F.xxhash64("tile"))
@@ -230,7 +243,7 @@ def links_of(met: DataFrame, docs: DataFrame, sets: DataFrame, k: int, num: int,
     links = linked(may_link(pairs, sets, num, den), docs, sets, k, num, den)
     now = connected_components(links)
     # tiles in which components are still to be told apart
-    placed = met.join(now, F.col("id") == F.col("node"), "left").select("tile", "id", "n", "pos", F.coalesce("component", "id").alias("c"))
+    placed = met.join(now, F.col("id") == F.col("node"), "left").select("tile", "id", "n", "pos", "prev", F.coalesce("component", "id").alias("c"))
     several = placed.groupBy("tile").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size")).where("low <> high and size > 2")
     several = several.select(F.col("tile").alias("of"), F.xxhash64("tile").alias("j"))
     # the derived keys make both sides plain exchanges, whose hot keys AQE can split
