@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -64,25 +64,28 @@ def label_components(primitives: DataFrame, pairs: DataFrame) -> DataFrame:
 def greedy_split(placed: DataFrame, rules: MergeRules = MergeRules()) -> DataFrame:
     """Cuts each component, in peak order, wherever the next detection would make it too long or too wide.
 
-    What is open depends on every earlier cut, so a component is one sequential pass, in one task; it is
-    short, for detections of one component lie within a gap of each other at one depth."""
-
-    def cut_up(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["peak_us", "key"], kind="stable")
-        parts, part = [], 0
-        start = end = low = high = None
-        for s, e, c in zip(group["start_us"], group["end_us"], group["channel"], strict=True):
-            if start is not None and (max(end, e) - min(start, s) > rules.span or max(high, c) - min(low, c) > rules.channel_span):
-                part += 1
-                start = None
-            if start is None:
-                start, end, low, high = s, e, c, c
-            else:
-                start, end, low, high = min(start, s), max(end, e), min(low, c), max(high, c)
-            parts.append(part)
-        return pd.DataFrame({"key": group["key"], "component": group["component"], "part": parts})
-
-    return placed.select("key", "component", "peak_us", "start_us", "end_us", "channel").groupBy("component").applyInPandas(cut_up, "key long, component long, part int")
+    What is open depends on every earlier cut, so a component is one pass; partitions hold whole components in
+    order and are streamed through, with nothing kept but what is open."""
+
+    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, part = None, 0
+        start = end = low = high = 0
+        for batch in batches:
+            parts = []
+            for component, s, e, c in zip(batch["component"], batch["start_us"], batch["end_us"], batch["channel"], strict=True):
+                if component != now:
+                    now, part = component, 0
+                    start, end, low, high = s, e, c, c
+                elif max(end, e) - min(start, s) > rules.span or max(high, c) - min(low, c) > rules.channel_span:
+                    part += 1
+                    start, end, low, high = s, e, c, c
+                else:
+                    start, end, low, high = min(start, s), max(end, e), min(low, c), max(high, c)
+                parts.append(part)
+            yield pd.DataFrame({"key": batch["key"], "component": batch["component"], "part": parts})
+
+    rows = placed.select("key", "component", "peak_us", "start_us", "end_us", "channel").repartition("component")
+    return rows.sortWithinPartitions("component", "peak_us", "key").mapInPandas(cut_up, "key long, component long, part int")
 
 
 def merged_events(primitives: DataFrame, split: DataFrame) -> DataFrame:
