@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremorlake.llm.common import cut
+from tremorlake.llm.common import cut, gathered
 
 
 def _star(pairs: DataFrame) -> DataFrame:
@@ -20,13 +20,13 @@ def _star(pairs: DataFrame) -> DataFrame:
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges: a, b (longs).  node, component: the smallest node that it reaches, for every node with an edge to another."""
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    now = cut(gathered(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()))
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         met = _star(large)
         small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(met.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        after = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        after = cut(gathered(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()))
         if after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty():
             break
         now = after

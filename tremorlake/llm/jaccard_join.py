@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tremorlake.llm.bitmaps import bitmap_subquery, possible
-from tremorlake.llm.common import cut, table, text_of, written
+from tremorlake.llm.common import cut, gathered, table, text_of, written
 from tremorlake.llm.components import connected_components
 from tremorlake.llm.shingles import in_slices, mix, shingle_sets
 
@@ -155,12 +155,12 @@ def tiles_of(docs: DataFrame, k: int, num: int, den: int, known: np.ndarray, cou
 
 def shared_tiles(tiles: DataFrame, sets: DataFrame) -> DataFrame:
     """tile, id, n, pos, prev: rows of tiles in which different sets meet; prev is the set's tile before, if it has one."""
-    met = cut(tiles.groupBy("tile").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low <> high").select("tile"))
+    met = cut(gathered(tiles.groupBy("tile").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low <> high").select("tile")))
     marks, bits = bitmap_subquery(met.select(F.xxhash64("tile").alias("h")))
     some = tiles.where(possible(F.xxhash64("tile"), marks, bits)).join(met, "tile", "left_semi").distinct()
     known = some.join(sets.select("k1", "k2", "n", "id"), ["k1", "k2", "n"])
     before = F.lag("tile").over(Window.partitionBy("id", "low").orderBy("pos"))  # no more rows than the prefix is long
-    return written(known.select("tile", "id", "n", "pos", before.alias("prev")), "met")
+    return written(gathered(known.select("tile", "id", "n", "pos", before.alias("prev"))), "met")
 
 
 def folded(a: Column, size: Column) -> Column:
@@ -193,13 +193,13 @@ def may_link(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     # sizes this near, the signatures differ by one halving at most
     fa, fb = folded(sa, F.size(sb)), folded(sb, F.size(sa))
     most = F.least(na - only_in(fa, fb), nb - only_in(fb, fa))
-    return cut(both.where((den * F.least(na, nb) >= num * F.greatest(na, nb)) & (den * most >= num * (na + nb - most))).select("a", "b"))
+    return cut(gathered(both.where((den * F.least(na, nb) >= num * F.greatest(na, nb)) & (den * most >= num * (na + nb - most))).select("a", "b")))
 
 
 def linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """a, b of the pairs whose sets link, by intersection of their sorted arrays."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    ids = cut(ids.join(sets.select("id", "k1", "k2"), "id"))
+    ids = cut(gathered(ids.join(sets.select("id", "k1", "k2"), "id")))
     marks, bits = bitmap_subquery(ids.select(F.xxhash64("id").alias("h")))
     texts = docs.where(possible(F.xxhash64("doc_id"), marks, bits)).join(ids, F.col("doc_id") == F.col("id")).select("id", "k1", "k2", "text")
 
@@ -228,7 +228,7 @@ def linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, num: int,
                 keep.append(den * common >= num * (len(x) + len(y) - common))
             yield batch.loc[keep, ["a", "b"]]
 
-    return cut(both.mapInPandas(same, "a long, b long").distinct())
+    return cut(gathered(both.mapInPandas(same, "a long, b long").distinct()))
 
 
 def links_of(met: DataFrame, docs: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -239,7 +239,7 @@ def links_of(met: DataFrame, docs: DataFrame, sets: DataFrame, k: int, num: int,
     first = met.groupBy("tile").agg(F.min(side).alias("a")).withColumnRenamed("tile", "of").withColumn("i", F.xxhash64("of"))
     rows = met.select("tile", side.alias("b")).withColumn("j", F.xxhash64("tile"))
     pairs = rows.join(first, (F.col("tile") == F.col("of")) & (F.col("i") == F.col("j")) & (F.col("a.id") != F.col("b.id")) & placed_to_link(num, den))
-    pairs = cut(pairs.select(*ordered()).distinct())
+    pairs = cut(gathered(pairs.select(*ordered()).distinct()))
     links = linked(may_link(pairs, sets, num, den), docs, sets, k, num, den)
     now = connected_components(links)
     # tiles in which components are still to be told apart
@@ -247,10 +247,10 @@ def links_of(met: DataFrame, docs: DataFrame, sets: DataFrame, k: int, num: int,
     several = placed.groupBy("tile").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size")).where("low <> high and size > 2")
     several = several.select(F.col("tile").alias("of"), F.xxhash64("tile").alias("j"))
     # the derived keys make both sides plain exchanges, whose hot keys AQE can split
-    placed = cut(placed.withColumn("i", F.xxhash64("tile")).join(several, (F.col("tile") == F.col("of")) & (F.col("i") == F.col("j")), "left_semi"))
+    placed = cut(gathered(placed.withColumn("i", F.xxhash64("tile")).join(several, (F.col("tile") == F.col("of")) & (F.col("i") == F.col("j")), "left_semi")))
     largest = placed.groupBy("tile", "c").agg(F.count("*").alias("size")).groupBy("tile").agg(F.max(F.struct("size", "c")).alias("most"))
     largest = largest.select(F.col("tile").alias("of"), F.xxhash64("tile").alias("j"), F.col("most.c").alias("most"))
-    outside = cut(placed.join(largest, (F.col("tile") == F.col("of")) & (F.col("i") == F.col("j")) & (F.col("c") != F.col("most"))).select("tile", "c", side.alias("a")))
+    outside = cut(gathered(placed.join(largest, (F.col("tile") == F.col("of")) & (F.col("i") == F.col("j")) & (F.col("c") != F.col("most"))).select("tile", "c", side.alias("a"))))
     others = placed.select(F.col("tile").alias("of"), F.col("c").alias("d"), side.alias("b"))
     more = outside.join(others, (F.col("of") == F.col("tile")) & (F.col("c") != F.col("d")) & placed_to_link(num, den))
     more = may_link(more.select(*ordered()).distinct().join(pairs, ["a", "b"], "left_anti"), sets, num, den)
@@ -266,7 +266,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_
     known, counts = frequent_shingles(facts)
     rows = facts.where("not frequent").select(F.col("doc_id").cast("long").alias("doc_id"), "k1", "k2", "n", "signature")
     sets = rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"))
-    sets = cut(sets.where("id is not null"))
+    sets = cut(gathered(sets.where("id is not null")))
     met = shared_tiles(tiles_of(docs, k, num, den, known, counts), sets)
     now = links_of(met, docs, sets, k, num, den)
     named = sets.join(now, F.col("id") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "id").alias("c"), F.xxhash64("k1", "k2").alias("j"))
