@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremorlake.llm.common import SPACE_CHARS, ascii_lower, table, text_of
+from tremorlake.llm.common import SPACE_CHARS, ascii_lower, cut, table, text_of
 
 
 def line_hashes(text: Column, min_chars: int) -> Column:
@@ -31,11 +31,13 @@ def line_hashes(text: Column, min_chars: int) -> Column:
 
 def dropped_positions(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """id, mark, drop: the positions (from 0) of lines to drop, for documents that have some.  docs: id, mark, text."""
-    hashed = docs.select("id", "mark", line_hashes(F.col("text"), min_chars).alias("hashes"))
+    # written down: the texts are read and normalised once for both uses
+    hashed = cut(docs.select("id", "mark", line_hashes(F.col("text"), min_chars).alias("hashes")))
     each = hashed.select(F.explode(F.array_distinct("hashes")).alias("h")).where("h is not null")
-    common = each.groupBy("h.a", "h.b").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("a", "b")
+    common = each.groupBy("h.a", "h.b").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.xxhash64("a", "b").alias("j"))
     placed = hashed.select("id", "mark", F.posexplode("hashes").alias("pos", "h")).where("h is not null").select("id", "mark", "pos", "h.a", "h.b")
-    hit = placed.join(common, ["a", "b"], "left_semi")
+    # the derived key makes both sides plain exchanges, whose hot keys AQE can split
+    hit = placed.withColumn("i", F.xxhash64("a", "b")).join(common, (F.col("i") == F.col("j")) & (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_semi")
     return hit.groupBy("id", "mark").agg(F.collect_set("pos").alias("drop"))
 
 
