@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremorlake.llm.common import SPACE_CLASS, cut, fresh_name, table, text_of
+from tremorlake.llm.common import SPACE_CLASS, cut, fresh_name, gathered, table, text_of
 
 
 def digest(text: str = "text") -> Column:
@@ -56,7 +56,10 @@ def resolve(rows: DataFrame, index: DigestIndex) -> DataFrame:
     """Each row with keep_id, group_size and kept.  The last join's large groups can be split by AQE: both sides are plain exchanges."""
     sizes = rows.groupBy("digest").agg(F.count("*").alias("group_size"))
     groups = sizes.join(index.read(), "digest")
-    return rows.join(groups.repartition("digest"), "digest").withColumn("kept", F.col("row_id") == F.col("keep_row"))
+    # the derived key makes both sides plain exchanges; a repartition would keep AQE from splitting
+    groups = groups.select(F.col("digest").alias("_digest"), F.crc32("digest").alias("_part"), "keep_id", "keep_row", "group_size")
+    both = rows.withColumn("part", F.crc32("digest")).join(groups, (F.col("part") == F.col("_part")) & (F.col("digest") == F.col("_digest")))
+    return both.withColumn("kept", F.col("row_id") == F.col("keep_row"))
 
 
 def split_in_batches(rows: DataFrame) -> list[DataFrame]:
@@ -69,14 +72,20 @@ def split_in_batches(rows: DataFrame) -> list[DataFrame]:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index_name: str | None = None) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row, dropped ones too."""
+    """doc_id, keep_id, group_size, kept, text_sha256 for every row, dropped ones too.
+
+    With an index_name the index stays, and earlier runs' texts count; without one it is dropped in the end."""
     rows = digested(docs, id_col, text_col)
     index = DigestIndex(docs.sparkSession, index_name or fresh_name("digest_index"))
     for batch in split_in_batches(rows):
         index.append(batch)
     if not index.exists():
         raise RuntimeError(f"index {index.name} was not written")
-    return resolve(rows, index).select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+    out = resolve(rows, index).select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+    if index_name is None:
+        out = cut(gathered(out))
+        index.drop()
+    return out
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
