@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremorlake.llm.bitmaps import bitmap_subquery, possible
-from tremorlake.llm.common import cut, table, text_of, written
+from tremorlake.llm.common import cut, gathered, table, text_of, written
 from tremorlake.llm.shingles import BASE, BYTE_VALUES, GAP, mix, power_table, prefix_sums, span_hashes
 
 LENGTH = 200
@@ -231,7 +231,7 @@ def contexts_with_bytes(wanted: DataFrame, texts: DataFrame) -> DataFrame:
             for at in range(0, len(out), 20_000):
                 yield pd.DataFrame(out[at : at + 20_000], columns=["gram", "context", "size", "l", "bytes"])
 
-    return written(some.mapInPandas(take, "gram long, context long, size long, l int, bytes binary"), "contexts")
+    return written(gathered(some).mapInPandas(take, "gram long, context long, size long, l int, bytes binary"), "contexts")
 
 
 def repeated_spans(texts: DataFrame, length: int, q: int, hot: int) -> DataFrame:
@@ -239,15 +239,15 @@ def repeated_spans(texts: DataFrame, length: int, q: int, hot: int) -> DataFrame
     all_anchors = anchors_of(texts, length, q)
     spot = F.xxhash64("key", "n", "pos")
     buckets = all_anchors.groupBy("gram").agg(F.min(spot).alias("low"), F.max(spot).alias("high")).where("low <> high").select("gram")
-    buckets = cut(buckets.select(F.col("gram").alias("of"), F.xxhash64("gram").alias("j")))
+    buckets = cut(gathered(buckets.select(F.col("gram").alias("of"), F.xxhash64("gram").alias("j"))))
     marks, bits = bitmap_subquery(buckets.select(F.col("j").alias("h")))
     some = all_anchors.withColumn("i", F.xxhash64("gram")).where(possible(F.col("i"), marks, bits))
     # the derived key makes both sides plain exchanges, whose hot keys AQE can split
     placed = some.join(buckets, (F.col("gram") == F.col("of")) & (F.col("i") == F.col("j")), "left_semi").drop("i").distinct()
-    placed = written(placed, "placed")
+    placed = written(gathered(placed), "placed")
     # one of equal contexts goes on; its count says whether it is done
     kinds = placed.groupBy("gram", "context").agg(F.count("*").alias("c"), F.min(F.struct("key", "n", "pos", "l", "r")).alias("p"))
-    kinds = written(kinds.select("gram", "context", "c", "p.*"), "kinds")
+    kinds = written(gathered(kinds.select("gram", "context", "c", "p.*")), "kinds")
     sizes = kinds.groupBy("gram").agg(F.count("*").alias("size")).where("size > 1")
     wanted = kinds.join(sizes.select(F.col("gram").alias("of"), "size", F.xxhash64("gram").alias("j")), (F.col("gram") == F.col("of")) & (F.xxhash64("gram") == F.col("j")))
     some = refined(contexts_with_bytes(wanted.select("gram", "context", "size", "key", "n", "pos", "l", "r"), texts), length, q, hot)
@@ -256,7 +256,7 @@ def repeated_spans(texts: DataFrame, length: int, q: int, hot: int) -> DataFrame
     told = whole.unionByName(some).withColumns({"_gram": F.col("gram"), "_context": F.col("context"), "j": F.xxhash64("gram", "context")}).select("_gram", "_context", "j", "starts", "ends")
     at = placed.withColumn("i", F.xxhash64("gram", "context")).join(told, (F.col("i") == F.col("j")) & (F.col("gram") == F.col("_gram")) & (F.col("context") == F.col("_context")))
     each = at.select("key", "n", F.explode(F.arrays_zip("starts", "ends")).alias("x"), "pos").select("key", "n", (F.col("pos") + F.col("x.starts")).alias("s"), (F.col("pos") + F.col("x.ends")).alias("e"))
-    return written(each.groupBy("key", "n").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "spans")
+    return written(gathered(each.groupBy("key", "n").agg(F.collect_set(F.struct("s", "e")).alias("spans"))), "spans")
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -275,7 +275,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, hot: int =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumns({"key": F.xxhash64("text"), "n": F.octet_length("text").cast("long")})
     spans = repeated_spans(rows.select("key", "n", "text"), length, q, hot)
     copies = rows.where(F.col("n") >= length).groupBy("key", "n").agg(F.count("*").alias("copies")).where("copies > 1").select("key", "n", F.lit(True).alias("whole"))
-    told = cut(spans.join(copies, ["key", "n"], "full_outer"))
+    told = cut(gathered(spans.join(copies, ["key", "n"], "full_outer")))
     marks, bits = bitmap_subquery(told.select(F.xxhash64("key").alias("h")))
     touched = possible(F.xxhash64("key"), marks, bits)
     whole = F.coalesce("whole", F.lit(False))
