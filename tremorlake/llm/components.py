@@ -18,17 +18,23 @@ def _star(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("i", F.xxhash64("u")).join(least, (F.col("u") == F.col("w")) & (F.col("i") == F.col("j")))
 
 
+def _digest(edges: DataFrame) -> tuple:
+    """Of a set of edges; one small job tells whether a round changed any."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges: a, b (longs).  node, component: the smallest node that it reaches, for every node with an edge to another."""
     now = cut(gathered(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()))
+    seen = _digest(now)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         met = _star(large)
         small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(met.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         after = cut(gathered(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()))
-        if after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty():
+        now, before, seen = after, seen, _digest(after)
+        if seen == before:
             break
-        now = after
     roots = now.select("v").distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("component")))
