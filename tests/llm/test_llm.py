@@ -72,6 +72,28 @@ def test_marginals_equal_enumeration():
     assert np.allclose(pairs[1, 1], sum(w * sum(b[i] and b[i + 1] for i in range(4)) for b, w in weight.items()) / total)
 
 
+def test_quality_learns_from_lines_far_behind_the_start(spark):
+    rng = random.Random(5)
+    words = [f"{a}{b}" for a in ("ra", "to", "mi", "lun", "ser") for b in ("ne", "da", "rik", "os", "el")]
+    line = lambda: " ".join(rng.choice(words) for _ in range(8)).capitalize() + "."
+    junk = lambda: " ".join(w + "###" for w in line().split())
+    docs = [(i, "\n".join([line() for _ in range(150)] + [junk() if i % 4 == 0 else line() for _ in range(100)])) for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    d = frame(spark, docs)
+    held = [r for r in quality.score(d, quality.fit(d, labels)).collect() if r["held_out"]]
+    assert {r["predicted"] for r in held} == {0, 1} and all(r["predicted"] == int(r["doc_id"] % 4 != 0) for r in held)
+
+
+def test_expectations_of_many_documents_are_the_sums_of_each():
+    rng = np.random.default_rng(1)
+    field = quality.Field(rng.normal(size=3), rng.normal(size=(2, 2)))
+    parts = [rng.normal(size=(n, 3)) for n in (2, 1, 7, 4, 7, 1)]
+    p, pairs = field.expectations(np.vstack(parts), np.cumsum([0, 2, 1, 7, 4, 7]))
+    each = [field.expectations(x) for x in parts]
+    assert np.allclose(p, np.concatenate([field.marginals(x) for x in parts]))
+    assert np.allclose(pairs, sum(q for _, q in each))
+
+
 @pytest.mark.parametrize("module", [quality, toxicity])
 def test_learned_operators_without_labels_or_documents(spark, module):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -26,9 +26,8 @@ from pyspark.sql import functions as F
 from tremorlake.llm.common import LOWER, UPPER, held_out, table, text_of
 from tremorlake.llm.labelled import fit_logistic, sigmoid, training_rows
 
-#: Largest number of labelled rows that the model is fitted on, and of lines of one of them in training.
+#: Largest number of labelled rows that the model is fitted on; their texts are whole.
 SAMPLE_ROWS = 4_000
-TRAINING_LINES = 128
 THRESHOLD = 0.3
 ROUNDS = 3
 
@@ -67,9 +66,12 @@ def line_features(line: str) -> list[float]:
     ]
 
 
-def document_features(lines: list[str]) -> np.ndarray:
+def own_features(lines: list[str]) -> np.ndarray:
+    return np.array([line_features(x) for x in lines])
+
+
+def with_neighbours(own: np.ndarray) -> np.ndarray:
     """Own features, the mean of both neighbours' and the differences from it, and a constant."""
-    own = np.array([line_features(x) for x in lines])
     before, after = np.vstack([own[:1], own[:-1]]), np.vstack([own[1:], own[-1:]])
     near = (before + after) / 2
     return np.hstack([own, near, np.abs(own - near), np.ones((len(own), 1))])
@@ -112,56 +114,64 @@ class Field:
             b = up_good / (up_good + up_bad)
         return out
 
-    def expectations(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Marginals and expected counts of the four transitions."""
-        p = self.marginals(x)
+    def expectations(self, x: np.ndarray, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Marginals and expected counts of the four transitions, of documents whose first lines are starts.
+
+        All documents take a step together, the longest ones first, so the steps are as many as its lines."""
+        starts = np.zeros(1, np.int64) if starts is None else starts
+        sizes = np.diff(np.append(starts, len(x)))
+        order = np.argsort(-sizes, kind="stable")
+        starts, sizes = starts[order], sizes[order]
+        odds = (x @ self.emission).clip(-30, 30)
+        w = np.stack([np.ones_like(odds), np.exp(odds)], 1)
+        t = np.exp(self.pull)
+        going = [int(np.searchsorted(-sizes, -i, side="left")) for i in range(int(sizes[0]) + 1)]  # of more than i lines
+        f, b = np.empty_like(w), np.ones_like(w)
+        f[starts] = w[starts] / w[starts].sum(1, keepdims=True)
+        for i in range(1, int(sizes[0])):
+            at = starts[: going[i]] + i
+            now = w[at] * (f[at - 1] @ t)
+            f[at] = now / now.sum(1, keepdims=True)
+        for i in range(int(sizes[0]) - 2, -1, -1):
+            at = starts[: going[i + 1]] + i
+            now = (w[at + 1] * b[at + 1]) @ t.T
+            b[at] = now / now.sum(1, keepdims=True)
+        p = f * b
+        p = p[:, 1] / p.sum(1)
+        # the pairwise marginal by the conditional of the chain, from the marginals on both sides
+        later = np.ones(len(x), bool)
+        later[starts] = False
+        later = np.flatnonzero(later)
         pairs = np.zeros((2, 2))
-        if len(p) > 1:
-            # the pairwise marginal by the conditional of the chain, from the marginals on both sides
-            odds = (x @ self.emission).clip(-30, 30)
-            w = np.stack([np.ones_like(odds), np.exp(odds)], 1)
-            t = np.exp(self.pull)
-            f = np.empty((len(p), 2))
-            f[0] = w[0] / w[0].sum()
-            for i in range(1, len(p)):
-                f[i] = w[i] * (f[i - 1] @ t)
-                f[i] /= f[i].sum()
-            b = np.ones((len(p), 2))
-            for i in range(len(p) - 2, -1, -1):
-                b[i] = t @ (w[i + 1] * b[i + 1])
-                b[i] /= b[i].sum()
-            joint = f[:-1, :, None] * t[None] * (w[1:] * b[1:])[:, None, :]
-            pairs = (joint / joint.sum((1, 2), keepdims=True)).sum(0)
+        for k in range(0, len(later), 100_000):
+            own = later[k : k + 100_000]
+            joint = f[own - 1, :, None] * t[None] * (w[own] * b[own])[:, None, :]
+            pairs += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
         return p, pairs
 
 
-def fit_field(documents: list[np.ndarray], truth: list[np.ndarray], start: Field, penalty: float = 1.0, steps: int = 12) -> Field:
-    """Conditional likelihood by gradient steps: the emissions by Newton's method, the transitions by their log counts' gap."""
-    x, y = np.vstack(documents), np.concatenate(truth)
-    emission = fit_logistic(x[:, :-1], y, penalty)
-    pull = start.pull.copy()
-    seen = np.full((2, 2), 1.0)
-    for t in truth:
-        np.add.at(seen, (t[:-1].astype(int), t[1:].astype(int)), 1.0)
-    field = Field(emission, pull)
-    some = documents[:: max(1, len(documents) // 400)]
-    their = truth[:: max(1, len(truth) // 400)]
+def fit_field(x: np.ndarray, starts: np.ndarray, truth: np.ndarray, start: Field, penalty: float = 1.0, steps: int = 12) -> Field:
+    """Conditional likelihood by gradient steps: the emissions by Newton's method, the transitions by their log counts' gap.
+
+    x and truth: the lines of all documents, whose first ones are starts."""
+    field = Field(fit_logistic(x[:, :-1], truth, penalty), start.pull.copy())
+    later = np.ones(len(x), bool)
+    later[starts] = False
+    later = np.flatnonzero(later)
     want = np.full((2, 2), 1.0)
-    for t in their:
-        np.add.at(want, (t[:-1].astype(int), t[1:].astype(int)), 1.0)
+    np.add.at(want, (truth[later - 1].astype(int), truth[later].astype(int)), 1.0)
     for step in range(steps):
-        have, gap, total = np.full((2, 2), 1.0), np.zeros(x.shape[1]), 0
-        for d, t in zip(some, their, strict=True):
-            p, pairs = field.expectations(d)
-            have += pairs
-            gap += (t - p) @ d
-            total += len(t)
-        field.pull = (field.pull + 0.5 * np.log(want / have)).clip(-4, 4)
+        p, pairs = field.expectations(x, starts)
+        field.pull = (field.pull + 0.5 * np.log(want / (1.0 + pairs))).clip(-4, 4)
         field.pull -= field.pull.mean()
-        field.emission = field.emission + (2.0 / (1 + step)) * (gap - 0.01 * penalty * field.emission) / max(1, total)
+        field.emission = field.emission + (2.0 / (1 + step)) * ((truth - p) @ x - 0.01 * penalty * field.emission) / max(1, len(x))
     return field
 
 
+def summarised(quality):
+    return np.log((quality + 0.01) / (1.01 - quality))
+
+
 @dataclass
 class Model:
     field: Field | None
@@ -169,9 +179,8 @@ class Model:
 
     def summary(self, text: str) -> list[float]:
         lines, lengths = lines_of(text)
-        p = self.field.marginals(document_features(lines))
-        quality = float((p * lengths).sum() / lengths.sum())
-        return [math.log((quality + 0.01) / (1.01 - quality))]
+        p = self.field.marginals(with_neighbours(own_features(lines)))
+        return [float(summarised((p * lengths).sum() / lengths.sum()))]
 
     def scores(self, texts) -> np.ndarray:
         if self.field is None:
@@ -180,36 +189,44 @@ class Model:
         return sigmoid(x @ self.curve[:-1] + self.curve[-1])
 
 
-def train(texts: list[str], labels: np.ndarray) -> Model:
+def train(documents: list[np.ndarray], lengths: np.ndarray, labels: np.ndarray) -> Model:
+    """documents: own features of all lines of each; lengths: of all their lines in a row."""
     share = (labels.sum() + 1) / (len(labels) + 2)
     prior = np.array([0.0, math.log(share / (1 - share))])
     if len(set(labels.tolist())) < 2:
         return Model(None, prior)
-    documents = [document_features(t.split("\n")[:TRAINING_LINES]) for t in texts]
-    field = None
-    truth = [np.full(len(d), float(y)) for d, y in zip(documents, labels, strict=True)]
+    sizes = np.array([len(d) for d in documents])
+    starts = np.cumsum(sizes) - sizes
+    x = np.empty((int(sizes.sum()), WIDTH))
+    for s, d in zip(starts.tolist(), documents, strict=True):
+        x[s : s + len(d)] = with_neighbours(d)
+    good = np.repeat(labels.astype(float), sizes)
+    field, truth = Field(np.zeros(WIDTH), np.zeros((2, 2))), good
     for _ in range(ROUNDS):
-        field = fit_field(documents, truth, field or Field(np.zeros(WIDTH), np.zeros((2, 2))))
-        truth = []
-        for d, y in zip(documents, labels, strict=True):
-            if y:
-                truth.append(np.ones(len(d)))
-            else:
-                p = field.marginals(d)
-                bad = p < max(0.5, float(p.min()) + 1e-9)
-                truth.append((~bad).astype(float))
+        field = fit_field(x, starts, truth, field)
+        p, _ = field.expectations(x, starts)
+        worst = np.maximum(0.5, np.repeat(np.minimum.reduceat(p, starts), sizes) + 1e-9)
+        truth = np.where(good > 0, 1.0, (p >= worst).astype(float))
     model = Model(field, prior)
-    x = np.array([model.summary(t) for t in texts])
-    model.curve = fit_logistic(x, labels.astype(float), 0.1)
+    quality = np.add.reduceat(p * lengths, starts) / np.add.reduceat(lengths, starts)
+    model.curve = fit_logistic(summarised(quality)[:, None], labels.astype(float), 0.1)
     return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> Model:
     rows = training_rows(docs, labels, label, sample_rows, id_col, text_col)
-    # only the lines that training looks at travel to the driver
-    cut = F.substring_index("text", "\n", TRAINING_LINES)
-    told = rows.select(F.substring(cut, 1, 200 * TRAINING_LINES).alias("text"), "label", "doc_id").orderBy("doc_id", "text").toPandas()
-    return train(told["text"].tolist(), told["label"].to_numpy())
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for doc_id, told, text in zip(batch["doc_id"], batch["label"], batch["text"], strict=True):
+                each, lengths = lines_of(text)
+                yield pd.DataFrame({"doc_id": [doc_id], "label": [told], "own": [own_features(each).tobytes()], "lengths": [lengths.tobytes()]})
+
+    # features of whole texts travel to the driver, not the texts
+    told = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "label", "text").mapInPandas(lines, "doc_id string, label int, own binary, lengths binary").toPandas()
+    told = told.sort_values(["doc_id", "lengths", "own"], ignore_index=True)
+    documents = [np.frombuffer(b, float).reshape(-1, OWN) for b in told["own"]]
+    return train(documents, np.frombuffer(b"".join(told["lengths"]), float), told["label"].to_numpy())
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
