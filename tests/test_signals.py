@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tremorlake import checks, functions as fn, spec
 from tremorlake.functions import signal
-from tremorlake.operators import activity, merge, qc
+from tremorlake.operators import activity, merge, qc, sampling
+from tremorlake.plans import signals
 from tremorlake.sources import sinks, tables
 from tremorlake.streaming import activity as streams
 
@@ -125,3 +126,19 @@ def test_streams(spark, tmp_path):
     got = {str(r["minute_time"])[11:16]: (r["event_count"], r["activity"]) for r in spark.table("minutes").collect()}
     assert got == {"00:00": (2, 3.0), "00:02": (1, 4.0)}
     assert spark.table("sessions").where("node = 0 and source_records = 2").count() == 1
+
+
+def test_feature_tasks_hold_every_candidate(spark, tmp_path):
+    e = spark.range(230).selectExpr("id AS event_id", "timestamp_ntz'2024-01-03 00:00:00' + make_dt_interval(0, 0, id) AS ts", "id % 7 AS user_id", "'view' AS event_type", "1.0D AS value")
+    e.write.parquet(str(tmp_path / "events.parquet"))
+    got = {r["task_class"]: (r["n"], r["ids"]) for r in signals.QUERIES["all_feature_tasks"](spark, str(tmp_path)).collect()}
+    assert got["candidate"] == (230, 230)
+    assert sum(n for k, (n, _) in got.items() if k != "candidate") == 12 * 6
+
+
+def test_a_limit_of_feature_tasks_is_an_even_sample(spark):
+    e = spark.range(9).selectExpr("id AS event_id", "id AS peak_us", "id AS channel")
+    none = spark.createDataFrame([], "kind string, time_us long")
+    tasks = lambda *limit: sorted(r["task_id"] for r in sampling.feature_tasks(e, none, e, *limit).collect())
+    assert tasks(3) == ["candidate:0", "candidate:4", "candidate:8"]
+    assert tasks() == [f"candidate:{i}" for i in range(9)]

@@ -260,11 +260,20 @@ def early_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.early_references(e, T0, T0 + 3 * DAY, ["stratum"], 9, 40).select("event_id")
 
 
-def feature_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def task_counts(spark: SparkSession, sf_dir: str, limit: int | None) -> DataFrame:
     e = das(spark, sf_dir).select("event_id", "peak_us", F.col("node").alias("channel"))
     times = sampling.quota_sample(reference_grid(spark, sf_dir), "kind", "time_us", 12, 1)
     sensors = sampling.round_robin(nodes(spark, sf_dir), ["stratum"], "node", 6).select(F.col("node").alias("channel"))
-    return sampling.feature_tasks(e, times, sensors, 100).groupBy("task_class").agg(F.count("*").alias("n"), F.count_distinct("task_id").alias("ids"), F.sum("channel").alias("channels"))
+    return sampling.feature_tasks(e, times, sensors, limit).groupBy("task_class").agg(F.count("*").alias("n"), F.count_distinct("task_id").alias("ids"), F.sum("channel").alias("channels"))
+
+
+def feature_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of 100 candidates only, as its SQL has it; all_feature_tasks is the whole list."""
+    return task_counts(spark, sf_dir, 100)
+
+
+def all_feature_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return task_counts(spark, sf_dir, None)
 
 
 def row_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,7 +284,7 @@ def row_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.agg(F.md5(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]))).alias("digest"), F.sum("n").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (js_distance, spectral_entropy, abs_correlation, band_power, linear_detrend, sliding_rms, concentration, packed_lists, preprocessed, similarity_pairs, gauge_pairs, similarity_components, similarity_merge, batched_merge, qc_moments, qc_flags, qc_channel_summary, qc_group_summary, qc_file_summary, block_kurtosis, metadata_join, stitched_read, gauge_metrics, activity_rollup, activity_invariants, integrity, reference_grid, calibration_times, quota_sample, sensor_round_robin, family_sample, early_references, feature_tasks, row_digest)}
+QUERIES = {f.__name__: f for f in (js_distance, spectral_entropy, abs_correlation, band_power, linear_detrend, sliding_rms, concentration, packed_lists, preprocessed, similarity_pairs, gauge_pairs, similarity_components, similarity_merge, batched_merge, qc_moments, qc_flags, qc_channel_summary, qc_group_summary, qc_file_summary, block_kurtosis, metadata_join, stitched_read, gauge_metrics, activity_rollup, activity_invariants, integrity, reference_grid, calibration_times, quota_sample, sensor_round_robin, family_sample, early_references, feature_tasks, all_feature_tasks, row_digest)}
 
 X = "w AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)"
 LONG = "l AS (SELECT vec_id, label, i - 1 AS i, x[i] AS v FROM w, range(1, 65) t(i))"
@@ -387,6 +396,9 @@ ORACLES = {
     "feature_tasks": f"""WITH {DAS}, {NODES}, {GRID}, {_quota(12, 1)}, sn AS (SELECT node FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('0:' || node), node) AS t FROM nodes ORDER BY t, stratum LIMIT 6)),
     c AS ({_even(100) % 'das'}), t AS (SELECT 'candidate' AS task_class, 'candidate:' || event_id AS task_id, node AS channel FROM c UNION ALL SELECT kind, concat_ws(':', kind, time_us, node), node FROM q12, sn)
     SELECT task_class, count(*) AS n, count(DISTINCT task_id) AS ids, CAST(sum(channel) AS BIGINT) AS channels FROM t GROUP BY 1""",
+    "all_feature_tasks": f"""WITH {DAS}, {NODES}, {GRID}, {_quota(12, 1)}, sn AS (SELECT node FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('0:' || node), node) AS t FROM nodes ORDER BY t, stratum LIMIT 6)),
+    t AS (SELECT 'candidate' AS task_class, 'candidate:' || event_id AS task_id, node AS channel FROM das UNION ALL SELECT kind, concat_ws(':', kind, time_us, node), node FROM q12, sn)
+    SELECT task_class, count(*) AS n, count(DISTINCT task_id) AS ids, CAST(sum(channel) AS BIGINT) AS channels FROM t GROUP BY 1""",
     "row_digest": f"""WITH {DAS}, h AS (SELECT md5(concat_ws('|', event_id, node, peak_us, event_type)) AS h FROM das), b AS (SELECT h[1:2] AS b, md5(string_agg(h, '' ORDER BY h)) AS h, count(*) AS n FROM h GROUP BY 1)
     SELECT md5(string_agg(h, '' ORDER BY b)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM b""",
 }
