@@ -142,3 +142,16 @@ def test_a_limit_of_feature_tasks_is_an_even_sample(spark):
     tasks = lambda *limit: sorted(r["task_id"] for r in sampling.feature_tasks(e, none, e, *limit).collect())
     assert tasks(3) == ["candidate:0", "candidate:4", "candidate:8"]
     assert tasks() == [f"candidate:{i}" for i in range(9)]
+
+
+def test_stitches_reach_the_last_vector_and_show_a_hole(spark, tmp_path):
+    v = spark.range(600).where("id <> 300").selectExpr("id AS vec_id", "array_repeat(CAST(1 AS FLOAT), 64) AS embedding", "1 AS label")
+    v.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r["request"]: r for r in signals.QUERIES["all_stitched_read"](spark, str(tmp_path)).collect()}
+    there = np.zeros(599 * 56 + 64)
+    for i in range(600):
+        if i != 300:
+            there[i * 56 : i * 56 + 64] = 1
+    want = {k: there[k * 97 : k * 97 + 100].sum() for k in range(-(-len(there) // 97))}
+    assert {k: r["n"] for k, r in got.items()} == {k: n for k, n in want.items() if n}
+    assert [k for k in sorted(got) if not got[k]["complete"]] == [k for k in want if want[k] < 100]

@@ -192,11 +192,24 @@ def stitched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return activity.stitched(blocks, requests, 1024)
 
 
-def stitched_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = stitched(spark, sf_dir)
+def told_stitches(s: DataFrame) -> DataFrame:
     return s.select("request", F.size("samples").cast("long").alias("n"), F.round(fn.total(F.col("samples")), 6).alias("total"), (F.size("samples") == 100).alias("complete"))
 
 
+def stitched_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of 250 requests and without every 20th vector, as its SQL has it; all_stitched_read reads the whole table."""
+    return told_stitches(stitched(spark, sf_dir))
+
+
+def all_stitched_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of 100 samples every 97, from the first sample of the table's vectors to the last."""
+    w = windows(spark, sf_dir)
+    blocks = w.select(F.concat(F.lit("f"), "vec_id").alias("file_name"), F.lit(0).alias("channel"), (F.col("vec_id") * 56).alias("start_sample"), F.col("x").alias("samples"))
+    last = w.agg(F.max("vec_id")).first()[0]
+    requests = spark.range(0 if last is None else (last * 56 + 63) // 97 + 1).select(F.col("id").alias("request"), (F.col("id") * 97).alias("first"), (F.col("id") * 97 + 99).alias("last"), F.array(F.lit(0)).alias("channels"))
+    return told_stitches(activity.stitched(blocks, requests, 1024))
+
+
 def gauge_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = windows(spark, sf_dir).select(F.expr("vec_id div 9").alias("request"), (F.col("vec_id") % 9).alias("channel"), F.col("x").alias("samples"))
     out = activity.gauge_metrics(w, FS)
@@ -284,7 +297,7 @@ def row_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.agg(F.md5(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]))).alias("digest"), F.sum("n").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (js_distance, spectral_entropy, abs_correlation, band_power, linear_detrend, sliding_rms, concentration, packed_lists, preprocessed, similarity_pairs, gauge_pairs, similarity_components, similarity_merge, batched_merge, qc_moments, qc_flags, qc_channel_summary, qc_group_summary, qc_file_summary, block_kurtosis, metadata_join, stitched_read, gauge_metrics, activity_rollup, activity_invariants, integrity, reference_grid, calibration_times, quota_sample, sensor_round_robin, family_sample, early_references, feature_tasks, all_feature_tasks, row_digest)}
+QUERIES = {f.__name__: f for f in (js_distance, spectral_entropy, abs_correlation, band_power, linear_detrend, sliding_rms, concentration, packed_lists, preprocessed, similarity_pairs, gauge_pairs, similarity_components, similarity_merge, batched_merge, qc_moments, qc_flags, qc_channel_summary, qc_group_summary, qc_file_summary, block_kurtosis, metadata_join, stitched_read, all_stitched_read, gauge_metrics, activity_rollup, activity_invariants, integrity, reference_grid, calibration_times, quota_sample, sensor_round_robin, family_sample, early_references, feature_tasks, all_feature_tasks, row_digest)}
 
 X = "w AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)"
 LONG = "l AS (SELECT vec_id, label, i - 1 AS i, x[i] AS v FROM w, range(1, 65) t(i))"
@@ -377,6 +390,9 @@ ORACLES = {
     "stitched_read": f"""WITH {X}, b AS (SELECT vec_id, vec_id * 56 + i AS pos, x[i + 1] AS v FROM w, range(64) t(i) WHERE vec_id % 20 <> 19),
     u AS (SELECT pos, arg_min(v, vec_id) AS v FROM b GROUP BY 1)
     SELECT request, count(*) AS n, round(sum(v), 6) AS total, count(*) = 100 AS complete FROM range(250) t(request) JOIN u ON pos BETWEEN request * 97 + 11 AND request * 97 + 110 GROUP BY 1""",
+    "all_stitched_read": f"""WITH {X}, b AS (SELECT vec_id, vec_id * 56 + i AS pos, x[i + 1] AS v FROM w, range(64) t(i)),
+    u AS (SELECT pos, arg_min(v, vec_id) AS v FROM b GROUP BY 1), q AS (SELECT unnest(range((SELECT max(pos) FROM u) // 97 + 1)) AS request)
+    SELECT request, count(*) AS n, round(sum(v), 6) AS total, count(*) = 100 AS complete FROM q JOIN u ON pos BETWEEN request * 97 AND request * 97 + 99 GROUP BY 1""",
     "gauge_metrics": f"""WITH {X}, {LONG}, g AS (SELECT vec_id // 9 AS request, vec_id % 9 AS channel, sqrt(avg(v * v)) AS r, sum(v * v) / 64 AS q, count(*) AS n FROM l GROUP BY ALL)
     SELECT request, round(median(r), 6) AS rms_median, round(min(r), 6) AS rms_min, round(max(r), 6) AS rms_max, round(median(q), 6) AS integral_median, round(sum(q), 6) AS integral_sum,
     count(*) AS gauge_channels, max(n) AS samples, string_agg(channel, ';' ORDER BY channel) AS gauge_data_channels FROM g GROUP BY 1""",
