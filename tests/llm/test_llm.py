@@ -412,6 +412,25 @@ def test_suffix_dedup_equals_brute_force(spark, hot):
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_suffix_dedup_takes_a_context_once_for_all_copies_of_its_text(spark, monkeypatch):
+    rng = random.Random(12)
+    text = "".join(rng.choice("abcde ") for _ in range(900))
+    near = text[:450] + "#" + text[451:]
+    rows = [(i, text) for i in range(40)] + [(50, near)]
+    seen = []
+    inner = suffix_dedup.refined
+
+    def watched(contexts, *more):
+        seen.append([(r["gram"], r["context"]) for r in contexts.collect()])
+        return inner(contexts, *more)
+
+    monkeypatch.setattr(suffix_dedup, "refined", watched)
+    out = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(frame(spark, rows)).collect()}
+    assert len(seen) == 1 and seen[0] and len(seen[0]) == len(set(seen[0]))
+    assert len(out) == 41 and all(out[i]["n_removed"] == 900 for i in range(40))
+    assert out[50]["n_removed"] == 899 and bytes(out[50]["kept"]) == b"#"
+
+
 # the pipeline
 
 

@@ -217,10 +217,13 @@ def refined(contexts: DataFrame, length: int, q: int, hot: int) -> DataFrame:
 
 
 def contexts_with_bytes(wanted: DataFrame, texts: DataFrame) -> DataFrame:
-    """wanted: gram, context, size, key, n, pos, l, r.  Adds the bytes, taken from the texts."""
+    """wanted: gram, context, size, key, n, pos, l, r.  Adds the bytes, taken from one of equal texts.
+
+    Equal texts become one within the tasks that read them, before any of them are brought together."""
     listed = wanted.groupBy("key", "n").agg(F.collect_list(F.struct("gram", "context", "size", "pos", "l", "r")).alias("places"))
     marks, bits = bitmap_subquery(listed.select(F.xxhash64("key").alias("h")))
-    some = texts.where(possible(F.xxhash64("key"), marks, bits)).join(listed, ["key", "n"]).select("text", "places")
+    one = texts.where(possible(F.xxhash64("key"), marks, bits)).dropDuplicates(["key", "n"])
+    some = one.join(listed, ["key", "n"]).select("text", "places")
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
