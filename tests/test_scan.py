@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from tremorlake.operators import inference, spatial, temporal
+from tremorlake.plans import waveforms
 
 SECOND = 1_000_000
 
@@ -116,3 +117,18 @@ def test_regions(spark):
     rows = [(2.0, 0.0, 98.0), (2.0, 0.0, 80.0), (20.0, 0.0, 80.0), (50.0, 120.0, 0.0), (80.0, 150.0, 0.0), (50.0, 60.0, 0.0)]
     got = [r[0] for r in spark.createDataFrame(rows, "d double, x double, z double").select(spatial.region_label("d", "x", "z")).collect()]
     assert got == ["surface_2cm_top", "surface_2cm_slope", "platform_20cm", "near_face_50cm", "near_face_80cm", "excluded_interior"]
+
+
+def test_targets_beyond_the_cable_ask_for_no_channel(spark):
+    rows = [(498, "ring", 2.0, "target"), (510, "ring", 2.0, "target"), (505, "ring", 2.0, "target"), (700, "ring", 2.0, "control")]
+    layout = spark.createDataFrame(rows, "data_channel long, geometry_type string, burial_depth_cm double, analysis_role string")
+    got = {r[0] for r in spatial.required_channels(layout, 4, 500).collect()}
+    assert got == {*range(494, 501), 700}
+
+
+def test_required_channels_of_a_whole_long_cable(spark, tmp_path):
+    spark.sql("SELECT id AS event_id, timestamp_ntz'2024-01-03 00:00:00' AS ts, id * 8 AS user_id, 'view' AS event_type, 1.0D AS value FROM range(120)").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r[0] for r in waveforms.QUERIES["all_required_channels"](spark, str(tmp_path)).collect()}
+    controls = {n for n in range(0, 953, 8) if n % 9 == 0}
+    targets = {n for n in range(0, 953, 8) if n % 9}
+    assert got == controls | {c for n in targets for c in range(max(0, n - 4), min(n + 4, 952) + 1)}

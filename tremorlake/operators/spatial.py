@@ -43,7 +43,9 @@ def control_channels(layout: DataFrame) -> DataFrame:
 
 def required_channels(layout: DataFrame, half: int, channels: int) -> DataFrame:
     """Controls and all channels within half of a target, within the cable."""
-    around = target_sensors(layout).select(F.explode(F.sequence(F.greatest(F.col("data_channel") - half, F.lit(0)), F.least(F.col("data_channel") + half, F.lit(channels)))).alias("data_channel"))
+    span = target_sensors(layout).select(F.greatest(F.col("data_channel") - half, F.lit(0)).alias("low"), F.least(F.col("data_channel") + half, F.lit(channels)).alias("high"))
+    # sequence() runs downwards where a target lies beyond the cable; such a one asks for nothing
+    around = span.where("low <= high").select(F.explode(F.sequence("low", "high")).alias("data_channel"))
     return control_channels(layout).unionByName(around).distinct()
 
 

@@ -27,9 +27,16 @@ def target_sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def required_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of three tenths of the sensors on a cable up to 500, as its SQL has it; all_required_channels takes the whole table."""
     return spatial.required_channels(sensors(spark, sf_dir).where("data_channel % 10 < 3"), 4, 500)
 
 
+def all_required_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all sensors; the cable ends at the last one."""
+    s = sensors(spark, sf_dir)
+    return spatial.required_channels(s, 4, s.agg(F.max("data_channel")).first()[0] or 0)
+
+
 def attached_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with their sensor's place, and how many disagree with it by more than a millionth."""
     e = das(spark, sf_dir).withColumn("x_seen", ((F.col("node") % 10) * 20).cast("double") + F.when(F.col("event_id") % 100 == 0, 1e-5).otherwise(1e-7))
@@ -100,7 +107,7 @@ def multiscale_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.extract(tasks, features.FeatureRules(scales=(0.25, 0.5), context=1.0, edge=0.25, search=0.2, low=1.0, high=32.0, bands=6))
 
 
-QUERIES = {f.__name__: f for f in (target_sensors, required_channels, attached_layout, final_cutoff, located_files, interval_gaps, window_levels, waveform_detector, waveform_signatures, multiscale_features)}
+QUERIES = {f.__name__: f for f in (target_sensors, required_channels, all_required_channels, attached_layout, final_cutoff, located_files, interval_gaps, window_levels, waveform_detector, waveform_signatures, multiscale_features)}
 
 SENSORS = """sensors AS (SELECT node AS data_channel, geometry_type, burial_depth_cm,
     CASE WHEN node % 9 = 0 THEN 'leadin_control' WHEN node % 7 = 0 THEN 'deep_ring_unit' ELSE 'target' END AS analysis_role FROM nodes)"""
@@ -110,6 +117,9 @@ ORACLES = {
     "required_channels": f"""WITH {NODES}, {SENSORS}, s AS (SELECT * FROM sensors WHERE data_channel % 10 < 3)
     SELECT data_channel FROM s WHERE analysis_role LIKE '%control%'
     UNION SELECT unnest(range(greatest(data_channel - 4, 0), least(data_channel + 4, 500) + 1)) FROM s WHERE analysis_role NOT LIKE '%control%'""",
+    "all_required_channels": f"""WITH {NODES}, {SENSORS}
+    SELECT data_channel FROM sensors WHERE analysis_role LIKE '%control%'
+    UNION SELECT unnest(range(greatest(data_channel - 4, 0), least(data_channel + 4, (SELECT max(data_channel) FROM sensors)) + 1)) FROM sensors WHERE analysis_role NOT LIKE '%control%'""",
     "attached_layout": f"""WITH {DAS} SELECT 'sensor_known' AS "check", CAST(0 AS BIGINT) AS violations UNION ALL SELECT 'place_agrees', count(*) FILTER (WHERE event_id % 100 = 0) FROM das""",
     "final_cutoff": f"""WITH {DAS} SELECT event_id, unnest([event_id * 2, event_id * 2 + 1]) AS primitive_id FROM das WHERE end_us <= {T0 + 25 * DAY} AND peak_us <= {T0 + 24 * DAY}""",
     "located_files": f"""WITH {DAS}, p AS (SELECT event_id, (peak_us - {T0}) // {12 * HOUR} AS f, (peak_us - {T0}) % {12 * HOUR} AS o FROM das)
