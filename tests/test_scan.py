@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from tremorlake.operators import inference, spatial, temporal
-from tremorlake.plans import waveforms
+from tremorlake.plans import time_space, waveforms
 
 SECOND = 1_000_000
 
@@ -132,3 +132,11 @@ def test_required_channels_of_a_whole_long_cable(spark, tmp_path):
     controls = {n for n in range(0, 953, 8) if n % 9 == 0}
     targets = {n for n in range(0, 953, 8) if n % 9}
     assert got == controls | {c for n in targets for c in range(max(0, n - 4), min(n + 4, 952) + 1)}
+
+
+def test_components_of_the_whole_radius_graph(spark, tmp_path):
+    """Nodes 0 to 6 in a row, 40 alone, 94 and 95 together: every fifth one keeps its links."""
+    ids = ", ".join(f"({i}L)" for i in [*range(7), 40, 94, 95])
+    spark.sql(f"SELECT n AS event_id, timestamp_ntz'2024-01-03 00:00:00' AS ts, n AS user_id, 'view' AS event_type, 1.0D AS value FROM VALUES {ids} AS t(n)").write.parquet(str(tmp_path / "events.parquet"))
+    got = {tuple(r) for r in time_space.QUERIES["all_graph_components"](spark, str(tmp_path)).collect()}
+    assert got == {(0, 7), (40, 1), (94, 2)}
