@@ -377,6 +377,16 @@ def test_pii_equals_the_plain_patterns(spark):
     assert pii.find_pii(frame(spark, [])).count() == 0
 
 
+def test_ibans_of_all_countries_and_one_behind_another():
+    known = ["GR1601101250000000012300695", "HU42117730161111101800000000", "RO49AAAA1B31007593840000", "TR330006100519786457841326", "HR1210010051863000160", "MT84MALT011000012345MTLCAST001S", "NO9386011117947"]
+    for n in known:
+        assert pii.more_spans(f"to {n}.") == [(3, 4, 3 + len(n))], n
+        assert pii.more_spans(f"to {n[:-1]}{(int(n[-1], 36) + 1) % 10}.") == []
+    two = ["DE89370400440532013000", "GB82WEST12345698765432"]
+    assert pii.more_spans(" ".join(two)) == [(0, 4, 22), (23, 4, 45)]
+    assert pii.more_spans("XX00 " + " ".join([*two, *known])) == [(at, 4, at + len(n)) for n, at in zip([*two, *known], np.cumsum([5, *[len(n) + 1 for n in [*two, *known][:-1]]]).tolist(), strict=True)]
+
+
 def test_checksums():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
     assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB82WEST12345698765433")

@@ -35,8 +35,28 @@ IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
 TEL = re.compile(r"(?<![0-9A-Za-z+.-])\(?0[0-9]{1,4}\)?[\x20/-][0-9]{2,5}(?:[\x20-]?[0-9]{2,5}){1,3}(?![0-9A-Za-z])")
 DIGIT = re.compile(r"[0-9]")
 
-# Lengths of the account numbers by country.
-IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
+# Lengths of the account numbers by country, of the whole IBAN registry.
+IBAN_COUNTRIES = {
+    15: "NO",
+    16: "BE",
+    18: "DK FI FK FO GL NL SD",
+    19: "MK SI",
+    20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST",
+    26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA",
+    30: "JO KW MU YE",
+    31: "MT SC",
+    32: "LC",
+    33: "RU",
+}
+IBAN_LENGTHS = {c: n for n, countries in IBAN_COUNTRIES.items() for c in countries.split()}
 # Words that speak for a telephone number.
 TEL_WORDS = re.compile(r"\b(?:tel|telephone|phone|mobile|cell|call|fax|telefon|handy|anruf|téléphone|portable|appel|teléfono|móvil|llam\w*)\b", re.I)
 AGAINST = re.compile(r"\b(?:version|isbn|order|invoice|id|no|nr|serial)\b", re.I)
@@ -97,7 +117,10 @@ def more_spans(text: str) -> list[tuple[int, int, int]]:
     out = []
     if not DIGIT.search(text):
         return out
-    for m in IBAN.finditer(text):
+    m = IBAN.search(text)
+    while m:
+        # what is found may reach into the next number, so the search goes on behind the accepted span
+        free = m.start() + 1
         length = IBAN_LENGTHS.get(text[m.start() : m.start() + 2])
         if length:
             end, seen = m.start(), 0
@@ -108,6 +131,8 @@ def more_spans(text: str) -> list[tuple[int, int, int]]:
             score = 0.1 + 0.8 * (len(compact) == length and mod97(compact) and not text[end : end + 1].isalnum())
             if score >= THRESHOLD:
                 out.append((m.start(), 4, end))
+                free = end
+        m = IBAN.search(text, free)
     for m in TEL.finditer(text):
         digits = sum(c.isdigit() for c in m.group())
         before = text[max(0, m.start() - CONTEXT_CHARS) : m.start()]
