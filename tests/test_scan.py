@@ -140,3 +140,26 @@ def test_components_of_the_whole_radius_graph(spark, tmp_path):
     spark.sql(f"SELECT n AS event_id, timestamp_ntz'2024-01-03 00:00:00' AS ts, n AS user_id, 'view' AS event_type, 1.0D AS value FROM VALUES {ids} AS t(n)").write.parquet(str(tmp_path / "events.parquet"))
     got = {tuple(r) for r in time_space.QUERIES["all_graph_components"](spark, str(tmp_path)).collect()}
     assert got == {(0, 7), (40, 1), (94, 2)}
+
+
+def scattered(spark, path):
+    """Events of 60 nodes at hashed minutes, and a burst of a patch of nine on the fifth day."""
+    spark.sql("""SELECT row_number() OVER (ORDER BY ts, user_id) AS event_id, ts, user_id, 'view' AS event_type, 0.1D AS value FROM (
+        SELECT timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST(pmod(xxhash64(id), 42000) AS INT)) AS ts, id % 60 AS user_id FROM range(1500)
+        UNION ALL SELECT timestamp_ntz'2024-01-05 00:00:00' + make_dt_interval(0, 0, CAST(id AS INT)), id % 3 + 10 * (id div 3 % 3) FROM range(300))""").write.parquet(f"{path}/events.parquet")
+
+
+def test_full_scans_draw_as_many_permutations_as_a_study(spark, tmp_path):
+    scattered(spark, tmp_path)
+    got = time_space.QUERIES["full_permutation_scan"](spark, str(tmp_path)).collect()
+    p = np.array([r["p_window"] for r in got])
+    assert len(got) and np.allclose(p * 5001, np.round(p * 5001), atol=0.01) and p.min() < 1 / 20
+    assert time_space.full_scan_episodes(spark, str(tmp_path)).columns == time_space.QUERIES["scan_episodes"](spark, str(tmp_path)).columns
+
+
+def test_null_statistics_equal_the_long_form(spark):
+    rng = np.random.default_rng(3)
+    scores = spark.createDataFrame([(w, rng.normal(size=50).tolist()) for w in range(4)], "window_id long, scores array<double>")
+    a = sorted(tuple(r) for r in inference.null_statistics(scores).collect())
+    b = sorted(tuple(r) for r in inference.null_summary(inference.long_scores(scores)).collect())
+    assert np.allclose(a, b)

@@ -167,6 +167,18 @@ def null_summary(scores: DataFrame) -> DataFrame:
     return s.agg(F.avg("score").alias("null_mean"), F.stddev_samp("score").alias("null_sd"), F.percentile("score", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select("window_id", "null_mean", "null_sd", F.col("q")[0].alias("null_q025"), F.col("q")[1].alias("null_q975"))
 
 
+def null_statistics(scores: DataFrame) -> DataFrame:
+    """null_summary for whole rows of scores."""
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            s = np.array(batch["scores"].tolist()).reshape(len(batch), -1)[:, 1:]
+            low, high = np.quantile(s, [0.025, 0.975], axis=1)
+            yield pd.DataFrame({"window_id": batch["window_id"], "null_mean": s.mean(1), "null_sd": s.std(1, ddof=1), "null_q025": low, "null_q975": high})
+
+    return scores.mapInPandas(summed, "window_id long, null_mean double, null_sd double, null_q025 double, null_q975 double")
+
+
 def holm(tests: DataFrame, p: str = "p", key: str = "test", family: int | None = None) -> DataFrame:
     """Step-down adjusted p: running maximum of min(1, (m - rank + 1) p).  The list of tests is short."""
     everything = Window.partitionBy()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tremorlake.operators import inference, spatial, temporal
 from tremorlake.plans.das import DAS, DAY, HOUR, MINUTE, NODES, T0, das, nodes
 from tremorlake.sources.shared import cut
+from tremorlake.spec import ScanSettings
 
 CUTOFF = T0 + 28 * DAY
 EXCLUDED_UNTIL = T0 + 12 * HOUR
@@ -16,6 +17,7 @@ RADIUS = 35.0
 DURATIONS = (6 * HOUR, 12 * HOUR, 24 * HOUR)
 STEP = 6 * HOUR
 SCAN_END = T0 + 29 * DAY + 23 * HOUR
+#: Of the queries that have an oracle; the full_ ones draw as many as a study.
 PERMUTATIONS = 19
 
 
@@ -225,13 +227,46 @@ def scan_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inference.episodes(inference.max_scan(scores).join(windows, "window_id"), 0.5).select("episode_id", "support_start_us", "support_end_us", "significant_window_count", F.round("scan_z", 5).alias("scan_z"))
 
 
+def full_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Windows and whole rows of scores of eligible windows under as many permutations as a study draws."""
+    n, s = nodes(spark, sf_dir), ScanSettings()
+    windows, counts = counted(spark, sf_dir)
+    ok = temporal.eligibility(counts, windows, n.count(), 5, 3).where("eligible").select("window_id")
+    sensors = n.select("node", "stratum").orderBy("node").collect()  # the sensor list
+    where = {r["node"]: i for i, r in enumerate(sensors)}
+    pools: dict[int, list[int]] = {}
+    for r in sensors:
+        pools.setdefault(r["stratum"], []).append(where[r["node"]])
+    edges = np.array([(where[r[0]], where[r[1]]) for r in spatial.radius_graph(n, RADIUS).select("node_i", "node_j").collect()])
+    permutations = inference.seeded_permutations([pools[k] for k in sorted(pools)], len(sensors), s.simulations, s.seed)
+    return windows, inference.permutation_scores(counts.join(ok, "window_id", "left_semi"), list(where), edges, permutations)
+
+
+def full_permutation_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = inference.scan_statistics(full_scores(spark, sf_dir)[1], ScanSettings().alpha)
+    return out.select("window_id", F.round("observed", 6).alias("observed"), F.round("scan_z", 5).alias("scan_z"), F.round("p_window", 6).alias("p_window"), F.round("p_global", 6).alias("p_global"), F.round("critical", 5).alias("critical"))
+
+
+def full_null_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = inference.null_statistics(full_scores(spark, sf_dir)[1])
+    return out.select("window_id", *[F.round(c, 9).alias(c) for c in ("null_mean", "null_sd", "null_q025", "null_q975")])
+
+
+def full_scan_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Not registered: the smallest tables rightly have no episode, and a query without an oracle must give rows there."""
+    windows, scores = full_scores(spark, sf_dir)
+    alpha = ScanSettings().alpha
+    found = inference.scan_statistics(scores, alpha).join(windows, "window_id")
+    return inference.episodes(found, alpha).select("episode_id", "support_start_us", "support_end_us", "significant_window_count", F.round("scan_z", 5).alias("scan_z"))
+
+
 def holm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over the share of long events of each type as if it were a p."""
     tests = das(spark, sf_dir).groupBy(F.col("event_type").alias("test")).agg((F.count_if(F.col("activity") > 150) / F.count("*")).alias("p"))
     return inference.holm(tests).select("test", F.round("p", 8).alias("p"), F.round("p_adjusted", 8).alias("p_adjusted"), "rank")
 
 
-QUERIES = {f.__name__: f for f in (minute_activity, event_policy_filter, range_audit, label_counts, position_final, position_snapshots, position_series, interval_islands, merge_membership, scan_windows, window_node_counts, window_eligibility, stage_asof, nuisance_first, nuisance_all, runs_true, max_consecutive, file_timeline, even_sample, roi_region, gauge_profile, radius_graph, graph_components, all_graph_components, moran_windows, permutation_pools, permutation_scan, null_summary, scan_episodes, holm)}
+QUERIES = {f.__name__: f for f in (minute_activity, event_policy_filter, range_audit, label_counts, position_final, position_snapshots, position_series, interval_islands, merge_membership, scan_windows, window_node_counts, window_eligibility, stage_asof, nuisance_first, nuisance_all, runs_true, max_consecutive, file_timeline, even_sample, roi_region, gauge_profile, radius_graph, graph_components, all_graph_components, moran_windows, permutation_pools, permutation_scan, null_summary, scan_episodes, full_permutation_scan, full_null_summary, holm)}
 
 WINDOWS = f"""raw AS (SELECT i, {T0} + s AS start_us, {T0} + s + d AS end_us, d AS duration_us FROM (
     SELECT i, d, unnest(list_distinct(list_append(range(0, {SCAN_END - T0} - d + 1, {STEP}), {SCAN_END - T0} - d))) AS s
