@@ -67,7 +67,19 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     spark = frame.sparkSession
     path = f"{own_folder(spark)}/{fresh_name(name)}"
     frame.write.parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(frame: DataFrame) -> None:
+    """Delete the files of a frame that written() gave, once nothing reads it any more."""
+    _delete(frame.sparkSession, frame.written_path)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def own_folder(spark: SparkSession) -> str:
@@ -77,5 +89,4 @@ def own_folder(spark: SparkSession) -> str:
 
 def clear_shared(spark: SparkSession) -> None:
     """Delete this application's tables in the shared folder, once no result that reads them is needed any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, own_folder(spark))

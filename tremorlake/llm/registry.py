@@ -29,5 +29,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_exact_dedup": exact_dedup.ORACLE,
         "op3_url_filter": url_filter.ORACLE,
         "op6_decontaminate": decontaminate.ORACLE,
+        "op9_suffix_dedup": suffix_dedup.ORACLE,
         "op10_line_dedup": line_dedup.ORACLE,
     }

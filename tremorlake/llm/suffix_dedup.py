@@ -6,14 +6,15 @@ same offset.  So only suffixes that start at such anchors (about two in LENGTH -
 1. Anchors fall into initial buckets by their q-gram.  Buckets of one are done.
 2. An anchor's context is all that a string around it could cover.  Anchors whose whole contexts are equal
    are done too: everything in them repeats.  Of equal contexts one goes on.
-3. Remaining buckets are refined: at every offset of the contexts the half-length strings get bucket numbers
-   by sorting, and the numbers at later offsets are reused to sort the full-length strings, so a pair of
-   numbers stands for LENGTH bytes.  A string in a final bucket of two or more repeats.
+3. Remaining buckets are refined by the bucket numbers of later offsets, recursively: the numbers that tell n
+   bytes apart, looked up n bytes further on, tell 2n apart.  That sorts what follows the q-gram and, read
+   backwards, what precedes it, and so says which strings of LENGTH bytes repeat.
 4. The spans are carried to each anchor of that context, merged per text and cut out.
 
-Buckets above HOT contexts are refined by counting (bucket, offset, string) in the cluster instead of within
-one task.  Texts that are equal as a whole are one text with a count; if it is 2 or more, all its strings
-repeat.  What decides equality is 64-bit hashes (of q-grams, halves and contexts).
+A bucket that is too large for a task is refined in the cluster first, round by round, each bucket of a round
+made of the last one's and of more bytes around it (split_large), until the buckets fit.  Texts that are equal
+as a whole are one text with a count; if it is 2 or more, all its strings repeat.  Q-grams, contexts and the
+buckets of the cluster's rounds are compared by 64-bit hashes, the rest by bytes.
 
 Defined cases: null or empty text has 0 bytes and loses none; texts under LENGTH bytes lose none; repeated
 rows are copies of each other; overlapping occurrences count; an empty table gives none; other columns are
@@ -23,20 +24,22 @@ not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremorlake.llm.bitmaps import bitmap_subquery, possible
-from tremorlake.llm.common import cut, gathered, table, text_of, written
-from tremorlake.llm.shingles import BASE, BYTE_VALUES, GAP, mix, power_table, prefix_sums, span_hashes
+from tremorlake.llm.common import cut, discard, gathered, table, text_of, written
+from tremorlake.llm.shingles import GAP, mix, prefix_sums, span_hashes
 
 LENGTH = 200
 Q = 48
-#: Contexts of one bucket that a task refines; larger buckets are counted in the cluster.
-HOT = 20_000
+#: Contexts of one bucket that a task refines (some 400 bytes each); larger buckets are split in the cluster first.
+MOST = 10_000
 #: Contexts that are refined together, about.
 TOGETHER = 5_000
 
@@ -54,7 +57,7 @@ def sliding(values: np.ndarray, width: int, best: np.ufunc, fill: int) -> np.nda
     return best(back[:m], ahead[width - 1 : width - 1 + m])
 
 
-def slices_of_bytes(raw: list[bytes], size: int = 1_000_000) -> Iterator[tuple[int, list[bytes]]]:
+def slices_of_bytes(raw: list[bytes], size: int = 250_000) -> Iterator[tuple[int, list[bytes]]]:
     at, total = 0, 0
     for i, r in enumerate(raw):
         if i > at and total + len(r) > size:
@@ -110,55 +113,74 @@ def anchors_of(texts: DataFrame, length: int, q: int) -> DataFrame:
     return written(texts.where(F.col("n") >= length).select("key", "n", "text").mapInPandas(scan, ANCHORS), "anchors")
 
 
-def context_matrix(blobs: list[bytes], lefts: np.ndarray, length: int, q: int) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums by column, the anchor at column length - q of the bytes, and the columns that each context fills."""
+def context_matrix(blobs: list[bytes], lefts: np.ndarray, length: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes by column, the anchor at column length - q, and the first and last column at which a whole string starts."""
     width = length - q
     raw = np.zeros((len(blobs), width + length), np.uint8)
-    ends = np.empty(len(blobs), np.int64)
-    for i, (b, left) in enumerate(zip(blobs, lefts.tolist(), strict=True)):
-        raw[i, width - left : width - left + len(b)] = np.frombuffer(b, np.uint8)
-        ends[i] = width - left + len(b)
-    sums = np.zeros((len(blobs), raw.shape[1] + 1), np.uint64)
-    np.cumsum(BYTE_VALUES[raw] * power_table(raw.shape[1], BASE)[: raw.shape[1]], axis=1, out=sums[:, 1:])
-    return sums, ends
+    first = width - np.asarray(lefts, np.int64)
+    for i, (b, at) in enumerate(zip(blobs, first.tolist(), strict=True)):
+        raw[i, at : at + len(b)] = np.frombuffer(b, np.uint8)
+    sizes = np.fromiter(map(len, blobs), np.int64, len(blobs))
+    return raw, first, first + sizes - length
 
 
 def numbered(values: np.ndarray) -> np.ndarray:
     """Bucket numbers: equal values, equal numbers, in sorted order."""
-    return np.unique(values, return_inverse=True)[1]
-
-
-def refine(grams: np.ndarray, blobs: list[bytes], lefts: np.ndarray, length: int, q: int) -> np.ndarray:
-    """repeated[i, d]: the string of context i that starts at column d stands in another context of its bucket too."""
-    width, half = length - q, length // 2
-    sums, ends = context_matrix(blobs, lefts, length, q)
-    first = width - lefts
-    bucket = numbered(grams).astype(np.int64)
-    m = len(grams)
-    numbers: dict[int, np.ndarray] = {}
-
-    def half_bucket(d: int) -> np.ndarray:
-        """Bucket numbers of the half-length strings at column d, made once and used again for earlier offsets."""
-        if d not in numbers:
-            numbers[d] = numbered(sums[:, d + half] - sums[:, d])
-        return numbers[d]
-
+    return np.unique(values, return_inverse=True)[1].reshape(values.shape).astype(np.int64)
+
+
+def suffix_order(bucket: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of each bucket in the order of their bytes, and how many bytes each has in common with the row before it.
+
+    All eight-byte offsets of all rows get bucket numbers; a bucket is refined by the number of the offset that
+    lies as far behind as the bucket already tells apart, so the numbers just made serve again for twice the width."""
+    m, n = side.shape
+    wide = np.zeros((m, -(-n // 8) * 8), np.uint8)
+    wide[:, :n] = side
+    number = numbered(wide.view(">u8").astype(np.uint64))
+    span = 1
+    while span < number.shape[1]:
+        later = np.zeros_like(number)
+        later[:, :-span] = number[:, span:] + 1
+        number = numbered(number * (int(number.max()) + 2) + later)
+        span *= 2
+    order = np.lexsort((number[:, 0], bucket))
+    same = side[order[1:]] == side[order[:-1]]
+    common = np.where(same.all(1), n, same.argmin(1))
+    common[bucket[order[1:]] != bucket[order[:-1]]] = -1
+    return order, common
+
+
+def refine(bucket: np.ndarray, raw: np.ndarray, first: np.ndarray, last: np.ndarray, length: int, q: int) -> np.ndarray:
+    """repeated[i, d]: the string of context i that starts at column d stands in another context of its bucket too.
+
+    What lies behind the anchor and, read backwards, what lies before it are sorted within the buckets.  Contexts
+    that share a string at column d share d bytes behind and width - d bytes before, so at each column two runs
+    of neighbours - one in either order - give the final buckets."""
+    width, m = length - q, len(bucket)
     repeated = np.zeros((m, width + 1), bool)
-    rest = length - half
+    if m < 2:
+        return repeated
+    bucket = numbered(bucket)
+    orders = [suffix_order(bucket, raw[:, length:]), suffix_order(bucket, raw[:, width - 1 :: -1] if width else raw[:, :0])]
+    most = np.zeros(m, np.int64)  # of a context with any other of its bucket, on both sides
+    for order, common in orders:
+        best = np.concatenate([[-1], common])
+        best = np.maximum(best, np.concatenate([common, [-1]]))
+        most[order] += best
+    alive = most >= width
+    classes = np.zeros(m, np.int64)
     for d in range(width + 1):
-        rows = np.flatnonzero((first <= d) & (ends >= d + length))
+        rows = np.flatnonzero(alive & (first <= d) & (d <= last))
         if len(rows) < 2:
             continue
-        # refine the q-gram's bucket by the number at this offset; what is alone now is done
-        now = numbered(bucket[rows] * m + half_bucket(d)[rows])
-        alive = np.bincount(now)[now] > 1
-        rows, now = rows[alive], now[alive]
-        if len(rows) < 2:
-            continue
-        later = half_bucket(d + rest)[rows] if rest == half else numbered(sums[rows, d + length] - sums[rows, d + half])
-        final = numbered(now.astype(np.int64) * m + later)
+        key = np.zeros(len(rows), np.int64)
+        for (order, common), depth in zip(orders, (d, width - d), strict=True):
+            classes[order[0]] = 0
+            classes[order[1:]] = np.cumsum(common < depth)
+            key = key * m + classes[rows]
+        final = numbered(key)
         repeated[rows[np.bincount(final)[final] > 1], d] = True
-        numbers.pop(d, None)
     return repeated
 
 
@@ -179,65 +201,102 @@ def spans_of(repeated: np.ndarray, length: int, q: int) -> tuple[list[list[int]]
 
 
 SPANS = "gram long, context long, starts array<long>, ends array<long>"
+CONTEXTS = "gram long, context long, size long, l int, bytes binary"
 
 
-def refined(contexts: DataFrame, length: int, q: int, hot: int) -> DataFrame:
-    """contexts: gram, context, l, bytes, size (contexts of the bucket).  Spans that repeat, relative to the anchor."""
+def in_tasks(contexts: DataFrame, groups: int, length: int, q: int) -> DataFrame:
+    """Spans that repeat, relative to the anchor.  contexts: bucket, size, low, high, gram, context, l, bytes; only
+    strings that start within low to high count.  Small buckets come together, larger ones have a task of their own."""
 
-    def in_task(group: pd.DataFrame) -> pd.DataFrame:
-        told = refine(group["gram"].to_numpy(), list(group["bytes"]), group["l"].to_numpy(), length, q)
-        starts, ends = spans_of(told, length, q)
-        return pd.DataFrame({"gram": group["gram"], "context": group["context"], "starts": starts, "ends": ends})
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        raw, first, last = context_matrix(list(group["bytes"]), group["l"].to_numpy(), length, q)
+        first, last = np.maximum(first, group["low"].to_numpy()), np.minimum(last, group["high"].to_numpy())
+        starts, ends = spans_of(refine(group["bucket"].to_numpy(), raw, first, last, length, q), length, q)
+        out = pd.DataFrame({"gram": group["gram"], "context": group["context"], "starts": starts, "ends": ends})
+        return out[[len(s) > 0 for s in starts]]
+
+    deal = F.when(F.col("size") < TOGETHER // 4, F.pmod(F.xxhash64("bucket"), F.lit(groups))).otherwise(F.col("bucket"))
+    return contexts.withColumn("deal", deal).groupBy("deal").applyInPandas(run, SPANS)
 
-    def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        width = length - q
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
-                sums, ends = context_matrix(list(part["bytes"]), part["l"].to_numpy(), length, q)
-                d = np.arange(width + 1)
-                ok = ((width - part["l"].to_numpy())[:, None] <= d) & (ends[:, None] >= d + length)
-                i, d = np.nonzero(ok)
-                yield pd.DataFrame({"gram": part["gram"].to_numpy()[i], "context": part["context"].to_numpy()[i], "d": d, "string": mix(sums[i, d + length] - sums[i, d]).view(np.int64)})
-
-    groups = max(1, -(-contexts.count() // TOGETHER))
-    small = contexts.where(F.col("size") <= hot).withColumn("deal", F.pmod(F.xxhash64("gram"), F.lit(groups)))
-    out = small.groupBy("deal").applyInPandas(in_task, SPANS)
-    large = contexts.where(F.col("size") > hot)
-    if large.isEmpty():
-        return out
-    each = written(large.mapInPandas(strings, "gram long, context long, d int, string long"), "strings")
-    twice = each.groupBy("gram", "d", "string").agg(F.count("*").alias("c")).where("c > 1").select(*(F.col(c).alias(f"_{c}") for c in ("gram", "d", "string")), F.xxhash64("gram", "d", "string").alias("j"))
-    each = each.withColumn("i", F.xxhash64("gram", "d", "string"))
-    hits = each.join(twice, (F.col("i") == F.col("j")) & (F.col("gram") == F.col("_gram")) & (F.col("d") == F.col("_d")) & (F.col("string") == F.col("_string")), "left_semi")
-    # at most length - q + 1 offsets a context
-    listed = hits.groupBy("gram", "context").agg(F.sort_array(F.collect_set("d")).alias("ds"))
-    width = length - q
-    return out.unionByName(listed.select("gram", "context", F.transform("ds", lambda d: (d - width).cast("long")).alias("starts"), F.transform("ds", lambda d: (d + length - width).cast("long")).alias("ends")))
 
+def split_large(large: DataFrame, most: int, length: int, q: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Refines buckets of more than most contexts in the cluster, until what is left of them fits in a task.
 
-def contexts_with_bytes(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    large: gram, context, l, bytes.  The strings that start at the columns low to high all hold the same core, so
+    halving that range makes the core longer: the core's bucket within the last one is the next bucket.  Of equal
+    bytes for the whole range one goes on, and all of them repeat there.  Buckets of one are done.  At one column
+    core and whole are the same, so the rounds end, whatever the data.  Gives what repeats, and contexts for in_tasks."""
+    width = length - q
+    first = width - F.col("l")
+    last = first + F.octet_length("bytes") - length
+    told, ready = [], []
+    now = large.select("gram", "context", F.col("gram").alias("bucket"), F.lit(0).alias("low"), F.lit(width).alias("high"))
+    while True:
+        middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+        halves = F.array(F.struct(F.col("low").alias("a"), middle.alias("b")), F.struct((middle + 1).alias("a"), F.col("high").alias("b")))
+        each = now.join(large, ["gram", "context"]).select("*", F.explode(halves).alias("x")).withColumns({"low": F.col("x.a"), "high": F.col("x.b")})
+        each = each.withColumns({"s": F.greatest("low", first), "e": F.least("high", last)}).where("s <= e")
+        core = F.expr("substring(bytes, high - s0 + 1, low + len - high)".replace("s0", f"({width} - l)").replace("len", str(length)))
+        whole = F.expr("substring(bytes, s - s0 + 1, e + len - s)".replace("s0", f"({width} - l)").replace("len", str(length)))
+        each = each.withColumn("next", F.xxhash64("bucket", "low", "high", core)).withColumn("same", F.xxhash64("next", "s", "e", whole))
+        each = written(gathered(each.select("gram", "context", "next", "same", "low", "high", "s", "e")), "split")
+        kinds = each.groupBy("next", "same").agg(F.count("*").alias("c"), F.min(F.struct("gram", "context", "low", "high")).alias("one"))
+        kinds = cut(gathered(kinds))
+        twice = kinds.where("c > 1").select(F.col("next").alias("_next"), F.col("same").alias("_same"), F.xxhash64("next", "same").alias("j"))
+        both = each.withColumn("i", F.xxhash64("next", "same")).join(twice, (F.col("i") == F.col("j")) & (F.col("next") == F.col("_next")) & (F.col("same") == F.col("_same")), "left_semi")
+        told.append(both.select("gram", "context", F.array((F.col("s") - width).cast("long")).alias("starts"), F.array((F.col("e") + q).cast("long")).alias("ends")))
+        sizes = kinds.groupBy("next").agg(F.count("*").alias("size"), F.count_if(F.col("c") == 1).alias("open")).where("size > 1 and open > 0")
+        sizes = sizes.select(F.col("next").alias("bucket"), "size", F.xxhash64("next").alias("j"))
+        left = kinds.select("next", "one.*", F.xxhash64("next").alias("i")).join(sizes, (F.col("i") == F.col("j")) & (F.col("next") == F.col("bucket")))
+        left = cut(gathered(left.select("gram", "context", "bucket", "size", "low", "high")))
+        ready.append(left.where(F.col("size") <= most).join(large, ["gram", "context"]))
+        now = left.where(F.col("size") > most).drop("size")
+        if now.isEmpty():
+            return told, ready
+
+
+def with_bytes(wanted: DataFrame, texts: DataFrame) -> DataFrame:
     """wanted: gram, context, size, key, n, pos, l, r.  Adds the bytes, taken from one of equal texts.
 
     Equal texts become one within the tasks that read them, before any of them are brought together."""
     listed = wanted.groupBy("key", "n").agg(F.collect_list(F.struct("gram", "context", "size", "pos", "l", "r")).alias("places"))
+    listed = cut(gathered(listed))
     marks, bits = bitmap_subquery(listed.select(F.xxhash64("key").alias("h")))
     one = texts.where(possible(F.xxhash64("key"), marks, bits)).dropDuplicates(["key", "n"])
     some = one.join(listed, ["key", "n"]).select("text", "places")
 
-    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, places in zip(batch["text"], batch["places"], strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                out += [(p["gram"], p["context"], p["size"], p["l"], raw[p["pos"] - p["l"] : p["pos"] + p["r"]]) for p in places]
-            for at in range(0, len(out), 20_000):
-                yield pd.DataFrame(out[at : at + 20_000], columns=["gram", "context", "size", "l", "bytes"])
-
-    return written(gathered(some).mapInPandas(take, "gram long, context long, size long, l int, bytes binary"), "contexts")
-
-
-def repeated_spans(texts: DataFrame, length: int, q: int, hot: int) -> DataFrame:
+            places = batch.column("places")
+            bounds, flat = places.offsets.to_numpy(), places.values
+            fields = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in ("gram", "context", "size", "pos", "l", "r")}
+            for i in range(len(batch)):
+                raw = batch.column("text")[i].as_py().encode("utf-8", "surrogatepass")
+                for a in range(bounds[i], bounds[i + 1], 2_000):  # places of one text, a few at a time
+                    own = {c: v[a : min(a + 2_000, bounds[i + 1])] for c, v in fields.items()}
+                    starts, ends = own["pos"] - own["l"], own["pos"] + own["r"]
+                    taken = [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(own["gram"]), pa.array(own["context"]), pa.array(own["size"]), pa.array(own["l"], pa.int32()), pa.array(taken, pa.binary())], ["gram", "context", "size", "l", "bytes"])
+
+    return gathered(some).mapInArrow(take, CONTEXTS)
+
+
+def refined(wanted: DataFrame, texts: DataFrame, most: int, length: int, q: int) -> DataFrame:
+    """Spans that repeat, relative to the anchor, of the contexts of all buckets.  wanted: see with_bytes."""
+    n, largest = wanted.agg(F.count("*"), F.max("size")).first()
+    groups = max(1, -(-int(n) // TOGETHER))
+    whole = lambda frame: frame.withColumns({"bucket": F.col("gram"), "low": F.lit(0), "high": F.lit(length - q)})
+    columns = ["bucket", "size", "low", "high", "gram", "context", "l", "bytes"]
+    told, ready = [], [whole(with_bytes(wanted.where(F.col("size") <= most), texts)).select(columns)]
+    if largest is not None and largest > most:
+        large = written(with_bytes(wanted.where(F.col("size") > most), texts).drop("size"), "large")
+        told, more = split_large(large, most, length, q)
+        ready += [m.select(columns) for m in more]
+    out = in_tasks(reduce(DataFrame.unionByName, ready), groups, length, q)
+    return reduce(DataFrame.unionByName, told, out)
+
+
+def repeated_spans(texts: DataFrame, length: int, q: int, most: int) -> DataFrame:
     """key, n, spans: array of (s, e), not merged.  texts: key, n, text, one row or more a text."""
     all_anchors = anchors_of(texts, length, q)
     spot = F.xxhash64("key", "n", "pos")
@@ -248,13 +307,14 @@ def repeated_spans(texts: DataFrame, length: int, q: int, hot: int) -> DataFrame
     # the derived key makes both sides plain exchanges, whose hot keys AQE can split
     placed = some.join(buckets, (F.col("gram") == F.col("of")) & (F.col("i") == F.col("j")), "left_semi").drop("i").distinct()
     placed = written(gathered(placed), "placed")
+    discard(all_anchors)
     # one of equal contexts goes on; its count says whether it is done
     kinds = placed.groupBy("gram", "context").agg(F.count("*").alias("c"), F.min(F.struct("key", "n", "pos", "l", "r")).alias("p"))
     kinds = written(gathered(kinds.select("gram", "context", "c", "p.*")), "kinds")
-    sizes = kinds.groupBy("gram").agg(F.count("*").alias("size")).where("size > 1")
+    # buckets in which every context is done need no refinement
+    sizes = kinds.groupBy("gram").agg(F.count("*").alias("size"), F.count_if(F.col("c") == 1).alias("open")).where("size > 1 and open > 0")
     wanted = kinds.join(sizes.select(F.col("gram").alias("of"), "size", F.xxhash64("gram").alias("j")), (F.col("gram") == F.col("of")) & (F.xxhash64("gram") == F.col("j")))
-    some = refined(contexts_with_bytes(wanted.select("gram", "context", "size", "key", "n", "pos", "l", "r"), texts), length, q, hot)
-    some = some.where(F.size("starts") > 0)
+    some = refined(cut(gathered(wanted.select("gram", "context", "size", "key", "n", "pos", "l", "r"))), texts, most, length, q)
     whole = kinds.where("c > 1").select("gram", "context", F.array(-F.col("l").cast("long")).alias("starts"), F.array(F.col("r").cast("long")).alias("ends"))
     told = whole.unionByName(some).withColumns({"_gram": F.col("gram"), "_context": F.col("context"), "j": F.xxhash64("gram", "context")}).select("_gram", "_context", "j", "starts", "ends")
     at = placed.withColumn("i", F.xxhash64("gram", "context")).join(told, (F.col("i") == F.col("j")) & (F.col("gram") == F.col("_gram")) & (F.col("context") == F.col("_context")))
@@ -272,11 +332,11 @@ def merged(spans) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary, the bytes that stay) of every row."""
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumns({"key": F.xxhash64("text"), "n": F.octet_length("text").cast("long")})
-    spans = repeated_spans(rows.select("key", "n", "text"), length, q, hot)
+    spans = repeated_spans(rows.select("key", "n", "text"), length, q, most)
     copies = rows.where(F.col("n") >= length).groupBy("key", "n").agg(F.count("*").alias("copies")).where("copies > 1").select("key", "n", F.lit(True).alias("whole"))
     told = cut(gathered(spans.join(copies, ["key", "n"], "full_outer")))
     marks, bits = bitmap_subquery(told.select(F.xxhash64("key").alias("h")))
@@ -309,3 +369,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, hot: int =
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every window of 200 bytes as hex; its 128-bit hash stands for it.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, s, md5_number(substr(h, 2 * s + 1, 400)) AS m
+  FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 199)) AS s FROM d WHERE len(h) >= 400)),
+t AS (SELECT doc_id, s FROM w JOIN (SELECT m FROM w GROUP BY m HAVING count(*) > 1) USING (m)),
+i AS (SELECT doc_id, s, sum(CASE WHEN s - p <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS island
+  FROM (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS p FROM t)),
+x AS (SELECT doc_id, island, min(s) AS a, max(s) + 200 AS b FROM i GROUP BY ALL),
+y AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM x),
+k AS (SELECT y.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head, max(b) AS tail
+  FROM y JOIN d USING (doc_id) GROUP BY y.doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
