@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,11 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where it is unset, as in tests."""
+    """The folder of spark.checkpoint.dir; one of our own only where it is unset and all runs in this process, as in tests."""
     context = spark.sparkContext
     known = context.getConf().get("spark.checkpoint.dir")
     if known is None:
-        known = context.getCheckpointDir() or tempfile.mkdtemp(prefix="tremorlake-")
+        known = context.getCheckpointDir()
+        if known is None:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+            known = tempfile.mkdtemp(prefix="tremorlake-")
         context._conf.set("spark.checkpoint.dir", known)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(known)
@@ -62,10 +68,10 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
 
 
-def written(frame: DataFrame, name: str) -> DataFrame:
+def written(frame: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """The frame as a Parquet table in the shared folder, read again; smaller on disk than a checkpoint."""
     spark = frame.sparkSession
-    path = f"{own_folder(spark)}/{fresh_name(name)}"
+    path = f"{folder or own_folder(spark)}/{fresh_name(name)}"
     frame.write.parquet(path)
     out = spark.read.parquet(path)
     out.written_path = path
@@ -82,9 +88,25 @@ def _delete(spark: SparkSession, name: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Sub-folders that scratch() has opened.
+_scratch: list[str] = []
+
+
 def own_folder(spark: SparkSession) -> str:
-    """This application's part of the shared folder."""
-    return f"{shared_folder(spark)}/tremorlake-{spark.sparkContext.applicationId}"
+    """This application's part of the shared folder, or of scratch() that part."""
+    return "/".join([f"{shared_folder(spark)}/tremorlake-{spark.sparkContext.applicationId}", *_scratch])
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What operators write down meanwhile is deleted in the end; nothing lazy that reads it may be used later."""
+    _scratch.append(fresh_name("scratch"))
+    try:
+        yield
+    finally:
+        path = own_folder(spark)
+        _scratch.pop()
+        _delete(spark, path)
 
 
 def clear_shared(spark: SparkSession) -> None:

@@ -1,19 +1,27 @@
 """Exact dedup against a persistent digest index.
 
-The index is a table of one row per distinct normalised text, bucketed and sorted by its digest.  New data
+The index is a folder with one row per distinct normalised text, bucketed and sorted by its digest.  New data
 is digested, reduced to one row per digest (map-side first, so a text that fills a third of the rows costs
-one row a task), anti-joined with the index by sort-merge over the buckets, and what is new is appended.
+one row a task), anti-joined with the index by sort-merge over the buckets, and what is new is appended.  The
+index is found by its path, in whatever session; it grows to more buckets with its rows.
 
 Defined cases: a null text is an empty text; of repeated rows with one id one row stays; rows with a null
-id sort after all others of their group; an empty batch appends nothing; other columns are left alone.
+id sort after all others of their group; an empty batch appends nothing; other columns are left alone,
+whatever their names.  On a kept index a text of an earlier call has that call's keep_id and none of its new
+rows stays, whatever their ids; group_size counts the rows of the call at hand.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremorlake.llm.common import SPACE_CLASS, cut, fresh_name, gathered, table, text_of
+from tremorlake.llm.common import SPACE_CLASS, cut, fresh_name, gathered, own_folder, table, text_of
+
+#: Rows that a bucket of the index should hold; at four times as many it is written anew with more buckets.
+BUCKET_ROWS = 1_000_000
 
 
 def digest(text: str = "text") -> Column:
@@ -22,29 +30,80 @@ def digest(text: str = "text") -> Column:
 
 
 class DigestIndex:
-    """(digest, keep_id, keep_row), bucketed and sorted by digest in the warehouse."""
-
-    def __init__(self, spark: SparkSession, name: str, buckets: int = 16):
-        self.spark, self.name, self.buckets = spark, name, buckets
-
-    def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.name)
+    """(digest, keep_id, run, keep_row), bucketed and sorted by digest, in the folder buckets-<n> of its path."""
+
+    COLUMNS = "digest STRING, keep_id BIGINT, run STRING, keep_row BIGINT"
+
+    def __init__(self, spark: SparkSession, path: str, bucket_rows: int = BUCKET_ROWS):
+        self.spark, self.path, self.bucket_rows = spark, path.rstrip("/"), bucket_rows
+
+    def _files(self):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def buckets(self) -> int | None:
+        """How many there are; None before the first row."""
+        files, path = self._files()
+        if not files.exists(path):
+            return None
+        found = [int(x.getPath().getName()[8:]) for x in files.listStatus(path) if x.getPath().getName().startswith("buckets-")]
+        return max(found, default=None)
+
+    def _table(self, buckets: int) -> str:
+        """The catalog's name for the folder: an external table, so that dropping it leaves the files."""
+        folder = f"{self.path}/buckets-{buckets}"
+        name = f"digest_index_{hashlib.sha256(folder.encode()).hexdigest()[:16]}"
+        if self.spark.catalog.tableExists(name):
+            self.spark.catalog.refreshTable(name)
+        else:
+            self.spark.sql(f"CREATE TABLE {name} ({self.COLUMNS}) USING PARQUET CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{folder}'")
+        return name
 
     def read(self) -> DataFrame:
-        return self.spark.table(self.name)
+        n = self.buckets()
+        return self.spark.table(self._table(n)) if n else self.spark.createDataFrame([], self.COLUMNS)
+
+    def _write(self, rows: DataFrame, buckets: int) -> None:
+        ordered = rows.repartition(buckets, "digest").select("digest", "keep_id", "run", "keep_row")
+        name = self._table(buckets)
+        ordered.write.mode("append").bucketBy(buckets, "digest").sortBy("digest").option("path", f"{self.path}/buckets-{buckets}").saveAsTable(name, format="parquet")
+        self.spark.catalog.refreshTable(name)
 
-    def append(self, digests: DataFrame) -> None:
+    def append(self, digests: DataFrame, run: str) -> None:
         """digests: doc_id, row_id, digest.  Adds the digests that the index has not; the smallest (doc_id, row_id) stays."""
         # nulls sort first in a struct's minimum, so a flag puts them last
         order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_id")
         new = digests.groupBy("digest").agg(F.min(order).alias("first"))
-        new = new.select("digest", F.col("first.doc_id").alias("keep_id"), F.col("first.row_id").alias("keep_row"))
-        if self.exists():
-            new = new.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
-        new.write.mode("append").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name, format="parquet")
+        new = new.select("digest", F.col("first.doc_id").cast("long").alias("keep_id"), F.lit(run).alias("run"), F.col("first.row_id").alias("keep_row"))
+        now = self.buckets()
+        if now:
+            new = new.repartition(now, "digest").join(self.read().select("digest").hint("merge"), "digest", "left_anti")
+        # what is new is written down once: it is counted, and a failed append can be told from a whole one
+        new = cut(gathered(new))
+        added = new.count()
+        if not added and now:
+            return
+        rows = added + (self.read().count() if now else 0)
+        wanted = max(8, -(-rows // self.bucket_rows))
+        if now and wanted <= 4 * now:
+            self._write(new, now)
+        else:
+            wanted *= 2 if now else 1
+            self._write(self.read().unionByName(new) if now else new, wanted)
+            if now:
+                self._forget(now)
+
+    def _forget(self, buckets: int) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._table(buckets)}")
+        files, _ = self._files()
+        files.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/buckets-{buckets}"), True)
 
     def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        n = self.buckets()
+        if n:
+            self._forget(n)
+        files, path = self._files()
+        files.delete(path, True)
 
 
 def digested(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -52,14 +111,14 @@ def digested(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return cut(docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row_id"), digest(text_col).alias("digest")))
 
 
-def resolve(rows: DataFrame, index: DigestIndex) -> DataFrame:
+def resolve(rows: DataFrame, index: DigestIndex, run: str) -> DataFrame:
     """Each row with keep_id, group_size and kept.  The last join's large groups can be split by AQE: both sides are plain exchanges."""
     sizes = rows.groupBy("digest").agg(F.count("*").alias("group_size"))
     groups = sizes.join(index.read(), "digest")
     # the derived key makes both sides plain exchanges; a repartition would keep AQE from splitting
-    groups = groups.select(F.col("digest").alias("_digest"), F.crc32("digest").alias("_part"), "keep_id", "keep_row", "group_size")
+    groups = groups.select(F.col("digest").alias("_digest"), F.crc32("digest").alias("_part"), "keep_id", F.when(F.col("run") == run, F.col("keep_row")).alias("keep_row"), "group_size")
     both = rows.withColumn("part", F.crc32("digest")).join(groups, (F.col("part") == F.col("_part")) & (F.col("digest") == F.col("_digest")))
-    return both.withColumn("kept", F.col("row_id") == F.col("keep_row"))
+    return both.withColumn("kept", F.coalesce(F.col("row_id") == F.col("keep_row"), F.lit(False)))
 
 
 def split_in_batches(rows: DataFrame) -> list[DataFrame]:
@@ -71,19 +130,20 @@ def split_in_batches(rows: DataFrame) -> list[DataFrame]:
     return [rows.where(F.col("doc_id") <= middle), rows.where((F.col("doc_id") > middle) | F.col("doc_id").isNull())]
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index_name: str | None = None) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index_path: str | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row, dropped ones too.
 
-    With an index_name the index stays, and earlier runs' texts count; without one it is dropped in the end."""
+    With an index_path (in a store that all executors see) the index stays, and the texts of earlier calls count;
+    without one it is of this call alone and is deleted in the end."""
+    spark = docs.sparkSession
     rows = digested(docs, id_col, text_col)
-    index = DigestIndex(docs.sparkSession, index_name or fresh_name("digest_index"))
+    run = fresh_name("run")
+    index = DigestIndex(spark, index_path or f"{own_folder(spark)}/{fresh_name('digest_index')}", bucket_rows)
     for batch in split_in_batches(rows):
-        index.append(batch)
-    if not index.exists():
-        raise RuntimeError(f"index {index.name} was not written")
-    out = resolve(rows, index).select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
-    if index_name is None:
-        out = cut(gathered(out))
+        index.append(batch, run)
+    out = resolve(rows, index, run).select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+    out = cut(gathered(out))
+    if index_path is None:
         index.drop()
     return out
 
@@ -94,13 +154,13 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows that repeat both id and text are told apart by nothing else, so such a group is reduced by
     dropDuplicates, and only where there is one."""
     rows = exact_dedup(docs, id_col, text_col)
-    kept = rows.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
-    marked = docs.withColumn("__mark", digest(text_col))
-    out = marked.join(kept, marked["__mark"].eqNullSafe(kept["__digest"]) & marked[id_col].eqNullSafe(kept["__id"]), "left_semi")
+    kept = rows.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_digest"))
+    marked = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("own_id"), digest(text_col).alias("own_digest"))
+    out = marked.join(kept, (F.col("own_digest") == F.col("kept_digest")) & F.col("own_id").eqNullSafe(F.col("kept_id")), "left_semi")
     twice = rows.where(F.col("group_size") > 1).where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & ~F.col("kept")).limit(1)
     if not twice.isEmpty():
-        out = out.dropDuplicates([id_col, "__mark"])
-    return out.drop("__mark")
+        out = out.dropDuplicates(["own_id", "own_digest"])
+    return out.select("doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
