@@ -1,8 +1,8 @@
 """Packing: documents into sequences of fixed length, first-fit decreasing over a tournament tree.
 
 A document's tokens are cut at multiples of the sequence length; whole pieces fill sequences of their own and
-the rest of each document is packed.  Documents are dealt at random (by hash) into groups of a bounded
-expected size and every group is packed on its own, so no task sees more than its group.  Only lengths and
+the rest of each document is packed.  Rows are dealt at random (by hash of id and place, so equal rows part)
+into groups of a bounded expected size and every group is packed on its own, so no task sees more than that.  Only lengths and
 checksums are shuffled, never ids.
 
 Defined cases: null or empty text is the end token alone; repeated rows are packed each on their own; a null
@@ -122,7 +122,7 @@ def pack(docs: DataFrame, size: int = SEQUENCE, docs_per_group: int = DOCS_PER_G
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
     groups = max(1, -(-docs.count() // docs_per_group))
     dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    dealt = dealt.withColumn("deal", F.pmod(F.xxhash64(F.lit("deal"), "doc_id", "text"), F.lit(groups)))
+    dealt = dealt.withColumn("deal", F.pmod(F.xxhash64(F.lit("deal"), "doc_id", F.monotonically_increasing_id()), F.lit(groups)))
 
     def fill(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc_id", "start", "ids_crc32", "length"], kind="stable")
