@@ -17,7 +17,7 @@ So a group of thousands of near copies costs a few comparisons a member, not all
 gathered in a task: tiles are joined, and AQE splits large ones.
 
 Defined cases: null or empty text and text without words has an empty set and links with nothing; rows with
-one id count as one document; rows with a null id take the component of an equal text with an id, else null;
+one id are judged each by its own text; rows with a null id take the component of an equal text with an id, else null;
 an empty table gives none; other columns are left alone.
 """
 
@@ -36,12 +36,12 @@ from tremorlake.llm.components import connected_components
 from tremorlake.llm.shingles import in_slices, mix, shingle_sets
 
 #: Shingles whose frequency is known when prefixes are ordered.  It bounds a table, not the result.
-FREQUENT = 1 << 17
+FREQUENT = 1 << 15
 #: Shingles of different sets that are counted together, and the least count that is passed on.
-SLICE, LEAST = 4_000_000, 2
+SLICE, LEAST = 2_000_000, 2
 #: Longs of the bitmap of a set of n shingles: a power of two, two bits a shingle, within these bounds.
 SIGNATURE_WORDS = (4, 256)
-FACTS = "frequent boolean, doc_id string, k1 long, k2 long, n long, signature array<long>"
+FACTS = "frequent boolean, doc_id string, mark long, k1 long, k2 long, n long, signature array<long>"
 TILES = "tile long, k1 long, k2 long, n long, pos int, low boolean"
 
 
@@ -76,25 +76,25 @@ def facts_of(docs: DataFrame, k: int) -> DataFrame:
             first = np.flatnonzero(np.concatenate([[True], all_of[1:] != all_of[:-1]]))
             n = np.diff(np.append(first, len(all_of)))
             found, n = all_of[first[n >= LEAST]], n[n >= LEAST]
-            return pd.DataFrame({"frequent": True, "doc_id": None, "k1": found.view(np.int64), "k2": 0, "n": n, "signature": None})
+            return pd.DataFrame({"frequent": True, "doc_id": None, "mark": 0, "k1": found.view(np.int64), "k2": 0, "n": n, "signature": None})
 
         for batch in batches:
             for at, texts in in_slices(batch["text"].tolist()):
                 rows = []
                 for i, hashes in enumerate(shingle_sets(texts, k)):
                     key = set_key(hashes)
-                    rows.append((False, batch["doc_id"].iloc[at + i], *key, len(hashes), signature(hashes)))
+                    rows.append((False, batch["doc_id"].iloc[at + i], batch["mark"].iloc[at + i], *key, len(hashes), signature(hashes)))
                     if key not in pending:  # copies count once
                         pending[key] = hashes
                         size += len(hashes)
-                yield pd.DataFrame(rows, columns=["frequent", "doc_id", "k1", "k2", "n", "signature"])
+                yield pd.DataFrame(rows, columns=["frequent", "doc_id", "mark", "k1", "k2", "n", "signature"])
                 if size >= SLICE:
                     yield counted()
                     size = 0
         if pending:
             yield counted()
 
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
     return written(rows.mapInPandas(scan, FACTS), "shingle_facts")
 
 
@@ -199,15 +199,15 @@ def may_link(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 def linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """a, b of the pairs whose sets link, by intersection of their sorted arrays."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    ids = cut(gathered(ids.join(sets.select("id", "k1", "k2"), "id")))
-    marks, bits = bitmap_subquery(ids.select(F.xxhash64("id").alias("h")))
-    texts = docs.where(possible(F.xxhash64("doc_id"), marks, bits)).join(ids, F.col("doc_id") == F.col("id")).select("id", "k1", "k2", "text")
+    ids = cut(gathered(ids.join(sets.select("id", "doc", "k1", "k2"), "id")))
+    marks, bits = bitmap_subquery(ids.select(F.xxhash64("doc").alias("h")))
+    texts = docs.where(possible(F.xxhash64("doc_id"), marks, bits)).join(ids, F.col("doc_id") == F.col("doc")).select("id", "k1", "k2", "text")
 
     def arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at, part in in_slices(batch["text"].tolist()):
                 own = batch.iloc[at : at + len(part)]
-                # of rows with one id the one whose set bears the id counts
+                # rows with one doc_id can have several sets
                 found = [(i, h.view(np.int64)) for i, k1, k2, h in zip(own["id"], own["k1"], own["k2"], shingle_sets(part, k), strict=True) if set_key(h) == (k1, k2)]
                 yield pd.DataFrame(found, columns=["id", "hashes"])
 
@@ -259,27 +259,53 @@ def links_of(met: DataFrame, docs: DataFrame, sets: DataFrame, k: int, num: int,
     return connected_components(links.unionByName(linked(more, docs, sets, k, num, den)))
 
 
-def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row; documents link when den * intersection >= num * union."""
+def marked_classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, mark (the text's hash), n_shingles, component_id of every row."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     facts = facts_of(docs, k)
     known, counts = frequent_shingles(facts)
-    rows = facts.where("not frequent").select(F.col("doc_id").cast("long").alias("doc_id"), "k1", "k2", "n", "signature")
-    sets = rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"))
-    sets = cut(gathered(sets.where("id is not null")))
+    rows = facts.where("not frequent").select(F.col("doc_id").cast("long").alias("doc_id"), "mark", "k1", "k2", "n", "signature")
+    sets = rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("doc"), F.first("signature").alias("signature"))
+    sets = cut(gathered(sets.where("doc is not null").withColumn("id", F.xxhash64("k1", "k2"))))
     met = shared_tiles(tiles_of(docs, k, num, den, known, counts), sets)
     now = links_of(met, docs, sets, k, num, den)
-    named = sets.join(now, F.col("id") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "id").alias("c"), F.xxhash64("k1", "k2").alias("j"))
-    own = rows.select("doc_id", "n", F.col("k1").alias("x1"), F.col("k2").alias("x2"), F.xxhash64("k1", "k2").alias("i"))
+    placed = sets.join(now, F.col("id") == F.col("node"), "left").select("k1", "k2", "doc", F.coalesce("component", "id").alias("of"))
+    # the derived keys make both sides plain exchanges, whose hot keys AQE can split
+    least = placed.groupBy("of").agg(F.min("doc").alias("c")).select(F.col("of").alias("_of"), "c", F.xxhash64("of").alias("_i"))
+    named = placed.withColumn("i", F.xxhash64("of")).join(least, (F.col("i") == F.col("_i")) & (F.col("of") == F.col("_of"))).select("k1", "k2", "c", F.xxhash64("k1", "k2").alias("j"))
+    own = rows.select("doc_id", "mark", "n", F.col("k1").alias("x1"), F.col("k2").alias("x2"), F.xxhash64("k1", "k2").alias("i"))
     out = own.join(named, (F.col("x1") == F.col("k1")) & (F.col("x2") == F.col("k2")) & (F.col("i") == F.col("j")), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "mark", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id of every row; documents link when den * intersection >= num * union."""
+    return marked_classes(docs, k, num, den, id_col, text_col).drop("mark")
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each class, that of the smallest id; all columns as they were.  Null ids stay."""
-    gone = jaccard_classes(docs, k, num, den, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """docs with one document of each class, that of the smallest id; all columns as they were.  Null ids stay.
+
+    A row goes by its id and its text, so another text under the same id stays."""
+    gone = marked_classes(docs, k, num, den, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct()
+    marked = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("own_id"), F.xxhash64(text_of(text_col)).alias("own_mark"))
+    return marked.join(gone, (F.col("own_id") == F.col("gone_id")) & (F.col("own_mark") == F.col("gone_mark")), "left_anti").select("doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"), k=3, num=9, den=10)
+
+
+#: All pairs that share a shingle, and what they reach.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[s : s + 2], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS s FROM w WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT x, y FROM c JOIN n i ON i.doc_id = x JOIN n j ON j.doc_id = y WHERE 100 * c >= 90 * (i.n + j.n - c)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m, w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS m FROM r GROUP BY x) USING (doc_id)
+"""

@@ -91,7 +91,7 @@ def shingle_sets(texts: list[str], k: int) -> Iterator[np.ndarray]:
         at += n
 
 
-def in_slices(texts: list[str], chars: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
+def in_slices(texts: list[str], chars: int = 400_000) -> Iterator[tuple[int, list[str]]]:
     """(first index, texts) with about that many characters, so that a batch of long documents stays small."""
     at, size = 0, 0
     for i, t in enumerate(texts):
