@@ -125,6 +125,7 @@ def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int =
         for g in sizes:
             part = occurrences(scanned, windows, g, window)
             places = part if places is None else places.unionByName(part)
+        places = cut(places)  # read twice
         spans = places.select("row_id", "first", "n").distinct().groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("spans"))
         start = F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).cast("long").alias("end"))
         step = lambda a, s: F.struct(
@@ -151,9 +152,9 @@ def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int =
 
 def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the contaminated rows; all columns as they were."""
-    bad = judge(docs, items, id_col=id_col, text_col=text_col).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__bad"))
-    marked = docs.withColumn("__mark", F.xxhash64(text_of(text_col)))
-    return marked.join(bad, (marked["__mark"] == bad["__bad"]) & marked[id_col].eqNullSafe(bad["__id"]), "left_anti").drop("__mark")
+    bad = judge(docs, items, id_col=id_col, text_col=text_col).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("mark").alias("bad_mark"))
+    marked = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("own_id"), F.xxhash64(text_of(text_col)).alias("own_mark"))
+    return marked.join(bad, (F.col("own_mark") == F.col("bad_mark")) & F.col("own_id").eqNullSafe(F.col("bad_id")), "left_anti").select("doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
