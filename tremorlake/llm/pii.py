@@ -1,16 +1,23 @@
 """Personal data: patterns propose spans, checksums confirm them, words nearby move their score.
 
-Kinds of the contract (email, ip, card, phone) are confirmed by their own rules and keep a sure score.
-Beyond them the method finds iban (mod 97 and the country's length are a sure sign) and tel, a national
-telephone number: digits in groups prove little, so it stands only where a word such as "phone" is near.
-
-Defined cases: null or empty text has no span; offsets are code points, end exclusive; equal rows are judged
-alike; an empty table gives none; other columns are not read.
+Kinds of the contract (email, ip, card, phone) are confirmed by their own rules and always stay; words nearby
+move their score only.  Beyond them the method finds
+  iban    an account number; mod 97 and the country's length weigh most,
+  tel     a national telephone number; digits in groups prove little, so it needs a word such as "phone",
+  ssn     a social security number, which needs its name nearby,
+  secret  a key, token or password: what is assigned to such a name, or has the form that an issuer gives it;
+          many different characters speak for it, words such as "checksum" against it.
+An added span stands where its score is at least a half: what the pattern is worth, plus what confirms it, plus
+or less what stands up to 40 characters before it.
+
+Defined cases: null or empty text has no span and score 0; offsets are code points, end exclusive; equal rows
+are judged alike; an empty table gives none; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -20,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tremorlake.llm.common import table, text_of
 
-KINDS = ("email", "ip", "card", "phone", "iban", "tel")
+KINDS = ("email", "ip", "card", "phone", "iban", "tel", "ssn", "secret")
 BASE = KINDS[:4]
 CONTEXT_CHARS = 40
 THRESHOLD = 0.5
@@ -57,9 +64,29 @@ IBAN_COUNTRIES = {
     33: "RU",
 }
 IBAN_LENGTHS = {c: n for n, countries in IBAN_COUNTRIES.items() for c in countries.split()}
-# Words that speak for a telephone number.
-TEL_WORDS = re.compile(r"\b(?:tel|telephone|phone|mobile|cell|call|fax|telefon|handy|anruf|téléphone|portable|appel|teléfono|móvil|llam\w*)\b", re.I)
-AGAINST = re.compile(r"\b(?:version|isbn|order|invoice|id|no|nr|serial)\b", re.I)
+SSN = re.compile(r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])")
+NAMED = re.compile(r"(?:api[_-]?key|access[_-]?key|private[_-]?key|secret|token|passwor[dt]|passwd|pwd|bearer|kennwort|contraseña|mot de passe)[\"']?[\x20\t]{0,3}[:=][\x20\t]{0,3}[\"']?([A-Za-z0-9+/_.~-]{8,}={0,2})", re.I)
+ISSUED = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,})(?![A-Za-z0-9])")
+
+# Words that speak for a kind, and words that speak against it.
+FOR = {
+    "email": re.compile(r"\b(?:e-?mail|mail|contact|write|correo|courriel|kontakt)\b", re.I),
+    "ip": re.compile(r"\b(?:ip|address|host|server|login|client|adresse|dirección)\b", re.I),
+    "card": re.compile(r"\b(?:card|visa|mastercard|amex|credit|payment|karte|carte|tarjeta)\b", re.I),
+    "phone": re.compile(r"\b(?:tel|telephone|phone|mobile|cell|call|fax|telefon|handy|anruf|téléphone|portable|appel|teléfono|móvil|llam\w*)\b", re.I),
+    "iban": re.compile(r"\b(?:iban|account|bank|konto|compte|cuenta|transfer)\b", re.I),
+    "ssn": re.compile(r"\b(?:ssn|social security)\b", re.I),
+    "secret": re.compile(r"\b(?:secret|credential|login|auth\w*|private|key)\b", re.I),
+}
+FOR["tel"] = FOR["phone"]
+AGAINST = {
+    "ip": re.compile(r"\b(?:version|release|section|chapter)\b", re.I),
+    "card": re.compile(r"\b(?:isbn|order|invoice|serial|tracking)\b", re.I),
+    "iban": re.compile(r"\b(?:order|serial|isbn|tracking)\b", re.I),
+    "tel": re.compile(r"\b(?:version|isbn|order|invoice|id|no|nr|serial)\b", re.I),
+    "ssn": re.compile(r"\b(?:isbn|order|invoice|serial|part)\b", re.I),
+    "secret": re.compile(r"\b(?:checksum|commit|sha-?256|md5|example|placeholder)\b", re.I),
+}
 
 
 def luhn(digits: str) -> bool:
@@ -112,11 +139,26 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def more_spans(text: str) -> list[tuple[int, int, int]]:
-    """iban and tel, by score: what the pattern is worth, plus the checksum, plus the context."""
-    out = []
-    if not DIGIT.search(text):
-        return out
+def entropy(value: str) -> float:
+    """Bits a character."""
+    n = len(value)
+    return -sum(c / n * math.log2(c / n) for c in (value.count(x) for x in set(value)))
+
+
+def context(text: str, start: int, kind: str) -> float:
+    """What the words before a span are worth to its kind."""
+    before = text[max(0, start - CONTEXT_CHARS) : start]
+    worth = FOR_WORTH.get(kind, 0.1) * bool(FOR[kind].search(before))
+    return worth - 0.3 * bool(kind in AGAINST and AGAINST[kind].search(before))
+
+
+#: What a word of its own is worth to kinds that little else confirms.
+FOR_WORTH = {"tel": 0.4, "ssn": 0.4}
+
+Scored = tuple[int, int, int, float]
+
+
+def ibans(text: str) -> Iterator[Scored]:
     m = IBAN.search(text)
     while m:
         # what is found may reach into the next number, so the search goes on behind the accepted span
@@ -128,17 +170,44 @@ def more_spans(text: str) -> list[tuple[int, int, int]]:
                 seen += text[end] != " "
                 end += 1
             compact = text[m.start() : end].replace(" ", "")
-            score = 0.1 + 0.8 * (len(compact) == length and mod97(compact) and not text[end : end + 1].isalnum())
+            sure = len(compact) == length and mod97(compact) and not text[end : end + 1].isalnum()
+            score = 0.1 + 0.75 * sure + context(text, m.start(), "iban")
             if score >= THRESHOLD:
-                out.append((m.start(), 4, end))
+                yield m.start(), KINDS.index("iban"), end, score
                 free = end
         m = IBAN.search(text, free)
+
+
+def secrets(text: str) -> Iterator[Scored]:
+    found: dict[int, tuple[int, float]] = {}
+    for m in NAMED.finditer(text):
+        value = m.group(1)
+        plain = not any(c.isdigit() for c in value)  # such as "password: required"
+        found[m.start(1)] = (m.end(1), 0.6 - 0.3 * plain)
+    for m in ISSUED.finditer(text):
+        found[m.start()] = (m.end(), 0.6)
+    for start, (end, worth) in sorted(found.items()):
+        value = text[start:end]
+        score = worth + 0.2 * (len(value) >= 16 and entropy(value) >= 3) + context(text, start, "secret")
+        if score >= THRESHOLD:
+            yield start, KINDS.index("secret"), end, score
+
+
+def more_spans(text: str) -> list[Scored]:
+    """Spans of the added kinds, with their scores."""
+    out = list(secrets(text))
+    if not DIGIT.search(text):
+        return out
+    out += ibans(text)
     for m in TEL.finditer(text):
         digits = sum(c.isdigit() for c in m.group())
-        before = text[max(0, m.start() - CONTEXT_CHARS) : m.start()]
-        score = 0.2 + 0.1 * (9 <= digits <= 12) + 0.4 * bool(TEL_WORDS.search(before)) - 0.3 * bool(AGAINST.search(before))
+        score = 0.2 + 0.1 * (9 <= digits <= 12) + context(text, m.start(), "tel")
+        if score >= THRESHOLD:
+            out.append((m.start(), KINDS.index("tel"), m.end(), score))
+    for m in SSN.finditer(text):
+        score = 0.2 + context(text, m.start(), "ssn")
         if score >= THRESHOLD:
-            out.append((m.start(), 5, m.end()))
+            out.append((m.start(), KINDS.index("ssn"), m.end(), score))
     return out
 
 
@@ -148,21 +217,27 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 def judge(text: str) -> tuple:
     base = base_spans(text)
+    more = more_spans(text)
     counts = [sum(k == kind for _, k, _ in base) for kind in range(len(BASE))]
-    return (*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + more_spans(text)))
+    scores = [0.8 + context(text, s, KINDS[k]) for s, k, _ in base] + [score for *_, score in more]
+    spans = base + [x[:3] for x in more]
+    return (*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans), min(1.0, max(scores, default=0.0)), bool(spans))
+
+
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, score double, found boolean"
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every row."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans, score (of the surest span), found of every row."""
+    names = [c.split()[0] for c in SCHEMA.split(", ")[1:]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            told = pd.DataFrame([judge(t) for t in batch["text"]], columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+            told = pd.DataFrame([judge(t) for t in batch["text"]], columns=names)
             told.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield told.astype({"doc_id": "Int64"})
 
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInPandas(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInPandas(run, SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
