@@ -1,16 +1,18 @@
 """Toxicity: a cascade of weighted finite-state transducers over clauses.
 
 Words become symbols (an insult of the learned lexicon, a threat, a target, a negation, a word of reported
-speech, a quote mark, anything else).  Five small transducers read them - negation, reported speech, insult,
-threat and target - and are composed into one deterministic table.  Running a clause through it gives counts
-of outputs (plain, targeted, negated and reported insults; threats), and a logistic model fitted on labelled
-documents weighs them: what is scored is the matched clause, not the word alone.
+speech, a quote mark, a clause's or a paragraph's end, anything else).  Five small transducers read them -
+negation, reported speech, insult, threat and target - and are composed into one deterministic table.  All but
+quotations end with the clause; those reach over clauses, up to the paragraph's end.  Running a paragraph
+through the table gives counts of outputs (plain, targeted, negated and reported insults; threats), and a
+logistic model fitted on labelled documents weighs them: what is scored is the matched clause, not the word alone.
 
 The lexicon is learned: words and beginnings of words that stand in toxic training documents far more often
 than chance allows, near copies counted once.
 
 Defined cases: null or empty text gets the score of a text in which nothing matches; labels other than 0 and
-1, and labelled ids without a document, are not used; without any label the score is 0.5 of the prior; equal
+1, and labelled ids without a document, are not used; without any label no text is called
+toxic and all scores are 0.27; equal
 rows get equal scores; an empty table gives none; other columns are not read.
 """
 
@@ -37,17 +39,18 @@ PREFIXES = (4, 5, 6)
 THRESHOLD = 0.5
 
 # Closed classes of words in four languages.
-TARGETS = frozenset("you your yours u they them he she him her all du dich dir ihr euch sie tu te toi vous votre ton tú ti usted ustedes vosotros te".split())
+TARGETS = frozenset("you your yours u they them he she him her du dich dir ihr euch sie tu te toi vous votre ton tú ti usted ustedes vosotros te".split())
 NEGATIONS = frozenset("not no never isn't aren't nicht kein keine nie ne pas jamais nunca jamás".split())
 REPORTS = frozenset("said says wrote reported quoted called claims claimed sagte schrieb dit écrit dijo escribió".split())
 THREATS = frozenset("kill hurt destroy attack beat shoot stab burn töte töten schlage tuer frapper matar golpear".split())
 
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-CLAUSE = re.compile(r"[.!?;:\n]+")
-PIECE = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”«»„]")
+PIECE = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”«»„]|[.!?;:]+")
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE = range(7)
-N_SYMBOLS = 7
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, OPEN, CLOSE, END = range(10)
+N_SYMBOLS = 10
+#: A straight mark opens or closes; the others do what they look like.
+MARKS = {'"': QUOTE, "“": OPEN, "„": OPEN, "«": OPEN, "”": CLOSE, "»": CLOSE}
 
 
 @dataclass
@@ -63,10 +66,10 @@ class Transducer:
 
 
 def countdown(trigger: int, reach: int, mark: str, on: tuple[int, ...]) -> Transducer:
-    """Marks the given symbols while within reach of the last trigger."""
+    """Marks the given symbols while within reach of the last trigger in the clause."""
     arcs = {}
     for state, symbol in itertools.product(range(reach + 1), range(N_SYMBOLS)):
-        after = reach if symbol == trigger else max(0, state - 1)
+        after = reach if symbol == trigger else 0 if symbol == END else max(0, state - 1)
         arcs[state, symbol] = (after, frozenset([mark]) if state and symbol in on else frozenset())
     return Transducer(0, arcs)
 
@@ -76,12 +79,22 @@ def negation() -> Transducer:
 
 
 def reported() -> Transducer:
-    """Inside quote marks, or after a verb of saying until the clause's end."""
+    """Inside quote marks, over clauses; or after a verb of saying until the clause's end."""
+    own, quoted, said = range(3)
     arcs = {}
-    for state, symbol in itertools.product(range(3), range(N_SYMBOLS)):  # 0 own speech, 1 quoted, 2 said
-        after = {0: 1, 1: 0, 2: 1}[state] if symbol == QUOTE else 2 if symbol == REPORT and state == 0 else state
-        arcs[state, symbol] = (after, frozenset(["reported"]) if state and symbol in (INSULT, THREAT) else frozenset())
-    return Transducer(0, arcs)
+    for state, symbol in itertools.product(range(3), range(N_SYMBOLS)):
+        if symbol == OPEN:
+            after = quoted
+        elif symbol == CLOSE:
+            after = own
+        elif symbol == QUOTE:
+            after = own if state == quoted else quoted
+        elif symbol == END:
+            after = quoted if state == quoted else own
+        else:
+            after = said if symbol == REPORT and state == own else state
+        arcs[state, symbol] = (after, frozenset(["reported"]) if state != own and symbol in (INSULT, THREAT) else frozenset())
+    return Transducer(own, arcs)
 
 
 def insult() -> Transducer:
@@ -152,7 +165,7 @@ class Grammar:
             return REPORT
         if word in TARGETS:
             return TARGET
-        return QUOTE if word in "\"“”«»„" else OTHER
+        return MARKS.get(word, END if word[0] in ".!?;:" else OTHER)
 
     def features(self, text: str) -> list[float]:
         lower = text.lower()
@@ -162,8 +175,8 @@ class Grammar:
         if not insults and not words & THREATS:
             return list(counts.values())
         matter = set(insults) | (words & THREATS)
-        for clause in CLAUSE.split(lower):
-            tokens = PIECE.findall(clause)
+        for paragraph in lower.split("\n"):
+            tokens = PIECE.findall(paragraph)
             if matter.isdisjoint(tokens):
                 continue
             state = self.start
@@ -238,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_c
 
     told = rows.select("text", "label").mapInPandas(of, "x array<double>, label int").toPandas()  # sample_rows rows
     if told.empty:
-        return Model(lexicon, [0.0] * len(FEATURES) + [0.0])
+        return Model(lexicon, [0.0] * len(FEATURES) + [-1.0])
     return Model(lexicon, fit_logistic(np.array(told["x"].tolist()), told["label"].to_numpy(float), penalty=0.5).tolist())
 
 
