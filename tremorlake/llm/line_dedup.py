@@ -3,7 +3,8 @@
 Each document gives its distinct line hashes once, so the count of rows per hash is the count of documents,
 and partial aggregation takes a very common line down to one row a task.  Positions of lines to drop are
 found by a join on the hash (both sides plain exchanges, so AQE can split a hot line), gathered per
-document, and the text is put together from the lines that stay, by position.
+document, and the text is put together from the lines that stay, by position.  Texts that lose no line don't
+take part in that last join.
 
 Defined cases: null or empty text is one empty line, which stays; a row is a document, so repeated rows
 count as often as they stand there; equal lines of one document count once; an empty table gives none; other
@@ -15,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tremorlake.llm.bitmaps import bitmap_subquery, possible
 from tremorlake.llm.common import SPACE_CHARS, ascii_lower, cut, table, text_of
 
 
@@ -45,16 +47,20 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, i
     """doc_id, n_lines, n_dropped, text (what stays) of every row."""
     # id and text's hash name a row; rows that have both alike have the same lines
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
-    gone = dropped_positions(rows, min_docs, min_chars).withColumnsRenamed({"id": "gone_id", "mark": "gone_mark"})
-    both = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("mark") == F.col("gone_mark")), "left")
+    gone = cut(dropped_positions(rows, min_docs, min_chars).select(F.col("id").alias("gone_id"), F.col("mark").alias("gone_mark"), "drop"))
+    marks, bits = bitmap_subquery(gone.select(F.col("gone_mark").alias("h")))
+    touched = possible(F.col("mark"), marks, bits)
+    both = rows.where(touched).join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("mark") == F.col("gone_mark")), "left")
     lines = F.split("text", "\n", -1)
     stay = F.filter(lines, lambda _, i: ~F.array_contains("drop", i))
-    return both.select(
+    changed = both.select(
         F.col("id").alias("doc_id"),
         F.size(lines).cast("long").alias("n_lines"),
         F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
         F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n")).alias("text"),
     )
+    same = rows.where(~touched).select(F.col("id").alias("doc_id"), F.size(lines).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), "text")
+    return changed.unionByName(same)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

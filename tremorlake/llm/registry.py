@@ -28,6 +28,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_dedup": exact_dedup.ORACLE,
         "op3_url_filter": url_filter.ORACLE,
+        "op5_jaccard_join": jaccard_join.ORACLE,
         "op6_decontaminate": decontaminate.ORACLE,
         "op9_suffix_dedup": suffix_dedup.ORACLE,
         "op10_line_dedup": line_dedup.ORACLE,
