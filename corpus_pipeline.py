@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tremorlake.llm import decontaminate, exact_dedup, jaccard_join, packing, toxicity
-from tremorlake.llm.common import table, written
+from tremorlake.llm.common import discard, own_folder, scratch, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -53,7 +53,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents.  A corpus is deleted once the next one is written, as is what a stage wrote down.
+
+    Defined cases are those of the stages: null texts are empty ones, of repeated rows one stays, rows with a
+    null id stay unless their text goes, and an empty table gives no piece."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    folder = own_folder(spark)
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), name, folder)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
