@@ -155,3 +155,40 @@ def test_stitches_reach_the_last_vector_and_show_a_hole(spark, tmp_path):
     want = {k: there[k * 97 : k * 97 + 100].sum() for k in range(-(-len(there) // 97))}
     assert {k: r["n"] for k, r in got.items()} == {k: n for k, n in want.items() if n}
     assert [k for k in sorted(got) if not got[k]["complete"]] == [k for k in want if want[k] < 100]
+
+
+def choose(available, plan, seed):
+    """Family quotas one time after the other."""
+    import hashlib
+
+    draw = lambda k: hashlib.md5(f"{seed}:{k}".encode()).hexdigest()
+    lists = {f: sorted({k for g, k in available if g == f}, key=lambda k: (draw(k), k)) for f in plan}
+    want, used, out = sum(plan.values()), set(), []
+    for f in sorted(plan, key=lambda f: (len(lists[f]), f)):
+        for k in [k for k in lists[f] if k not in used][: min(plan[f], want - len(out))]:
+            used.add(k)
+            out.append((f, k))
+    moved = True
+    while len(out) < want and moved:
+        moved = False
+        for f in plan:
+            rest = [k for k in lists[f] if k not in used]
+            if rest and len(out) < want:
+                used.add(rest[0])
+                out.append((f, rest[0]))
+                moved = True
+    pool = sorted(used)
+    of = {k: f for f, k in out}
+    for i in range(want - len(out) if pool else 0):
+        k = pool[int(hashlib.md5(f"{seed}:again:{i}".encode()).hexdigest(), 16) % len(pool)]
+        out.append((of[k], k))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("plan", [{"a": 3, "b": 2}, {"a": 4, "b": 30, "c": 3}, {"a": 100, "b": 1, "z": 5}, {"z": 4}, {"a": 0}])
+def test_family_quotas_fill_up_in_turn_and_then_again(spark, plan):
+    from tremorlake.operators import sampling
+
+    rows = [("a", k) for k in range(10)] + [("b", k) for k in range(5, 30)] + [("c", k) for k in (1, 2, 40)] + [("a", 3)]
+    got = sampling.family_quotas(spark.createDataFrame(rows, "family string, time_us long"), plan, "family", "time_us", 7)
+    assert sorted((r["family"], r["time_us"]) for r in got.collect()) == choose(rows, plan, 7)

@@ -4,6 +4,7 @@ Draws are by hash of (seed, key), so a sample is the same in every run and on ev
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -58,16 +59,46 @@ def round_robin(df: DataFrame, stratum: Sequence[str], key: str, count: int, see
 
 
 def family_quotas(available: DataFrame, plan: dict[str, int], family: str, key: str, seed: int = 0) -> DataFrame:
-    """Every family its quota of times, none used twice, the scarcest family first.
-
-    Each choice depends on the ones before it; the plan lists a few families, and a choice is one anti-join
-    and one top-k, so times never come to the driver."""
-    sizes = {r[0]: r[1] for r in available.groupBy(family).agg(F.count("*").alias("n")).collect()}  # a row a family
-    chosen = available.limit(0)
-    for name in sorted(plan, key=lambda f: (sizes.get(f, 0) - plan[f], f)):
-        free = available.where(F.col(family) == name).join(chosen.select(key), key, "left_anti")
-        chosen = chosen.unionByName(free.orderBy(draw(key, seed=seed), key).limit(plan[name]).select(*available.columns))
-    return chosen
+    """As many rows as the plan's quotas sum to: every family its quota of times, none used twice, the scarcest
+    family first; then, while some are missing, one of each family in turn; and then, if all times are used, draws
+    from all of them with replacement.  family is the one that a time was taken for.
+
+    Each choice depends on the ones before it.  A family can give no more than the whole plan, so only its first
+    2 x plan times by their draw take part, and the choice itself is of the plan's size and not the data's."""
+    want = sum(plan.values())
+    if not want:
+        return available.limit(0)
+    rank = F.row_number().over(Window.partitionBy(family).orderBy(draw(key, seed=seed), key))
+    distinct = available.where(F.col(family).isin(list(plan))).dropDuplicates([family, key])
+    sizes = {r[0]: r[1] for r in distinct.groupBy(family).agg(F.count("*").alias("n")).collect()}  # a row a family
+    first = distinct.select(family, key, rank.alias("__r")).where(F.col("__r") <= 2 * want).collect()  # 2 x plan rows a family
+    queue: dict[str, list] = {f: [] for f in plan}
+    for f, k, _ in sorted(first, key=lambda r: r["__r"]):
+        queue[f].append(k)
+    used: dict[object, str] = {}
+
+    def take(f: str) -> bool:
+        while queue[f]:
+            k = queue[f].pop(0)
+            if k not in used:
+                used[k] = f
+                return True
+        return False
+
+    for f in sorted(plan, key=lambda f: (sizes.get(f, 0), f)):
+        for _ in range(plan[f]):
+            if len(used) < want:
+                take(f)
+    while len(used) < want and any([len(used) < want and take(f) for f in plan]):
+        pass
+    picks = [(f, k, 0) for k, f in used.items()]
+    pool = sorted(used)  # everything that there is, if any is missing
+    for i in range(want - len(picks) if pool else 0):
+        k = pool[int(hashlib.md5(f"{seed}:again:{i}".encode()).hexdigest(), 16) % len(pool)]
+        picks.append((used[k], k, i + 1))
+    kinds = dict(available.dtypes)
+    chosen = available.sparkSession.createDataFrame(picks, f"__f {kinds[family]}, __k {kinds[key]}, __copy int")
+    return distinct.join(F.broadcast(chosen), (F.col(family) == F.col("__f")) & (F.col(key) == F.col("__k"))).select(*available.columns)  # the plan's size
 
 
 def check_plan(plan: DataFrame, kinds: DataFrame) -> DataFrame:

@@ -27,12 +27,7 @@ def target_sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def required_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of three tenths of the sensors on a cable up to 500, as its SQL has it; all_required_channels takes the whole table."""
-    return spatial.required_channels(sensors(spark, sf_dir).where("data_channel % 10 < 3"), 4, 500)
-
-
-def all_required_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of all sensors; the cable ends at the last one."""
+    """The cable ends at the last sensor."""
     s = sensors(spark, sf_dir)
     return spatial.required_channels(s, 4, s.agg(F.max("data_channel")).first()[0] or 0)
 
@@ -100,24 +95,37 @@ def waveform_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.signatures(waveform_detector(spark, sf_dir), blocks(spark, sf_dir), RULES)
 
 
-def multiscale_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sensor_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = detect.sensor_features(blocks(spark, sf_dir), cable(spark), RULES)
+    return f.select("file_name", "scale", "window", "channel", *[F.round(c, 6).alias(c) for c in (*detect.FEATURES, "support")])
+
+
+TASK_RULES = features.FeatureRules(scales=(0.25, 0.5), context=1.0, edge=0.25, search=0.2, low=1.0, high=32.0, bands=6)
+
+
+def task_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("channel")
     role = F.when(c.between(4, 6), "gauge").when(c > 13, "control").otherwise("distant")
-    tasks = blocks(spark, sf_dir).select(F.col("file_name").alias("task_id"), "channel", role.alias("role"), "fs", F.lit(-0.5).alias("first_s"), "samples")
-    return features.extract(tasks, features.FeatureRules(scales=(0.25, 0.5), context=1.0, edge=0.25, search=0.2, low=1.0, high=32.0, bands=6))
+    return blocks(spark, sf_dir).select(F.col("file_name").alias("task_id"), "channel", role.alias("role"), "fs", F.lit(-0.5).alias("first_s"), "samples")
+
+
+def task_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = features.best_windows(features.channel_gains(task_samples(spark, sf_dir), TASK_RULES))
+    return best.select("task_id", "scale", "offset", "low", "high", *[F.round(c, 6).alias(c) for c in ("local_gain", "nonlocal_gain", "control_gain", "support")])
+
+
+def multiscale_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.extract(task_samples(spark, sf_dir), TASK_RULES)
 
 
-QUERIES = {f.__name__: f for f in (target_sensors, required_channels, all_required_channels, attached_layout, final_cutoff, located_files, interval_gaps, window_levels, waveform_detector, waveform_signatures, multiscale_features)}
+QUERIES = {f.__name__: f for f in (target_sensors, required_channels, attached_layout, final_cutoff, located_files, interval_gaps, window_levels, sensor_features, waveform_detector, waveform_signatures, task_windows, multiscale_features)}
 
 SENSORS = """sensors AS (SELECT node AS data_channel, geometry_type, burial_depth_cm,
     CASE WHEN node % 9 = 0 THEN 'leadin_control' WHEN node % 7 = 0 THEN 'deep_ring_unit' ELSE 'target' END AS analysis_role FROM nodes)"""
 
 ORACLES = {
     "target_sensors": f"WITH {NODES}, {SENSORS} SELECT data_channel, geometry_type, burial_depth_cm FROM sensors WHERE analysis_role NOT LIKE '%control%' AND burial_depth_cm IN (2, 20, 80)",
-    "required_channels": f"""WITH {NODES}, {SENSORS}, s AS (SELECT * FROM sensors WHERE data_channel % 10 < 3)
-    SELECT data_channel FROM s WHERE analysis_role LIKE '%control%'
-    UNION SELECT unnest(range(greatest(data_channel - 4, 0), least(data_channel + 4, 500) + 1)) FROM s WHERE analysis_role NOT LIKE '%control%'""",
-    "all_required_channels": f"""WITH {NODES}, {SENSORS}
+    "required_channels": f"""WITH {NODES}, {SENSORS}
     SELECT data_channel FROM sensors WHERE analysis_role LIKE '%control%'
     UNION SELECT unnest(range(greatest(data_channel - 4, 0), least(data_channel + 4, (SELECT max(data_channel) FROM sensors)) + 1)) FROM sensors WHERE analysis_role NOT LIKE '%control%'""",
     "attached_layout": f"""WITH {DAS} SELECT 'sensor_known' AS "check", CAST(0 AS BIGINT) AS violations UNION ALL SELECT 'place_agrees', count(*) FILTER (WHERE event_id % 100 = 0) FROM das""",
@@ -128,4 +136,25 @@ ORACLES = {
     "window_levels": """WITH w AS (SELECT 'f' || (vec_id // 16) AS file_name, vec_id % 16 AS channel, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
     l AS (SELECT file_name, channel, i, x[i + 1] - list_median(x) AS v FROM w, range(64) t(i)), s(scale, width, step, n) AS (VALUES (0, 16, 4, 13), (1, 32, 8, 5))
     SELECT file_name, channel, scale, CAST(k AS INT) AS "window", round(sqrt(avg(v * v)), 6) AS level FROM l, s, range(13) t(k) WHERE k < n AND i >= k * step AND i < k * step + width GROUP BY ALL""".replace("list_median(x)", "list_aggregate(x, 'median')"),
+    "sensor_features": """WITH w AS (SELECT 'f' || (vec_id // 16) AS file_name, vec_id % 16 AS channel, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+    v AS (SELECT file_name, channel, i, x[i + 1] - list_aggregate(x, 'median') AS v FROM w, range(64) t(i)), s(scale, width, step, n) AS (VALUES (0.25, 16, 4, 13), (0.5, 32, 8, 5)),
+    l AS MATERIALIZED (SELECT file_name, channel, scale, CAST(k AS INT) AS "window", sqrt(avg(v * v)) AS level FROM v, s, range(13) t(k) WHERE k < n AND i >= k * step AND i < k * step + width GROUP BY ALL),
+    g AS MATERIALIZED (SELECT l.file_name, l.scale, l."window", t.c AS channel, list(level) AS own, median(level) AS local FROM l JOIN range(14) t(c) ON abs(l.channel - t.c) <= 1 GROUP BY ALL),
+    d AS (SELECT g.file_name, g.scale, g."window", t.c AS channel, median(local) AS distant FROM g JOIN range(14) t(c) ON g.channel % 2 = t.c % 2 AND abs(g.channel - t.c) > 2 GROUP BY ALL),
+    q AS (SELECT file_name, scale, "window", median(level) AS quiet FROM l WHERE channel > 13 GROUP BY ALL)
+    SELECT file_name, CAST(scale AS DOUBLE) AS scale, "window", channel, round(ln(local), 6) AS log_local, round(ln(local / distant), 6) AS locality, round(ln(local / quiet), 6) AS local_control,
+      round(len(list_filter(own, x -> x > 1.1 * distant)) / len(own), 6) AS support
+    FROM g JOIN d USING (file_name, scale, "window", channel) JOIN q USING (file_name, scale, "window")""",
+    "task_windows": """WITH w AS (SELECT 'f' || (vec_id // 16) AS task_id, vec_id % 16 AS channel, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+    v AS (SELECT task_id, channel, CASE WHEN channel BETWEEN 4 AND 6 THEN 'gauge' WHEN channel > 13 THEN 'control' ELSE 'distant' END AS role, i, -0.5 + i / 64.0::DOUBLE AS t,
+      x[i + 1] - list_aggregate(x, 'median') AS v FROM w, range(64) r(i)),
+    c AS (SELECT task_id, channel, sqrt(avg(v * v) + 1e-20) AS calm FROM v WHERE abs(t) >= 0.25 GROUP BY ALL),
+    o(scale, "offset", half, o) AS (SELECT 0, k, 0.125::DOUBLE, -0.2::DOUBLE + k * 0.0625::DOUBLE FROM range(7) r(k) UNION ALL SELECT 1, k, 0.25::DOUBLE, -0.2::DOUBLE + k * 0.125::DOUBLE FROM range(4) r(k)),
+    g AS (SELECT task_id, channel, role, scale, "offset", min(i) AS low, max(i) + 1 AS high, ln(greatest(sqrt(avg(v * v) + 1e-20) / any_value(calm), 1e-12)) AS gain
+      FROM v JOIN c USING (task_id, channel), o WHERE t >= o - half AND t < o + half GROUP BY ALL HAVING count(*) >= CASE scale WHEN 0 THEN 16 ELSE 26 END),
+    m AS (SELECT task_id, scale, "offset", low, high, median(gain) FILTER (WHERE role = 'gauge') AS l, coalesce(median(gain) FILTER (WHERE role = 'distant'), 0) AS f, median(gain) FILTER (WHERE role = 'control') AS q,
+      list(gain) FILTER (WHERE role = 'gauge') AS own, list(gain) FILTER (WHERE role = 'distant') AS others FROM g GROUP BY ALL HAVING l IS NOT NULL),
+    b AS (SELECT *, row_number() OVER (PARTITION BY task_id, scale ORDER BY l + 0.5 * greatest(l - f, 0) DESC, "offset") AS r, list_aggregate(list_transform(others, x -> abs(x - f)), 'median') AS mad FROM m)
+    SELECT task_id, scale, CAST("offset" AS INT) AS "offset", CAST(low AS INT) AS low, CAST(high AS INT) AS high, round(l, 6) AS local_gain, round(f, 6) AS nonlocal_gain, round(q, 6) AS control_gain,
+      round(len(list_filter(own, x -> x > f + greatest(1.4826 * coalesce(mad, 0), 0.05))) / len(own), 6) AS support FROM b WHERE r = 1""",
 }
