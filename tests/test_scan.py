@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tremorlake.operators import inference, spatial, temporal
@@ -128,7 +129,7 @@ def test_targets_beyond_the_cable_ask_for_no_channel(spark):
 
 def test_required_channels_of_a_whole_long_cable(spark, tmp_path):
     spark.sql("SELECT id AS event_id, timestamp_ntz'2024-01-03 00:00:00' AS ts, id * 8 AS user_id, 'view' AS event_type, 1.0D AS value FROM range(120)").write.parquet(str(tmp_path / "events.parquet"))
-    got = {r[0] for r in waveforms.QUERIES["all_required_channels"](spark, str(tmp_path)).collect()}
+    got = {r[0] for r in waveforms.QUERIES["required_channels"](spark, str(tmp_path)).collect()}
     controls = {n for n in range(0, 953, 8) if n % 9 == 0}
     targets = {n for n in range(0, 953, 8) if n % 9}
     assert got == controls | {c for n in targets for c in range(max(0, n - 4), min(n + 4, 952) + 1)}
@@ -138,7 +139,7 @@ def test_components_of_the_whole_radius_graph(spark, tmp_path):
     """Nodes 0 to 6 in a row, 40 alone, 94 and 95 together: every fifth one keeps its links."""
     ids = ", ".join(f"({i}L)" for i in [*range(7), 40, 94, 95])
     spark.sql(f"SELECT n AS event_id, timestamp_ntz'2024-01-03 00:00:00' AS ts, n AS user_id, 'view' AS event_type, 1.0D AS value FROM VALUES {ids} AS t(n)").write.parquet(str(tmp_path / "events.parquet"))
-    got = {tuple(r) for r in time_space.QUERIES["all_graph_components"](spark, str(tmp_path)).collect()}
+    got = {tuple(r) for r in time_space.QUERIES["graph_components"](spark, str(tmp_path)).collect()}
     assert got == {(0, 7), (40, 1), (94, 2)}
 
 
@@ -163,3 +164,100 @@ def test_null_statistics_equal_the_long_form(spark):
     a = sorted(tuple(r) for r in inference.null_statistics(scores).collect())
     b = sorted(tuple(r) for r in inference.null_summary(inference.long_scores(scores)).collect())
     assert np.allclose(a, b)
+
+
+@pytest.mark.parametrize("kind", ["linear", "higher"])
+def test_quantiles_by_brackets_are_exact(spark, kind):
+    from tremorlake.operators.robust import exact_quantile
+
+    rng = np.random.default_rng(8)
+    groups = {"large": rng.normal(size=30_000), "ties": np.repeat([1.0, 2.0, 7.0], [9000, 500, 9000]), "skew": np.exp(rng.normal(size=9000) * 9), "one": np.array([3.0]), "two": np.array([3.0, 8.0]), "few": rng.normal(size=7)}
+    rows = pd.DataFrame([(g, v) for g, values in groups.items() for v in rng.permutation(values)], columns=["g", "v"])
+    df = spark.createDataFrame(rows).unionByName(spark.createDataFrame([("few", None), ("none", None), ("few", float("nan"))], "g string, v double")).repartition(6)
+    for q in (0.0, 0.3, 0.5, 0.995, 1.0):
+        got = {r["g"]: r["x"] for r in exact_quantile(df, ["g"], "v", q, "x", kind).collect()}
+        want = {g: float(np.quantile(v, q, method=kind)) for g, v in groups.items()}
+        assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g], rel=1e-12) for g in want), q
+    whole = np.concatenate(list(groups.values()))
+    assert exact_quantile(df, [], "v", 0.5, "x", kind).first()[0] == pytest.approx(np.quantile(whole, 0.5, method=kind))
+    assert exact_quantile(df.limit(0), ["g"], "v", 0.5, "x", kind).count() == 0
+
+
+def test_numbers_by_ranges(spark):
+    from tremorlake.operators.temporal import numbered
+
+    df = spark.range(5000).selectExpr("id", "pmod(xxhash64(id), 700) AS t").repartition(7)
+    got = numbered(df, ["t", "id"], "i").orderBy("i").collect()
+    assert [r["i"] for r in got] == list(range(5000)) and [(r["t"], r["id"]) for r in got] == sorted((r["t"], r["id"]) for r in got)
+    assert numbered(df.limit(0), ["t"], "i").count() == 0
+
+
+def test_files_are_located_as_the_last_that_starts_before(spark):
+    from tremorlake.sources import tables
+
+    rng = np.random.default_rng(3)
+    starts = sorted(int(v) for v in rng.integers(0, 50_000, 60)) + [10, 10]
+    files = spark.createDataFrame([(s * 10**9, f"f{i:02d}") for i, s in enumerate(starts)], "start_ns long, file_name string")
+    times = [int(v) for v in rng.integers(-500, 52_000, 800) * 10**9] + [s * 10**9 for s in starts]
+    got = {(r["time_ns"], r["file_name"]) for r in tables.locate(spark.createDataFrame([(t,) for t in times], "time_ns long"), files, limit_s=600.05).collect()}
+    want = set()
+    for t in times:
+        best = max(((s * 10**9, f"f{i:02d}") for i, s in enumerate(starts) if s * 10**9 <= t), default=None)
+        want.add((t, best[1] if best and t - best[0] < 600.05e9 else None))
+    assert got == want
+
+
+def test_neighbours_in_blocks_equal_all_distances(spark, monkeypatch):
+    from tremorlake.operators import screening
+
+    monkeypatch.setattr(screening, "BLOCK", 30)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=3).round(1).tolist(), "ab"[i % 2]) for i in range(100)]
+    df = spark.createDataFrame(rows, "key long, vector array<double>, label string")
+    x = np.array([r[1] for r in rows])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    got = {r["key"]: r["distances"] for r in screening.knn(df, df, 5).collect()}
+    np.fill_diagonal(d, np.inf)
+    assert all(np.allclose(got[i], np.sort(d[i])[:5]) for i in range(100))
+    each = {(r["key"], r["label"]): r["distances"] for r in screening.knn(df, df, 4, per_label=True).collect()}
+    assert len(each) == 200 and all(np.allclose(each[i, c], np.sort(d[i][[j for j in range(100) if "ab"[j % 2] == c]])[:4]) for i in range(100) for c in "ab")
+    assert screening.knn(df, df.limit(0), 5).count() == 0
+
+
+def test_greedy_split_of_a_long_component(spark):
+    from tremorlake.operators import merge
+
+    rng = np.random.default_rng(6)
+    rules = merge.MergeRules(span=50, channel_span=4)
+    rows, t = [], 0
+    for i in range(400):
+        t += int(rng.choice([0, 3, 10, 200]))
+        rows.append((i, i % 3, t, t - int(rng.integers(0, 9)), t + int(rng.integers(0, 30)), int(rng.integers(0, 7))))
+    got = merge.greedy_split(spark.createDataFrame(rows, "key long, component long, peak_us long, start_us long, end_us long, channel long"), rules).collect()
+    want, part = {}, 0
+    for c in range(3):
+        box = None
+        for k, _, _, s, e, ch in sorted((r for r in rows if r[1] == c), key=lambda r: (r[2], r[0])):
+            new = (min(box[0], s), max(box[1], e), min(box[2], ch), max(box[3], ch)) if box else (s, e, ch, ch)
+            if box is None or new[1] - new[0] > 50 or new[3] - new[2] > 4:
+                part, new = part + 1, (s, e, ch, ch)
+            box = new
+            want[k] = part
+    parts = lambda m: sorted(sorted(k for k in m if m[k] == v) for v in set(m.values()))
+    assert parts({r["key"]: (r["component"], r["part"]) for r in got}) == parts(want)
+
+
+def test_large_groups_give_the_same_scales(spark, monkeypatch):
+    from tremorlake.operators import robust
+
+    df = spark.range(6000).selectExpr("id % 3 AS g", "CAST(pmod(xxhash64(id), 997) AS DOUBLE) / 7 AS v")
+    def all_of():
+        scale = sorted(tuple(r) for r in robust.robust_scale(df, ["g"], "v").collect())
+        z = sorted(tuple(r) for r in robust.robust_z(df, ["g"], "v", "z").collect())
+        high = sorted(tuple(r) for r in robust.quantile_higher(df, ["g"], "v", 0.95, "h").collect())
+        filled = robust.impute_median(df.selectExpr("IF(v < 1, NULL, v) AS v"), ["v"]).selectExpr("sum(v)").first()[0]
+        return [*scale, *z, *high, (filled,)]
+
+    want = all_of()
+    monkeypatch.setattr(robust, "LARGE", 100)
+    assert np.allclose(np.concatenate([np.array(r, float) for r in all_of()]), np.concatenate([np.array(r, float) for r in want]))

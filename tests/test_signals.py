@@ -131,7 +131,7 @@ def test_streams(spark, tmp_path):
 def test_feature_tasks_hold_every_candidate(spark, tmp_path):
     e = spark.range(230).selectExpr("id AS event_id", "timestamp_ntz'2024-01-03 00:00:00' + make_dt_interval(0, 0, id) AS ts", "id % 7 AS user_id", "'view' AS event_type", "1.0D AS value")
     e.write.parquet(str(tmp_path / "events.parquet"))
-    got = {r["task_class"]: (r["n"], r["ids"]) for r in signals.QUERIES["all_feature_tasks"](spark, str(tmp_path)).collect()}
+    got = {r["task_class"]: (r["n"], r["ids"]) for r in signals.QUERIES["feature_tasks"](spark, str(tmp_path)).collect()}
     assert got["candidate"] == (230, 230)
     assert sum(n for k, (n, _) in got.items() if k != "candidate") == 12 * 6
 
@@ -147,7 +147,7 @@ def test_a_limit_of_feature_tasks_is_an_even_sample(spark):
 def test_stitches_reach_the_last_vector_and_show_a_hole(spark, tmp_path):
     v = spark.range(600).where("id <> 300").selectExpr("id AS vec_id", "array_repeat(CAST(1 AS FLOAT), 64) AS embedding", "1 AS label")
     v.write.parquet(str(tmp_path / "embeddings.parquet"))
-    got = {r["request"]: r for r in signals.QUERIES["all_stitched_read"](spark, str(tmp_path)).collect()}
+    got = {r["request"]: r for r in signals.QUERIES["stitched_read"](spark, str(tmp_path)).collect()}
     there = np.zeros(599 * 56 + 64)
     for i in range(600):
         if i != 300:

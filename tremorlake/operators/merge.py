@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tremorlake.functions import correlation, js_distance
 from tremorlake.operators.graph import components
+from tremorlake.operators.temporal import numbered
 
 
 # Times in microseconds, channels, centimetres.
@@ -65,15 +66,16 @@ def greedy_split(placed: DataFrame, rules: MergeRules = MergeRules()) -> DataFra
     """Cuts each component, in peak order, wherever the next detection would make it too long or too wide.
 
     What is open depends on every earlier cut, so a component is one pass; partitions hold whole components in
-    order and are streamed through, with nothing kept but what is open."""
-
+    order and are streamed through, with nothing kept but what is open.  A detection that starts more than the
+    span behind the end of all before it is a cut whatever is open, so a component is parted there beforehand and
+    its stretches are passes of their own; the number of a part counts from its stretch."""
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, part = None, 0
         start = end = low = high = 0
         for batch in batches:
             parts = []
-            for component, s, e, c in zip(batch["component"], batch["start_us"], batch["end_us"], batch["channel"], strict=True):
-                if component != now:
+            for *component, s, e, c in zip(batch["component"], batch["stretch"], batch["start_us"], batch["end_us"], batch["channel"], strict=True):
+                if component != now:  # a component's stretch
                     now, part = component, 0
                     start, end, low, high = s, e, c, c
                 elif max(end, e) - min(start, s) > rules.span or max(high, c) - min(low, c) > rules.channel_span:
@@ -82,10 +84,14 @@ def greedy_split(placed: DataFrame, rules: MergeRules = MergeRules()) -> DataFra
                 else:
                     start, end, low, high = min(start, s), max(end, e), min(low, c), max(high, c)
                 parts.append(part)
-            yield pd.DataFrame({"key": batch["key"], "component": batch["component"], "part": parts})
+            yield pd.DataFrame({"key": batch["key"], "component": batch["component"], "stretch": batch["stretch"], "part": parts})
 
-    rows = placed.select("key", "component", "peak_us", "start_us", "end_us", "channel").repartition("component")
-    return rows.sortWithinPartitions("component", "peak_us", "key").mapInPandas(cut_up, "key long, component long, part int")
+    w = Window.partitionBy("component").orderBy("peak_us", "key")
+    ended = F.max("end_us").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = placed.select("key", "component", "peak_us", "start_us", "end_us", "channel", (F.col("start_us") - ended > rules.span).cast("long").alias("away"))
+    rows = rows.withColumn("stretch", F.coalesce(F.sum("away").over(w), F.lit(0))).drop("away").repartition("component", "stretch")
+    cuts = rows.sortWithinPartitions("component", "stretch", "peak_us", "key").mapInPandas(cut_up, "key long, component long, stretch long, part int")
+    return cuts.select("key", "component", (F.col("stretch") * (1 << 31) + F.col("part")).alias("part"))
 
 
 def merged_events(primitives: DataFrame, split: DataFrame) -> DataFrame:
@@ -126,4 +132,4 @@ def merge_in_batches(primitives: DataFrame, batch: int, halo: int, rules: MergeR
 
 def numbered_events(events: DataFrame, prefix: str, order: Sequence[str]) -> DataFrame:
     """Ids by time; a total order over all events is what the ids mean."""
-    return events.withColumn("event_id", F.format_string(f"{prefix}_%07d", F.row_number().over(Window.orderBy(*order))))
+    return numbered(events, order, "__i").withColumn("event_id", F.format_string(f"{prefix}_%07d", F.col("__i") + 1)).drop("__i")

@@ -96,7 +96,7 @@ def flag_channels(moments: DataFrame, file: str, limits: Limits = Limits()) -> D
 
 def classify(flagged: DataFrame, layout: DataFrame, file: str, channel: str, group: str, limits: Limits = Limits()) -> DataFrame:
     """HARD_BAD, REVIEW or PASS: hard faults, or an odd spread within the layout group of the file."""
-    full = flagged.join(F.broadcast(layout), channel)
+    full = flagged.join(layout, channel)
     z = robust_z(full, [file, group], "log_std", "group_z", limits.group)
     hard = _listed(
         (F.col("nonfinite_fraction") > limits.nonfinite, "NONFINITE"),
@@ -135,7 +135,7 @@ def channel_summary(classed: DataFrame, channel: str, stable: Column, limits: Li
 
 def group_summary(summary: DataFrame, layout: DataFrame, channel: str, group: str) -> DataFrame:
     bad = F.count_if("fixed_bad")
-    return summary.join(F.broadcast(layout), channel).groupBy(group).agg(F.count("*").alias("channels"), bad.alias("fixed_bad_channels"), (1 - bad / F.count("*")).alias("valid_rate"), F.median("median_rms").alias("median_rms"))
+    return summary.join(layout, channel).groupBy(group).agg(F.count("*").alias("channels"), bad.alias("fixed_bad_channels"), (1 - bad / F.count("*")).alias("valid_rate"), F.median("median_rms").alias("median_rms"))
 
 
 def file_summary(classed: DataFrame, file: str, structural: Column | None = None) -> DataFrame:

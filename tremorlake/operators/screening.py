@@ -2,63 +2,54 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: References that are broadcast at once; more are taken in blocks of this many.
-BLOCK = 100_000
+from tremorlake.operators.robust import exact_quantile
 
+#: References and queries of a pair of blocks that are compared in one task.
+BLOCK = 20_000
 
-def _blocks(reference: DataFrame, key: str, vector: str, label: str) -> Iterator[pd.DataFrame]:
-    """The reference sample in blocks that fit a broadcast, by hash of the key."""
-    rows = reference.select(F.col(key).alias("key"), F.col(vector).alias("vector"), F.col(label).alias("label"))
-    n = rows.count()
-    blocks = max(1, -(-n // BLOCK))
-    for b in range(blocks):
-        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b)
-        yield part.toPandas()
+
+def dealt(rows: DataFrame, blocks: int, others: int, own: str, other: str) -> DataFrame:
+    """Every row in its own block, once for each block of the other side."""
+    return rows.withColumn(own, F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
 
 
 def knn(queries: DataFrame, reference: DataFrame, k: int, key: str = "key", vector: str = "vector", label: str = "label", exclude_self: bool = True, per_label: bool = False) -> DataFrame:
     """key, label, distances: the k smallest Euclidean distances to the reference, or to each label of it.
 
-    References are a sample by design.  Blocks of them travel to the queries' partitions, where distances are
-    taken in float64; partial lists of k are merged by key, so any number of blocks is exact."""
-    out = None
-    for block in _blocks(reference, key, vector, label):
-        if not len(block):
-            continue
-        names = sorted(block["label"].unique().tolist()) if per_label else [None]
-        keys = block["key"].to_numpy()
-        points = np.array(block["vector"].tolist(), dtype=float)
-        labels = block["label"].to_numpy()
-
-        def search(batches: Iterator[pd.DataFrame], names=names, keys=keys, points=points, labels=labels) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                # differences of some rows with all points at once, in bounded memory
-                few = max(1, 8_000_000 // max(1, points.size))
-                for at in range(0, len(batch), few):
-                    part = batch.iloc[at : at + few]
-                    x = np.array(part["vector"].tolist(), dtype=float)
-                    d = np.sqrt(np.maximum(((x[:, None, :] - points[None]) ** 2).sum(2), 0))
+    Exact, so every query meets every reference: blocks of both meet in tasks of their own, distances are taken in
+    float64, and partial lists of k are merged by key.  Nothing comes to the driver but the two counts."""
+    q = queries.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"))
+    r = reference.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"), F.col(label).alias("label"))
+    least = q.sparkSession.sparkContext.defaultParallelism
+    nq, nr = max(least, -(-q.count() // BLOCK)), max(1, -(-r.count() // BLOCK))
+
+    def search(few: pd.DataFrame, all_of: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(few) and len(all_of):
+            points, keys, labels = np.stack(all_of["vector"]), all_of["key"].to_numpy(), all_of["label"].to_numpy()
+            x, own = np.stack(few["vector"]), few["key"].to_numpy()
+            step = max(1, 4_000_000 // max(1, points.size))
+            for name in sorted(set(labels.tolist())) if per_label else [None]:
+                chosen = np.flatnonzero(labels == name) if per_label else np.arange(len(points))
+                for at in range(0, len(x), step):  # in bounded memory
+                    d = np.sqrt(((x[at : at + step, None, :] - points[None, chosen]) ** 2).sum(2))
                     if exclude_self:
-                        d[part["key"].to_numpy()[:, None] == keys[None]] = np.inf
-                    for name in names:
-                        own = d if name is None else d[:, labels == name]
-                        near = np.sort(own, 1)[:, :k]
-                        yield pd.DataFrame({"key": part["key"], "label": name, "distances": [r[np.isfinite(r)] for r in near]})
-
-        kind = dict(queries.dtypes)[key]
-        found = queries.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector")).mapInPandas(search, f"key {kind}, label string, distances array<double>")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        kind = dict(queries.dtypes)[key]
-        return queries.sparkSession.createDataFrame([], f"key {kind}, label string, distances array<double>")
-    merged = out.groupBy("key", "label").agg(F.flatten(F.collect_list("distances")).alias("d"))
+                        d[own[at : at + step, None] == keys[None, chosen]] = np.inf
+                    near = np.sort(np.partition(d, min(k, d.shape[1]) - 1, 1)[:, :k], 1)
+                    out.append(pd.DataFrame({"key": own[at : at + step], "label": name, "distances": [row[np.isfinite(row)] for row in near]}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["key", "label", "distances"], dtype=object)
+
+    kind = dict(queries.dtypes)[key]
+    left, right = dealt(q, nq, nr, "bq", "br"), dealt(r, nr, nq, "br", "bq")
+    found = left.groupBy("bq", "br").cogroup(right.groupBy("bq", "br")).applyInPandas(search, f"key {kind}, label string, distances array<double>")
+    merged = found.groupBy("key", "label").agg(F.flatten(F.collect_list("distances")).alias("d"))  # k of each block of references
     return merged.select("key", "label", F.slice(F.sort_array("d"), 1, k).alias("distances"))
 
 
@@ -69,7 +60,7 @@ def noise_distances(candidates: DataFrame, reference: DataFrame, k: int, class_k
     class distance does not leave a reference out of its own class.  A class without rows plays no part."""
     loo = knn(reference, reference, k).select("key", F.element_at("distances", -1).alias("noise_distance"), F.lit(True).alias("is_reference"))
     own = knn(candidates, reference, k, exclude_self=False).select("key", F.element_at("distances", -1).alias("noise_distance"), F.lit(False).alias("is_reference"))
-    threshold = loo.agg(F.greatest(F.percentile("noise_distance", F.lit(quantile)), F.lit(1e-9)).alias("threshold"))
+    threshold = exact_quantile(loo, [], "noise_distance", quantile, "t").select(F.greatest("t", F.lit(1e-9)).alias("threshold"))
     everyone = candidates.select("key", "vector").unionByName(reference.select("key", "vector"))
     classes = knn(everyone, reference, class_k, exclude_self=False, per_label=True)
     nearest = classes.groupBy("key").agg(F.min(F.struct(F.element_at("distances", -1).alias("d"), "label")).alias("m"))

@@ -10,6 +10,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tremorlake.checks import DataError
+from tremorlake.sources.shared import cut
+
+#: Stages that are broadcast as one array.
+STAGES = 10_000
+
 
 def spine(spark: SparkSession, first: int, last: int, step: int, name: str) -> DataFrame:
     """first, first + step, ... up to last."""
@@ -59,7 +65,9 @@ def snapshots(events: DataFrame, positions: DataFrame, key: str, first: int, las
 def asof_backward(left: DataFrame, dim: DataFrame, time: str, start: str, value: str) -> DataFrame:
     """The value of the last dim row that starts at or before time; before the first, the first one's.
 
-    Ends play no part.  dim is a short list of stages; it is broadcast as one array of a bounded length."""
+    Ends play no part.  dim is a short list of stages, which is checked; asof_window joins two large tables."""
+    if dim.limit(STAGES + 1).count() > STAGES:
+        raise DataError(f"over {STAGES} stages; use asof_window")
     listed = dim.agg(F.sort_array(F.collect_list(F.struct(F.col(start).alias("s"), F.col(value).alias("v")))).alias("__stages"))
     joined = left.join(F.broadcast(listed), how="left", on=F.lit(True))
     before = F.filter("__stages", lambda x: x["s"] <= F.col(time))
@@ -182,11 +190,25 @@ def timeline(files: DataFrame, start: str, end: str, name: str, fingerprint: str
     )
 
 
+def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """df with numbers from 0 in that order over all rows: sorted by ranges, counted within each, and the counts of
+    the ranges before added.  No task sees more than its range."""
+    placed = cut(df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()))
+    part = F.shiftright("__id", 33).cast("int")
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    # a row a partition
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    out = placed.withColumn("__part", part).join(F.broadcast(before), "__part")
+    return out.withColumn(name, F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).drop("__part", "__before", "__id")
+
+
 def even_sample(df: DataFrame, by: Sequence[str], order: Sequence[str], k: int) -> DataFrame:
     """At most k rows of each entity, evenly spaced along the order: positions rint(i (n - 1) / (k - 1))."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    n = F.count("*").over(Window.partitionBy(*by))
-    placed = df.withColumn("__i", F.row_number().over(w) - 1).withColumn("__n", n)
+    if by:
+        n = F.count("*").over(Window.partitionBy(*by))
+        placed = df.withColumn("__i", (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long")).withColumn("__n", n)
+    else:
+        placed = numbered(df, order, "__i").join(F.broadcast(df.agg(F.count("*").alias("__n"))), how="left", on=F.lit(True))
     wanted = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.rint(i * (F.col("__n") - 1) / max(1, k - 1)).cast("long"))
-    keep = (F.col("__n") <= k) | F.array_contains(wanted, F.col("__i").cast("long"))
+    keep = (F.col("__n") <= k) | F.array_contains(wanted, F.col("__i"))
     return placed.where(keep).drop("__i", "__n")

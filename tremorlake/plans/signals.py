@@ -184,24 +184,11 @@ def metadata_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qc.with_metadata(e, m, "path", "name").select("event_id", F.col("metadata.event_type").alias("event_type"))
 
 
-def stitched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests of 100 samples over vectors as files of 64 that overlap by 8, with a hole at every 20th."""
-    w = windows(spark, sf_dir).where("vec_id % 20 <> 19")
-    blocks = w.select(F.concat(F.lit("f"), "vec_id").alias("file_name"), F.lit(0).alias("channel"), (F.col("vec_id") * 56).alias("start_sample"), F.col("x").alias("samples"))
-    requests = spark.range(250).select(F.col("id").alias("request"), (F.col("id") * 97 + 11).alias("first"), (F.col("id") * 97 + 110).alias("last"), F.array(F.lit(0)).alias("channels"))
-    return activity.stitched(blocks, requests, 1024)
-
-
 def told_stitches(s: DataFrame) -> DataFrame:
     return s.select("request", F.size("samples").cast("long").alias("n"), F.round(fn.total(F.col("samples")), 6).alias("total"), (F.size("samples") == 100).alias("complete"))
 
 
 def stitched_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of 250 requests and without every 20th vector, as its SQL has it; all_stitched_read reads the whole table."""
-    return told_stitches(stitched(spark, sf_dir))
-
-
-def all_stitched_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests of 100 samples every 97, from the first sample of the table's vectors to the last."""
     w = windows(spark, sf_dir)
     blocks = w.select(F.concat(F.lit("f"), "vec_id").alias("file_name"), F.lit(0).alias("channel"), (F.col("vec_id") * 56).alias("start_sample"), F.col("x").alias("samples"))
@@ -273,20 +260,11 @@ def early_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.early_references(e, T0, T0 + 3 * DAY, ["stratum"], 9, 40).select("event_id")
 
 
-def task_counts(spark: SparkSession, sf_dir: str, limit: int | None) -> DataFrame:
+def feature_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = das(spark, sf_dir).select("event_id", "peak_us", F.col("node").alias("channel"))
     times = sampling.quota_sample(reference_grid(spark, sf_dir), "kind", "time_us", 12, 1)
     sensors = sampling.round_robin(nodes(spark, sf_dir), ["stratum"], "node", 6).select(F.col("node").alias("channel"))
-    return sampling.feature_tasks(e, times, sensors, limit).groupBy("task_class").agg(F.count("*").alias("n"), F.count_distinct("task_id").alias("ids"), F.sum("channel").alias("channels"))
-
-
-def feature_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of 100 candidates only, as its SQL has it; all_feature_tasks is the whole list."""
-    return task_counts(spark, sf_dir, 100)
-
-
-def all_feature_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return task_counts(spark, sf_dir, None)
+    return sampling.feature_tasks(e, times, sensors).groupBy("task_class").agg(F.count("*").alias("n"), F.count_distinct("task_id").alias("ids"), F.sum("channel").alias("channels"))
 
 
 def row_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,7 +275,7 @@ def row_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.agg(F.md5(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]))).alias("digest"), F.sum("n").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (js_distance, spectral_entropy, abs_correlation, band_power, linear_detrend, sliding_rms, concentration, packed_lists, preprocessed, similarity_pairs, gauge_pairs, similarity_components, similarity_merge, batched_merge, qc_moments, qc_flags, qc_channel_summary, qc_group_summary, qc_file_summary, block_kurtosis, metadata_join, stitched_read, all_stitched_read, gauge_metrics, activity_rollup, activity_invariants, integrity, reference_grid, calibration_times, quota_sample, sensor_round_robin, family_sample, early_references, feature_tasks, all_feature_tasks, row_digest)}
+QUERIES = {f.__name__: f for f in (js_distance, spectral_entropy, abs_correlation, band_power, linear_detrend, sliding_rms, concentration, packed_lists, preprocessed, similarity_pairs, gauge_pairs, similarity_components, similarity_merge, batched_merge, qc_moments, qc_flags, qc_channel_summary, qc_group_summary, qc_file_summary, block_kurtosis, metadata_join, stitched_read, gauge_metrics, activity_rollup, activity_invariants, integrity, reference_grid, calibration_times, quota_sample, sensor_round_robin, family_sample, early_references, feature_tasks, row_digest)}
 
 X = "w AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)"
 LONG = "l AS (SELECT vec_id, label, i - 1 AS i, x[i] AS v FROM w, range(1, 65) t(i))"
@@ -387,10 +365,7 @@ ORACLES = {
     round(avg(nonfinite_fraction), 8) AS mean_nonfinite, CASE WHEN count(*) FILTER (WHERE len(hard) > 0) > 0 THEN 'WARN' ELSE 'PASS' END AS quality_status FROM c GROUP BY 1""",
     "block_kurtosis": f"WITH {X}, {LONG} SELECT label, count(*) AS n, round(avg(v), 8) AS mean, round(var_pop(v), 8) AS variance, round(kurtosis_pop(v) + 3, 5) AS kurtosis FROM l GROUP BY 1",
     "metadata_join": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type END AS event_type FROM events",
-    "stitched_read": f"""WITH {X}, b AS (SELECT vec_id, vec_id * 56 + i AS pos, x[i + 1] AS v FROM w, range(64) t(i) WHERE vec_id % 20 <> 19),
-    u AS (SELECT pos, arg_min(v, vec_id) AS v FROM b GROUP BY 1)
-    SELECT request, count(*) AS n, round(sum(v), 6) AS total, count(*) = 100 AS complete FROM range(250) t(request) JOIN u ON pos BETWEEN request * 97 + 11 AND request * 97 + 110 GROUP BY 1""",
-    "all_stitched_read": f"""WITH {X}, b AS (SELECT vec_id, vec_id * 56 + i AS pos, x[i + 1] AS v FROM w, range(64) t(i)),
+    "stitched_read": f"""WITH {X}, b AS (SELECT vec_id, vec_id * 56 + i AS pos, x[i + 1] AS v FROM w, range(64) t(i)),
     u AS (SELECT pos, arg_min(v, vec_id) AS v FROM b GROUP BY 1), q AS (SELECT unnest(range((SELECT max(pos) FROM u) // 97 + 1)) AS request)
     SELECT request, count(*) AS n, round(sum(v), 6) AS total, count(*) = 100 AS complete FROM q JOIN u ON pos BETWEEN request * 97 AND request * 97 + 99 GROUP BY 1""",
     "gauge_metrics": f"""WITH {X}, {LONG}, g AS (SELECT vec_id // 9 AS request, vec_id % 9 AS channel, sqrt(avg(v * v)) AS r, sum(v * v) / 64 AS q, count(*) AS n FROM l GROUP BY ALL)
@@ -410,9 +385,6 @@ ORACLES = {
     "sensor_round_robin": f"""WITH {NODES} SELECT node FROM (SELECT *, row_number() OVER (PARTITION BY burial_depth_cm, geometry_type ORDER BY md5('0:' || node), node) AS t FROM nodes ORDER BY t, burial_depth_cm, geometry_type LIMIT 13)""",
     "early_references": f"WITH {DAS}, e AS (SELECT *, node % 5 AS stratum FROM das WHERE peak_us >= {T0} AND peak_us < {T0 + 3 * DAY}), s AS ({_even(9, 'stratum') % 'e'}) SELECT event_id FROM (SELECT event_id FROM s ORDER BY md5('0:' || event_id), event_id LIMIT 40)",
     "feature_tasks": f"""WITH {DAS}, {NODES}, {GRID}, {_quota(12, 1)}, sn AS (SELECT node FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('0:' || node), node) AS t FROM nodes ORDER BY t, stratum LIMIT 6)),
-    c AS ({_even(100) % 'das'}), t AS (SELECT 'candidate' AS task_class, 'candidate:' || event_id AS task_id, node AS channel FROM c UNION ALL SELECT kind, concat_ws(':', kind, time_us, node), node FROM q12, sn)
-    SELECT task_class, count(*) AS n, count(DISTINCT task_id) AS ids, CAST(sum(channel) AS BIGINT) AS channels FROM t GROUP BY 1""",
-    "all_feature_tasks": f"""WITH {DAS}, {NODES}, {GRID}, {_quota(12, 1)}, sn AS (SELECT node FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('0:' || node), node) AS t FROM nodes ORDER BY t, stratum LIMIT 6)),
     t AS (SELECT 'candidate' AS task_class, 'candidate:' || event_id AS task_id, node AS channel FROM das UNION ALL SELECT kind, concat_ws(':', kind, time_us, node), node FROM q12, sn)
     SELECT task_class, count(*) AS n, count(DISTINCT task_id) AS ids, CAST(sum(channel) AS BIGINT) AS channels FROM t GROUP BY 1""",
     "row_digest": f"""WITH {DAS}, h AS (SELECT md5(concat_ws('|', event_id, node, peak_us, event_type)) AS h FROM das), b AS (SELECT h[1:2] AS b, md5(string_agg(h, '' ORDER BY h)) AS h, count(*) AS n FROM h GROUP BY 1)

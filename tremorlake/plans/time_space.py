@@ -175,12 +175,6 @@ def radius_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the graph without the links of every fifth node, as its SQL has it; all_graph_components has all links."""
-    edges = spatial.radius_graph(nodes(spark, sf_dir), RADIUS).where("node_i % 5 <> 0 AND node_j % 5 <> 0")
-    return spatial.component_sizes(nodes(spark, sf_dir), edges)
-
-
-def all_graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = nodes(spark, sf_dir)
     return spatial.component_sizes(n, spatial.radius_graph(n, RADIUS))
 
@@ -266,7 +260,7 @@ def holm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inference.holm(tests).select("test", F.round("p", 8).alias("p"), F.round("p_adjusted", 8).alias("p_adjusted"), "rank")
 
 
-QUERIES = {f.__name__: f for f in (minute_activity, event_policy_filter, range_audit, label_counts, position_final, position_snapshots, position_series, interval_islands, merge_membership, scan_windows, window_node_counts, window_eligibility, stage_asof, nuisance_first, nuisance_all, runs_true, max_consecutive, file_timeline, even_sample, roi_region, gauge_profile, radius_graph, graph_components, all_graph_components, moran_windows, permutation_pools, permutation_scan, null_summary, scan_episodes, full_permutation_scan, full_null_summary, holm)}
+QUERIES = {f.__name__: f for f in (minute_activity, event_policy_filter, range_audit, label_counts, position_final, position_snapshots, position_series, interval_islands, merge_membership, scan_windows, window_node_counts, window_eligibility, stage_asof, nuisance_first, nuisance_all, runs_true, max_consecutive, file_timeline, even_sample, roi_region, gauge_profile, radius_graph, graph_components, moran_windows, permutation_pools, permutation_scan, null_summary, scan_episodes, full_permutation_scan, full_null_summary, holm)}
 
 WINDOWS = f"""raw AS (SELECT i, {T0} + s AS start_us, {T0} + s + d AS end_us, d AS duration_us FROM (
     SELECT i, d, unnest(list_distinct(list_append(range(0, {SCAN_END - T0} - d + 1, {STEP}), {SCAN_END - T0} - d))) AS s
@@ -362,10 +356,7 @@ ORACLES = {
         CASE WHEN d = 2 AND z_cm = 98 THEN 'surface_2cm_top' WHEN d = 2 THEN 'surface_2cm_slope' ELSE 'horizontal_' || CAST(d AS INT) || 'cm' END || '|' || geometry_type || '|' || gauge_opportunity_profile AS permutation_group,
         {REGION} AS region FROM o JOIN pr USING (d, x_cm, y_cm, z_cm) JOIN su USING (d, x_cm, y_cm, z_cm)""",
     "radius_graph": f"WITH {NODES}, {EDGES} SELECT node_i, node_j, round(distance_cm, 6) AS distance_cm FROM edges",
-    "graph_components": f"""WITH RECURSIVE {NODES}, {EDGES}, e AS (SELECT node_i AS a, node_j AS b FROM edges WHERE node_i % 5 <> 0 AND node_j % 5 <> 0),
-    s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT node AS a, node AS b FROM nodes UNION SELECT r.a, s.b FROM r JOIN s ON r.b = s.a),
-    c AS (SELECT a, min(b) AS component FROM r GROUP BY a) SELECT component, count(*) AS size FROM c GROUP BY 1""",
-    "all_graph_components": f"""WITH RECURSIVE {NODES}, {EDGES}, s AS (SELECT node_i AS a, node_j AS b FROM edges UNION ALL SELECT node_j, node_i FROM edges),
+    "graph_components": f"""WITH RECURSIVE {NODES}, {EDGES}, s AS (SELECT node_i AS a, node_j AS b FROM edges UNION ALL SELECT node_j, node_i FROM edges),
     r AS (SELECT node AS a, node AS b FROM nodes UNION SELECT r.a, s.b FROM r JOIN s ON r.b = s.a), c AS (SELECT a, min(b) AS component FROM r GROUP BY a)
     SELECT component, count(*) AS size FROM c GROUP BY 1""",
     "moran_windows": f"""WITH {DAS}, {NODES}, {EDGES}, {WINDOWS}, {COUNTS}, {OWN}, cen AS (SELECT window_id, node, coalesce(n, 0) - records / (SELECT count(*) FROM nodes) AS c

@@ -141,10 +141,10 @@ ORACLES = {
     l AS MATERIALIZED (SELECT file_name, channel, scale, CAST(k AS INT) AS "window", sqrt(avg(v * v)) AS level FROM v, s, range(13) t(k) WHERE k < n AND i >= k * step AND i < k * step + width GROUP BY ALL),
     g AS MATERIALIZED (SELECT l.file_name, l.scale, l."window", t.c AS channel, list(level) AS own, median(level) AS local FROM l JOIN range(14) t(c) ON abs(l.channel - t.c) <= 1 GROUP BY ALL),
     d AS (SELECT g.file_name, g.scale, g."window", t.c AS channel, median(local) AS distant FROM g JOIN range(14) t(c) ON g.channel % 2 = t.c % 2 AND abs(g.channel - t.c) > 2 GROUP BY ALL),
-    q AS (SELECT file_name, scale, "window", median(level) AS quiet FROM l WHERE channel > 13 GROUP BY ALL)
-    SELECT file_name, CAST(scale AS DOUBLE) AS scale, "window", channel, round(ln(local), 6) AS log_local, round(ln(local / distant), 6) AS locality, round(ln(local / quiet), 6) AS local_control,
-      round(len(list_filter(own, x -> x > 1.1 * distant)) / len(own), 6) AS support
-    FROM g JOIN d USING (file_name, scale, "window", channel) JOIN q USING (file_name, scale, "window")""",
+    q AS (SELECT file_name, scale, "window", coalesce(median(level) FILTER (WHERE channel > 13), 1) AS quiet, median(level) AS every FROM l GROUP BY ALL),
+    f AS (SELECT g.*, coalesce(distant, every) AS far, quiet FROM g LEFT JOIN d USING (file_name, scale, "window", channel) JOIN q USING (file_name, scale, "window"))
+    SELECT file_name, CAST(scale AS DOUBLE) AS scale, "window", channel, round(ln(local), 6) AS log_local, round(ln(local / far), 6) AS locality, round(ln(local / quiet), 6) AS local_control,
+      round(len(list_filter(own, lambda x: x > 1.1 * far)) / len(own), 6) AS support FROM f""",
     "task_windows": """WITH w AS (SELECT 'f' || (vec_id // 16) AS task_id, vec_id % 16 AS channel, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
     v AS (SELECT task_id, channel, CASE WHEN channel BETWEEN 4 AND 6 THEN 'gauge' WHEN channel > 13 THEN 'control' ELSE 'distant' END AS role, i, -0.5 + i / 64.0::DOUBLE AS t,
       x[i + 1] - list_aggregate(x, 'median') AS v FROM w, range(64) r(i)),
@@ -154,7 +154,7 @@ ORACLES = {
       FROM v JOIN c USING (task_id, channel), o WHERE t >= o - half AND t < o + half GROUP BY ALL HAVING count(*) >= CASE scale WHEN 0 THEN 16 ELSE 26 END),
     m AS (SELECT task_id, scale, "offset", low, high, median(gain) FILTER (WHERE role = 'gauge') AS l, coalesce(median(gain) FILTER (WHERE role = 'distant'), 0) AS f, median(gain) FILTER (WHERE role = 'control') AS q,
       list(gain) FILTER (WHERE role = 'gauge') AS own, list(gain) FILTER (WHERE role = 'distant') AS others FROM g GROUP BY ALL HAVING l IS NOT NULL),
-    b AS (SELECT *, row_number() OVER (PARTITION BY task_id, scale ORDER BY l + 0.5 * greatest(l - f, 0) DESC, "offset") AS r, list_aggregate(list_transform(others, x -> abs(x - f)), 'median') AS mad FROM m)
+    b AS (SELECT *, row_number() OVER (PARTITION BY task_id, scale ORDER BY l + 0.5 * greatest(l - f, 0) DESC, "offset") AS r, list_aggregate(list_transform(others, lambda x: abs(x - f)), 'median') AS mad FROM m)
     SELECT task_id, scale, CAST("offset" AS INT) AS "offset", CAST(low AS INT) AS low, CAST(high AS INT) AS high, round(l, 6) AS local_gain, round(f, 6) AS nonlocal_gain, round(q, 6) AS control_gain,
-      round(len(list_filter(own, x -> x > f + greatest(1.4826 * coalesce(mad, 0), 0.05))) / len(own), 6) AS support FROM b WHERE r = 1""",
+      round(len(list_filter(own, lambda x: x > f + greatest(1.4826 * coalesce(mad, 0), 0.05))) / len(own), 6) AS support FROM b WHERE r = 1""",
 }

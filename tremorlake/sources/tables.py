@@ -6,7 +6,7 @@ import json
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tremorlake.checks import DataError, require_columns
@@ -100,14 +100,19 @@ def layout_with_offset(layout: DataFrame, start: int, count: int, channel: str =
 def all_channels(layout: DataFrame, count: int, channel: str = "data_channel", filler: str = "leadin_unlisted") -> DataFrame:
     """Every channel of the cable, listed or not."""
     whole = layout.sparkSession.range(count).select(F.col("id").cast("int").alias(channel))
-    return whole.join(F.broadcast(layout.withColumn("listed", F.lit(True))), channel, "left").withColumn("segment_id", F.coalesce("segment_id", F.lit(filler))).na.fill({"listed": False})
+    return whole.join(layout.withColumn("listed", F.lit(True)), channel, "left").withColumn("segment_id", F.coalesce("segment_id", F.lit(filler))).na.fill({"listed": False})
 
 
 def locate(times: DataFrame, records: DataFrame, time: str = "time_ns", limit_s: float = 600.05) -> DataFrame:
-    """The file that a time falls in: the last that starts at or before it, within the limit; else null."""
-    listed = records.agg(F.sort_array(F.collect_list(F.struct("start_ns", "file_name"))).alias("__r"))  # a row a file
-    full = times.join(F.broadcast(listed), how="left", on=F.lit(True))
-    hit = F.element_at(F.filter("__r", lambda r: r["start_ns"] <= F.col(time)), -1)
-    full = full.withColumn("__h", F.when(F.exists("__r", lambda r: r["start_ns"] <= F.col(time)), hit))
-    inside = F.col(time) - F.col("__h.start_ns") < limit_s * 1e9
-    return full.withColumn("file_name", F.when(inside, F.col("__h.file_name"))).drop("__r", "__h")
+    """The file that a time falls in: the last that starts at or before it, within the limit; else null.
+
+    A file can hold times of its own bucket, as wide as the limit, and of the next one.  Within a bucket each file
+    reaches up to the next one's start, so a time meets one file at most."""
+    width = round(limit_s * 1e9)
+    own = F.floor(F.col("start_ns") / width).cast("long")
+    files = records.select("start_ns", F.col("file_name").alias("__file"), F.explode(F.array(own, own + 1)).alias("__bucket"))
+    w = Window.partitionBy("__bucket").orderBy("start_ns", "__file")
+    files = files.select("__bucket", "__file", F.col("start_ns").alias("__start"), F.least(F.lead("start_ns").over(w), F.col("start_ns") + width).alias("__end"))
+    asked = times.withColumn("__at", F.floor(F.col(time) / width).cast("long"))
+    inside = (F.col("__at") == F.col("__bucket")) & (F.col(time) >= F.col("__start")) & (F.col(time) < F.col("__end"))
+    return asked.join(files, inside, "left").withColumnRenamed("__file", "file_name").drop("__at", "__bucket", "__start", "__end")
