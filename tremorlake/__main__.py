@@ -5,10 +5,12 @@ from __future__ import annotations
 import argparse
 import json
 
+from pyspark.sql import functions as F
+
 from tremorlake.checks import DataError
-from tremorlake.plans import catalogue, study
+from tremorlake.plans import catalogue, reproduce, study
 from tremorlake.session import get_spark
-from tremorlake.sources import sinks, tables
+from tremorlake.sources import cache, sinks, tables
 from tremorlake.spec import ExperimentSpec, ScanSettings
 
 
@@ -23,13 +25,30 @@ def parser() -> argparse.ArgumentParser:
     for name in ("--blocks", "--events", "--layout", "--output"):
         c.add_argument(name, required=True)
     c.add_argument("--fs", type=float, default=5000.0)
+    c.add_argument("--event-policy", default="auto_effective_plus_uncertain", choices=("auto_effective", "auto_effective_plus_uncertain", "manual_effective", "include_flag", "all"))
+    c.add_argument("--cutoff-us", type=int, help="events that peak at or behind it are left out")
+    c.add_argument("--start-us", type=int, help="with --cutoff-us: also minutes, snapshots and positions")
+    c.add_argument("--snapshot-minutes", type=int, default=1)
+    c.add_argument("--input-unit", default="microstrain_per_second", help="a label")
+    c.add_argument("--max-events", type=int, help="for trials only")
     c = sub.add_parser("screen", help="votes of candidates against noise references")
     c.add_argument("--tasks", required=True)
     c.add_argument("--features", required=True, help="comma-separated columns")
+    c.add_argument("--refine", help="comma-separated columns of the groups that raw features are standardised by")
     c.add_argument("--output", required=True)
     c = sub.add_parser("quality", help="channel quality control")
     for name in ("--samples", "--layout", "--output"):
         c.add_argument(name, required=True)
+    c = sub.add_parser("inspect", help="tables below a folder with their columns, or a waveform file's datasets")
+    c.add_argument("path")
+    c = sub.add_parser("frames", help="what figures of a saved scan show")
+    c.add_argument("scan", help="a study's folder below the output of scan")
+    c.add_argument("--output", required=True)
+    c = sub.add_parser("reproduce", help="recompute deposited results and report what differs")
+    c.add_argument("folder")
+    c = sub.add_parser("checksums", help="files against a list of their SHA-256")
+    c.add_argument("folder")
+    c.add_argument("list")
     c = sub.add_parser("template", help="an empty CSV with a table's columns")
     c.add_argument("schema")
     c.add_argument("output")
@@ -40,6 +59,18 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def inspect(spark, path: str) -> dict:
+    """Columns of the tables below a folder, or of a waveform file the datasets of two dimensions."""
+    if path.endswith((".h5", ".hdf5")):
+        import h5py
+
+        shapes: dict[str, tuple[tuple[int, ...], str]] = {}
+        with h5py.File(path, "r") as handle:
+            handle.visititems(lambda name, x: shapes.update({name: (x.shape, x.dtype.kind)}) if hasattr(x, "shape") else None)
+        return {"datasets": {n: list(s) for n, (s, k) in shapes.items() if len(s) == 2 and k in "iuf"}}
+    return {"tables": {p: sorted(c) for p, c in reproduce.listing(spark, path)}}
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = get_spark()
@@ -59,9 +90,36 @@ def main(argv: list[str] | None = None) -> int:
         sinks.write_text(spark, f"{a.output}/report.md", sinks.markdown(adjusted, "Studies"))
         sinks.write_manifest(spark, f"{a.output}/manifest.json", {"simulations": a.simulations, "studies": [s[0] for s in a.study]})
     elif a.command == "activity":
-        study.run_activity(read(a.blocks), read(a.events), read(a.layout), a.fs).write.mode("overwrite").parquet(a.output)
+        events = read(a.events)
+        if a.event_policy != "all":
+            events = study.select_events(events, a.event_policy, a.cutoff_us, a.max_events)
+        metrics = study.run_activity(read(a.blocks), events, read(a.layout), a.fs)
+        metrics.write.mode("overwrite").parquet(f"{a.output}/events")
+        if a.start_us is not None and a.cutoff_us is not None:
+            full = events.join(read(f"{a.output}/events").select("event_id", F.col("integral_median").alias("activity")), "event_id").withColumn("position", F.col("channel"))
+            told = study.accumulate(full, read(a.layout).select(F.col("channel").alias("position")), a.start_us, a.cutoff_us, a.snapshot_minutes, a.input_unit)
+            for part in ("minutes", "snapshots", "positions"):
+                getattr(told, part).write.mode("overwrite").parquet(f"{a.output}/{part}")
     elif a.command == "screen":
-        study.run_screening(read(a.tasks), a.features.split(",")).write.mode("overwrite").parquet(a.output)
+        names = a.features.split(",")
+        votes = study.run_refinement(read(a.tasks), names, a.refine.split(",")) if a.refine else study.run_screening(read(a.tasks), names)
+        votes.write.mode("overwrite").parquet(a.output)
+    elif a.command == "inspect":
+        print(json.dumps(inspect(spark, a.path), indent=1))
+    elif a.command == "frames":
+        windows = read(f"{a.scan}/windows")
+        critical = windows.agg(F.max("critical")).first()[0]
+        for name, df in study.frames(windows, critical).items():
+            df.write.mode("overwrite").parquet(f"{a.output}/{name}")
+    elif a.command == "reproduce":
+        found = reproduce.report(spark, a.folder).collect()  # a row a check
+        print(json.dumps([r.asDict() for r in found], indent=1))
+        return int(not found or any(r["violations"] for r in found))
+    elif a.command == "checksums":
+        verdicts = cache.check_digests(spark, a.folder, cache.read_checksums(spark, a.list))
+        counts = {r["verdict"]: r["count"] for r in verdicts.groupBy("verdict").count().collect()}
+        print(json.dumps(counts))
+        return int(set(counts) != {"ok"})
     elif a.command == "quality":
         for name, df in zip(("channels", "summary", "files"), study.run_quality(read(a.samples), read(a.layout)), strict=True):
             df.write.mode("overwrite").parquet(f"{a.output}/{name}")

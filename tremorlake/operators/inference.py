@@ -9,10 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tremorlake.checks import DataError
 from tremorlake.operators.temporal import islands
 from tremorlake.sources.shared import cut
 
 TIE = 1e-12
+#: Sensors of a scan, whose permutations and edges go along with every task.
+SENSORS = 50_000
 
 
 def hashed_permutations(nodes: DataFrame, pool: str, count: int, key: str = "node") -> DataFrame:
@@ -48,6 +51,8 @@ def permutation_scores(counts: DataFrame, node_index: Sequence[int], edges: np.n
     counts: window_id, node, n, sparse.  A window needs all its scores for its own standardisation and none
     of another's, so blocks of windows are the partitions; permutations and edges are of a size set by the
     study (nodes x permutations) and go along with the function."""
+    if len(node_index) > SENSORS:
+        raise DataError(f"over {SENSORS} sensors: {len(node_index)}")
     where = {int(v): i for i, v in enumerate(node_index)}
     n, left, right = len(node_index), edges[:, 0], edges[:, 1]
     # a permuted map's edge sum is a quadratic form of the permuted adjacency: for a dense enough graph one

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremorlake.operators.robust import robust_scale
+from tremorlake.sources.shared import cut
 
 
 def robust_vector(df: DataFrame, features: Sequence[str], limit: float = 12.0, name: str = "z") -> DataFrame:
@@ -32,15 +33,19 @@ def bic(log_likelihood: float, n: int, k: int, d: int) -> float:
     return -2 * log_likelihood + free * math.log(n)
 
 
-def signal_types(events: DataFrame, features: Sequence[str], order: Sequence[str], least: int = 2, most: int = 6, seed: int = 0) -> tuple[DataFrame, list[tuple[int, float]]]:
-    """signal_type (Type A, B, ... by the medians of the order columns) and the BIC of each number of types."""
+def signal_types(events: DataFrame, features: Sequence[str], order: Sequence[str], least: int = 2, most: int = 6, seed: int = 0, starts: int = 5) -> tuple[DataFrame, list[tuple[int, float]]]:
+    """signal_type (Type A, B, ... by the medians of the order columns) and the BIC of each number of types.
+
+    Of the starts of each number the one with the largest likelihood counts."""
     n = events.count()
     ready = robust_vector(events, features)
+    ready = cut(ready)  # read by every fit
     ready = PCA(k=min(5, len(features)), inputCol="z", outputCol="pcs").fit(ready).transform(ready)
     most = min(most, max(least, n // 20))
     fits, scores = {}, []
     for k in range(least, most + 1):
-        fits[k] = GaussianMixture(k=k, featuresCol="pcs", predictionCol="raw", probabilityCol="share", seed=seed).fit(ready)
+        tries = [GaussianMixture(k=k, featuresCol="pcs", predictionCol="raw", probabilityCol="share", seed=seed + 1000 * i).fit(ready) for i in range(starts)]
+        fits[k] = max(tries, key=lambda m: m.summary.logLikelihood)
         scores.append((k, bic(fits[k].summary.logLikelihood, n, k, min(5, len(features)))))
     best = min(scores, key=lambda s: s[1])[0]
     placed = fits[best].transform(ready)
@@ -49,23 +54,71 @@ def signal_types(events: DataFrame, features: Sequence[str], order: Sequence[str
     return placed.join(F.broadcast(letters), "raw").withColumn("pc", vector_to_array("pcs")).drop("z", "pcs", "share", "raw"), scores
 
 
-def grouped_forest(rows: DataFrame, features: Sequence[str], label: str, group: str, key: str, folds: int = 5, trees: int = 60, seed: int = 0) -> DataFrame:
-    """key, label, probability: out of fold, whole groups held out together, classes weighted evenly."""
+def confirmed_types(catalog: DataFrame, features: Sequence[str], order: Sequence[str], at_least: int = 20, **settings) -> DataFrame:
+    """catalog with confirmed_type: signal types among the events that reviewers call effective alone; not_assigned
+    for all others, and for all where fewer than at_least are confirmed."""
+    confirmed = F.lower(F.trim(F.col("manual_label").cast("string"))) == "effective"
+    own = catalog.where(confirmed)
+    none = F.lit("not_assigned")
+    if own.limit(at_least).count() < at_least:
+        return catalog.withColumn("confirmed_type", none)
+    placed, _ = signal_types(own, features, order, **settings)
+    typed = placed.select("event_id", F.col("signal_type").alias("__t"))
+    return catalog.join(typed, "event_id", "left").withColumn("confirmed_type", F.coalesce("__t", none)).drop("__t")
+
+
+def balanced_folds(groups: dict, folds: int) -> dict:
+    """group -> fold: the largest groups first, each to the fold with the fewest rows so far."""
+    sizes, out = [0] * folds, {}
+    for name, n in sorted(groups.items(), key=lambda g: (-g[1], str(g[0]))):
+        at = min(range(folds), key=lambda f: (sizes[f], f))
+        out[name], sizes[at] = at, sizes[at] + n
+    return out
+
+
+def forest(trees: int, seed: int = 0) -> RandomForestClassifier:
+    return RandomForestClassifier(featuresCol="x", labelCol="y", weightCol="w", numTrees=trees, minInstancesPerNode=3, seed=seed)
+
+
+def weighted(rows: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """rows with x, y and w; both classes weigh alike."""
     counts = {r[0]: r[1] for r in rows.groupBy(label).agg(F.count("*")).collect()}  # two classes
     total = sum(counts.values())
     weight = F.lit(1.0)
     for value, n in counts.items():
         weight = F.when(F.col(label) == value, total / (len(counts) * n)).otherwise(weight)
-    ready = VectorAssembler(inputCols=list(features), outputCol="x").transform(rows.withColumn("w", weight).withColumn("fold", F.pmod(F.xxhash64(group), F.lit(folds))))
-    ready = ready.select(key, F.col(label).cast("double").alias("y"), "x", "w", "fold")
+    return VectorAssembler(inputCols=list(features), outputCol="x").transform(rows.withColumns({"w": weight, "y": F.col(label).cast("double")}))
+
+
+#: Groups whose folds are balanced one by one; more are dealt by hash, which then balances them.
+GROUPS = 100_000
+
+
+def grouped_forest(rows: DataFrame, features: Sequence[str], label: str, group: str, key: str, folds: int = 5, trees: int = 500, seed: int = 0) -> DataFrame:
+    """key, label, probability: out of fold, whole groups held out together, classes weighted evenly."""
+    sizes = rows.groupBy(group).agg(F.count("*").alias("n")).limit(GROUPS + 1).collect()
+    if len(sizes) > GROUPS:
+        placed = rows.withColumn("fold", F.pmod(F.xxhash64(group), F.lit(folds)).cast("int"))
+    else:
+        dealt = list(balanced_folds({r[0]: r["n"] for r in sizes}, folds).items())
+        listed = rows.sparkSession.createDataFrame(dealt, f"`{group}` {dict(rows.dtypes)[group]}, fold int")
+        placed = rows.join(F.broadcast(listed), group)  # GROUPS rows at most
+    ready = cut(weighted(placed, features, label).select(key, "y", "x", "w", "fold"))
     out = None
     for fold in range(folds):
-        model = RandomForestClassifier(featuresCol="x", labelCol="y", weightCol="w", numTrees=trees, minInstancesPerNode=3, seed=seed).fit(ready.where(F.col("fold") != fold))
+        model = forest(trees, seed).fit(ready.where(F.col("fold") != fold))
         part = model.transform(ready.where(F.col("fold") == fold)).select(key, F.col("y").cast("int").alias(label), vector_to_array("probability")[1].alias("probability"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def saved_forest(rows: DataFrame, features: Sequence[str], label: str, path: str, trees: int = 800, seed: int = 0) -> RandomForestClassificationModel:
+    """A forest over all rows, written to path; RandomForestClassificationModel.load reads it."""
+    model = forest(trees, seed).fit(weighted(rows, features, label))
+    model.write().overwrite().save(path)
+    return model
+
+
 def precision_recall(scored: DataFrame, label: str, score: str) -> DataFrame:
     """Precision and recall at each distinct score, from its counts."""
     per = scored.groupBy(score).agg(F.sum(label).alias("t"), F.count("*").alias("n"))

@@ -12,7 +12,7 @@ from tremorlake.plans.statistics import catalog
 
 def signal_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = catalog(spark, sf_dir).where("label = 'effective_candidate'")
-    placed, _ = ml.signal_types(events, ["max_ratio", "novel_scale_count", "median_ratio", "best_scale"], ["best_scale", "max_ratio"], most=4)
+    placed, _ = ml.signal_types(events, ["max_ratio", "novel_scale_count", "median_ratio", "best_scale"], ["best_scale", "max_ratio"], most=4, starts=2)
     return placed.groupBy("signal_type").agg(F.count("*").alias("event_count"), F.median("max_ratio").alias("median_ratio"), F.median("best_scale").alias("median_scale"))
 
 

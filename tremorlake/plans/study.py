@@ -9,8 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremorlake.checks import event_rules, require, unmatched, violations
-from tremorlake.operators import activity, inference, qc, screening, spatial, temporal
+from tremorlake.checks import DataError, event_rules, require, unmatched, violations
+from tremorlake.operators import activity, inference, qc, robust, screening, spatial, temporal
 from tremorlake.sources.shared import cut
 from tremorlake.spec import ExperimentSpec
 
@@ -77,6 +77,72 @@ def run_activity(blocks: DataFrame, events: DataFrame, layout: DataFrame, fs: fl
     return activity.gauge_metrics(read, fs).withColumnRenamed("request", "event_id")
 
 
+def select_events(events: DataFrame, policy: str, cutoff_us: int | None = None, most: int | None = None) -> DataFrame:
+    """The policy's events that peak before the cutoff; with most, the first so many of them (for trials).
+
+    events: event_id, peak_us and what the policy asks for: label, manual_label or include."""
+    label = lambda c: F.lower(F.trim(F.col(c).cast("string")))
+    rules = {
+        "auto_effective": lambda: label("label") == "effective_candidate",
+        "auto_effective_plus_uncertain": lambda: label("label").isin("effective_candidate", "uncertain"),
+        "manual_effective": lambda: label("manual_label") == "effective",
+        "include_flag": lambda: label("include").isin("true", "1", "yes", "y"),
+    }
+    if policy not in rules:
+        raise DataError(f"unknown policy {policy}: one of {', '.join(rules)}")
+    kept = events.where(rules[policy]())
+    if cutoff_us is not None:
+        kept = kept.where(F.col("peak_us") < cutoff_us)
+    return kept if most is None else kept.orderBy("peak_us", "event_id").limit(most)
+
+
+@dataclass(frozen=True)
+class ActivityResult:
+    events: DataFrame
+    minutes: DataFrame
+    snapshots: DataFrame
+    positions: DataFrame
+
+
+def accumulate(events: DataFrame, positions: DataFrame, start_us: int, end_us: int, snapshot_minutes: int = 1, unit: str = "microstrain_per_second", exclude_before_us: int | None = None) -> ActivityResult:
+    """Activity by event, minute, snapshot and position.  events: event_id, position, peak_us, activity; positions: position.
+
+    The unit is a label of the result and changes no number."""
+    minute = 60 * SECOND
+    first = start_us // minute * minute
+    excluded = F.lit(False) if exclude_before_us is None else F.col("minute_us") < exclude_before_us
+    inside = events.where((F.col("peak_us") >= start_us) & (F.col("peak_us") < end_us))
+    counted = inside if exclude_before_us is None else inside.where(F.col("peak_us") >= -(-exclude_before_us // minute) * minute)
+    minutes = temporal.spined_activity(inside, first, (end_us - 1) // minute * minute, minute, excluded)
+    snaps = temporal.snapshots(counted, positions, "position", first, end_us, snapshot_minutes * minute)
+    total = counted.groupBy("position").agg(F.count("*").alias("event_count"), F.sum("activity").alias("activity"))
+    whole = positions.join(total, "position", "left").na.fill({"event_count": 0, "activity": 0.0}).withColumn("unit", F.lit(f"({unit})^2 s"))
+    running = temporal.cumulative(counted, ["peak_us", "event_id"], {"position_activity": "activity"}, ["position"])
+    return ActivityResult(running, minutes, snaps, whole)
+
+
+def run_refinement(tasks: DataFrame, features: Sequence[str], detail: Sequence[str], k: int = 10, class_k: int = 5, quantile: float = 0.995) -> DataFrame:
+    """run_screening from raw features: each is first put on the scale of the references of its scale and detail."""
+    references = cut(tasks.where("task_class <> 'candidate'"))
+    full = tasks
+    for f in features:
+        full = robust.standardize(full, references, "scale", detail, f, f"{f}_z")
+    return run_screening(full, [f"{f}_z" for f in features], k, class_k, quantile)
+
+
+def peaks_by_start(windows: DataFrame, value: str = "scan_z") -> DataFrame:
+    """start_us, the largest value over all durations that start there."""
+    return windows.groupBy("start_us").agg(F.max(value).alias(value))
+
+
+def frames(windows: DataFrame, critical: float | None, duration_us: int = 600 * SECOND) -> dict[str, DataFrame]:
+    """What figures of a saved scan show: one duration's statistic with its null, in time, and the scan's maxima."""
+    middle = (F.col("start_us") + F.col("end_us")) / 2
+    upper = F.lit(None).cast("double") if critical is None else F.col("center") + critical * F.col("scale")
+    series = windows.where(F.col("duration_us") == duration_us).select(middle.alias("time_us"), "observed", "center", "scale", upper.alias("upper"), *[c for c in ("null_q025", "null_q975") if c in windows.columns])
+    return {"series": series, "maxima": peaks_by_start(windows)}
+
+
 def run_screening(tasks: DataFrame, features: Sequence[str], k: int = 10, class_k: int = 5, quantile: float = 0.995) -> DataFrame:
     """Per scale: candidates against the pooled noise references; then the votes of each event.
 

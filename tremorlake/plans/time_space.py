@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tremorlake.operators import inference, spatial, temporal
 from tremorlake.plans.das import DAS, DAY, HOUR, MINUTE, NODES, T0, das, nodes
+from tremorlake.plans.study import peaks_by_start
 from tremorlake.sources.shared import cut
 from tremorlake.spec import ScanSettings
 
@@ -186,12 +187,18 @@ def moran_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where("moran_i is not null").select("window_id", F.round("moran_i", 6).alias("moran_i"))
 
 
+def start_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest Moran's I over the durations that start at a time."""
+    windows = scan_windows(spark, sf_dir)
+    return peaks_by_start(moran_windows(spark, sf_dir).join(windows, "window_id"), "moran_i")
+
+
 def permutation_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.permutation_pools(nodes(spark, sf_dir), das(spark, sf_dir), "stratum")
 
 
 def scan_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Windows and the long scores of eligible windows under md5 permutations, through the block kernel."""
+    """Windows and whole rows of scores of eligible windows under md5 permutations, through the block kernel."""
     n = nodes(spark, sf_dir)
     windows, counts = counted(spark, sf_dir)
     ok = temporal.eligibility(counts, windows, n.count(), 5, 3).where("eligible").select("window_id")
@@ -203,22 +210,22 @@ def scan_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     for p, node, source in drawn[["perm_id", "node", "source"]].itertuples(index=False):
         permutations[p, where[node]] = where[source]
     scores = inference.permutation_scores(counts.join(ok, "window_id", "left_semi"), index, edges, permutations)
-    return windows, cut(inference.long_scores(scores))
+    return windows, scores
 
 
 def permutation_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = inference.max_scan(scan_scores(spark, sf_dir)[1])
+    out = inference.scan_statistics(scan_scores(spark, sf_dir)[1])
     return out.select("window_id", F.round("observed", 6).alias("observed"), F.round("scan_z", 5).alias("scan_z"), F.round("p_window", 6).alias("p_window"), F.round("p_global", 6).alias("p_global"), F.round("critical", 5).alias("critical"))
 
 
 def null_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = inference.null_summary(scan_scores(spark, sf_dir)[1])
+    out = inference.null_statistics(scan_scores(spark, sf_dir)[1])
     return out.select("window_id", *[F.round(c, 9).alias(c) for c in ("null_mean", "null_sd", "null_q025", "null_q975")])
 
 
 def scan_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows, scores = scan_scores(spark, sf_dir)
-    return inference.episodes(inference.max_scan(scores).join(windows, "window_id"), 0.5).select("episode_id", "support_start_us", "support_end_us", "significant_window_count", F.round("scan_z", 5).alias("scan_z"))
+    return inference.episodes(inference.scan_statistics(scores).join(windows, "window_id"), 0.5).select("episode_id", "support_start_us", "support_end_us", "significant_window_count", F.round("scan_z", 5).alias("scan_z"))
 
 
 def full_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -260,7 +267,7 @@ def holm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inference.holm(tests).select("test", F.round("p", 8).alias("p"), F.round("p_adjusted", 8).alias("p_adjusted"), "rank")
 
 
-QUERIES = {f.__name__: f for f in (minute_activity, event_policy_filter, range_audit, label_counts, position_final, position_snapshots, position_series, interval_islands, merge_membership, scan_windows, window_node_counts, window_eligibility, stage_asof, nuisance_first, nuisance_all, runs_true, max_consecutive, file_timeline, even_sample, roi_region, gauge_profile, radius_graph, graph_components, moran_windows, permutation_pools, permutation_scan, null_summary, scan_episodes, full_permutation_scan, full_null_summary, holm)}
+QUERIES = {f.__name__: f for f in (minute_activity, event_policy_filter, range_audit, label_counts, position_final, position_snapshots, position_series, interval_islands, merge_membership, scan_windows, window_node_counts, window_eligibility, stage_asof, nuisance_first, nuisance_all, runs_true, max_consecutive, file_timeline, even_sample, roi_region, gauge_profile, radius_graph, graph_components, moran_windows, start_peaks, permutation_pools, permutation_scan, null_summary, scan_episodes, full_permutation_scan, full_null_summary, holm)}
 
 WINDOWS = f"""raw AS (SELECT i, {T0} + s AS start_us, {T0} + s + d AS end_us, d AS duration_us FROM (
     SELECT i, d, unnest(list_distinct(list_append(range(0, {SCAN_END - T0} - d + 1, {STEP}), {SCAN_END - T0} - d))) AS s
@@ -380,3 +387,4 @@ ORACLES = {
     r AS (SELECT *, row_number() OVER (ORDER BY p, test) AS rank, count(*) OVER () AS m FROM t)
     SELECT test, round(p, 8) AS p, round(max(least(1.0, (m - rank + 1) * p)) OVER (ORDER BY p, test), 8) AS p_adjusted, rank FROM r""",
 }
+ORACLES["start_peaks"] = f"WITH {WINDOWS} SELECT start_us, max(moran_i) AS moran_i FROM ({ORACLES['moran_windows']}) m JOIN windows USING (window_id) GROUP BY 1"
