@@ -68,7 +68,7 @@ def greedy_split(placed: DataFrame, rules: MergeRules = MergeRules()) -> DataFra
     What is open depends on every earlier cut, so a component is one pass; partitions hold whole components in
     order and are streamed through, with nothing kept but what is open.  A detection that starts more than the
     span behind the end of all before it is a cut whatever is open, so a component is parted there beforehand and
-    its stretches are passes of their own; the number of a part counts from its stretch."""
+    its stretches are passes of their own."""
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, part = None, 0
         start = end = low = high = 0
@@ -91,7 +91,8 @@ def greedy_split(placed: DataFrame, rules: MergeRules = MergeRules()) -> DataFra
     rows = placed.select("key", "component", "peak_us", "start_us", "end_us", "channel", (F.col("start_us") - ended > rules.span).cast("long").alias("away"))
     rows = rows.withColumn("stretch", F.coalesce(F.sum("away").over(w), F.lit(0))).drop("away").repartition("component", "stretch")
     cuts = rows.sortWithinPartitions("component", "stretch", "peak_us", "key").mapInPandas(cut_up, "key long, component long, stretch long, part int")
-    return cuts.select("key", "component", (F.col("stretch") * (1 << 31) + F.col("part")).alias("part"))
+    number = F.dense_rank().over(Window.partitionBy("component").orderBy("stretch", "part")) - 1
+    return cuts.select("key", "component", number.alias("part"))
 
 
 def merged_events(primitives: DataFrame, split: DataFrame) -> DataFrame:

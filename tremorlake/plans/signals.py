@@ -390,3 +390,17 @@ ORACLES = {
     "row_digest": f"""WITH {DAS}, h AS (SELECT md5(concat_ws('|', event_id, node, peak_us, event_type)) AS h FROM das), b AS (SELECT h[1:2] AS b, md5(string_agg(h, '' ORDER BY h)) AS h, count(*) AS n FROM h GROUP BY 1)
     SELECT md5(string_agg(h, '' ORDER BY b)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM b""",
 }
+# the greedy cut, one detection of every component at a time
+ORACLES["similarity_merge"] = f"""WITH RECURSIVE {DAS}, {PRIM}, {PAIRS}, both_ways AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+r AS (SELECT key AS a, key AS b FROM p UNION SELECT r.a, e.b FROM r JOIN both_ways e ON r.b = e.a),
+o AS MATERIALIZED (SELECT p.key, p.peak_us, p.start_us, p.end_us, channel, activity AS score, component, row_number() OVER (PARTITION BY component ORDER BY p.peak_us, p.key) AS i
+    FROM p JOIN (SELECT a AS key, min(b) AS component FROM r GROUP BY a) USING (key) JOIN das ON event_id = key AND das.peak_us = p.peak_us),
+f(key, component, i, part, s, e, lo, hi) AS (SELECT key, component, i, 0, start_us, end_us, channel, channel FROM o WHERE i = 1 UNION ALL
+    SELECT key, component, i, part + away, CASE away WHEN 1 THEN start_us ELSE least(s, start_us) END, CASE away WHEN 1 THEN end_us ELSE greatest(e, end_us) END,
+        CASE away WHEN 1 THEN channel ELSE least(lo, channel) END, CASE away WHEN 1 THEN channel ELSE greatest(hi, channel) END
+    FROM (SELECT o.*, f.part, f.s, f.e, f.lo, f.hi, CASE WHEN greatest(f.e, o.end_us) - least(f.s, o.start_us) > {RULES.span} OR greatest(f.hi, o.channel) - least(f.lo, o.channel) > {RULES.channel_span} THEN 1 ELSE 0 END AS away
+        FROM f JOIN o ON o.component = f.component AND o.i = f.i + 1)),
+g AS (SELECT o.*, f.part, row_number() OVER (PARTITION BY o.component, f.part ORDER BY score DESC, peak_us, o.key) AS best FROM o JOIN f USING (key)),
+m AS (SELECT component, part, min(start_us) AS start_us, max(end_us) AS end_us, max(peak_us) FILTER (WHERE best = 1) AS peak_us, max(key) FILTER (WHERE best = 1) AS representative,
+    max(channel) FILTER (WHERE best = 1) AS channel, count(*) AS primitive_count, string_agg(DISTINCT channel, ';' ORDER BY channel) AS source_channels, max(score) AS max_score FROM g GROUP BY ALL)
+SELECT *, printf('EV_%07d', row_number() OVER (ORDER BY peak_us, representative)) AS event_id FROM m"""
