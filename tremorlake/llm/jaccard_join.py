@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tremorlake.llm.bitmaps import bitmap_subquery, possible
-from tremorlake.llm.common import cut, gathered, table, text_of, written
+from tremorlake.llm.common import cut, discard, gathered, table, text_of, written
 from tremorlake.llm.components import connected_components
 from tremorlake.llm.shingles import in_slices, mix, shingle_sets
 
@@ -267,7 +267,9 @@ def marked_classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, tex
     rows = facts.where("not frequent").select(F.col("doc_id").cast("long").alias("doc_id"), "mark", "k1", "k2", "n", "signature")
     sets = rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("doc"), F.first("signature").alias("signature"))
     sets = cut(gathered(sets.where("doc is not null").withColumn("id", F.xxhash64("k1", "k2"))))
-    met = shared_tiles(tiles_of(docs, k, num, den, known, counts), sets)
+    tiles = tiles_of(docs, k, num, den, known, counts)
+    met = shared_tiles(tiles, sets)
+    discard(tiles)
     now = links_of(met, docs, sets, k, num, den)
     placed = sets.join(now, F.col("id") == F.col("node"), "left").select("k1", "k2", "doc", F.coalesce("component", "id").alias("of"))
     # the derived keys make both sides plain exchanges, whose hot keys AQE can split
