@@ -65,9 +65,13 @@ IBAN_COUNTRIES = {
 }
 IBAN_LENGTHS = {c: n for n, countries in IBAN_COUNTRIES.items() for c in countries.split()}
 SSN = re.compile(r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])")
-NAMED = re.compile(r"(?:api[_-]?key|access[_-]?key|private[_-]?key|secret|token|passwor[dt]|passwd|pwd|bearer|kennwort|contraseña|mot de passe)[\"']?[\x20\t]{0,3}[:=][\x20\t]{0,3}[\"']?([A-Za-z0-9+/_.~-]{8,}={0,2})", re.I)
+NAMED = re.compile(r"(?:api[_-]?key|access[_-]?key|private[_-]?key|secret|token|passwor[dt]|passwd|pwd|bearer|kennwort|contrase[ñÑ]a|mot de passe)[\"']?[\x20\t]{0,3}[:=][\x20\t]{0,3}[\"']?([A-Za-z0-9+/_.~-]{8,}={0,2})", re.I | re.A)
 ISSUED = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,})(?![A-Za-z0-9])")
 
+# What a text must hold, in small letters, before these patterns are looked for.
+NAMES = ("key", "secret", "token", "passwor", "passwd", "pwd", "bearer", "kennwort", "contrase", "mot de passe")
+ISSUERS = ("akia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox")
+
 # Words that speak for a kind, and words that speak against it.
 FOR = {
     "email": re.compile(r"\b(?:e-?mail|mail|contact|write|correo|courriel|kontakt)\b", re.I),
@@ -178,13 +182,13 @@ def ibans(text: str) -> Iterator[Scored]:
         m = IBAN.search(text, free)
 
 
-def secrets(text: str) -> Iterator[Scored]:
+def secrets(text: str, lower: str) -> Iterator[Scored]:
     found: dict[int, tuple[int, float]] = {}
-    for m in NAMED.finditer(text):
+    for m in NAMED.finditer(text) if any(n in lower for n in NAMES) else ():
         value = m.group(1)
         plain = not any(c.isdigit() for c in value)  # such as "password: required"
         found[m.start(1)] = (m.end(1), 0.6 - 0.3 * plain)
-    for m in ISSUED.finditer(text):
+    for m in ISSUED.finditer(text) if any(n in lower for n in ISSUERS) else ():
         found[m.start()] = (m.end(), 0.6)
     for start, (end, worth) in sorted(found.items()):
         value = text[start:end]
@@ -195,7 +199,8 @@ def secrets(text: str) -> Iterator[Scored]:
 
 def more_spans(text: str) -> list[Scored]:
     """Spans of the added kinds, with their scores."""
-    out = list(secrets(text))
+    lower = text.lower()
+    out = list(secrets(text, lower))
     if not DIGIT.search(text):
         return out
     out += ibans(text)
@@ -204,7 +209,8 @@ def more_spans(text: str) -> list[Scored]:
         score = 0.2 + 0.1 * (9 <= digits <= 12) + context(text, m.start(), "tel")
         if score >= THRESHOLD:
             out.append((m.start(), KINDS.index("tel"), m.end(), score))
-    for m in SSN.finditer(text):
+    # without its name nearby a number of this form scores too little
+    for m in SSN.finditer(text) if "ssn" in lower or "social security" in lower else ():
         score = 0.2 + context(text, m.start(), "ssn")
         if score >= THRESHOLD:
             out.append((m.start(), KINDS.index("ssn"), m.end(), score))
