@@ -63,9 +63,10 @@ def permutation_scores(counts: DataFrame, node_index: Sequence[int], edges: np.n
     adjacency += adjacency.T
     inverse = np.argsort(permutations, 1)
     # a named number of partitions: the rows are few and small but the work on each is not, so AQE must not
-    # put them together by their size
+    # put them together by their size; by a key of its own, as a dealing that is there already would be kept
     tasks = 2 * counts.sparkSession.sparkContext.defaultParallelism
-    per_window = counts.repartition(tasks, "window_id").groupBy("window_id").agg(F.collect_list("node").alias("nodes"), F.collect_list("n").alias("ns"))
+    per_window = counts.groupBy("window_id").agg(F.collect_list("node").alias("nodes"), F.collect_list("n").alias("ns"))
+    per_window = per_window.repartition(tasks, F.xxhash64("window_id"))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -35,13 +35,14 @@ def run_scan(spec: ExperimentSpec, events: DataFrame, nodes: DataFrame) -> ScanR
     inside = events.where(F.col("peak_us").between(spec.start_us, spec.end_us))
     merged, membership = temporal.merge_overlapping(inside)
     merged = cut(merged)
-    edges = spatial.radius_graph(nodes, s.radius_cm)
+    edges = cut(spatial.radius_graph(nodes, s.radius_cm))
     pools = spatial.permutation_pools(nodes, merged, "permutation_group")
     windows = temporal.candidate_windows(events.sparkSession, spec.start_us, spec.end_us, [round(m * 60 * SECOND) for m in s.window_minutes], s.step_s * SECOND)
+    windows = cut(windows)  # read five times
     counts = cut(temporal.window_counts(merged, windows, spec.end_us, s.step_s * SECOND))
     sensors = nodes.select("node", "permutation_group").orderBy("node").collect()  # the sensor dimension
     index = [r["node"] for r in sensors]
-    ok = temporal.eligibility(counts, windows, len(index), s.min_records, s.min_active)
+    ok = cut(temporal.eligibility(counts, windows, len(index), s.min_records, s.min_active))
     where = {v: i for i, v in enumerate(index)}
     pairs = np.array([(where[r[0]], where[r[1]]) for r in edges.select("node_i", "node_j").collect()])
     groups: dict[str, list[int]] = {}
@@ -50,7 +51,7 @@ def run_scan(spec: ExperimentSpec, events: DataFrame, nodes: DataFrame) -> ScanR
     usable = counts.join(ok.where("eligible").select("window_id"), "window_id", "left_semi")
     told = cut(inference.scan(events.sparkSession, usable, index, pairs, [groups[g] for g in sorted(groups)], s.simulations, s.seed, s.alpha))
     first = told.first()
-    full = windows.join(ok, "window_id").join(told, "window_id", "left")
+    full = cut(windows.join(ok, "window_id").join(told, "window_id", "left"))
     return ScanResult(merged, membership, full, inference.episodes(full.where("p_window is not null"), s.alpha), edges, pools, first["p_global"] if first else 1.0)
 
 
@@ -59,8 +60,9 @@ def correct_studies(results: dict[str, ScanResult], alpha: float) -> tuple[DataF
     any_result = next(iter(results.values()))
     spark = any_result.windows.sparkSession
     adjusted = inference.holm(spark.createDataFrame([(k, r.p_global) for k, r in results.items()], "test string, p double"))
-    steps = {r["test"]: len(results) - r["rank"] + 1 for r in adjusted.collect()}  # a row a study
-    allowed = {r["test"]: r["p_adjusted"] <= alpha for r in adjusted.collect()}
+    told = adjusted.collect()  # a row a study
+    steps = {r["test"]: len(results) - r["rank"] + 1 for r in told}
+    allowed = {r["test"]: r["p_adjusted"] <= alpha for r in told}
     out = {}
     for k, r in results.items():
         study = r.windows.where("p_window is not null").withColumn("p_study", F.when(F.lit(allowed[k]), F.least(F.lit(1.0), F.col("p_window") * steps[k])).otherwise(1.0))
