@@ -36,20 +36,27 @@ def band_pairs(df: DataFrame, by: Sequence[str], time: str, key: str, gap: int)
     return left.join(right, [*by, "__b"]).where(before & (F.col(f"b.{time}") - F.col(f"a.{time}") <= gap)).drop("__b")
 
 
-def similar(rules: MergeRules) -> Column:
-    """All residual predicates, cheap ones first; the spectrum is looked at where the envelopes don't settle it."""
+def close(rules: MergeRules) -> Column:
+    """What places and times say of a pair a, b."""
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     near = F.abs(a("channel") - b("channel")) <= rules.channels
     unknown = a("x_cm").isNull() | b("x_cm").isNull() | a("y_cm").isNull() | b("y_cm").isNull()
     adjacent = (a("segment_id") == b("segment_id")) | unknown | (F.hypot(a("x_cm") - b("x_cm"), a("y_cm") - b("y_cm")) <= rules.distance)
     short = F.greatest(a("end_us"), b("end_us")) - F.least(a("start_us"), b("start_us")) <= rules.span
-    alike = F.when(correlation(a("env"), b("env")) >= rules.envelope, True).otherwise(js_distance(a("psd"), b("psd"), 1e-20) <= rules.spectrum)
-    return F.when(near & adjacent & short, alike).otherwise(False)
+    return F.coalesce(near & adjacent & short, F.lit(False))
 
 
 def similarity_pairs(primitives: DataFrame, rules: MergeRules = MergeRules()) -> DataFrame:
-    """a, b: keys of detections of one depth that are to be merged."""
-    return band_pairs(primitives, ["depth"], "peak_us", "key", rules.gap).where(similar(rules)).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
+    """a, b: keys of detections of one depth that are to be merged.
+
+    Places and times alone are joined in bands; envelopes and spectra are fetched for the pairs that are left, and
+    the spectra are looked at where the envelopes don't settle it."""
+    narrow = primitives.select("depth", "key", "peak_us", "start_us", "end_us", "channel", "segment_id", "x_cm", "y_cm")
+    pairs = band_pairs(narrow, ["depth"], "peak_us", "key", rules.gap).where(close(rules)).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
+    shape = lambda c: primitives.select(F.col("key").alias(c), F.col("env").alias(f"env_{c}"), F.col("psd").alias(f"psd_{c}"))
+    full = pairs.join(shape("a"), "a").join(shape("b"), "b")
+    alike = F.when(correlation(F.col("env_a"), F.col("env_b")) >= rules.envelope, True).otherwise(js_distance(F.col("psd_a"), F.col("psd_b"), 1e-20) <= rules.spectrum)
+    return full.where(alike).select("a", "b")
 
 
 def gauge_pairs(primitives: DataFrame, gap: int = 600_000, channels: int = 8) -> DataFrame:
