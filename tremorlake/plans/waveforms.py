@@ -88,11 +88,12 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def waveform_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.detections(scored(spark, sf_dir), RULES)
+    found = detect.detections(scored(spark, sf_dir), RULES)
+    return found.withColumns({c: F.round(c, 5) for c in ("score", "secondary", "support", "active_fraction")})
 
 
 def waveform_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.signatures(waveform_detector(spark, sf_dir), blocks(spark, sf_dir), RULES)
+    return detect.signatures(detect.detections(scored(spark, sf_dir), RULES), blocks(spark, sf_dir), RULES)
 
 
 def sensor_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,6 +124,14 @@ QUERIES = {f.__name__: f for f in (target_sensors, required_channels, attached_l
 SENSORS = """sensors AS (SELECT node AS data_channel, geometry_type, burial_depth_cm,
     CASE WHEN node % 9 = 0 THEN 'leadin_control' WHEN node % 7 = 0 THEN 'deep_ring_unit' ELSE 'target' END AS analysis_role FROM nodes)"""
 
+LEVELS = """w AS (SELECT 'f' || (vec_id // 16) AS file_name, vec_id % 16 AS channel, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+    v AS (SELECT file_name, channel, i, x[i + 1] - list_aggregate(x, 'median') AS v FROM w, range(64) t(i)), s(scale, width, step, n) AS (VALUES (0.25, 16, 4, 13), (0.5, 32, 8, 5)),
+    l AS MATERIALIZED (SELECT file_name, channel, scale, CAST(k AS INT) AS "window", sqrt(avg(v * v)) AS level FROM v, s, range(13) t(k) WHERE k < n AND i >= k * step AND i < k * step + width GROUP BY ALL),
+    g AS MATERIALIZED (SELECT l.file_name, l.scale, l."window", t.c AS channel, list(level) AS own, median(level) AS local FROM l JOIN range(14) t(c) ON abs(l.channel - t.c) <= 1 GROUP BY ALL),
+    d AS (SELECT g.file_name, g.scale, g."window", t.c AS channel, median(local) AS distant FROM g JOIN range(14) t(c) ON g.channel % 2 = t.c % 2 AND abs(g.channel - t.c) > 2 GROUP BY ALL),
+    q AS (SELECT file_name, scale, "window", coalesce(median(level) FILTER (WHERE channel > 13), 1) AS quiet, median(level) AS every FROM l GROUP BY ALL),
+    f AS (SELECT g.*, coalesce(distant, every) AS far, quiet FROM g LEFT JOIN d USING (file_name, scale, "window", channel) JOIN q USING (file_name, scale, "window"))"""
+
 ORACLES = {
     "target_sensors": f"WITH {NODES}, {SENSORS} SELECT data_channel, geometry_type, burial_depth_cm FROM sensors WHERE analysis_role NOT LIKE '%control%' AND burial_depth_cm IN (2, 20, 80)",
     "required_channels": f"""WITH {NODES}, {SENSORS}
@@ -136,15 +145,19 @@ ORACLES = {
     "window_levels": """WITH w AS (SELECT 'f' || (vec_id // 16) AS file_name, vec_id % 16 AS channel, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
     l AS (SELECT file_name, channel, i, x[i + 1] - list_median(x) AS v FROM w, range(64) t(i)), s(scale, width, step, n) AS (VALUES (0, 16, 4, 13), (1, 32, 8, 5))
     SELECT file_name, channel, scale, CAST(k AS INT) AS "window", round(sqrt(avg(v * v)), 6) AS level FROM l, s, range(13) t(k) WHERE k < n AND i >= k * step AND i < k * step + width GROUP BY ALL""".replace("list_median(x)", "list_aggregate(x, 'median')"),
-    "sensor_features": """WITH w AS (SELECT 'f' || (vec_id // 16) AS file_name, vec_id % 16 AS channel, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
-    v AS (SELECT file_name, channel, i, x[i + 1] - list_aggregate(x, 'median') AS v FROM w, range(64) t(i)), s(scale, width, step, n) AS (VALUES (0.25, 16, 4, 13), (0.5, 32, 8, 5)),
-    l AS MATERIALIZED (SELECT file_name, channel, scale, CAST(k AS INT) AS "window", sqrt(avg(v * v)) AS level FROM v, s, range(13) t(k) WHERE k < n AND i >= k * step AND i < k * step + width GROUP BY ALL),
-    g AS MATERIALIZED (SELECT l.file_name, l.scale, l."window", t.c AS channel, list(level) AS own, median(level) AS local FROM l JOIN range(14) t(c) ON abs(l.channel - t.c) <= 1 GROUP BY ALL),
-    d AS (SELECT g.file_name, g.scale, g."window", t.c AS channel, median(local) AS distant FROM g JOIN range(14) t(c) ON g.channel % 2 = t.c % 2 AND abs(g.channel - t.c) > 2 GROUP BY ALL),
-    q AS (SELECT file_name, scale, "window", coalesce(median(level) FILTER (WHERE channel > 13), 1) AS quiet, median(level) AS every FROM l GROUP BY ALL),
-    f AS (SELECT g.*, coalesce(distant, every) AS far, quiet FROM g LEFT JOIN d USING (file_name, scale, "window", channel) JOIN q USING (file_name, scale, "window"))
+    "sensor_features": f"""WITH {LEVELS}
     SELECT file_name, CAST(scale AS DOUBLE) AS scale, "window", channel, round(ln(local), 6) AS log_local, round(ln(local / far), 6) AS locality, round(ln(local / quiet), 6) AS local_control,
       round(len(list_filter(own, lambda x: x > 1.1 * far)) / len(own), 6) AS support FROM f""",
+    "waveform_detector": f"""WITH {LEVELS},
+    x AS (SELECT file_name, scale, "window", channel, ln(local) AS f0, ln(local / far) AS f1, ln(local / quiet) AS f2, len(list_filter(own, lambda x: x > 1.1 * far)) / len(own) AS support FROM f),
+    mm AS (SELECT scale, channel, median(f0) AS m0, median(f1) AS m1, median(f2) AS m2, stddev_pop(f0) AS s0, stddev_pop(f1) AS s1, stddev_pop(f2) AS s2 FROM x GROUP BY ALL),
+    z AS (SELECT x.*, coalesce((f0 - m0) / nullif(s0, 0), 0) AS z0, coalesce((f1 - m1) / nullif(s1, 0), 0) AS z1, coalesce((f2 - m2) / nullif(s2, 0), 0) AS z2 FROM x JOIN mm USING (scale, channel)),
+    e AS (SELECT *, greatest(z0, z1, z2) AS score, list_sort([z0, z1, z2])[2] AS secondary, greatest(z0, z1, z2) >= 2 AND (z0 > 0 OR z1 > 0) AS expanded FROM z),
+    c AS (SELECT *, avg(CASE WHEN expanded THEN 1.0::DOUBLE ELSE 0 END) OVER (PARTITION BY file_name, scale, "window") AS active FROM e),
+    r AS (SELECT *, "window" - row_number() OVER (PARTITION BY file_name, scale, channel ORDER BY "window") AS run FROM c WHERE expanded),
+    b AS (SELECT *, row_number() OVER (PARTITION BY file_name, scale, channel, run ORDER BY score DESC, "window") AS k, count(*) OVER (PARTITION BY file_name, scale, channel, run) AS windows FROM r)
+    SELECT file_name, CAST(0 AS BIGINT) AS core, CAST(scale AS DOUBLE) AS scale, channel, "window", round(score, 5) AS score, round(secondary, 5) AS secondary, score >= 5 AND secondary >= 2 AS strict,
+      round(support, 5) AS support, active > 0.25 OR z2 < -4 AS common_mode, round(active, 5) AS active_fraction, windows FROM b WHERE k = 1""",
     "task_windows": """WITH w AS (SELECT 'f' || (vec_id // 16) AS task_id, vec_id % 16 AS channel, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
     v AS (SELECT task_id, channel, CASE WHEN channel BETWEEN 4 AND 6 THEN 'gauge' WHEN channel > 13 THEN 'control' ELSE 'distant' END AS role, i, -0.5 + i / 64.0::DOUBLE AS t,
       x[i + 1] - list_aggregate(x, 'median') AS v FROM w, range(64) r(i)),
