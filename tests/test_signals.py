@@ -192,3 +192,27 @@ def test_family_quotas_fill_up_in_turn_and_then_again(spark, plan):
     rows = [("a", k) for k in range(10)] + [("b", k) for k in range(5, 30)] + [("c", k) for k in (1, 2, 40)] + [("a", 3)]
     got = sampling.family_quotas(spark.createDataFrame(rows, "family string, time_us long"), plan, "family", "time_us", 7)
     assert sorted((r["family"], r["time_us"]) for r in got.collect()) == choose(rows, plan, 7)
+
+
+def test_the_preferred_file_gives_all_it_has(spark):
+    value = {"a": 0.0, "b": 100.0, "c": 200.0}
+    spans = {"a": [(0, 9), (10, 19)], "b": [(6, 13), (14, 24)], "c": [(18, 40)]}
+    rows = [(f, 0, s, [value[f] + i for i in range(s, e + 1)]) for f, own in spans.items() for s, e in own]
+    blocks = spark.createDataFrame(rows, "file_name string, channel int, start_sample long, samples array<double>")
+    wanted = spark.createDataFrame([(1, 2, 30, [0], "b"), (2, 2, 30, [0], "c"), (3, 2, 30, [0], None), (4, 8, 12, [0], "b"), (5, 2, 30, [0], "other")], "request long, first long, last long, channels array<int>, preferred string")
+    got = {r["request"]: r["samples"] for r in activity.stitched(blocks, wanted, 16).collect()}
+    in_order = sorted((s, e, f) for f, own in spans.items() for s, e in own)
+    first = lambda chosen: [value[next(f for s, e, f in sorted(in_order, key=lambda x: x[2] != chosen) if s <= i <= e)] + i for i in range(2, 31)]
+    assert got[1] == first("b") and got[2] == first("c") and got[3] == got[5] == first(None)
+    assert got[4] == [108.0, 109.0, 110.0, 111.0, 112.0]
+    plain = {r["request"]: r["samples"] for r in activity.stitched(blocks, wanted.drop("preferred"), 16).collect()}
+    assert plain[1] == first(None)
+
+
+def test_records_and_their_declared_band(spark):
+    rows = [("f", 5000.0, 501, 3000, '{"bandpass_hz": [20, 2000]}'), ("g", 5000.0, 501, 3000, '{"bandpass_hz": [20.0, 2000.0], "x": 1}'), ("h", None, 501, 3001, '{"bandpass_hz": [20]}'), ("i", 4000.0, 501, 3000, None)]
+    r = spark.createDataFrame(rows, "file_name string, fs double, channel_count int, start_channel int, p string").withColumn("band", tables.declared_band(F.col("p")))
+    assert [x["band"] for x in r.orderBy("file_name").collect()] == [[20.0, 2000.0]] * 2 + [None] * 2
+    got = {x["check"]: x["violations"] for x in tables.check_records(r, 5000.0, (20.0, 2000.0)).collect()}
+    assert got == {"fs": 1, "channel_count": 0, "start_channel": 1, "fs_declared": 1, "fs_expected": 2, "band_declared": 2, "band_expected": 2}
+    assert all(x["violations"] == 0 for x in tables.check_records(r.limit(0).drop("band")).collect())

@@ -13,16 +13,27 @@ from tremorlake.functions import rms, square_integral
 def stitched(blocks: DataFrame, requests: DataFrame, width: int) -> DataFrame:
     """request, channel, samples: the samples [first, last] of each request, files overlapping or not.
 
-    requests: request, first, last, channels.  Blocks and requests meet on time buckets of width samples and
-    the channel.  Where blocks overlap, a later one gives only what lies after the ones before it."""
+    requests: request, first, last, channels and, where a catalog names one, preferred (a file).  Blocks and requests
+    meet on time buckets of width samples and the channel.  The preferred file gives all that it has; of others,
+    where they overlap, a later one gives only what lies after the ones before it."""
+    named = requests if "preferred" in requests.columns else requests.withColumn("preferred", F.lit(None).cast("string"))
     b = blocks.withColumn("end_sample", F.col("start_sample") + F.size("samples") - 1)
     b = b.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start_sample") / width).cast("long"), F.floor(F.col("end_sample") / width).cast("long"))))
-    r = requests.withColumn("channel", F.explode("channels")).withColumn("bucket", F.explode(F.sequence(F.floor(F.col("first") / width).cast("long"), F.floor(F.col("last") / width).cast("long"))))
+    r = named.withColumn("channel", F.explode("channels")).withColumn("bucket", F.explode(F.sequence(F.floor(F.col("first") / width).cast("long"), F.floor(F.col("last") / width).cast("long"))))
     met = r.drop("channels").join(b, ["bucket", "channel"]).where((F.col("start_sample") <= F.col("last")) & (F.col("end_sample") >= F.col("first")))
     met = met.dropDuplicates(["request", "channel", "file_name", "start_sample"])
-    w = Window.partitionBy("request", "channel").orderBy("start_sample", "file_name").rowsBetween(Window.unboundedPreceding, -1)
-    begin = F.greatest("first", "start_sample", F.coalesce(F.max("end_sample").over(w) + 1, F.col("first")))
-    cut = met.withColumns({"begin": begin, "stop": F.least("last", "end_sample")}).where("begin <= stop")
+    all_of = Window.partitionBy("request", "channel")
+    chosen = F.col("file_name").eqNullSafe(F.col("preferred"))
+    met = met.withColumns({"chosen": chosen, "from": F.min(F.when(chosen, F.col("start_sample"))).over(all_of), "to": F.max(F.when(chosen, F.col("end_sample"))).over(all_of)})
+    span = lambda s, e: F.struct(s.cast("long").alias("s"), e.cast("long").alias("e"))
+    start, end = F.col("start_sample"), F.col("end_sample")
+    # what others have before the preferred file begins and after it ends
+    around = F.filter(F.array(span(start, F.least(end, F.col("from") - 1)), span(F.greatest(start, F.col("to") + 1), end)), lambda x: x["s"] <= x["e"])
+    spans = F.when(F.col("chosen") | F.col("from").isNull(), F.array(span(start, end))).otherwise(around)
+    met = met.withColumn("x", F.explode(spans)).select("*", "x.*")
+    w = all_of.orderBy("s", "file_name").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.greatest("first", "s", F.coalesce(F.max("e").over(w) + 1, F.col("first")))
+    cut = met.withColumns({"begin": begin, "stop": F.least("last", "e")}).where("begin <= stop")
     part = cut.withColumn("part", F.slice("samples", (F.col("begin") - F.col("start_sample") + 1).cast("int"), (F.col("stop") - F.col("begin") + 1).cast("int")))
     return part.groupBy("request", "channel", "first", "last").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("begin", "part"))), lambda x: x["part"])).alias("samples"))
 

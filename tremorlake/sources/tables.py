@@ -73,10 +73,26 @@ def name_timestamp_ns(name: Column) -> Column:
     return seconds * 1_000_000_000 + F.rpad(part[6], 9, "0").try_cast("bigint")
 
 
-def check_records(records: DataFrame) -> DataFrame:
-    """check, violations: one sampling rate, one channel count and one first channel for all files."""
-    one = records.agg(*[(F.count_distinct(c) - 1).alias(c) for c in ("fs", "channel_count", "start_channel")])
-    return one.select(F.expr("stack(3, 'fs', fs, 'channel_count', channel_count, 'start_channel', start_channel) AS (check, violations)"))
+def declared_band(parameters: Column) -> Column:
+    """[low, high] in hertz of a file's processing record (JSON with bandpass_hz), null where it names no band."""
+    band = F.from_json(parameters, "bandpass_hz array<double>")["bandpass_hz"]
+    return F.when((F.size(band) == 2) & ~F.exists(band, lambda v: v.isNull()), band)
+
+
+def check_records(records: DataFrame, fs: float | None = None, band: tuple[float, float] | None = None) -> DataFrame:
+    """check, violations: one sampling rate, one channel count and one first channel for all files; the expected rate
+    and, for files with a band column, the expected band; and that every file declares its rate and band."""
+    one = records.agg(*[(F.greatest(F.count_distinct(c), F.lit(1)) - 1).alias(c) for c in ("fs", "channel_count", "start_channel")])
+    out = one.select(F.expr("stack(3, 'fs', fs, 'channel_count', channel_count, 'start_channel', start_channel) AS (check, violations)"))
+    told = lambda name, ok: records.agg(F.count_if(~F.coalesce(ok, F.lit(False))).alias("violations")).select(F.lit(name).alias("check"), "violations")
+    out = out.unionByName(told("fs_declared", F.col("fs").isNotNull() & ~F.isnan(F.col("fs").cast("double"))))
+    if fs is not None:
+        out = out.unionByName(told("fs_expected", F.round("fs", 9) == round(fs, 9)))
+    if "band" in records.columns:
+        out = out.unionByName(told("band_declared", F.col("band").isNotNull()))
+        if band is not None:
+            out = out.unionByName(told("band_expected", (F.col("band")[0] == band[0]) & (F.col("band")[1] == band[1])))
+    return out
 
 
 def layout_with_offset(layout: DataFrame, start: int, count: int, channel: str = "channel") -> DataFrame:
