@@ -290,7 +290,7 @@ def test_url_filter(spark):
 
 def test_line_dedup(spark):
     rows = odd([(100 + i, f"First {i}\n  Common LINE \nend\n") for i in range(6)] + [(200 + i, "common line") for i in range(3)] + [(300, "twice\ntwice")])
-    rows = [r for r in rows if r[0] is not None]
+    rows += [(None, "common line\nof no id"), (None, "common line\nof no id")]
     count = collections.Counter(k for _, t in rows for k in {x.strip(" \t\n\x0b\f\r").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for x in (t or "").split("\n")})
     want = []
     for i, t in rows:
@@ -440,7 +440,7 @@ def test_decontamination_equals_brute_force(spark):
         own = items[rng.randrange(8)][1].split()
         a = rng.randrange(max(1, len(own)))
         rows.append((i, f"{text(rng.choice([1, 9, 300]))}. {', '.join(own[a : a + 20]).upper()} - {text(5)}"))
-    rows += [(100, None), (101, "a zoË ß, 日本 b ZOë ß 日本")]
+    rows += [(100, None), (101, "a zoË ß, 日本 b ZOë ß 日本"), (None, items[5][1]), (None, items[5][1]), (None, "clean words only"), (0, items[7][1])]
 
     def split(t):
         low = (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
@@ -473,6 +473,19 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.judge(frame(spark, odd()), bench).count() == len(odd())
 
 
+@pytest.mark.skipif(not DATA.is_dir(), reason="no test tables")
+def test_contaminated_documents_of_the_tables_go_and_clean_ones_stay(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.01/{t}.parquet'")
+    bad = {r[0] for r in con.execute(f"SELECT doc_id FROM ({decontaminate.ORACLE}) WHERE contaminated").fetchall()}
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    kept = {r["doc_id"] for r in decontaminate.keep_clean(docs, bench).select("doc_id").collect()}
+    assert bad and kept == {r["doc_id"] for r in docs.select("doc_id").collect()} - bad
+
+
 # 7
 
 
