@@ -11,9 +11,8 @@ The lexicon is learned: words and beginnings of words that stand in toxic traini
 than chance allows, near copies counted once.
 
 Defined cases: null or empty text gets the score of a text in which nothing matches; labels other than 0 and
-1, and labelled ids without a document, are not used; without any label no text is called
-toxic and all scores are 0.27; equal
-rows get equal scores; an empty table gives none; other columns are not read.
+1, and labelled ids without a document, are not used; without any label no text is called toxic and all scores
+are 0.27; equal rows get equal scores; an empty table gives none; other columns are not read.
 """
 
 from __future__ import annotations
