@@ -125,7 +125,7 @@ def channel_summary(classed: DataFrame, channel: str, stable: Column, limits: Li
         F.count("*").alias("files"),
         F.count_if(hard).alias("hard_bad_files"),
         (F.count_if(hard) / F.count("*") >= limits.fixed_bad).alias("fixed_bad"),
-        F.concat_ws(";", F.sort_array(F.array_distinct(F.flatten(F.collect_list("hard_reasons"))))).alias("hard_reasons"),
+        F.concat_ws(";", F.sort_array(F.array_distinct(F.flatten(F.collect_set("hard_reasons"))))).alias("hard_reasons"),
         some.alias("stable_files"),
         (reviews / base).alias("review_fraction"),
         F.median("rms").alias("median_rms"),
