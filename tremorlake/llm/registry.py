@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tremorlake.llm import decontaminate, exact_dedup, jaccard_join, line_dedup, packing, pii, quality, suffix_dedup, toxicity, url_filter
+from tremorlake.llm import decontaminate, exact_dedup, jaccard_join, line_dedup, mixing, packing, phrases, pii, quality, suffix_dedup, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.query,
         "op9_suffix_dedup": suffix_dedup.query,
         "op10_line_dedup": line_dedup.query,
+        "op11_phrases": phrases.query,
+        "op12_mixing": mixing.query,
     }
 
 
@@ -32,4 +34,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_decontaminate": decontaminate.ORACLE,
         "op9_suffix_dedup": suffix_dedup.ORACLE,
         "op10_line_dedup": line_dedup.ORACLE,
+        "op11_phrases": phrases.ORACLE,
+        "op12_mixing": mixing.ORACLE,
     }
