@@ -2,10 +2,12 @@
 
 Texts become chunks of bounded length, coded by their own words, in one pass.  Words that are frequent in their
 language get numbers over the whole corpus; a chunk learns the numbers of its words by a join, so no task holds
-the dictionary.  Pieces break at every other word, since no frequent phrase holds one.  The five numbers from
-each position on are packed into a binary key of fixed width, zeros behind a piece's end.  A chunk's keys are
+the dictionary.  Pieces break at every other word, since no frequent phrase holds one.  The numbers from each
+position on are packed into a binary key of fixed width, zeros behind a piece's end.  A chunk's keys are
 radix-sorted and counted by runs, dealt by ranges, sorted and counted again: of keys in order all shorter
 phrases are runs of prefixes, and only runs that touch the edge of a range meet those of its neighbours.
+Pairs are counted first.  Longer keys start only where two frequent pairs follow each other and end with the
+last of them; a bitmap tells pairs, and one that it lets through by mistake is dropped by its count.
 
 Memory: a chunk, and the distinct keys of a range (rows_per_range on average); copies of one key are added up as
 they come, so a hot one doesn't count.  Words and phrases of any frequency take part, in whole texts.
@@ -17,7 +19,7 @@ text are read.  Ties in score and count go by the phrase's bytes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ceil, sqrt
 
 import numpy as np
@@ -25,14 +27,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tremorlake.llm.common import cut, table, text_of, written
+from tremorlake.llm.bitmaps import bitmap_subquery, possible
+from tremorlake.llm.common import cut, discard, table, text_of, written
 from tremorlake.operators.temporal import numbered
 
 #: Words of the longest phrase.
 LONGEST = 5
 MIN_COUNT = 100
 TOP = 2000
-CHUNK_WORDS = 1 << 19
+CHUNK_WORDS = 1 << 21
+#: Distinct words that a task keeps for one language.
+MOST_CODES = 1 << 20
 ROWS_PER_RANGE = 4_000_000
 
 #: Every mark that ends a piece becomes a full stop; no word holds one then.
@@ -126,10 +131,10 @@ def coded(docs: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFrame:
                     own = open_[lang] = Chunker(chunk_words)
                 for chunk in own.add(text.as_py()):
                     yield row(lang, chunk)
-                if len(own.codes) > 2 * chunk_words:
+                if len(own.codes) > MOST_CODES:
                     yield from (row(lang, c) for c in own.rest())
             # many languages share the room of a few
-            if sum(c.length for c in open_.values()) > 4 * chunk_words:
+            if sum(c.length for c in open_.values()) > 2 * chunk_words:
                 for lang, own in open_.items():
                     yield from (row(lang, c) for c in own.rest())
                 open_ = {}
@@ -152,53 +157,97 @@ def radix_runs(digits: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def to_digits(ids: np.ndarray, width: int) -> np.ndarray:
-    """ids (n, LONGEST) -> (n, LONGEST * width / 2) 16-bit digits, the highest first."""
-    parts = [(ids >> np.uint64(16 * (width // 2 - 1 - d))).astype(np.uint16) for d in range(width // 2)]
+    """ids (n, size) -> (n, size * width / 2) 16-bit digits, the highest first."""
+    parts = [(ids >> ids.dtype.type(16 * (width // 2 - 1 - d))).astype(np.uint16) for d in range(width // 2)]
     return np.stack(parts, axis=2).reshape(len(ids), -1)
 
 
 def to_batch(digits: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     size = digits.shape[1] * 2
     offsets = np.arange(len(digits) + 1, dtype=np.int32) * size
-    keys = pa.Array.from_buffers(pa.binary(), len(digits), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(digits.astype(">u2").tobytes())])
-    return pa.RecordBatch.from_arrays([keys, pa.array(counts, pa.int64())], schema=_KEYS)
+    packed = pa.Array.from_buffers(pa.binary(), len(digits), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(digits.astype(">u2").tobytes())])
+    return pa.RecordBatch.from_arrays([packed, pa.array(counts, pa.int64())], schema=_KEYS)
 
 
-def from_batch(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
-    keys = b"".join(batch.column("key").to_pylist())
-    return np.frombuffer(keys, dtype=">u2").reshape(-1, LONGEST * width // 2).astype(np.uint16), np.asarray(batch.column("n").to_numpy(zero_copy_only=False), dtype=np.int64)
+def from_batch(batch: pa.RecordBatch, width: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    whole = b"".join(batch.column("key").to_pylist())
+    return np.frombuffer(whole, dtype=">u2").reshape(-1, size * width // 2).astype(np.uint16), np.asarray(batch.column("n").to_numpy(zero_copy_only=False), dtype=np.int64)
 
 
-def chunk_keys(chunks: DataFrame, dictionary: DataFrame, width: int) -> DataFrame:
-    """key, n: of every chunk its distinct keys of at least two words, and how often they stand there."""
-    listed = chunks.select("chunk", "lang", F.posexplode("words").alias("pos", "word"))
+def encoded(chunks: DataFrame, dictionary: DataFrame, width: int) -> DataFrame:
+    """ids (little-endian, 4 bytes up to a width of 4, else 8) and starts of every chunk; other words and ends are 0.
+
+    Words that a bitmap rules out don't take part in the join; a full one lets all through."""
+    marks, bits = bitmap_subquery(dictionary.select(F.xxhash64("lang", "word").alias("h")))
+    listed = chunks.select("chunk", "lang", F.posexplode("words").alias("pos", "word")).where(possible(F.xxhash64("lang", "word"), marks, bits))
     known = listed.join(dictionary.select("lang", "word", "id"), ["lang", "word"]).groupBy("chunk").agg(F.collect_list("pos").alias("pos"), F.collect_list("id").alias("ids"))
     both = chunks.select("chunk", "codes", "starts", F.size("words").alias("words")).join(known, "chunk")
+    kind = "<u4" if width <= 4 else "<u8"
+    schema = pa.schema([("ids", pa.binary()), ("starts", pa.int64())])
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 pos, ids, codes, starts, words = (batch.column(c)[i] for c in ("pos", "ids", "codes", "starts", "words"))
-                number = np.zeros(words.as_py() + 1, dtype=np.uint64)
+                number = np.zeros(words.as_py() + 1, dtype=kind)
                 number[np.asarray(pos.values) + 1] = np.asarray(ids.values)
                 sequence = number[np.frombuffer(codes.as_py(), dtype="<u4")]
-                n = starts.as_py()
-                sequence = np.concatenate([sequence, np.zeros(n + LONGEST - len(sequence), dtype=np.uint64)])
-                begin = np.flatnonzero((sequence[:n] > 0) & (sequence[1 : n + 1] > 0))
-                wide = sequence[begin[:, None] + np.arange(LONGEST)]
-                wide[np.minimum.accumulate(wide > 0, axis=1) == 0] = 0
-                for at in range(0, len(wide), 1 << 18):
-                    yield to_batch(*radix_runs(to_digits(wide[at : at + (1 << 18)], width), np.ones(len(wide[at : at + (1 << 18)]), dtype=np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([sequence.tobytes()], pa.binary()), pa.array([starts.as_py()], pa.int64())], schema=schema)
+
+    return both.mapInArrow(encode, "ids binary, starts long")
+
 
-    return both.mapInArrow(pack, "key binary, n long")
+def pair_hash(a: Column | np.ndarray, b: Column | np.ndarray, both: Callable, right: Callable) -> Column | np.ndarray:
+    """The same 62 bits of two numbers in SQL and in numpy, given their bitwise and, and shift to the right."""
+    mask = (1 << 31) - 1
+    a, b = both(a, mask), both(b, mask)
+    low = both(right(a * 2_654_435_761, 20) + right(b * 2_246_822_519, 13), mask)
+    high = both(right(a * 3_266_489_917, 11) + right(b * 668_265_263, 17), mask)
+    return low + high * (1 << 32)
 
 
-def prefix_runs(digits: np.ndarray, counts: np.ndarray, width: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def keys(sequences: DataFrame, width: int, size: int, least: int, marks: tuple[Column, int] | None = None) -> DataFrame:
+    """key, n: of every chunk its distinct keys of size numbers, of which least are words, and how often they
+    stand there.  With marks, a bitmap of pairs, keys end where the next two words are none of them."""
+    kind = "<u4" if width <= 4 else "<u8"
+    bits = marks[1] if marks else None
+    told = sequences.select("ids", "starts", marks[0].alias("marks")) if marks else sequences.select("ids", "starts")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sequence, n = np.frombuffer(batch.column("ids")[i].as_py(), dtype=kind), batch.column("starts")[i].as_py()
+                sequence = np.concatenate([sequence, np.zeros(max(0, n + LONGEST - len(sequence)), dtype=kind)])
+                joined = (sequence[:-1] > 0) & (sequence[1:] > 0)
+                if bits is not None:
+                    pairs = np.flatnonzero(joined)
+                    h = pair_hash(sequence[pairs].astype(np.int64), sequence[pairs + 1].astype(np.int64), np.bitwise_and, np.right_shift)
+                    words = np.asarray(batch.column("marks")[i].values).view(np.uint64)
+                    for spot in (h & ((1 << bits) - 1), (h >> 32) & ((1 << bits) - 1)):
+                        joined[pairs] &= (words[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1) == 1
+                begin = joined[:n].copy()
+                for k in range(1, least - 1):
+                    begin &= joined[k : n + k]
+                begin = np.flatnonzero(begin)
+                for at in range(0, len(begin), 1 << 20):
+                    own = begin[at : at + (1 << 20)]
+                    wide = np.zeros((len(own), size), dtype=kind)
+                    alive = np.ones(len(own), dtype=bool)
+                    wide[:, 0] = sequence[own]
+                    for k in range(1, size):
+                        alive &= joined[own + k - 1]
+                        wide[alive, k] = sequence[own[alive] + k]
+                    yield to_batch(*radix_runs(to_digits(wide, width), np.ones(len(own), dtype=np.int64)))
+
+    return told.mapInArrow(pack, "key binary, n long")
+
+
+def prefix_runs(digits: np.ndarray, counts: np.ndarray, width: int, shortest: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Phrases of each length and their counts, of distinct keys in order: runs of prefixes.
 
     Runs at either end may go on in the next range and are given whatever their count is."""
     half = width // 2
-    for words in range(2, LONGEST + 1):
+    for words in range(shortest, digits.shape[1] // half + 1):
         own = digits[:, : words * half]
         first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]).any(axis=1)]))
         sums = np.add.reduceat(counts, first)
@@ -210,14 +259,14 @@ def prefix_runs(digits: np.ndarray, counts: np.ndarray, width: int, least: int)
         yield out, sums[keep]
 
 
-def counted(keys: DataFrame, width: int, least: int, ranges: int) -> DataFrame:
-    """key, a: phrases of two words and more that stand there at least so often; shorter ones end in zeros."""
+def counted(found: DataFrame, width: int, size: int, shortest: int, least: int, ranges: int) -> DataFrame:
+    """key, a: phrases of shortest to size words that stand there at least so often; shorter ones end in zeros."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
         rows = settled = 0
         for batch in batches:
-            waiting.append(from_batch(batch, width))
+            waiting.append(from_batch(batch, width, size))
             rows += batch.num_rows
             # sorted anew whenever as many came in as there were, so repeated keys never pile up
             if rows > max(1 << 20, 2 * settled):
@@ -226,11 +275,11 @@ def counted(keys: DataFrame, width: int, least: int, ranges: int) -> DataFrame:
         if not rows:
             return
         digits, counts = radix_runs(np.concatenate([d for d, _ in waiting]), np.concatenate([c for _, c in waiting]))
-        for found in prefix_runs(digits, counts, width, least):
-            if len(found[0]):
-                yield to_batch(*found)
+        for told in prefix_runs(digits, counts, width, shortest, least):
+            if len(told[0]):
+                yield to_batch(*told)
 
-    runs = keys.repartitionByRange(ranges, "key").mapInArrow(count, "key binary, n long")
+    runs = found.repartitionByRange(ranges, "key").mapInArrow(count, "key binary, n long")
     return runs.groupBy("key").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
 
 
@@ -247,7 +296,6 @@ def best_cuts(found: DataFrame, dictionary: DataFrame, width: int) -> DataFrame:
     both = each.groupBy("key", "k").agg(F.max(F.when(F.col("left"), F.col("f"))).alias("l"), F.max(F.when(~F.col("left"), F.col("f"))).alias("r"))
     first = dictionary.select(F.col("code").alias("first"), "lang", "n")
     named = found.withColumn("first", F.expr(f"substring(key, 1, {width})")).join(first, "first").drop("first")
-    exact = lambda c: F.col(c).cast("decimal(19,0)")
     score = F.expr("cast(1000 * cast(a as decimal(19,0)) * cast(n as decimal(19,0)) as decimal(38,0)) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))")
     scored = named.join(both, "key").withColumn("score", score.cast("long"))
     least = scored.groupBy("key", "words", "a", "lang", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("least"))
@@ -297,9 +345,16 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, co
     dictionary = cut(frequent.join(totals, "lang").select("lang", "word", "c", "n", "id", code.alias("code")))
     positions = chunks.agg(F.sum("starts")).first()[0] or 0
     ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(positions / rows_per_range))
-    found = counted(chunk_keys(chunks, dictionary, width), width, min_count, ranges)
+    sequences = written(encoded(chunks, dictionary, width), "phrase_ids")
+    discard(chunks)
+    pairs = cut(counted(keys(sequences, width, 2, 2), width, 2, 2, min_count, ranges))
+    number = lambda k: F.conv(F.hex(F.expr(f"substring(key, {k * width + 1}, {width})")), 16, 10).cast("long")
+    hashes = pairs.select(pair_hash(number(0), number(1), lambda x, m: x.bitwiseAND(F.lit(m).cast("long")), F.shiftright).alias("h"))
+    longer = counted(keys(sequences, width, LONGEST, 3, bitmap_subquery(hashes)), width, LONGEST, 3, min_count, ranges)
+    found = pairs.select(_padded("key", width).alias("key"), "a").unionByName(longer)
     length = sum((F.expr(f"substring(key, {i * width + 1}, {width})") != F.lit(bytearray(width))).cast("int") for i in range(LONGEST))
     found = cut(found.withColumn("words", length))
+    discard(sequences)
     scored = cut(uncovered(best_cuts(found, dictionary, width), found, width, covered_share))
     return best_of_each(scored, dictionary, width, top)
 
