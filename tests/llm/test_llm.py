@@ -14,7 +14,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tremorlake.llm import components, decontaminate, exact_dedup, jaccard_join, line_dedup, packing, pii, quality, registry, suffix_dedup, toxicity, url_filter
+from tremorlake.llm import components, decontaminate, exact_dedup, jaccard_join, line_dedup, mixing, packing, phrases, pii, quality, registry, suffix_dedup, toxicity, url_filter
 
 DATA = Path("/root/testdata/sf0.001")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -259,6 +259,46 @@ def test_a_kept_index_over_calls_and_sessions(spark, tmp_path, bucket_rows):
     assert index.buckets() is None and index.read().count() == 0
 
 
+def test_a_lost_call_leaves_the_index_as_it_was(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "index")
+    take = lambda rows, **k: got(exact_dedup.exact_dedup(frame(spark, rows), index_path=path, **k), "doc_id", "keep_id", "kept")
+    take([(1, "a"), (2, "b")])
+    # as a write that died leaves it
+    (tmp_path / "index" / "buckets-64" / "_temporary").mkdir(parents=True)
+    assert take([(3, "a"), (4, "c")]) == [(3, 1, False), (4, 4, True)]
+    # a call that wrote its rows and died before its end
+    monkeypatch.setattr(exact_dedup, "resolve", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        take([(5, "d"), (6, "e")])
+    monkeypatch.undo()
+    assert take([(7, "d"), (8, "c")]) == [(7, 7, True), (8, 4, False)]
+    # growth that died half-way: the new folder has rows, and no mark
+    monkeypatch.setattr(exact_dedup.DigestIndex, "_mark", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        take([(i, f"more {i}") for i in range(10, 60)], bucket_rows=1)
+    monkeypatch.undo()
+    out = take([(i, f"more {i}") for i in range(10, 60)] + [(60, "a"), (61, "e")], bucket_rows=1)
+    assert out == sorted([(i, i, True) for i in range(10, 60)] + [(60, 1, False), (61, 61, True)], key=str)
+    # a named call repeated gives what it gave
+    first = take([(70, "new"), (71, "new"), (72, "a")], run="monday")
+    assert first == take([(70, "new"), (71, "new"), (72, "a")], run="monday") == [(70, 70, True), (71, 70, False), (72, 1, False)]
+    assert take([(80, "new")], run="tuesday") == [(80, 70, False)]
+
+
+BIG = 2**53 + 1
+
+
+def test_large_ids_beside_null_ones(spark):
+    d = frame(spark, [(BIG, "First text of some length, mail a@b.cd"), (None, "Second text, of other words"), (BIG + 2, None)])
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "first text")], "item_id long, text string")
+    outs = [module.score(d, module.fit(d, none)) for module in (quality, toxicity)]
+    outs += [exact_dedup.exact_dedup(d), packing.pack(d), jaccard_join.keep_one(d), decontaminate.keep_clean(d, bench), pii.find_pii(d), line_dedup.drop_common_lines(d), mixing.mix(d), suffix_dedup.remove_repeated(d)]
+    for out in outs:
+        ids = {r["doc_id"] for r in out.collect()}
+        assert ids <= {BIG, BIG + 2, None} and BIG + 2 in ids, out.columns
+
+
 def test_clashing_names_come_back(spark):
     d = frame(spark, odd()).withColumns({c: F.lit(c) for c in ("__mark", "own_id", "own_mark", "own_digest", "doc", "kept_id", "gone_id", "bad_mark")})
     bench = spark.createDataFrame([(1, "nothing like it")], "item_id long, text string")
@@ -654,3 +694,162 @@ def test_query_equals_oracle(spark, name):
     assert sorted(out.columns) == sorted(want.columns)
     text = lambda f: sorted(tuple("" if v is None else str(v) for v in r) for r in f[sorted(f.columns)].itertuples(index=False))
     assert text(out) == text(want)
+
+
+# 11
+
+
+def plain_phrases(rows, least, top, share=100):
+    """rows: (lang, text).  The contract, word by word."""
+    pieces = collections.defaultdict(list)
+    for lang, text in rows:
+        low = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", low):
+            pieces["und" if lang is None else lang].append(re.findall(r"[^\x20\x09]+", piece))
+    out = []
+    for lang, own in pieces.items():
+        f = collections.Counter(tuple(p[i : i + m]) for p in own for m in range(1, 6) for i in range(len(p) - m + 1))
+        n = sum(map(len, own))
+        found = {k: a for k, a in f.items() if len(k) > 1 and a >= least}
+        inside = collections.Counter()
+        for k, a in found.items():
+            for j in range(2, len(k)):
+                for i in range(len(k) - j + 1):
+                    inside[k[i : i + j]] = max(inside[k[i : i + j]], a)
+        kept = []
+        for k, a in found.items():
+            score, cut = min((1000 * a * n // (f[k[:c]] * f[k[c:]]), c) for c in range(1, len(k)))
+            if not (k in inside and 100 * inside[k] >= share * a):
+                kept.append((-score, -a, " ".join(k).encode(), f[k[:cut]], f[k[cut:]]))
+        out += [(lang, r, phrase.decode(), -a, left, right, n, -score) for r, (score, a, phrase, left, right) in enumerate(sorted(kept)[:top], 1)]
+    return out
+
+
+PHRASE = ("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def phrase_rows(seed, docs):
+    rng = random.Random(seed)
+    words = ["the", "The", "old", "house", "ünd", "straße", "a\x01", "a", "日本", "of", "x" * 300, "b-c"]
+    ends = [" ", " ", " ", "  ", "\t", ". ", ",", "\n", "\x0b", " ! ", "\x1c", "\x85"]
+    text = lambda: "".join(rng.choice(words[: rng.choice([3, 12])]) + rng.choice(ends) for _ in range(rng.randrange(90)))
+    rows = [(rng.choice(["en", "en", "de", None, "und", ""]), text()) for _ in range(docs)]
+    return rows + [("en", None), ("en", ""), ("fr", " .. \t"), (None, None)] + [("en", "the old house of the old house of one")] * 7
+
+
+def phrase_frame(spark, rows):
+    return spark.createDataFrame([(lang, text, 1, 2, "x", 3) for lang, text in rows], "lang string, text string, n long, a long, key string, words int")
+
+
+@pytest.mark.parametrize("seed, size, ranges, share", [(1, 1 << 19, 4_000_000, 100), (2, 6, 1, 100), (3, 40, 50, 60)])
+def test_phrases_equal_the_contract(spark, seed, size, ranges, share):
+    rows = phrase_rows(seed, 60)
+    out = phrases.collocations(phrase_frame(spark, rows), 4, 25, share, chunk_words=size, rows_per_range=ranges)
+    assert got(out, *PHRASE) == sorted(plain_phrases(rows, 4, 25, share), key=str)
+
+
+def test_phrases_of_nothing_and_of_hot_words(spark, monkeypatch):
+    assert phrases.collocations(phrase_frame(spark, [])).count() == 0
+    assert phrases.collocations(phrase_frame(spark, [("en", "too few words to count")])).count() == 0
+    # one piece that is longer than a chunk and a block, of one word and of two
+    monkeypatch.setattr(phrases, "_BLOCK", 64)
+    rows = [("en", "na " * 3000), ("en", "ba na " * 1500), (None, "w" * 500 + " na" * 200)]
+    out = phrases.collocations(phrase_frame(spark, rows), 100, 50, chunk_words=700)
+    assert got(out, *PHRASE) == sorted(plain_phrases(rows, 100, 50), key=str)
+
+
+@pytest.mark.parametrize("width", [2, 4, 6])
+def test_keys_of_any_width_sort_as_their_numbers(width):
+    rng = np.random.default_rng(width)
+    ids = rng.integers(0, min(1 << (8 * width), 1 << 40), size=(500, 5)).astype(np.uint64)
+    ids[rng.integers(0, 500, 200)] = ids[3]
+    digits, counts = phrases.radix_runs(phrases.to_digits(ids, width), np.ones(500, dtype=np.int64))
+    want = collections.Counter(map(tuple, ids.tolist()))
+    back = np.zeros((len(digits), 5), dtype=np.uint64)
+    for d in range(width // 2):
+        back = back * np.uint64(65536) + digits.reshape(len(digits), 5, -1)[:, :, d]
+    assert [tuple(x) for x in back.tolist()] == sorted(want) and counts.tolist() == [want[k] for k in sorted(want)]
+    again = phrases.from_batch(phrases.to_batch(digits, counts), width, 5)
+    assert (again[0] == digits).all() and (again[1] == counts).all()
+
+
+def test_pair_hashes_agree_in_sql_and_numpy(spark):
+    pairs = [(1, 2), (2, 1), (1 << 31, 5), ((1 << 40) + 7, (1 << 33) + 1), (0, 0)]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    sql = df.select(phrases.pair_hash(F.col("a"), F.col("b"), lambda x, m: x.bitwiseAND(F.lit(m).cast("long")), F.shiftright)).collect()
+    own = phrases.pair_hash(np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]), np.bitwise_and, np.right_shift)
+    assert sorted(r[0] for r in sql) == sorted(own.tolist()) and min(own) >= 0
+
+
+# 12
+
+
+def plain_targets(sizes):
+    """sizes by source.  Water rises until 150% are in, by the weights and as far as each source goes."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    left, full = 1.5 * sum(sizes.values()), {}
+    while True:
+        rest = [s for s in order if s not in full]
+        each = left / max(1, sum(weight[s] for s in rest))
+        over = [s for s in rest if each * weight[s] > 2 * sizes[s]]
+        if not over:
+            return full | {s: each * weight[s] for s in rest}
+        for s in over:
+            full[s] = 2.0 * sizes[s]
+            left -= full[s]
+
+
+def mix_rows(seed):
+    rng = random.Random(seed)
+    rows = [(i, " ".join("w" for _ in range(rng.choice([0, 1, 5, 40, 300]))), rng.choice(["a", "a", "a", "b", "ü", "", None, "z" * rng.randrange(1, 9)])) for i in range(150)]
+    return rows + [(None, "of no id", "a"), (None, "of no id", "a"), (7, "again \t\n again", "b"), (7, "again \t\n again", "b"), (900, None, "a"), (901, "\x0b \x0c", None), (902, "one\x85word\u3000only", "only")]
+
+
+def mix_frame(spark, rows):
+    return spark.createDataFrame([(*r, 1, 2, "x") for r in rows], "doc_id long, text string, source string, size long, begin long, order string")
+
+
+@pytest.mark.parametrize("seed, bucket", [(1, 500_000), (2, 3)])
+def test_the_mix_meets_its_targets(spark, seed, bucket):
+    rows = mix_rows(seed)
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    total = collections.Counter()
+    for _, t, s in rows:
+        total[s] += size(t)
+    want = plain_targets(total)
+    out = mixing.mix(mix_frame(spark, rows), bucket_rows=bucket).collect()
+    assert sorted((str(r["doc_id"]), r["source"] or "", r["size"]) for r in out) == sorted((str(i), s or "", size(t)) for i, t, s in rows)
+    taken = collections.Counter()
+    for r in out:
+        own = sum(x["words"] for x in r["takes"])
+        assert own <= 2 * r["size"] and r["source_size"] == total[r["source"]] and abs(r["target"] - want[r["source"]]) < 1e-6
+        assert all(0 <= x["position"] <= 1 for x in r["takes"])
+        taken[r["source"]] += own
+    assert all(want[s] - 1 <= taken[s] <= want[s] + 1e-6 for s in total)
+    again = mixing.mix(mix_frame(spark, rows[::-1]).repartition(5), bucket_rows=bucket + 4)
+    assert sorted(map(str, again.collect())) == sorted(map(str, out))
+
+
+def test_positions_follow_the_curriculum(spark):
+    rows = [(i, "w " * 10, "abc"[i % 3]) for i in range(900)]
+    # the first source is heavy in the beginning, the last one in the end
+    mixed = mixing.mix(mix_frame(spark, rows), ((3.0, 2.0, 1.0), (2.0, 2.0, 2.0), (1.0, 2.0, 3.0)))
+    ordered = mixing.training_order(mixed).collect()
+    assert [r["position"] for r in ordered] == sorted(r["position"] for r in ordered)
+    words = collections.defaultdict(lambda: collections.Counter())
+    for r in ordered:
+        words[r["source"]][int(r["position"] * 4)] += r["words"]
+    share = {s: [words[s][q] / sum(words[s].values()) for q in range(4)] for s in "abc"}
+    # integrals of the schedules over quarters: 3 - 2t, 2, 1 + 2t, each over 2
+    for s, want in (("a", [0.34375, 0.28125, 0.21875, 0.15625]), ("b", [0.25] * 4), ("c", [0.15625, 0.21875, 0.28125, 0.34375])):
+        assert all(abs(x - y) < 0.01 for x, y in zip(share[s], want, strict=True)), (s, share[s])
+    # each epoch is one pass over the source
+    first = [r["doc_id"] for r in ordered if r["source"] == "a" and r["epoch"] == 0]
+    assert len(first) == len(set(first))
+
+
+def test_mixing_nothing_and_sources_without_words(spark):
+    assert mixing.mix(mix_frame(spark, [])).count() == 0
+    none = mixing.mix(mix_frame(spark, [(1, None, "a"), (2, " ", None)])).collect()
+    assert [(r["size"], r["target"], r["takes"]) for r in none] == [(0, 0.0, []), (0, 0.0, [])]

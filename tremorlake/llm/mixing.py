@@ -31,7 +31,7 @@ from tremorlake.operators.temporal import numbered
 CURRICULUM = ((7.5, 5.0, 2.5), (2.0, 2.0, 2.0), (0.5, 1.0, 1.5))
 SHARE = Fraction(3, 2)
 REPEATS = 2
-BUCKET_ROWS = 500_000
+BUCKET_ROWS = 20_000
 #: Rows alike that are told apart at once.
 _SLICE = 100_000
 
