@@ -1,9 +1,10 @@
 """Packing: documents into sequences of fixed length, first-fit decreasing over a tournament tree.
 
-A document's tokens are cut at multiples of the sequence length; whole pieces fill sequences of their own and
-the rest of each document is packed.  Rows are dealt at random (by hash of id and place, so equal rows part)
-into groups of a bounded expected size and every group is packed on its own, so no task sees more than that.  Only lengths and
-checksums are shuffled, never ids.
+A document's tokens are cut at multiples of the sequence length and the pieces are packed, those of full length
+first, which leave no room beside them.  Rows are dealt at random (by hash of id and place, so equal rows part)
+into groups of a bounded expected size and every group is packed on its own, so no task sees more than that.
+The place is that in the files as they are split, so another split gives other sequence ids and the same pieces.
+Only lengths and checksums are shuffled, never ids.
 
 Defined cases: null or empty text is the end token alone; repeated rows are packed each on their own; a null
 id is an id like any other; an empty table gives no piece; other columns are not read.
@@ -25,7 +26,7 @@ from tremorlake.llm.common import table, text_of
 SEQUENCE = 1024
 DOCS_PER_GROUP = 4096
 END_ID = 0
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class TournamentTree:
@@ -98,7 +99,8 @@ def encoder(name: str):
 
 
 def pieces(docs: DataFrame, size: int, tokenizer: str) -> DataFrame:
-    """docs: doc_id, text, deal.  One row for each piece, with its group."""
+    """docs: doc_id (as text, since numbers beside a null would come as floats), text, deal.  One row for each
+    piece, with its group."""
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(tokenizer)
@@ -109,11 +111,10 @@ def pieces(docs: DataFrame, size: int, tokenizer: str) -> DataFrame:
                 for doc_id, deal, ids in zip(part["doc_id"], part["deal"], encode(part["text"].tolist()), strict=True):
                     ids.append(END_ID)
                     whole = np.array(ids, dtype="<u4")
-                    doc = None if pd.isna(doc_id) else int(doc_id)
                     for start in range(0, len(whole), size):
                         own = whole[start : start + size]
-                        out.append((doc, start, len(own), zlib.crc32(own.tobytes()), len(whole), int(deal)))
-                yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "deal"]).astype({"doc_id": "Int64"})
+                        out.append((doc_id, start, len(own), zlib.crc32(own.tobytes()), len(whole), int(deal)))
+                yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "deal"])
 
     return docs.mapInPandas(cut_up, f"{PIECES}, deal long")
 
@@ -121,7 +122,7 @@ def pieces(docs: DataFrame, size: int, tokenizer: str) -> DataFrame:
 def pack(docs: DataFrame, size: int = SEQUENCE, docs_per_group: int = DOCS_PER_GROUP, tokenizer: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
     groups = max(1, -(-docs.count() // docs_per_group))
-    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    dealt = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), text_of(text_col).alias("text"))
     dealt = dealt.withColumn("deal", F.pmod(F.xxhash64(F.lit("deal"), "doc_id", F.monotonically_increasing_id()), F.lit(groups)))
 
     def fill(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -129,7 +130,8 @@ def pack(docs: DataFrame, size: int = SEQUENCE, docs_per_group: int = DOCS_PER_G
         bins, offsets = first_fit_decreasing(group["length"].tolist(), size)
         return group.assign(sequence_id=np.array(bins, dtype="int64") + (int(key[0]) << 32), offset=np.array(offsets, dtype="int64")).drop(columns="deal")
 
-    return pieces(dealt, size, tokenizer).groupBy("deal").applyInPandas(fill, f"{PIECES}, sequence_id long, offset long")
+    packed = pieces(dealt, size, tokenizer).groupBy("deal").applyInPandas(fill, f"{PIECES}, sequence_id long, offset long")
+    return packed.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

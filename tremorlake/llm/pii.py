@@ -241,9 +241,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for batch in batches:
             told = pd.DataFrame([judge(t) for t in batch["text"]], columns=names)
             told.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield told.astype({"doc_id": "Int64"})
+            yield told
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInPandas(run, SCHEMA)
+    # ids as text, since numbers beside a null would come as floats
+    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), text_of(text_col).alias("text"))
+    return rows.mapInPandas(run, SCHEMA.replace("doc_id long", "doc_id string")).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
