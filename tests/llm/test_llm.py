@@ -293,7 +293,7 @@ def test_large_ids_beside_null_ones(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([(1, "first text")], "item_id long, text string")
     outs = [module.score(d, module.fit(d, none)) for module in (quality, toxicity)]
-    outs += [exact_dedup.exact_dedup(d), packing.pack(d), jaccard_join.keep_one(d), decontaminate.keep_clean(d, bench), pii.find_pii(d), line_dedup.drop_common_lines(d), mixing.mix(d), suffix_dedup.remove_repeated(d)]
+    outs += [exact_dedup.exact_dedup(d), packing.pack(d), jaccard_join.keep_one(d), decontaminate.keep_clean(d, bench), pii.find_pii(d), line_dedup.drop_common_lines(d), mixing.mix(d), suffix_dedup.remove_repeats(d)]
     for out in outs:
         ids = {r["doc_id"] for r in out.collect()}
         assert ids <= {BIG, BIG + 2, None} and BIG + 2 in ids, out.columns
