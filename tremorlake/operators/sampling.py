@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremorlake.operators.temporal import even_sample
+from tremorlake.operators.temporal import even_sample, islands
 
 
 def draw(*keys: str, seed: int = 0) -> Column:
@@ -31,6 +31,29 @@ def admissible(grid: DataFrame, allowed: DataFrame, shrink: int, width: int, tim
     return g.join(a, "__b").where((F.col(time) >= F.col("s")) & (F.col(time) <= F.col("e"))).select(time, "kind").distinct()
 
 
+def covered(files: DataFrame, allowed: DataFrame, edge: int, shrink: int, width: int) -> DataFrame:
+    """kind, first, start_us, end_us: where a file, edge away from its ends, and an allowed interval of the kind,
+    shrunk at both ends, hold the same times; first is where the file's own times begin.
+
+    Intervals of a kind are joined into their union in buckets of that width first, so however many overlap, a
+    file meets few; both sides meet in the buckets."""
+    a = allowed.select("kind", (F.col("start_us") + shrink).alias("s"), (F.col("end_us") - shrink).alias("e")).where("s <= e")
+    a = a.withColumn("__b", F.explode(F.sequence(F.floor(F.col("s") / width).cast("long"), F.floor(F.col("e") / width).cast("long"))))
+    a = a.select("kind", "__b", F.greatest("s", F.col("__b") * width).alias("s"), F.least("e", (F.col("__b") + 1) * width - 1).alias("e")).distinct()
+    unions = islands(a, ["kind", "__b"], "s", "e", []).groupBy("kind", "__b", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    f = files.select((F.col("start_us") + edge).alias("first"), (F.col("end_us") - edge).alias("until")).where("first <= until")
+    f = f.withColumn("__b", F.explode(F.sequence(F.floor(F.col("first") / width).cast("long"), F.floor(F.col("until") / width).cast("long"))))
+    met = f.join(unions, "__b").select("kind", "first", F.greatest("first", "s").alias("start_us"), F.least("until", "e").alias("end_us"))
+    return met.where("start_us <= end_us")
+
+
+def admissible_times(files: DataFrame, allowed: DataFrame, step: int, edge: int, shrink: int, width: int, time: str = "time_us") -> DataFrame:
+    """time_us, kind: what admissible gives of time_grid, with no time made that isn't asked for."""
+    c = covered(files, allowed, edge, shrink, width)
+    next_ = F.col("first") + F.ceil((F.col("start_us") - F.col("first")) / step) * step
+    return c.withColumn("next", next_).where("next <= end_us").select(F.explode(F.sequence("next", "end_us", F.lit(step).cast("long"))).alias(time), "kind").distinct()
+
+
 def outside(grid: DataFrame, excluded: DataFrame, width: int, time: str = "time_us") -> DataFrame:
     """Grid times that no excluded closed interval holds."""
     x = excluded.withColumn("__b", F.explode(F.sequence(F.floor(F.col("start_us") / width).cast("long"), F.floor(F.col("end_us") / width).cast("long"))))

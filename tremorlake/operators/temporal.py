@@ -146,6 +146,19 @@ def candidate_windows(spark: SparkSession, start: int, end: int, durations: Sequ
     return first.withColumn("window_id", F.row_number().over(Window.orderBy("d", "start_us")) - 1).drop("d")
 
 
+def study_windows(spans: DataFrame, durations: Sequence[int], step: int, by: Sequence[str] = ()) -> DataFrame:
+    """The same windows of every study; spans: by, start_us, end_us.  A study without room for a duration has none of it.
+
+    window_id counts a study's windows by duration and start; their number is set by its span."""
+    listed = F.array(*[F.struct(F.lit(i).alias("d"), F.lit(n).cast("long").alias("duration_us")) for i, n in enumerate(durations)])
+    each = spans.select(*by, "start_us", "end_us", F.inline(listed)).withColumn("last", F.col("end_us") - F.col("start_us") - F.col("duration_us")).where("last >= 0")
+    steps = F.transform(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / step)), lambda i: i * step)
+    opens = each.select(*by, "d", "duration_us", F.col("start_us").alias("__first"), F.explode(F.array_distinct(F.concat(steps, F.array("last")))).alias("__at"))
+    own = opens.select(*by, "d", "duration_us", (F.col("__first") + F.col("__at")).alias("start_us"))
+    w = Window.partitionBy(*by).orderBy("d", "start_us")
+    return own.dropDuplicates([*by, "start_us", "duration_us"]).select(*by, (F.row_number().over(w) - 1).cast("long").alias("window_id"), "start_us", (F.col("start_us") + F.col("duration_us")).alias("end_us"), "duration_us")
+
+
 def window_counts(events: DataFrame, windows: DataFrame, analysis_end: int, step: int, node: str = "node", time: str = "peak_us") -> DataFrame:
     """window_id, node, n: events in [start, end), and at the analysis end too for windows that end there.
 
@@ -202,6 +215,21 @@ def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     return out.withColumn(name, F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).drop("__part", "__before", "__id")
 
 
+def running_totals(df: DataFrame, order: Sequence[str], values: dict[str, str], count: str | None = None) -> DataFrame:
+    """Running totals in that order over all rows; values maps a new column to the one it adds up, count names a
+    running count.  Totals are taken within ranges of the order, and those of the ranges before are added."""
+    placed = cut(df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()))
+    placed = placed.withColumn("__part", F.shiftright("__id", 33).cast("int"))
+    names = {**values, **({count: None} if count else {})}
+    total = lambda old: F.count("*") if old is None else F.sum(old)
+    sums = placed.groupBy("__part").agg(*[total(old).alias(f"__b_{new}") for new, old in names.items()])
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    before = sums.select("__part", *[F.coalesce(F.sum(f"__b_{new}").over(earlier), F.lit(0)).alias(f"__b_{new}") for new in names])
+    own = Window.partitionBy("__part").orderBy("__id").rowsBetween(Window.unboundedPreceding, 0)
+    out = placed.withColumns({new: total(old).over(own) for new, old in names.items()}).join(F.broadcast(before), "__part")
+    return out.withColumns({new: F.col(new) + F.col(f"__b_{new}") for new in names}).drop("__id", "__part", *[f"__b_{new}" for new in names])
+
+
 def even_sample(df: DataFrame, by: Sequence[str], order: Sequence[str], k: int) -> DataFrame:
     """At most k rows of each entity, evenly spaced along the order: positions rint(i (n - 1) / (k - 1))."""
     if by:

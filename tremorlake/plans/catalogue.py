@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tremorlake.plans import learned, signals, statistics, time_space, waveforms
+from tremorlake.plans import learned, signals, statistics, stored, time_space, waveforms
 
 Query = Callable[[SparkSession, str], DataFrame]
-PARTS = (time_space, statistics, signals, waveforms, learned)
+PARTS = (time_space, statistics, signals, waveforms, learned, stored)
 
 
 def queries() -> dict[str, Query]:

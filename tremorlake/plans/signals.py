@@ -222,23 +222,25 @@ def integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.unionByName(checks.duplicates(e, ["node"])).unionByName(checks.unmatched(e, nodes(spark, sf_dir).where("node % 2 = 0"), ["node"], "node_listed"))
 
 
-def grid(spark: SparkSession) -> DataFrame:
-    files = spark.range(30).select((F.col("id") * DAY + T0).alias("start_us"), (F.col("id") * DAY + T0 + 20 * HOUR).alias("end_us"))
-    return sampling.time_grid(files, 10 * MINUTE, 5 * MINUTE)
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recording each day, from its first event to its last one."""
+    return das(spark, sf_dir).groupBy(F.expr(f"peak_us div {DAY}").alias("day")).agg(F.min("peak_us").alias("start_us"), F.max("peak_us").alias("end_us"))
 
 
-def allowed(spark: SparkSession) -> DataFrame:
-    n = F.col("id")
-    return spark.range(40).select(F.concat(F.lit("kind_"), n % 4).alias("kind"), (n * 17 * HOUR + T0).alias("start_us"), (n * 17 * HOUR + T0 + 5 * HOUR).alias("end_us"))
+def strong(spark: SparkSession, sf_dir: str, least: float) -> DataFrame:
+    """Spans of the strong effective events, their kind by the node."""
+    e = das(spark, sf_dir).where((F.col("label") == "effective_candidate") & (F.col("activity") > least))
+    return e.select(F.concat(F.lit("kind_"), F.col("node") % 4).alias("kind"), "start_us", "end_us")
 
 
 def reference_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.admissible(grid(spark), allowed(spark), 2 * MINUTE, BUCKET)
+    return sampling.admissible_times(files(spark, sf_dir), strong(spark, sf_dir, 100), 10 * MINUTE, 5 * MINUTE, 2 * MINUTE, BUCKET)
 
 
 def calibration_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At most 48 times a stage, away from every allowed interval."""
-    free = sampling.outside(grid(spark).select("time_us"), allowed(spark), BUCKET).withColumn("stage", F.expr(f"(time_us - {T0}) div {5 * DAY}"))
+    """At most 48 times a stage, away from the strongest events."""
+    grid = sampling.time_grid(files(spark, sf_dir), 10 * MINUTE, 5 * MINUTE).select("time_us").distinct()
+    free = sampling.outside(grid, strong(spark, sf_dir, 250), BUCKET).withColumn("stage", F.expr(f"(time_us - {T0}) div {5 * DAY}"))
     w = Window.partitionBy("stage").orderBy(sampling.draw("time_us"), "time_us")
     return free.withColumn("r", F.row_number().over(w)).where("r <= 48").select("stage", "time_us")
 
@@ -316,9 +318,10 @@ SUMMARY = """cs AS (SELECT channel, count(*) AS files, count(*) FILTER (WHERE le
     array_to_string(list_sort(list_distinct(flatten(list(hard)))), ';') AS hard_reasons, count(*) FILTER (WHERE file = 'N') AS stable_files,
     CASE WHEN stable_files > 0 THEN count(*) FILTER (WHERE file = 'N' AND len(review) > 0) / stable_files ELSE count(*) FILTER (WHERE len(review) > 0) / count(*) END AS review_fraction,
     median(rms) AS median_rms, median(std) AS median_std FROM c GROUP BY channel)"""
-GRID = f"""grid AS (SELECT DISTINCT unnest(range(i * {DAY} + {T0} + {5 * MINUTE}, i * {DAY} + {T0} + {20 * HOUR} - {5 * MINUTE} + 1, {10 * MINUTE})) AS time_us FROM range(30) t(i)),
-allowed AS (SELECT 'kind_' || (n % 4) AS kind, n * {17 * HOUR} + {T0} AS s, n * {17 * HOUR} + {T0} + {5 * HOUR} AS e FROM range(40) t(n)),
-adm AS (SELECT DISTINCT time_us, kind FROM grid JOIN allowed ON time_us BETWEEN s + {2 * MINUTE} AND e - {2 * MINUTE})"""
+GRID = f"""fl AS (SELECT min(peak_us) AS fs, max(peak_us) AS fe FROM das GROUP BY peak_us // {DAY}),
+grid AS (SELECT DISTINCT unnest(range(fs + {5 * MINUTE}, fe - {5 * MINUTE} + 1, {10 * MINUTE})) AS time_us FROM fl),
+strong AS (SELECT 'kind_' || (node % 4) AS kind, activity, start_us AS s, end_us AS e FROM das WHERE label = 'effective_candidate'),
+adm AS (SELECT DISTINCT time_us, kind FROM grid JOIN strong ON activity > 100 AND time_us BETWEEN s + {2 * MINUTE} AND e - {2 * MINUTE})"""
 
 
 def _quota(n: int, seed: int) -> str:
@@ -378,10 +381,10 @@ ORACLES = {
     UNION ALL SELECT 'positive_duration', count(*) FILTER (WHERE end_us <= start_us) FROM das UNION ALL SELECT 'activity_sane', count(*) FILTER (WHERE NOT activity >= 0) FROM das
     UNION ALL SELECT 'type_known', count(*) FILTER (WHERE event_type NOT IN ('view', 'click')) FROM das UNION ALL SELECT 'unique_node', count(*) - count(DISTINCT node) FROM das
     UNION ALL SELECT 'node_listed', count(*) FILTER (WHERE node % 2 <> 0) FROM das""",
-    "reference_grid": f"WITH {GRID} SELECT * FROM adm",
-    "calibration_times": f"""WITH {GRID}, f AS (SELECT time_us, (time_us - {T0}) // {5 * DAY} AS stage FROM grid WHERE NOT EXISTS (SELECT 1 FROM allowed WHERE time_us BETWEEN s AND e))
+    "reference_grid": f"WITH {DAS}, {GRID} SELECT * FROM adm",
+    "calibration_times": f"""WITH {DAS}, {GRID}, f AS (SELECT time_us, (time_us - {T0}) // {5 * DAY} AS stage FROM grid WHERE NOT EXISTS (SELECT 1 FROM strong WHERE activity > 250 AND time_us BETWEEN s AND e))
     SELECT stage, time_us FROM (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY md5('0:' || time_us), time_us) AS r FROM f) WHERE r <= 48""",
-    "quota_sample": f"WITH {GRID}, {_quota(50, 7)} SELECT * FROM q50",
+    "quota_sample": f"WITH {DAS}, {GRID}, {_quota(50, 7)} SELECT * FROM q50",
     "sensor_round_robin": f"""WITH {NODES} SELECT node FROM (SELECT *, row_number() OVER (PARTITION BY burial_depth_cm, geometry_type ORDER BY md5('0:' || node), node) AS t FROM nodes ORDER BY t, burial_depth_cm, geometry_type LIMIT 13)""",
     "early_references": f"WITH {DAS}, e AS (SELECT *, node % 5 AS stratum FROM das WHERE peak_us >= {T0} AND peak_us < {T0 + 3 * DAY}), s AS ({_even(9, 'stratum') % 'e'}) SELECT event_id FROM (SELECT event_id FROM s ORDER BY md5('0:' || event_id), event_id LIMIT 40)",
     "feature_tasks": f"""WITH {DAS}, {NODES}, {GRID}, {_quota(12, 1)}, sn AS (SELECT node FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('0:' || node), node) AS t FROM nodes ORDER BY t, stratum LIMIT 6)),

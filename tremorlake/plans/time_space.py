@@ -86,13 +86,24 @@ def merge_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged(spark, sf_dir)[1]
 
 
-def scan_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def study_windows(spark: SparkSession) -> DataFrame:
     return temporal.candidate_windows(spark, T0, SCAN_END, DURATIONS, STEP)
 
 
+def scan_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each label is a study, from its first event to its last one."""
+    spans = das(spark, sf_dir).groupBy("label").agg(F.min("peak_us").alias("start_us"), F.max("peak_us").alias("end_us"))
+    return temporal.study_windows(spans, DURATIONS, STEP, ["label"])
+
+
+def event_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = temporal.running_totals(das(spark, sf_dir).select("event_id", "peak_us", "activity"), ["peak_us", "event_id"], {"cumulative_activity": "activity"}, "cumulative_count")
+    return out.select("event_id", "cumulative_count", F.round("cumulative_activity", 2).alias("cumulative_activity"))
+
+
 def counted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     events = das(spark, sf_dir).where(F.col("peak_us").between(T0, SCAN_END))
-    windows = scan_windows(spark, sf_dir)
+    windows = study_windows(spark)
     return windows, temporal.window_counts(events, windows, SCAN_END, STEP)
 
 
@@ -189,7 +200,7 @@ def moran_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def start_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest Moran's I over the durations that start at a time."""
-    windows = scan_windows(spark, sf_dir)
+    windows = study_windows(spark)
     return peaks_by_start(moran_windows(spark, sf_dir).join(windows, "window_id"), "moran_i")
 
 
@@ -267,7 +278,7 @@ def holm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inference.holm(tests).select("test", F.round("p", 8).alias("p"), F.round("p_adjusted", 8).alias("p_adjusted"), "rank")
 
 
-QUERIES = {f.__name__: f for f in (minute_activity, event_policy_filter, range_audit, label_counts, position_final, position_snapshots, position_series, interval_islands, merge_membership, scan_windows, window_node_counts, window_eligibility, stage_asof, nuisance_first, nuisance_all, runs_true, max_consecutive, file_timeline, even_sample, roi_region, gauge_profile, radius_graph, graph_components, moran_windows, start_peaks, permutation_pools, permutation_scan, null_summary, scan_episodes, full_permutation_scan, full_null_summary, holm)}
+QUERIES = {f.__name__: f for f in (minute_activity, event_policy_filter, range_audit, label_counts, position_final, position_snapshots, position_series, interval_islands, merge_membership, scan_windows, event_totals, window_node_counts, window_eligibility, stage_asof, nuisance_first, nuisance_all, runs_true, max_consecutive, file_timeline, even_sample, roi_region, gauge_profile, radius_graph, graph_components, moran_windows, start_peaks, permutation_pools, permutation_scan, null_summary, scan_episodes, full_permutation_scan, full_null_summary, holm)}
 
 WINDOWS = f"""raw AS (SELECT i, {T0} + s AS start_us, {T0} + s + d AS end_us, d AS duration_us FROM (
     SELECT i, d, unnest(list_distinct(list_append(range(0, {SCAN_END - T0} - d + 1, {STEP}), {SCAN_END - T0} - d))) AS s
@@ -339,7 +350,12 @@ ORACLES = {
         first(peak_us ORDER BY activity DESC, peak_us, event_id) AS peak_us, first(event_id ORDER BY activity DESC, peak_us, event_id) AS representative_event_id,
         count(*) AS source_records, max(activity) AS representative_activity FROM placed GROUP BY node, island""",
     "merge_membership": f"WITH {DAS}, {ISLANDS} SELECT event_id, node, island FROM placed",
-    "scan_windows": f"WITH {WINDOWS} SELECT * FROM windows",
+    "scan_windows": f"""WITH {DAS}, span AS (SELECT label, min(peak_us) AS a, max(peak_us) AS b FROM das GROUP BY 1),
+    raw AS (SELECT label, i, a + unnest(list_distinct(list_append(range(0, b - a - d + 1, {STEP}), b - a - d))) AS start_us, d AS duration_us
+        FROM span, (VALUES {", ".join(f"({i}, {d})" for i, d in enumerate(DURATIONS))}) t(i, d) WHERE d <= b - a)
+    SELECT label, row_number() OVER (PARTITION BY label ORDER BY i, start_us) - 1 AS window_id, start_us, start_us + duration_us AS end_us, CAST(duration_us AS BIGINT) AS duration_us FROM raw""",
+    "event_totals": f"""WITH {DAS} SELECT event_id, row_number() OVER (ORDER BY peak_us, event_id) AS cumulative_count,
+    round(sum(activity) OVER (ORDER BY peak_us, event_id ROWS UNBOUNDED PRECEDING), 2) AS cumulative_activity FROM das""",
     "window_node_counts": f"WITH {DAS}, {WINDOWS}, {COUNTS} SELECT * FROM counts",
     "window_eligibility": f"WITH {DAS}, {NODES}, {WINDOWS}, {COUNTS}, {OWN}, {ELIGIBLE} SELECT * FROM eligible",
     "stage_asof": f"""WITH {DAS}, st AS (SELECT i AS stage_id, i * {5 * DAY} + {T0} + CASE WHEN i = 0 THEN {HOUR} ELSE 0 END AS s FROM range(6) t(i))
