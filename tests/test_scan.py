@@ -208,9 +208,9 @@ def test_files_are_located_as_the_last_that_starts_before(spark):
 
 
 def test_neighbours_in_blocks_equal_all_distances(spark, monkeypatch):
-    from tremorlake.operators import screening
+    from tremorlake.operators import neighbours, screening
 
-    monkeypatch.setattr(screening, "BLOCK", 30)
+    monkeypatch.setattr(neighbours, "BLOCK", 30)
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(size=3).round(1).tolist(), "ab"[i % 2]) for i in range(100)]
     df = spark.createDataFrame(rows, "key long, vector array<double>, label string")

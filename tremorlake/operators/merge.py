@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections import deque
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import partial
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremorlake.functions import correlation, js_distance
+from tremorlake.operators.cuts import BLOCK_ROWS, greedy_parts
 from tremorlake.operators.graph import components
 from tremorlake.operators.temporal import numbered
 
@@ -69,37 +73,48 @@ def label_components(primitives: DataFrame, pairs: DataFrame) -> DataFrame:
     return primitives.join(found, F.col("key") == F.col("node_id"), "left").withColumn("component", F.coalesce("component", "key")).drop("node_id")
 
 
-def greedy_split(placed: DataFrame, rules: MergeRules = MergeRules()) -> DataFrame:
-    """Cuts each component, in peak order, wherever the next detection would make it too long or too wide.
-
-    What is open depends on every earlier cut, so a component is one pass; partitions hold whole components in
-    order and are streamed through, with nothing kept but what is open.  A detection that starts more than the
-    span behind the end of all before it is a cut whatever is open, so a component is parted there beforehand and
-    its stretches are passes of their own."""
-    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, part = None, 0
-        start = end = low = high = 0
-        for batch in batches:
-            parts = []
-            for *component, s, e, c in zip(batch["component"], batch["stretch"], batch["start_us"], batch["end_us"], batch["channel"], strict=True):
-                if component != now:  # a component's stretch
-                    now, part = component, 0
-                    start, end, low, high = s, e, c, c
-                elif max(end, e) - min(start, s) > rules.span or max(high, c) - min(low, c) > rules.channel_span:
-                    part += 1
-                    start, end, low, high = s, e, c, c
-                else:
-                    start, end, low, high = min(start, s), max(end, e), min(low, c), max(high, c)
-                parts.append(part)
-            yield pd.DataFrame({"key": batch["key"], "component": batch["component"], "stretch": batch["stretch"], "part": parts})
-
-    w = Window.partitionBy("component").orderBy("peak_us", "key")
-    ended = F.max("end_us").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = placed.select("key", "component", "peak_us", "start_us", "end_us", "channel", (F.col("start_us") - ended > rules.span).cast("long").alias("away"))
-    rows = rows.withColumn("stretch", F.coalesce(F.sum("away").over(w), F.lit(0))).drop("away").repartition("component", "stretch")
-    cuts = rows.sortWithinPartitions("component", "stretch", "peak_us", "key").mapInPandas(cut_up, "key long, component long, stretch long, part int")
-    number = F.dense_rank().over(Window.partitionBy("component").orderBy("stretch", "part")) - 1
-    return cuts.select("key", "component", number.alias("part"))
+def next_split(rules: MergeRules, rows: pd.DataFrame) -> np.ndarray:
+    """For each detection the next one that would make its group too long or too wide.
+
+    The later a group begins, the later it ends, so one pass with the extremes of the open group does it."""
+    start, end, channel = (rows[c].to_numpy() for c in ("start_us", "end_us", "channel"))
+    n = len(rows)
+    out = np.full(n, n, dtype=np.int64)
+    # positions whose values are extremes of what is open, the strongest in front
+    lows, highs, firsts, lasts = deque(), deque(), deque(), deque()
+    j = 0
+
+    def push(queue: deque, values: np.ndarray, sign: int) -> None:
+        while queue and sign * values[queue[-1]] <= sign * values[j]:
+            queue.pop()
+        queue.append(j)
+
+    for i in range(n):
+        while j < n:
+            now = lambda queue, values, pick: pick(values[queue[0]], values[j]) if queue else values[j]
+            long = now(lasts, end, max) - now(firsts, start, min) > rules.span
+            if j > i and (long or now(highs, channel, max) - now(lows, channel, min) > rules.channel_span):
+                break
+            push(lasts, end, 1)
+            push(firsts, start, -1)
+            push(highs, channel, 1)
+            push(lows, channel, -1)
+            j += 1
+        out[i] = j
+        for queue in (lows, highs, firsts, lasts):
+            if queue and queue[0] == i:
+                queue.popleft()
+    return out
+
+
+def greedy_split(placed: DataFrame, rules: MergeRules = MergeRules(), block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """key, component, part: cuts each component, in peak order, wherever the next detection would make it too long
+    or too wide.
+
+    Peaks further apart than the span are cut, but for what peaks lie outside their own detections."""
+    odd = placed.agg(F.max(F.greatest(F.col("peak_us") - F.col("end_us"), F.lit(0))).alias("a"), F.max(F.greatest(F.col("start_us") - F.col("peak_us"), F.lit(0))).alias("b")).first()
+    reach = rules.span + (odd["a"] or 0) + (odd["b"] or 0)
+    return greedy_parts(placed, "component", "peak_us", "key", reach, ["start_us", "end_us", "channel"], partial(next_split, rules), block_rows)
 
 
 def merged_events(primitives: DataFrame, split: DataFrame) -> DataFrame:

@@ -4,53 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tremorlake.operators.neighbours import Search
 from tremorlake.operators.robust import exact_quantile
+from tremorlake.sources.shared import cut
 
-#: References and queries of a pair of blocks that are compared in one task.
-BLOCK = 20_000
-
-
-def dealt(rows: DataFrame, blocks: int, others: int, own: str, other: str) -> DataFrame:
-    """Every row in its own block, once for each block of the other side."""
-    return rows.withColumn(own, F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+#: The space of all references; classes are named behind an equals sign.
+WHOLE = "*"
 
 
 def knn(queries: DataFrame, reference: DataFrame, k: int, key: str = "key", vector: str = "vector", label: str = "label", exclude_self: bool = True, per_label: bool = False) -> DataFrame:
     """key, label, distances: the k smallest Euclidean distances to the reference, or to each label of it.
 
-    Exact, so every query meets every reference: blocks of both meet in tasks of their own, distances are taken in
-    float64, and partial lists of k are merged by key.  Nothing comes to the driver but the two counts."""
+    Exact, by cells around pivots (neighbours.Search).  A query's key stands once."""
     q = queries.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"))
-    r = reference.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"), F.col(label).alias("label"))
-    least = q.sparkSession.sparkContext.defaultParallelism
-    nq, nr = max(least, -(-q.count() // BLOCK)), max(1, -(-r.count() // BLOCK))
-
-    def search(few: pd.DataFrame, all_of: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(few) and len(all_of):
-            points, keys, labels = np.stack(all_of["vector"]), all_of["key"].to_numpy(), all_of["label"].to_numpy()
-            x, own = np.stack(few["vector"]), few["key"].to_numpy()
-            step = max(1, 4_000_000 // max(1, points.size))
-            for name in sorted(set(labels.tolist())) if per_label else [None]:
-                chosen = np.flatnonzero(labels == name) if per_label else np.arange(len(points))
-                for at in range(0, len(x), step):  # in bounded memory
-                    d = np.sqrt(((x[at : at + step, None, :] - points[None, chosen]) ** 2).sum(2))
-                    if exclude_self:
-                        d[own[at : at + step, None] == keys[None, chosen]] = np.inf
-                    near = np.sort(np.partition(d, min(k, d.shape[1]) - 1, 1)[:, :k], 1)
-                    out.append(pd.DataFrame({"key": own[at : at + step], "label": name, "distances": [row[np.isfinite(row)] for row in near]}))
-        return pd.concat(out) if out else pd.DataFrame(columns=["key", "label", "distances"], dtype=object)
-
-    kind = dict(queries.dtypes)[key]
-    left, right = dealt(q, nq, nr, "bq", "br"), dealt(r, nr, nq, "br", "bq")
-    found = left.groupBy("bq", "br").cogroup(right.groupBy("bq", "br")).applyInPandas(search, f"key {kind}, label string, distances array<double>")
-    merged = found.groupBy("key", "label").agg(F.flatten(F.collect_list("distances")).alias("d"))  # k of each block of references
-    return merged.select("key", "label", F.slice(F.sort_array("d"), 1, k).alias("distances"))
+    space = F.col(label).cast("string") if per_label else F.lit("")
+    r = reference.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"), F.coalesce(space, F.lit("")).alias("space"))
+    search = Search(r)
+    if not search.n:
+        return q.limit(0).select("key", F.lit(None).cast("string").alias("label"), F.array().cast("array<double>").alias("distances"))
+    return search.nearest(q, k, None if exclude_self else frozenset()).select("key", (F.col("space") if per_label else F.lit(None).cast("string")).alias("label"), "distances")
 
 
 def noise_distances(candidates: DataFrame, reference: DataFrame, k: int, class_k: int, quantile: float) -> DataFrame:
@@ -58,13 +33,23 @@ def noise_distances(candidates: DataFrame, reference: DataFrame, k: int, class_k
 
     The threshold is the quantile of the references' leave-one-out distances to their k-th neighbour; the
     class distance does not leave a reference out of its own class.  A class without rows plays no part."""
-    loo = knn(reference, reference, k).select("key", F.element_at("distances", -1).alias("noise_distance"), F.lit(True).alias("is_reference"))
-    own = knn(candidates, reference, k, exclude_self=False).select("key", F.element_at("distances", -1).alias("noise_distance"), F.lit(False).alias("is_reference"))
-    threshold = exact_quantile(loo, [], "noise_distance", quantile, "t").select(F.greatest("t", F.lit(1e-9)).alias("threshold"))
-    everyone = candidates.select("key", "vector").unionByName(reference.select("key", "vector"))
-    classes = knn(everyone, reference, class_k, exclude_self=False, per_label=True)
-    nearest = classes.groupBy("key").agg(F.min(F.struct(F.element_at("distances", -1).alias("d"), "label")).alias("m"))
-    full = loo.unionByName(own).join(F.broadcast(threshold), how="left", on=F.lit(True)).join(nearest, "key")
+    # one search: all references are a space of their own, in which a reference doesn't meet itself, and so is each class
+    named = lambda rows, mark: rows.select(F.concat(F.lit(mark), F.col("key").cast("string")).alias("key"), F.col("vector").cast("array<double>").alias("vector"))
+    spaces = F.explode(F.array(F.lit(WHOLE), F.concat(F.lit("="), F.col("label").cast("string"))))
+    search = Search(reference.select(F.concat(F.lit("r"), F.col("key").cast("string")).alias("key"), F.col("vector").cast("array<double>").alias("vector"), spaces.alias("space")).where("space IS NOT NULL"))
+    if not search.n:
+        nothing = F.lit(None).cast("double")
+        return candidates.limit(0).select("key", F.lit(False).alias("is_reference"), *[nothing.alias(c) for c in ("noise_distance", "threshold", "ratio")], F.lit("").alias("nearest_class"), nothing.alias("nearest_distance"))
+    everyone = named(candidates, "q").unionByName(named(reference, "r"))
+    found = cut(search.nearest(everyone, max(k, class_k), frozenset({WHOLE})))
+    kind = dict(candidates.dtypes)["key"]
+    key, is_reference = F.expr("substring(key, 2)").cast(kind).alias("key"), (F.substring("key", 1, 1) == "r").alias("is_reference")
+    last = lambda n: F.element_at(F.slice("distances", 1, n), -1)
+    whole = found.where((F.col("space") == WHOLE) & (F.size("distances") > 0)).select(key, is_reference, last(k).alias("noise_distance"))
+    threshold = exact_quantile(whole.where("is_reference"), [], "noise_distance", quantile, "t").select(F.greatest("t", F.lit(1e-9)).alias("threshold"))
+    classes = found.where((F.col("space") != WHOLE) & (F.size("distances") > 0)).select(key, is_reference, F.struct(last(class_k).alias("d"), F.expr("substring(space, 2)").alias("label")).alias("m"))
+    nearest = classes.groupBy("key", "is_reference").agg(F.min("m").alias("m"))
+    full = whole.join(F.broadcast(threshold), how="left", on=F.lit(True)).join(nearest, ["key", "is_reference"])
     return full.select("key", "is_reference", "noise_distance", "threshold", (F.col("noise_distance") / F.col("threshold")).alias("ratio"), F.col("m.label").alias("nearest_class"), F.col("m.d").alias("nearest_distance"))
 
 

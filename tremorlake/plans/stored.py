@@ -1,4 +1,4 @@
-"""Queries and oracles of what is kept in files: tables made unit by unit, and array containers."""
+"""Queries and oracles of what is kept in files: tables made unit by unit, array containers, tasks read together."""
 
 from __future__ import annotations
 
@@ -7,12 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tremorlake.plans.das import DAS, DAY, T0, das, table
+from tremorlake.operators import features
+from tremorlake.plans.das import DAS, DAY, HOUR, T0, das, table
 from tremorlake.sources import arrays, incremental
 from tremorlake.sources.shared import shared_folder
 
 CHANNELS = (3, 17, 40)
 FIRST_ROW = 5
+ANCHOR = 2 * HOUR
 DAILY = "node BIGINT, event_count BIGINT, activity DOUBLE, first_us BIGINT, last_us BIGINT"
 
 
@@ -53,11 +55,21 @@ def array_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("container", "channel", (F.col("first_row") + F.col("i")).alias("row"), F.round("v", 6).alias("v"))
 
 
-QUERIES = {f.__name__: f for f in (incremental_days, array_slices)}
+def anchor_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a file that are read together: within two hours of the first one."""
+    tasks = das(spark, sf_dir).select("event_id", (F.col("node") % 7).cast("string").alias("file_name"), F.col("peak_us").alias("time_us"))
+    return features.anchors(tasks, ANCHOR, 1000).select("event_id", "file_name", "anchor_us")
+
+
+QUERIES = {f.__name__: f for f in (incremental_days, array_slices, anchor_groups)}
 
 ORACLES = {
     "incremental_days": f"""WITH {DAS} SELECT CAST(peak_us // {DAY} AS VARCHAR) AS unit, node, count(*) AS event_count, CAST(sum(CAST(activity AS DECIMAL(20,6))) AS DOUBLE) AS activity,
     min(peak_us) AS first_us, max(peak_us) AS last_us FROM das GROUP BY ALL""",
+    "anchor_groups": f"""WITH RECURSIVE {DAS}, t AS (SELECT DISTINCT CAST(node % 7 AS VARCHAR) AS file_name, peak_us AS time_us FROM das),
+    a(file_name, anchor_us) AS (SELECT file_name, min(time_us) FROM t GROUP BY 1 UNION ALL
+        SELECT t.file_name, min(t.time_us) FROM a JOIN t ON t.file_name = a.file_name AND t.time_us > a.anchor_us + {ANCHOR} GROUP BY t.file_name)
+    SELECT event_id, CAST(node % 7 AS VARCHAR) AS file_name, anchor_us FROM das ASOF JOIN a ON CAST(node % 7 AS VARCHAR) = a.file_name AND peak_us >= a.anchor_us""",
     "array_slices": f"""WITH r AS (SELECT 'label_' || label || '.npz' AS container, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS row FROM embeddings)
     SELECT container, CAST(c AS INT) AS channel, row, round(CAST(embedding[c + 1] AS DOUBLE), 6) AS v FROM r, (VALUES {", ".join(f"({c})" for c in CHANNELS)}) t(c) WHERE row >= {FIRST_ROW}""",
 }
