@@ -8,9 +8,10 @@ import json
 from pyspark.sql import functions as F
 
 from tremorlake.checks import DataError
-from tremorlake.plans import catalogue, reproduce, study
+from tremorlake.plans import catalogue, detection, reproduce, study
+from tremorlake.schemas import LAYOUT
 from tremorlake.session import get_spark
-from tremorlake.sources import cache, sinks, tables
+from tremorlake.sources import cache, sheets, sinks, tables
 from tremorlake.spec import ExperimentSpec, ScanSettings
 
 
@@ -39,6 +40,9 @@ def parser() -> argparse.ArgumentParser:
     c = sub.add_parser("quality", help="channel quality control")
     for name in ("--samples", "--layout", "--output"):
         c.add_argument(name, required=True)
+    c = sub.add_parser("catalog", help="from waveform blocks to a screened catalog; stages are kept, changed files detected again")
+    for name, told in (("--blocks", "Parquet of waveform blocks"), ("--records", "file_name, start_us, end_us"), ("--layout", "sensors"), ("--nuisance", "kind, start_us, end_us"), ("--output", None)):
+        c.add_argument(name, required=True, help=told)
     c = sub.add_parser("inspect", help="tables below a folder with their columns, or a waveform file's datasets")
     c.add_argument("path")
     c = sub.add_parser("frames", help="what figures of a saved scan show")
@@ -75,6 +79,7 @@ def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = get_spark()
     read = spark.read.parquet
+    layout = lambda path: sheets.read_layout(spark, path, f"channel int, qc_group string, {LAYOUT}")
     if a.command == "scan":
         found = {}
         for name, events, nodes, start, end in a.study:
@@ -93,17 +98,25 @@ def main(argv: list[str] | None = None) -> int:
         events = read(a.events)
         if a.event_policy != "all":
             events = study.select_events(events, a.event_policy, a.cutoff_us, a.max_events)
-        metrics = study.run_activity(read(a.blocks), events, read(a.layout), a.fs)
+        metrics = study.run_activity(read(a.blocks), events, layout(a.layout), a.fs)
         metrics.write.mode("overwrite").parquet(f"{a.output}/events")
         if a.start_us is not None and a.cutoff_us is not None:
             full = events.join(read(f"{a.output}/events").select("event_id", F.col("integral_median").alias("activity")), "event_id").withColumn("position", F.col("channel"))
-            told = study.accumulate(full, read(a.layout).select(F.col("channel").alias("position")), a.start_us, a.cutoff_us, a.snapshot_minutes, a.input_unit)
+            told = study.accumulate(full, layout(a.layout).select(F.col("channel").alias("position")), a.start_us, a.cutoff_us, a.snapshot_minutes, a.input_unit)
             for part in ("minutes", "snapshots", "positions"):
                 getattr(told, part).write.mode("overwrite").parquet(f"{a.output}/{part}")
     elif a.command == "screen":
         names = a.features.split(",")
         votes = study.run_refinement(read(a.tasks), names, a.refine.split(",")) if a.refine else study.run_screening(read(a.tasks), names)
         votes.write.mode("overwrite").parquet(a.output)
+    elif a.command == "catalog":
+        blocks, sensors = read(a.blocks), layout(a.layout)
+        if dict(sensors.dtypes).get("channel") != "bigint":
+            sensors = sensors.withColumn("channel", F.coalesce(*[F.col(x).cast("long") for x in ("channel", "data_channel") if x in sensors.columns]))
+        given = detection.Inputs(blocks, read(a.records), sensors, read(a.nuisance))
+        catalog, made, log = detection.run_catalog(spark, given, detection.stored_units(blocks), a.output)
+        sinks.write_text(spark, f"{a.output}/stages.jsonl", log.text())
+        print(json.dumps({"events": catalog.count(), "files_detected": made.count()}))
     elif a.command == "inspect":
         print(json.dumps(inspect(spark, a.path), indent=1))
     elif a.command == "frames":
@@ -121,7 +134,7 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps(counts))
         return int(set(counts) != {"ok"})
     elif a.command == "quality":
-        for name, df in zip(("channels", "summary", "files"), study.run_quality(read(a.samples), read(a.layout)), strict=True):
+        for name, df in zip(("channels", "summary", "files"), study.run_quality(read(a.samples), layout(a.layout)), strict=True):
             df.write.mode("overwrite").parquet(f"{a.output}/{name}")
     elif a.command == "template":
         from tremorlake import schemas
