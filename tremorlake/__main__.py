@@ -81,11 +81,12 @@ def main(argv: list[str] | None = None) -> int:
     read = spark.read.parquet
     layout = lambda path: sheets.read_layout(spark, path, f"channel int, qc_group string, {LAYOUT}")
     if a.command == "scan":
-        found = {}
+        asked = {}
         for name, events, nodes, start, end in a.study:
             tables.require_files(spark, events=events, nodes=nodes)
-            spec = ExperimentSpec(name, int(start), int(end), ScanSettings(simulations=a.simulations, family=len(a.study)))
-            found[name] = study.run_scan(spec, read(events), read(nodes))
+            asked[name] = ExperimentSpec(name, int(start), int(end), ScanSettings(simulations=a.simulations, family=len(a.study))), read(events), read(nodes)
+        found = study.run_scans(asked)
+        for name in found:
             for part in ("merged", "membership", "windows", "edges", "pools"):
                 getattr(found[name], part).write.mode("overwrite").parquet(f"{a.output}/{name}/{part}")
         adjusted, episodes = study.correct_studies(found, ScanSettings().alpha)

@@ -30,14 +30,19 @@ class MergeRules:
     channel_span: int = 16
 
 
-def band_pairs(df: DataFrame, by: Sequence[str], time: str, key: str, gap: int) -> DataFrame:
-    """Pairs (a before b) of one group at most gap apart: buckets of that width meet themselves and the next."""
+def band_pairs(df: DataFrame, by: Sequence[str], time: str, key: str, gap: int, channel: str | None = None, channels: int = 0) -> DataFrame:
+    """Pairs (a before b) of one group at most gap apart and, with a channel, at most channels: buckets of that width
+    meet themselves and the next, bands of channels both neighbours, so a dense moment is spread over the cable."""
     cols = [c for c in df.columns if c not in by]
-    rows = df.withColumn("__b", F.floor(F.col(time) / gap).cast("long"))
-    left = rows.select(*by, F.struct(*cols).alias("a"), F.explode(F.array(F.col("__b"), F.col("__b") + 1)).alias("__b"))
-    right = rows.select(*by, F.struct(*cols).alias("b"), "__b")
+    band = F.lit(0) if channel is None else F.floor(F.col(channel) / max(1, channels)).cast("int")
+    rows = df.withColumns({"__b": F.floor(F.col(time) / gap).cast("long"), "__c": band})
+    left = rows.select(*by, F.struct(*cols).alias("a"), "__c", F.explode(F.array(F.col("__b"), F.col("__b") + 1)).alias("__b"))
+    if channel is not None:
+        left = left.withColumn("__c", F.explode(F.array(F.col("__c") - 1, F.col("__c"), F.col("__c") + 1)))
+    right = rows.select(*by, F.struct(*cols).alias("b"), "__b", "__c")
     before = (F.col(f"a.{time}") < F.col(f"b.{time}")) | ((F.col(f"a.{time}") == F.col(f"b.{time}")) & (F.col(f"a.{key}") < F.col(f"b.{key}")))
-    return left.join(right, [*by, "__b"]).where(before & (F.col(f"b.{time}") - F.col(f"a.{time}") <= gap)).drop("__b")
+    near = F.lit(True) if channel is None else F.abs(F.col(f"a.{channel}") - F.col(f"b.{channel}")) <= channels
+    return left.join(right, [*by, "__b", "__c"]).where(before & (F.col(f"b.{time}") - F.col(f"a.{time}") <= gap) & near).drop("__b", "__c")
 
 
 def close(rules: MergeRules) -> Column:
@@ -56,7 +61,7 @@ def similarity_pairs(primitives: DataFrame, rules: MergeRules = MergeRules()) ->
     Places and times alone are joined in bands; envelopes and spectra are fetched for the pairs that are left, and
     the spectra are looked at where the envelopes don't settle it."""
     narrow = primitives.select("depth", "key", "peak_us", "start_us", "end_us", "channel", "segment_id", "x_cm", "y_cm")
-    pairs = band_pairs(narrow, ["depth"], "peak_us", "key", rules.gap).where(close(rules)).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
+    pairs = band_pairs(narrow, ["depth"], "peak_us", "key", rules.gap, "channel", rules.channels).where(close(rules)).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
     shape = lambda c: primitives.select(F.col("key").alias(c), F.col("env").alias(f"env_{c}"), F.col("psd").alias(f"psd_{c}"))
     full = pairs.join(shape("a"), "a").join(shape("b"), "b")
     alike = F.when(correlation(F.col("env_a"), F.col("env_b")) >= rules.envelope, True).otherwise(js_distance(F.col("psd_a"), F.col("psd_b"), 1e-20) <= rules.spectrum)
@@ -65,7 +70,7 @@ def similarity_pairs(primitives: DataFrame, rules: MergeRules = MergeRules()) ->
 
 def gauge_pairs(primitives: DataFrame, gap: int = 600_000, channels: int = 8) -> DataFrame:
     """The simpler rule: close in time and in channel."""
-    return band_pairs(primitives.select("key", "peak_us", "channel"), [], "peak_us", "key", gap).where(F.abs(F.col("a.channel") - F.col("b.channel")) <= channels).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
+    return band_pairs(primitives.select("key", "peak_us", "channel"), [], "peak_us", "key", gap, "channel", channels).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
 
 
 def label_components(primitives: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -55,6 +56,13 @@ def run_scan(spec: ExperimentSpec, events: DataFrame, nodes: DataFrame) -> ScanR
     return ScanResult(merged, membership, full, inference.episodes(full.where("p_window is not null"), s.alpha), edges, pools, first["p_global"] if first else 1.0)
 
 
+def run_scans(studies: dict[str, tuple[ExperimentSpec, DataFrame, DataFrame]], at_once: int = 4) -> dict[str, ScanResult]:
+    """run_scan of each study (spec, events, nodes), some at once: their small stages fill the cluster together."""
+    with ThreadPoolExecutor(max_workers=max(1, min(at_once, len(studies)))) as pool:
+        running = {name: pool.submit(run_scan, *told) for name, told in studies.items()}
+        return {name: job.result() for name, job in running.items()}
+
+
 def correct_studies(results: dict[str, ScanResult], alpha: float) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Holm over the studies' global p, and each study's episodes at its own step's level."""
     any_result = next(iter(results.values()))
