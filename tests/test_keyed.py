@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -32,6 +34,16 @@ def test_permutations_are_bijections_of_their_pools(spark):
     assert len(set(own)) == 12
 
 
+def test_small_pools_take_every_order_alike(spark):
+    orders = {}
+    for r in sorted(drawn(spark, [2, 3, 4], 2400), key=lambda r: r["rank"]):
+        if r["perm"]:
+            orders.setdefault((r["size"], r["perm"]), []).append(r["to"])
+    for size, kinds in ((2, 2), (3, 6), (4, 24)):
+        seen = Counter(tuple(v) for (n, _), v in orders.items() if n == size)
+        assert len(seen) == kinds and all(abs(c - 2400 / kinds) < 6 * (2400 / kinds) ** 0.5 for c in seen.values()), seen
+
+
 def test_draws_are_about_even(spark):
     to = np.zeros((7, 7))
     for r in drawn(spark, [7], 1400):

@@ -25,7 +25,9 @@ def pools(nodes: DataFrame, pool: str, key: str = "node") -> DataFrame:
     each = placed.groupBy(F.col("pool").alias("_pool")).agg(F.min("g").alias("first"), F.count("*").alias("size"))
     near = F.floor(F.sqrt("size")).cast("long")
     grid = lambda a: F.struct((a * F.ceil(F.col("size") / a) - F.col("size")).alias("spare"), a.alias("a"))
-    tried = F.filter(F.sequence(F.greatest(near - GRIDS // 2, F.lit(1).cast("long")), near + GRIDS // 2), lambda a: a <= F.col("size"))
+    # both sides of the grid must mix: one of a single row would only turn the ranks around
+    least = F.greatest(near - GRIDS // 2, F.ceil(near / 2), F.when(F.col("size") > 2, 2).otherwise(1)).cast("long")
+    tried = F.filter(F.sequence(least, near + GRIDS // 2), lambda a: (a <= F.greatest(2 * near, least)))
     best = each.withColumn("grid", F.array_min(F.transform(tried, grid)))
     best = best.select("_pool", "first", "size", F.col("grid.a").alias("a"), F.ceil(F.col("size") / F.col("grid.a")).alias("b"))
     return placed.join(best, F.col("pool").eqNullSafe(F.col("_pool"))).select("node", "pool", (F.col("g") - F.col("first")).alias("rank"), "size", "a", "b")
