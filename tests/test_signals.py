@@ -129,7 +129,7 @@ def test_streams(spark, tmp_path):
 
 
 def test_feature_tasks_hold_every_candidate(spark, tmp_path):
-    e = spark.range(230).selectExpr("id AS event_id", "timestamp_ntz'2024-01-03 00:00:00' + make_dt_interval(0, 0, id) AS ts", "id % 7 AS user_id", "'view' AS event_type", "1.0D AS value")
+    e = spark.range(230).selectExpr("id AS event_id", "timestamp_ntz'2024-01-03 00:00:00' + make_dt_interval(0, 0, id) AS ts", "id % 7 AS user_id", "IF(id % 40 = 0, 'purchase', 'view') AS event_type", "IF(id % 40 = 0, 150.0D, 1.0D) AS value")
     e.write.parquet(str(tmp_path / "events.parquet"))
     got = {r["task_class"]: (r["n"], r["ids"]) for r in signals.QUERIES["feature_tasks"](spark, str(tmp_path)).collect()}
     assert got["candidate"] == (230, 230)
