@@ -17,7 +17,7 @@ SETTINGS = detection.CatalogSettings(
     detector=detect.DetectorRules(scales=(0.1, 0.2, 0.4), half=1, apart=2, expanded=6.0, strict=9.0),
     merging=merge.MergeRules(),
     tasks=features.FeatureRules(scales=(0.1, 0.2, 0.4), context=2.0, low=5.0, high=90.0, bands=8, half=1, apart=2, peers=2),
-    calibration_step_us=2_000_000, edge_us=2_000_000, reference_times=24, reference_sensors=6, k=5, class_k=3, quantile=0.99,
+    calibration_step_us=2_000_000, edge_us=2_000_000, reference_times=12, reference_sensors=4, k=5, class_k=3, quantile=0.99, compared=("local_gain", "locality", "correlation"),
 )
 
 

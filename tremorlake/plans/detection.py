@@ -22,7 +22,7 @@ SECOND = 1_000_000
 PRIMITIVES = "file_name STRING, core BIGINT, scale DOUBLE, channel BIGINT, window INT, score DOUBLE, secondary DOUBLE, strict BOOLEAN, support DOUBLE, common_mode BOOLEAN, active_fraction DOUBLE, windows BIGINT, start_us BIGINT, peak_us BIGINT, end_us BIGINT, correlation DOUBLE, env ARRAY<DOUBLE>, psd ARRAY<DOUBLE>"
 MODELS = "scale DOUBLE, channel BIGINT, " + ", ".join(f"center_{n} DOUBLE, spread_{n} DOUBLE" for n in detect.FEATURES)
 EVENTS = "event_id STRING, start_us BIGINT, peak_us BIGINT, end_us BIGINT, channel BIGINT, primitive_count BIGINT, source_channels STRING, max_score DOUBLE"
-#: What tasks are compared by.
+#: Features of tasks that are numbers.
 COMPARED = ("local_gain", "nonlocal_gain", "locality", "control_gain", "support", "correlation", "entropy", "js_to_flank", "concentration")
 TASKS = "task_id STRING, task_class STRING, event_id STRING, scale DOUBLE, burial_depth_cm DOUBLE, geometry_type STRING, " + ", ".join(f"{c} DOUBLE" for c in COMPARED)
 CATALOG = EVENTS + ", novel_scale_count BIGINT, max_consecutive INT, max_ratio DOUBLE, median_ratio DOUBLE, best_scale DOUBLE, best_nearest_class STRING, coherent BOOLEAN, local BOOLEAN, operation BOOLEAN, human BOOLEAN, label STRING, score DOUBLE"
@@ -45,6 +45,8 @@ class CatalogSettings:
     class_k: int = 5
     quantile: float = 0.995
     seed: int = 0
+    #: The features that tasks are compared by.
+    compared: tuple[str, ...] = COMPARED
 
 
 @dataclass(frozen=True)
@@ -133,7 +135,7 @@ def tasks(given: Inputs, events: DataFrame, s: CatalogSettings) -> DataFrame:
 def screened(events: DataFrame, measured: DataFrame, nuisance: DataFrame, s: CatalogSettings) -> DataFrame:
     """The catalog: votes over scales, coherence and locality above the references' quantiles, operations, label."""
     references = measured.where("task_class <> 'candidate'")
-    votes = run_refinement(measured.withColumn("key", F.concat_ws("@", "task_id", F.col("scale").cast("string"))), COMPARED, ["burial_depth_cm", "geometry_type"], s.k, s.class_k, s.quantile)
+    votes = run_refinement(measured.withColumn("key", F.concat_ws("@", "task_id", F.col("scale").cast("string"))), s.compared, ["burial_depth_cm", "geometry_type"], s.k, s.class_k, s.quantile)
     limit = lambda c, q: robust.exact_quantile(references, [], c, q, f"q_{c}").first()[0]
     coherence, locality = limit("correlation", 0.75), limit("locality", 0.9)
     own = measured.where("task_class = 'candidate'").groupBy("event_id").agg((F.max("correlation") >= F.lit(coherence)).alias("coherent"), (F.max("locality") >= F.lit(locality)).alias("local"))

@@ -157,7 +157,8 @@ def run_screening(tasks: DataFrame, features: Sequence[str], k: int = 10, class_
     """Per scale: candidates against the pooled noise references; then the votes of each event.
 
     tasks: key, event_id, scale, task_class, and the features, already standardised."""
-    ready = tasks.withColumn("vector", F.array(*[F.col(f).cast("double") for f in features]))
+    # read for every scale, and several times in each
+    ready = cut(tasks.select("key", "event_id", "scale", "task_class", F.array(*[F.col(f).cast("double") for f in features]).alias("vector")))
     scored = None
     for (scale,) in ready.select("scale").distinct().orderBy("scale").collect():  # a handful of scales
         own = ready.where(F.col("scale") == scale)
