@@ -85,9 +85,16 @@ def test_bursts_become_events_and_stages_are_kept(spark, given, tmp_path, monkey
     # another record of the second file: it alone is detected again, and its burst moves
     moved = [(f, s, c) if (f, s) != (1, 33.7) else (1, 51.5, 9) for f, s, c in BURSTS]
     blocks_of(spark, {1: record(1, moved, seed=0)}).coalesce(1).write.mode("overwrite").parquet(f"{folder}/f1")
-    again, made, _ = run(spark, inputs, out)
-    assert made == {"f1": "changed"}
-    assert any(abs(r["peak_us"] - 111.6e6) < 300_000 for r in again.collect()) and not any(abs(r["peak_us"] - 93.8e6) < 200_000 and r["max_score"] > 20 for r in again.collect())
+    changed = lambda: {p.parent.name: p.stat().st_mtime_ns for p in (tmp_path / "out" / "primitives").rglob("data/unit=*/*.parquet")}
+    before = changed()
+    monkeypatch.setattr(detection, "tasks", lambda *_: 1 / 0)  # the later stages follow as before
+    with pytest.raises(ZeroDivisionError):
+        run(spark, inputs, out)
+    monkeypatch.undo()
+    after = changed()
+    assert {u for u in after if after[u] != before.get(u)} == {"unit=f1"}
+    again = spark.read.parquet(f"{out}/events/data").collect()
+    assert any(abs(r["peak_us"] - 111.6e6) < 300_000 for r in again) and not any(abs(r["peak_us"] - 93.8e6) < 200_000 and r["max_score"] > 20 for r in again)
     # the kept detections are those of a run from the start
     fitted = spark.read.parquet(next(str(p) for p in (tmp_path / "out" / "models").iterdir()) + "/data")
     fresh = detection.primitives(inputs(), fitted, detection.stored_units(inputs().blocks), SETTINGS)
