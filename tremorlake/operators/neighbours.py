@@ -23,7 +23,7 @@ from tremorlake.sources.shared import cut
 
 #: Pivots at most, and references that one should have: below that there is a single cell.
 PIVOTS = 2_048
-CELL_ROWS = 500
+CELL_ROWS = 4_000
 #: Labels that may have neighbours of their own.
 SPACES = 256
 #: References and visits of a cell that are compared in one task.
