@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremorlake.operators import inference, spatial, temporal
+from tremorlake.operators import inference, maps, spatial, temporal
 from tremorlake.plans.das import DAS, DAY, HOUR, MINUTE, NODES, T0, das, nodes
 from tremorlake.plans.study import peaks_by_start
 from tremorlake.sources.shared import cut
@@ -208,20 +207,19 @@ def permutation_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.permutation_pools(nodes(spark, sf_dir), das(spark, sf_dir), "stratum")
 
 
-def scan_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Windows and whole rows of scores of eligible windows under md5 permutations, through the block kernel."""
-    n = nodes(spark, sf_dir)
+def usable(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Sensors, edges, windows and the counts of eligible windows."""
+    n = cut(nodes(spark, sf_dir))
     windows, counts = counted(spark, sf_dir)
+    counts = cut(counts)
     ok = temporal.eligibility(counts, windows, n.count(), 5, 3).where("eligible").select("window_id")
-    index = [r[0] for r in n.select("node").orderBy("node").collect()]  # the sensor list
-    where = {v: i for i, v in enumerate(index)}
-    edges = np.array([(where[r[0]], where[r[1]]) for r in spatial.radius_graph(n, RADIUS).select("node_i", "node_j").collect()])
-    drawn = inference.hashed_permutations(n, "stratum", PERMUTATIONS).toPandas()
-    permutations = np.zeros((PERMUTATIONS + 1, len(index)), int)
-    for p, node, source in drawn[["perm_id", "node", "source"]].itertuples(index=False):
-        permutations[p, where[node]] = where[source]
-    scores = inference.permutation_scores(counts.join(ok, "window_id", "left_semi"), index, edges, permutations)
-    return windows, scores
+    return n, cut(spatial.radius_graph(n, RADIUS)), windows, counts.join(F.broadcast(ok), "window_id", "left_semi")
+
+
+def scan_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Windows and whole rows of scores of eligible windows under md5 permutations."""
+    n, edges, windows, counts = usable(spark, sf_dir)
+    return windows, maps.map_scores(counts, n, edges, "stratum", PERMUTATIONS, drawn=inference.hashed_permutations(n, "stratum", PERMUTATIONS))
 
 
 def permutation_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,17 +239,9 @@ def scan_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def full_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Windows and whole rows of scores of eligible windows under as many permutations as a study draws."""
-    n, s = nodes(spark, sf_dir), ScanSettings()
-    windows, counts = counted(spark, sf_dir)
-    ok = temporal.eligibility(counts, windows, n.count(), 5, 3).where("eligible").select("window_id")
-    sensors = n.select("node", "stratum").orderBy("node").collect()  # the sensor list
-    where = {r["node"]: i for i, r in enumerate(sensors)}
-    pools: dict[int, list[int]] = {}
-    for r in sensors:
-        pools.setdefault(r["stratum"], []).append(where[r["node"]])
-    edges = np.array([(where[r[0]], where[r[1]]) for r in spatial.radius_graph(n, RADIUS).select("node_i", "node_j").collect()])
-    permutations = inference.seeded_permutations([pools[k] for k in sorted(pools)], len(sensors), s.simulations, s.seed)
-    return windows, inference.permutation_scores(counts.join(ok, "window_id", "left_semi"), list(where), edges, permutations)
+    n, edges, windows, counts = usable(spark, sf_dir)
+    s = ScanSettings()
+    return windows, maps.map_scores(counts, n, edges, "stratum", s.simulations, s.seed)
 
 
 def full_permutation_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
