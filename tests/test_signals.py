@@ -216,3 +216,21 @@ def test_records_and_their_declared_band(spark):
     got = {x["check"]: x["violations"] for x in tables.check_records(r, 5000.0, (20.0, 2000.0)).collect()}
     assert got == {"fs": 1, "channel_count": 0, "start_channel": 1, "fs_declared": 1, "fs_expected": 2, "band_declared": 2, "band_expected": 2}
     assert all(x["violations"] == 0 for x in tables.check_records(r.limit(0).drop("band")).collect())
+
+
+def test_array_functions_take_time_by_their_length(spark):
+    """Means and slopes are worked out once for an array and not for each of its elements."""
+    import time
+
+    x = F.transform(F.sequence(F.lit(1), F.lit(600)), lambda i: F.sin(i * F.col("id")) + i * 0.5)
+    rows = spark.range(1, 11, 1, 1).select(x.alias("x")).localCheckpoint()
+    began = time.perf_counter()
+    c = F.col("x")
+    got = rows.select(fn.detrend(c).alias("d"), fn.kurtosis_pearson(c).alias("k"), fn.support_fraction(F.slice(c, 1, 300), F.slice(c, 301, 300)).alias("s"), fn.temporal_concentration(c, 8).alias("t"), "x").collect()
+    assert time.perf_counter() - began < 10
+    for r in got:
+        v = np.array(r["x"])
+        i = np.arange(600)
+        assert np.allclose(r["d"], v - np.polyval(np.polyfit(i, v, 1), i), atol=1e-8)
+        f = np.sqrt((v.reshape(8, 75) ** 2).mean(1))
+        assert np.isclose(r["t"], f.max() / f.mean()) and r["s"] == 0.0

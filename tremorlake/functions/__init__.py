@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,12 @@ def truthy(flag: Column) -> Column:
     return F.lower(F.trim(flag.cast("string"))).isin("true", "1", "yes", "y")
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once: what a lambda over an array refers to is otherwise worked out anew
+    for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
@@ -38,8 +46,7 @@ def square_integral(a: Column, fs: float) -> Column:
 
 def normalised(a: Column) -> Column:
     """Shares of the total; equal shares where that isn't above 0."""
-    t = total(a)
-    return F.transform(a, lambda x: F.when(t > 0, x / t).otherwise(1.0 / F.size(a)))
+    return once(a, lambda a: once(total(a), lambda t: F.transform(a, lambda x: F.when(t > 0, x / t).otherwise(1.0 / F.size(a)))))
 
 
 def entropy(shares: Column) -> Column:
@@ -57,20 +64,25 @@ def js_distance(p: Column, q: Column, floor: float = 1e-15) -> Column:
 
 def correlation(a: Column, b: Column) -> Column:
     """Pearson's; 0 where one of them doesn't vary."""
-    ma, mb = mean(a), mean(b)
-    da, db = F.transform(a, lambda x: x - ma), F.transform(b, lambda x: x - mb)
-    down = norm(da) * norm(db)
-    return F.when(down > 1e-12, total(F.zip_with(da, db, lambda x, y: x * y)) / down).otherwise(0.0)
+    less = lambda a: once(mean(a), lambda m: F.transform(a, lambda x: x - m))
+    def share(d: Column) -> Column:
+        down = norm(d["a"]) * norm(d["b"])
+        return F.when(down > 1e-12, total(F.zip_with(d["a"], d["b"], lambda x, y: x * y)) / down).otherwise(0.0)
+
+    return once(F.struct(less(a).alias("a"), less(b).alias("b")), share)
 
 
 def detrend(a: Column) -> Column:
     """The array less its least-squares line."""
     n = F.size(a)
     mid = (n - 1) / 2.0
-    m = mean(a)
-    num = total(F.transform(a, lambda x, i: (i - mid) * (x - m)))
-    slope = F.when(n > 1, num / (n * (n * n - 1) / 12.0)).otherwise(0.0)
-    return F.transform(a, lambda x, i: x - m - slope * (i - mid))
+
+    def less(m: Column) -> Column:
+        num = total(F.transform(a, lambda x, i: (i - mid) * (x - m)))
+        slope = F.when(n > 1, num / (n * (n * n - 1) / 12.0)).otherwise(0.0)
+        return once(slope, lambda s: F.transform(a, lambda x, i: x - m - s * (i - mid)))
+
+    return once(mean(a), less)
 
 
 def frames_rms(a: Column, frames: int) -> Column:
@@ -81,8 +93,8 @@ def frames_rms(a: Column, frames: int) -> Column:
 
 def temporal_concentration(a: Column, frames: int = 10) -> Column:
     """Largest frame RMS over their mean; 1 for arrays shorter than the frames."""
-    r = frames_rms(a, frames)
-    return F.when(F.size(a) >= frames, F.array_max(r) / F.greatest(mean(r), F.lit(1e-20))).otherwise(1.0)
+    share = once(frames_rms(a, frames), lambda r: F.array_max(r) / F.greatest(mean(r), F.lit(1e-20)))
+    return F.when(F.size(a) >= frames, share).otherwise(1.0)
 
 
 def window_rms(a: Column, width: int, step: int) -> Column:
@@ -93,11 +105,15 @@ def window_rms(a: Column, width: int, step: int) -> Column:
 
 def kurtosis_pearson(a: Column) -> Column:
     """Bias-corrected, normal = 3; null under four samples or without variance."""
-    n, m = F.size(a), mean(a)
-    m2 = total(F.transform(a, lambda x: (x - m) * (x - m))) / n
-    m4 = total(F.transform(a, lambda x: (x - m) * (x - m) * (x - m) * (x - m))) / n
-    g = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 / (m2 * m2)) - 3.0 * (n - 1)) + 3.0
-    return F.when((n > 3) & (m2 > 0), g)
+    n = F.size(a)
+    power = lambda m, k: total(F.transform(a, lambda x: (x - m) * (x - m) if k == 2 else (x - m) * (x - m) * (x - m) * (x - m))) / n
+
+    def corrected(m: Column) -> Column:
+        m2, m4 = m["m2"], m["m4"]
+        g = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 / (m2 * m2)) - 3.0 * (n - 1)) + 3.0
+        return F.when((n > 3) & (m2 > 0), g)
+
+    return once(mean(a), lambda m: once(F.struct(power(m, 2).alias("m2"), power(m, 4).alias("m4")), corrected))
 
 
 def interval_gap(s1: str, e1: str, s2: str, e2: str) -> Column:
@@ -108,11 +124,9 @@ def interval_gap(s1: str, e1: str, s2: str, e2: str) -> Column:
 def support_fraction(local: Column, other: Column, floor: float = 0.05) -> Column:
     """Share of local values above the others' median plus the larger of their 1.4826 MAD and the floor."""
     def middle(a: Column) -> Column:
-        s = F.sort_array(a)
         n = F.size(a)
-        low, high = F.get(s, F.floor((n - 1) / 2).cast("int")), F.get(s, F.floor(n / 2).cast("int"))
-        return (low + high) / 2
+        return once(F.sort_array(a), lambda s: (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
 
-    m = middle(other)
-    limit = m + F.greatest(1.4826 * middle(F.transform(other, lambda x: F.abs(x - m))), F.lit(floor))
-    return F.size(F.filter(local, lambda x: x > limit)) / F.size(local)
+    limit = lambda m: m + F.greatest(1.4826 * middle(F.transform(other, lambda x: F.abs(x - m))), F.lit(floor))
+    above = lambda most: F.size(F.filter(local, lambda x: x > most))
+    return once(middle(other), lambda m: once(limit(m), above)) / F.size(local)
