@@ -60,3 +60,19 @@ def test_a_tenth_of_the_pairs_is_compared(spark):
     assert pairs < 6000 * 6000 / 10, pairs / 6000**2
     some = {r["key"]: r["distances"] for r in search.nearest(df.where("key < 40").select("key", "vector"), 5).collect()}
     same(some, brute(x[:40], range(40), x, np.arange(6000), 5, True))
+
+
+@pytest.mark.parametrize("far", [0.0, 1e6])
+def test_nearest_by_products_are_those_by_differences(monkeypatch, far):
+    """Copies, and points so far from the origin that a product alone tells them apart by 1e-3 at best."""
+    monkeypatch.setattr(neighbours, "LEAD", 7)
+    rng = np.random.default_rng(3)
+    y = np.concatenate([rng.normal(size=(200, 6)), np.zeros((30, 6))]) + far
+    x = np.concatenate([y[150:], rng.normal(size=(20, 6)) + far])
+    full = np.sqrt(((x[:, None] - y[None]) ** 2).sum(2))
+    assert np.allclose(neighbours.distances(x, y), full, rtol=1e-9, atol=1e-12)
+    same = np.zeros(full.shape, bool)
+    same[np.arange(80), np.arange(150, 230)] = True
+    for apart, want in ((None, full), (same, np.where(same, np.inf, full))):
+        got = neighbours.nearest_of(x, y, 5, np.full(len(x), np.inf), apart)
+        assert np.array_equal(np.array(got), np.sort(want, 1)[:, :5])

@@ -23,22 +23,66 @@ from tremorlake.sources.shared import cut
 
 #: Pivots at most, and references that one should have: below that there is a single cell.
 PIVOTS = 2_048
-CELL_ROWS = 4_000
+CELL_ROWS = 16_000
 #: Labels that may have neighbours of their own.
 SPACES = 256
 #: References and visits of a cell that are compared in one task.
 BLOCK = 20_000
+#: References by which a query's k-th distance is bounded first.
+LEAD = 1_024
 #: Rounding of bounds, as a share: cells and references this close beyond a bound are looked at.
 SLACK = 1e-9
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Of every row of x to every one of y, in bounded memory."""
+    """Of every row of x to every one of y, in bounded memory: by a product, and those that it may not tell to
+    SLACK by differences."""
     out = np.empty((len(x), len(y)))
-    step = max(1, 2_000_000 // max(1, y.size))
+    step = max(1, 2_000_000 // max(1, len(y)))
     for at in range(0, len(x), step):
-        out[at : at + step] = np.sqrt(((x[at : at + step, None, :] - y[None]) ** 2).sum(2))
-    return out
+        part = out[at : at + step]
+        sizes = _squares(x[at : at + step], y, part)
+        i, j = np.nonzero(part < 1e-3 * sizes)
+        part[i, j] = _apart(x[at : at + step], y, i, j)
+    return np.sqrt(out, out=out)
+
+
+def _squares(x: np.ndarray, y: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Squared distances by a product, into out; the size of the numbers that they are differences of."""
+    sizes = (x * x).sum(1)[:, None] + (y * y).sum(1)[None]
+    np.matmul(x, y.T, out=out)
+    out *= -2
+    out += sizes
+    return sizes
+
+
+def _apart(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Squared distances of pairs by differences, in bounded memory."""
+    step = max(1, 2_000_000 // max(1, x.shape[1]))
+    parts = [((x[i[at : at + step]] - y[j[at : at + step]]) ** 2).sum(1) for at in range(0, len(i), step)]
+    return np.concatenate(parts) if parts else np.empty(0)
+
+
+def nearest_of(x: np.ndarray, y: np.ndarray, k: int, bound: np.ndarray, apart: np.ndarray | None) -> list[np.ndarray]:
+    """The k smallest distances of each row of x to y within about the bound, rising; apart: pairs that do not count.
+
+    A product gives all squares up to rounding; the k-th of a part of y bounds the k-th of all from above, and what
+    may lie within is measured by differences."""
+    squares = np.empty((len(x), len(y)))
+    sizes = _squares(x, y, squares)
+    slack = 16 * (x.shape[1] + 8) * np.finfo("f8").eps * sizes.max(initial=0.0)
+    if apart is not None:
+        squares[apart] = np.inf
+    limit = np.where(np.isfinite(bound), bound**2, np.inf)
+    some = squares[:, :: max(1, len(y) // LEAD)]
+    if some.shape[1] >= k:
+        limit = np.fmin(limit, np.partition(some, k - 1, axis=1)[:, k - 1])
+    i, j = np.nonzero((squares <= (limit + 2 * slack)[:, None]) & np.isfinite(squares))
+    d = _apart(x, y, i, j)
+    by = np.lexsort((d, i))
+    d = np.sqrt(d[by])
+    ends = np.cumsum(np.bincount(i, minlength=len(x)))
+    return [d[a : min(a + k, b)] for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)]
 
 
 class Cells:
@@ -137,12 +181,8 @@ def compared(met: DataFrame, reference: DataFrame, k: int, apart: frozenset[str]
             part = slice(at, at + 64)
             a = np.searchsorted(ring, (at_[part] - bound[part]).min(), side="left")
             b = np.searchsorted(ring, (at_[part] + bound[part]).max(), side="right")
-            d = distances(x[part], points[a:b])
-            if alone:
-                d[own[part, None] == keys[None, a:b]] = np.inf
-            if d.shape[1]:
-                d = np.sort(np.partition(d, min(k, d.shape[1]) - 1, 1)[:, :k], 1)
-            near += [row[np.isfinite(row)] for row in d]
+            same = own[part, None] == keys[None, a:b] if alone else None
+            near += nearest_of(x[part], points[a:b], k, bound[part], same)
         return pd.DataFrame({"key": own, "space": few["space"].to_numpy(), "distances": near})
 
     kind = dict(met.dtypes)["key"]
