@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tests.test_scan import scattered
-from tremorlake.operators import inference, maps
+from tremorlake.operators import inference, maps, spatial
 from tremorlake.plans import time_space
 
 
@@ -51,3 +51,16 @@ def test_scans_take_any_number_of_sensors(spark, tmp_path, monkeypatch, name):
     scattered(spark, tmp_path)
     monkeypatch.setattr(inference, "SENSORS", 10)
     assert time_space.QUERIES[name](spark, str(tmp_path)).count() > 0
+
+
+def test_moran_makes_no_row_for_an_edge_in_a_window(spark, tmp_path, monkeypatch):
+    def refused(*_):
+        raise AssertionError("counts joined with edges")
+
+    scattered(spark, tmp_path)
+    n = time_space.nodes(spark, str(tmp_path))
+    want = spatial.moran(time_space.window_node_counts(spark, str(tmp_path)), spatial.radius_graph(n, time_space.RADIUS), n.count())
+    want = {r[0]: r[1] for r in want.where("moran_i is not null").collect()}
+    monkeypatch.setattr(spatial, "moran", refused)
+    got = {r[0]: r[1] for r in time_space.QUERIES["moran_windows"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[w] - want[w]) < 1e-6 for w in want)

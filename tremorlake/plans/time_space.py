@@ -190,11 +190,19 @@ def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.component_sizes(n, spatial.radius_graph(n, RADIUS))
 
 
+def usable(spark: SparkSession, sf_dir: str, records: int = 5, active: int = 3) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Sensors, edges, windows and the counts of eligible windows."""
+    n = cut(nodes(spark, sf_dir))
+    windows, counts = counted(spark, sf_dir)
+    counts = cut(counts)
+    ok = temporal.eligibility(counts, windows, n.count(), records, active).where("eligible").select("window_id")
+    return n, cut(spatial.radius_graph(n, RADIUS)), windows, counts.join(F.broadcast(ok), "window_id", "left_semi")
+
+
 def moran_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = nodes(spark, sf_dir)
-    edges = spatial.radius_graph(n, RADIUS)
-    out = spatial.moran(window_node_counts(spark, sf_dir), edges, n.count())
-    return out.where("moran_i is not null").select("window_id", F.round("moran_i", 6).alias("moran_i"))
+    """Of all windows in which counts vary, by their maps as they are: no row is made for an edge in a window."""
+    n, edges, _, counts = usable(spark, sf_dir, 1, 1)
+    return maps.map_scores(counts, n, edges, "stratum", 0).select("window_id", F.round(F.col("scores")[0], 6).alias("moran_i"))
 
 
 def start_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,15 +215,6 @@ def permutation_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.permutation_pools(nodes(spark, sf_dir), das(spark, sf_dir), "stratum")
 
 
-def usable(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Sensors, edges, windows and the counts of eligible windows."""
-    n = cut(nodes(spark, sf_dir))
-    windows, counts = counted(spark, sf_dir)
-    counts = cut(counts)
-    ok = temporal.eligibility(counts, windows, n.count(), 5, 3).where("eligible").select("window_id")
-    return n, cut(spatial.radius_graph(n, RADIUS)), windows, counts.join(F.broadcast(ok), "window_id", "left_semi")
-
-
 def scan_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Windows and whole rows of scores of eligible windows under md5 permutations."""
     n, edges, windows, counts = usable(spark, sf_dir)
