@@ -13,7 +13,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round gives a node the smallest label of itself and its neighbours and then follows the label's own
     label, so chains shorten by more than half; it ends when no label changes."""
-    both = cut(edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = cut(edges.where("a <> b").select(F.inline(ways)).distinct())
     labels = cut(both.groupBy(F.col("a").alias("node_id")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
         near = both.join(labels, F.col("b") == F.col("node_id")).groupBy("a").agg(F.min("component").alias("m"))
