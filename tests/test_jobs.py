@@ -146,6 +146,23 @@ def test_texts_are_classed_and_runs_agree(spark, tmp_path):
     assert by["de"]["hard_bad"] == 1 and by["en"]["texts"] == 37
 
 
+def test_words_are_measured_in_one_pass(spark):
+    """No lambda of SQL runs for every word, and odd characters count as before: no-break spaces and separators of
+    Unicode don't part words, characters beyond the first plane are one, damaged bytes are replaced."""
+    texts = ["a\u00a0b cc\x1cd\x0bee", "x  x\tx yyy\n \n\t\n", "\U0001f600\U0001f600 z", " \n  ", "", None, "w" * 40 + " v"]
+    found = documents(spark, [(i, v, "a", "en") for i, v in enumerate(texts)]).unionByName(spark.sql("SELECT 7L doc_id, cast(unhex('4128C328FF2042') AS string) text, 'a' source, 'en' lang, 1L n, 'x' words"))
+    made = text_quality.measured(found, QUALITY)
+    assert "lambda" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["doc_id"]: r for r in made.collect()}
+    assert [got[i]["words"] for i in range(8)] == [3, 4, 2, 0, 0, 0, 2, 2]
+    assert [got[i]["mean"] for i in range(8)] == [3.0, 1.5, 1.5, None, None, None, 20.5, 3.0]
+    assert [got[i]["max_jump"] for i in range(8)] == [2.0, 2.0, 1.0, 0.0, 0.0, 0.0, 39.0, 4.0]
+    assert [got[i]["zero_fraction"] for i in range(4)] == [0.0, 0.5, 0.0, 1.0] and got[4]["zero_fraction"] == got[5]["zero_fraction"] == 1.0
+    assert got[1]["flat_fraction"] == 2 / 3 and got[6]["saturation_fraction"] == 0.5
+    assert got[0]["nonfinite_fraction"] == 1 / 11 and got[7]["nonfinite_fraction"] == 2 / 6
+    assert got[1]["std"] == 0.75**0.5 and got[3]["std"] is None and got[3]["kurtosis"] is None
+
+
 def test_no_texts(spark, tmp_path):
     documents(spark, []).write.parquet(str(tmp_path / "docs"))
     assert text_quality.run(spark, str(tmp_path / "docs"), str(tmp_path / "out"), QUALITY).count() == 0
