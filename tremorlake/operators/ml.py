@@ -33,13 +33,19 @@ def bic(log_likelihood: float, n: int, k: int, d: int) -> float:
     return -2 * log_likelihood + free * math.log(n)
 
 
+#: Rows that a task of a mixture's fit takes.
+TASK_ROWS = 50_000
+
+
 def signal_types(events: DataFrame, features: Sequence[str], order: Sequence[str], least: int = 2, most: int = 6, seed: int = 0, starts: int = 5) -> tuple[DataFrame, list[tuple[int, float]]]:
     """signal_type (Type A, B, ... by the medians of the order columns) and the BIC of each number of types.
 
     Of the starts of each number the one with the largest likelihood counts."""
+    events = cut(events)  # read for every feature
     n = events.count()
-    ready = robust_vector(events, features)
-    ready = cut(ready)  # read by every fit
+    ready = cut(robust_vector(events, features))  # read by every fit
+    # every task of every step of every fit tells the driver something
+    ready = ready.coalesce(max(1, math.ceil(n / TASK_ROWS)))
     ready = PCA(k=min(5, len(features)), inputCol="z", outputCol="pcs").fit(ready).transform(ready)
     most = min(most, max(least, n // 20))
     fits, scores = {}, []
